@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_frequency, mixing, secret_ledger, subword_classifier
+from . import line_frequency, mixing, prefix_join, secret_ledger, subword_classifier
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest(secret_ledger.scan_versions(docs)[0])
 
 
+def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.join_components(_read(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("source")
 
@@ -29,5 +33,5 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_frequency, op5_secret_ledger, op9_source_mixing, op10_subword_quality)}
-ORACLES = {"op3_line_frequency": line_frequency.SQL, "op9_source_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op3_line_frequency, op5_secret_ledger, op8_prefix_join, op9_source_mixing, op10_subword_quality)}
+ORACLES = {"op3_line_frequency": line_frequency.SQL, "op8_prefix_join": prefix_join.SQL, "op9_source_mixing": mixing.SQL}
