@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_frequency, mixing, prefix_join, secret_ledger, subword_classifier
+from . import decontaminate, line_frequency, mixing, prefix_join, secret_ledger, subword_classifier
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_frequency(_read(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_frequency, op5_secret_ledger, op8_prefix_join, op9_source_mixing, op10_subword_quality)}
+QUERIES = {f.__name__: f for f in (op2_string_tiling, op3_line_frequency, op5_secret_ledger, op8_prefix_join, op9_source_mixing, op10_subword_quality)}
 ORACLES = {"op3_line_frequency": line_frequency.SQL, "op8_prefix_join": prefix_join.SQL, "op9_source_mixing": mixing.SQL}
