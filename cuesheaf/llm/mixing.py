@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_EPOCHS = 2
 #: Documents of a source that one key range holds, about; a source of a third of all rows gets many ranges.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -52,14 +52,14 @@ def mixed(sized: DataFrame, targets: DataFrame, range_rows: int = RANGE_ROWS) ->
     keyed = sized.withColumn("key", F.md5(F.col("doc_id").cast("string").cast("binary")))
     counts = keyed.groupBy("source").agg(F.count("*").alias("docs")).select(F.col("source").alias("s"), F.ceil(F.col("docs") / range_rows).alias("ranges"))
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    dealt = keyed.join(F.broadcast(targets), keyed["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    dealt = dealt.join(F.broadcast(counts), dealt["source"].eqNullSafe(counts["s"])).drop("s").withColumn("part", F.floor(place * F.col("ranges") / 4294967296).cast("long"))
+    dealt = keyed.join(targets, keyed["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    dealt = dealt.join(counts, dealt["source"].eqNullSafe(counts["s"])).drop("s").withColumn("part", F.floor(place * F.col("ranges") / 4294967296).cast("long"))
     parts = dealt.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     before = F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), before.alias("part_start"))
     inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("inner_start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    dealt = dealt.join(F.broadcast(parts), dealt["source"].eqNullSafe(parts["s"]) & (dealt["part"] == parts["p"]))
+    dealt = dealt.join(parts, dealt["source"].eqNullSafe(parts["s"]) & (dealt["part"] == parts["p"]))
     start = F.col("part_start") + F.col("inner_start")
 
     def cut(budget: Column) -> Column:
@@ -71,7 +71,7 @@ def mixed(sized: DataFrame, targets: DataFrame, range_rows: int = RANGE_ROWS) ->
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, epochs: int = MOST_EPOCHS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row of docs (doc_id, text, source)."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     return mixed(sized, source_targets(totals, weights, percent, epochs))
 
