@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -208,3 +208,20 @@ def verified_links(members: DataFrame, percent: int, block_rows: int = 1200, blo
                 yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], ["a", "b"])
 
     return ready.mapInArrow(verify, "a long, b long")
+
+
+def in_fold(doc_id, folds: int, fold: int) -> F.Column:
+    """Whether crc32 of doc_id as text, modulo `folds`, is `fold`."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds == fold
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, per_class: int) -> tuple[list[tuple[str, object]], dict]:
+    """At most `per_class` (text, label) of each label, by hash of doc_id, and the count of every label.
+
+    known: (doc_id, label). The ids are picked among the labels alone, so only the sample's texts move.
+    """
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    order = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    ids = known.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_class).select(F.col("doc_id").alias("k_doc_id"), "label")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("k_doc_id")).select("doc_id", "label", "text").collect()
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], str(r["label"]), r["text"]))], counts
