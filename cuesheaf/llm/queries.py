@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_frequency, mixing, prefix_join, secret_ledger, string_kernel, subword_classifier
+from . import decontaminate, line_frequency, mixing, prefix_join, secret_ledger, string_kernel, subword_classifier, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel.identify(_read(spark, sf_dir, "documents"))
 
 
+def op7_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.join_components(_read(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_string_tiling, op3_line_frequency, op5_secret_ledger, op6_string_kernel, op8_prefix_join, op9_source_mixing, op10_subword_quality)}
+QUERIES = {f.__name__: f for f in (op2_string_tiling, op3_line_frequency, op5_secret_ledger, op6_string_kernel, op7_bigru_toxicity, op8_prefix_join, op9_source_mixing, op10_subword_quality)}
 ORACLES = {"op3_line_frequency": line_frequency.SQL, "op8_prefix_join": prefix_join.SQL, "op9_source_mixing": mixing.SQL}
