@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,13 @@ MOST_WORDS = 50_000
 SAMPLE_PER_CLASS = 1200
 EPOCHS = 5
 THRESHOLD = 0.3
-_TRIM = b".,;:!?\"'()[]{}*#$%&|<>"
+LEAST_STEPS = 260
+#: ASCII characters other than letters and digits end a word.
+_BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def normal(text: bytes) -> list[bytes]:
-    return [w.strip(_TRIM) for w in text.lower().split()]
+    return text.lower().translate(_BREAKS).split()
 
 
 def char_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +86,7 @@ class Net:
         chars = np.add.reduceat(self.w["char"][slots], np.cumsum(size) - size) / size[:, None]
         return np.concatenate([self.w["word"][[self.words.get(w, 0) for w in words]], chars], 1, dtype=np.float32)
 
-    def one_way(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
+    def one_way(self, x: np.ndarray, mask: np.ndarray | None, side: str, keep: bool) -> tuple[np.ndarray, list]:
         """States (steps x rows x HIDDEN) of projected inputs x (steps x rows x 3 HIDDEN), in reading order."""
         u, n = self.w[f"u{side}"], HIDDEN
         h, out, saved = np.zeros((x.shape[1], n), np.float32), np.empty((x.shape[0], x.shape[1], n), np.float32), []
@@ -94,13 +97,17 @@ class Net:
             new = np.tanh(x[t, :, 2 * n :] + r * hu[:, 2 * n :])
             if keep:
                 saved.append((t, h, z, r, new, hu[:, 2 * n :]))
-            h = (new + z * (h - new)) * mask[t]
+            h = new + z * (h - new)
+            if mask is not None:
+                h *= mask[t]
             out[t] = h
         return out, saved
 
-    def pooled(self, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def pooled(self, states: np.ndarray, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         a = np.tanh(states @ self.w["wa"] + self.w["ba"])
-        e = np.exp(a @ self.w["va"]) * mask[:, :, 0]
+        e = np.exp(a @ self.w["va"])
+        if mask is not None:
+            e *= mask[:, :, 0]
         share = e / np.maximum(e.sum(0), 1e-9)
         s = np.einsum("tr,trh->rh", share, states)
         return a, share, s, sigmoid(s @ self.w["wo"] + self.w["bo"][0])
@@ -108,7 +115,7 @@ class Net:
     def projected(self, vectors: np.ndarray) -> np.ndarray:
         return np.concatenate([vectors @ self.w[f"x{s}"] + self.w[f"c{s}"] for s in "fb"], 1)
 
-    def forward(self, table: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    def forward(self, table: np.ndarray, ids: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
         """Probabilities of windows: ids (steps x rows) into the table of projected words."""
         x = table[ids]
         n = 3 * HIDDEN
@@ -155,7 +162,7 @@ class Net:
         np.add.at(dwords, ids, dx)
         return g, dwords
 
-    def train(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 11, batch: int = 128) -> Net:
+    def train(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 11, batch: int = 64) -> Net:
         if len(set(labels)) < 2:
             return self
         rng = np.random.default_rng(seed)
@@ -188,13 +195,15 @@ class Net:
             if label == 0 and len(starts) > 1:
                 s = starts[int(rng.integers(len(starts)))]
                 pieces.append((d[s : s + WINDOW], 0))
+        toxic = [p for p in pieces if p[1]]
+        pieces += toxic * min(4, len(pieces) // (3 * len(toxic) or 1) - 1)
         vocabulary = {w: k for k, w in enumerate(sorted({w for p, _ in pieces for w in p}))}
         place = np.array([self.words.get(w, 0) for w in vocabulary])
         flat, size = char_slots(list(vocabulary))
         first = np.cumsum(size) - size
         moments: dict[str, list[np.ndarray]] = {}
         step = 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(1, len(pieces))))):
             order = rng.permutation(len(pieces))
             for lo in range(0, len(order), batch):
                 part = [pieces[k] for k in order[lo : lo + batch]]
@@ -233,7 +242,7 @@ def packed(rows: list) -> tuple[np.ndarray, np.ndarray]:
 class Scorer:
     """Scores texts by a net; keeps the projected vectors of the words met, up to a bound."""
 
-    def __init__(self, net: Net, most: int = 150_000):
+    def __init__(self, net: Net, most: int = 400_000):
         self.net, self.most = net, most
         self.clear()
 
@@ -242,44 +251,38 @@ class Scorer:
         self.table = np.zeros((4096, 6 * HIDDEN), np.float32)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        new = [w for w in set(words) if w not in self.place]
-        if new:
-            vectors = self.net.vectors(new)
-            while len(self.table) < len(self.place) + len(new):
+        out = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            new = list({words[k] for k in missing})
+            known = len(self.place)
+            while len(self.table) < known + len(new):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[len(self.place) : len(self.place) + len(new)] = self.net.projected(vectors)
-            for w in new:
-                self.place[w] = len(self.place)
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            self.table[known : known + len(new)] = self.net.projected(self.net.vectors(new))
+            self.place.update(zip(new, range(known, known + len(new)), strict=True))
+            out[missing] = [self.place[words[k]] for k in missing]
+        return out
 
     def scores(self, texts: list[bytes], rows: int = 512) -> np.ndarray:
+        """The highest probability of a window of each text."""
         out = np.zeros(len(texts))
         if not self.net.ready:
             return out
         if len(self.place) > self.most:
             self.clear()
-        long: list[np.ndarray] = []
-        owner: list[int] = []
-        for k, t in enumerate(texts):
-            words = normal(t)
-            if not words:
-                continue
-            ids = self.ids(words)
-            for s in windows(len(ids)):
-                long.append(ids[s : s + WINDOW])
-                owner.append(k)
-                if len(long) == rows:
-                    self.flush(long, owner, out)
-        self.flush(long, owner, out)
-        return out
-
-    def flush(self, long: list[np.ndarray], owner: list[int], out: np.ndarray) -> None:
-        if long:
-            ids, mask = packed(long)
-            p = self.net.forward(self.table, ids, mask if (mask == 0).any() else mask[:, :1])
+        docs = [normal(t) for t in texts]
+        ids = self.ids(list(chain.from_iterable(docs)))
+        at = np.cumsum([0, *map(len, docs)]).tolist()
+        full = [(at[k] + s, k) for k, d in enumerate(docs) if len(d) >= WINDOW for s in windows(len(d))]
+        for lo in range(0, len(full), rows):
+            starts, owner = np.array(full[lo : lo + rows]).T
+            p = self.net.forward(self.table, ids[starts + np.arange(WINDOW)[:, None]], None)
             np.maximum.at(out, owner, p)
-            long.clear()
-            owner.clear()
+        short = sorted((len(d), k) for k, d in enumerate(docs) if 0 < len(d) < WINDOW)
+        for lo in range(0, len(short), rows):
+            owner = [k for _, k in short[lo : lo + rows]]
+            out[owner] = self.net.forward(self.table, *packed([ids[at[k] : at[k + 1]] for k in owner]))
+        return out
 
 
 def detect(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out_fold: int = 2, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
