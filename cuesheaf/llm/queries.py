@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_frequency, mixing, prefix_join, secret_ledger, string_kernel, subword_classifier, toxicity
+from . import decontaminate, line_frequency, lm_scoring, mixing, prefix_join, secret_ledger, string_kernel, subword_classifier, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = _read(spark, sf_dir, "labels").filter("quality = 1")
+    return lm_scoring.cross_entropy_difference(_read(spark, sf_dir, "documents"), target)
+
+
 def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -45,5 +50,5 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_string_tiling, op3_line_frequency, op5_secret_ledger, op6_string_kernel, op7_bigru_toxicity, op8_prefix_join, op9_source_mixing, op10_subword_quality)}
-ORACLES = {"op3_line_frequency": line_frequency.SQL, "op8_prefix_join": prefix_join.SQL, "op9_source_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_cross_entropy, op2_string_tiling, op3_line_frequency, op5_secret_ledger, op6_string_kernel, op7_bigru_toxicity, op8_prefix_join, op9_source_mixing, op10_subword_quality)}
+ORACLES = {"op1_cross_entropy": lm_scoring.SQL, "op3_line_frequency": line_frequency.SQL, "op8_prefix_join": prefix_join.SQL, "op9_source_mixing": mixing.SQL}
