@@ -127,13 +127,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, percent: in
     A benchmark within `block_chars` is one block; a larger one is dealt by hash into blocks,
     each of which meets all documents in a pass of its own.
     """
-    spark = docs.sparkSession
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // block_chars) or 1
     out = None
-    for block in range(blocks):
-        part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text").filter("text IS NOT NULL")
-        sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
+    for sent in blocks_of(docs, benchmark, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             table = Seeds(sent.value, k)
@@ -148,7 +143,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, percent: in
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that cover a benchmark item; all columns stay."""
-    bad = leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def blocks_of(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> list:
+    """The items as broadcast blocks of about `block_chars` characters."""
+    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-total // block_chars) or 1
+    parts = [benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text").filter("text IS NOT NULL") for k in range(blocks)]
+    return [docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in p.collect()]) for p in parts]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, percent: int = COVERAGE_PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the documents that cover a benchmark item; all columns stay and nothing is shuffled."""
+    for sent in blocks_of(docs, benchmark, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            table = Seeds(sent.value, k)
+            for b in small_batches(batches):
+                yield b.filter(pa.array([not table.matches(t, percent) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -38,7 +38,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, percen
     left = F.sum("source_size").over(whole) * (percent / 100) - F.coalesce(F.sum("cap").over(earlier), F.lit(0))
     level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)))
     t = t.withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") > F.col("cap"))
-    open_level = F.min(F.when(~F.col("full"), F.col("level"))).over(whole)
+    open_level = F.max(F.when(~F.col("full"), F.col("level"))).over(whole)
     return t.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(open_level * F.col("weight")).alias("target"))
 
 
@@ -82,7 +82,7 @@ totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY s
 weighed AS (SELECT *, 2 * source_size AS cap, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM totals),
 filled AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVER f, 0)::DOUBLE) / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER f, 0))::DOUBLE AS level
   FROM weighed WINDOW f AS (ORDER BY cap * 60 / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-targets AS (SELECT source, source_size, CASE WHEN level * weight > cap THEN cap::DOUBLE ELSE (min(level) FILTER (WHERE level * weight <= cap) OVER ()) * weight END AS target FROM filled),
+targets AS (SELECT source, source_size, CASE WHEN level * weight > cap THEN cap::DOUBLE ELSE (max(level) FILTER (WHERE level * weight <= cap) OVER ()) * weight END AS target FROM filled),
 placed AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (least(size, greatest(0, floor(target)::BIGINT - start)) + least(size, greatest(0, floor(target)::BIGINT - source_size - start)))::BIGINT AS taken FROM placed

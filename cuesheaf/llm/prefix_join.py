@@ -55,21 +55,26 @@ def sketch(items: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, sid, prefix, sketch) of each row of docs (doc_id, text)."""
+    """(doc_id, version, n, sid, prefix, sketch) of each row of docs (doc_id, text); version is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            sets = [ngram_set(t, k) for t in utf8(b.column(1))]
+            sets = [ngram_set(t, k) for t in utf8(b.column(2))]
             prefix = [s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, prefix)])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
                  pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary())],
-                ["doc_id", "n", "sid", "prefix", "sketch"],
+                ["doc_id", "version", "n", "sid", "prefix", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sid long, prefix array<long>, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version_of(F.col("text")).alias("version"), "text")
+    return rows.mapInArrow(run, "doc_id long, version long, n long, sid long, prefix array<long>, sketch binary")
+
+
+def version_of(text) -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def most_differences(n: int, m: int, percent: int) -> int:
@@ -154,7 +159,7 @@ def candidate_edges(sets: DataFrame, percent: int = PERCENT, bucket_rows: int =
 
 
 def set_components(docs: DataFrame, sig: DataFrame, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(sid, component_id): smallest doc_id of the component of each set of the stored sig."""
+    """(sid, component_id, first_sid) of each set of the stored sig: smallest doc_id of its component, and the set that has it."""
     sets = stored(sig.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
     groups = connected_components(candidate_edges(sets, percent)).withColumnRenamed("node", "sid")
     wanted = stored(groups.join(sets.select("sid", "rep"), "sid"))
@@ -169,8 +174,8 @@ def set_components(docs: DataFrame, sig: DataFrame, k: int = NGRAM, percent: int
     members = stored(texts.mapInArrow(run, "grp long, id long, n long, items binary").dropDuplicates(["id"]))
     linked = connected_components(verified_links(members, percent)).withColumnRenamed("node", "sid")
     whole = sets.select("sid", "rep").join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    lowest = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return whole.join(lowest, "component").select("sid", "component_id")
+    lowest = whole.groupBy("component").agg(F.min(F.struct("rep", "sid")).alias("first"))
+    return whole.join(lowest, "component").select("sid", F.col("first.rep").alias("component_id"), F.col("first.sid").alias("first_sid"))
 
 
 def join_components(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -181,9 +186,22 @@ def join_components(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT) ->
 
 
 def one_of_each(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, of each component the one of the smallest doc_id; all columns stay."""
-    keep = join_components(docs, k, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """The rows of docs, of each component one: that of the smallest doc_id; all columns stay.
+
+    Wordless documents all stay; of rows that repeat doc_id and text one stays.
+    """
+    sig = stored(signatures(docs, k, percent))
+    found = sig.select("doc_id", "version", "n", "sid").join(set_components(docs, sig, k, percent), "sid", "left")
+    out = found.filter((F.col("n") > 0) & ((F.col("sid") != F.col("first_sid")) | ~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    again = sig.groupBy("doc_id", "version").count().filter("count > 1")
+    key = [F.col("doc_id").alias("o_doc_id"), F.col("version").alias("o_version")]
+    out, again = stored(out.select(*key).distinct()), stored(again.select(*key))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("o_doc_id")) & (version_of(docs["text"]) == F.col("o_version"))
+    kept = docs.join(sized_broadcast(out), same, "left_anti")
+    if again.limit(1).count():
+        twice = kept.join(sized_broadcast(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(sized_broadcast(again), same, "left_anti").unionByName(twice)
+    return kept
 
 
 SQL = r"""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import sized_broadcast, small_batches, stored
 
 VERSION = "1"
 KINDS = ("assign", "access", "hex")
@@ -69,7 +69,7 @@ def unseen_findings(versions: DataFrame, ledger: DataFrame | None = None, versio
     wanted = new.filter("hinted").select(F.col("path").alias("w_path"), F.col("blob").alias("w_blob"))
     t = F.coalesce("text", F.lit(""))
     texts = versions.select("path", t.alias("text")).filter(F.col("text").rlike(KEYWORDS)).withColumn("blob", F.sha2("text", 256))
-    texts = texts.join(wanted.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("w_path")) & (F.col("blob") == F.col("w_blob")), "left_semi").dropDuplicates(["blob"])
+    texts = texts.join(sized_broadcast(wanted), F.col("path").eqNullSafe(F.col("w_path")) & (F.col("blob") == F.col("w_blob")), "left_semi").dropDuplicates(["blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -97,9 +97,9 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, findings
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every found span of text replaced by a mark; columns stay, n_chars follows the text."""
     spans, _, _ = scan_versions(docs.select(F.col("doc_id").alias("path"), "text"))
-    spans = spans.filter(F.size("spans") > 0).dropDuplicates(["path", "blob"]).select(F.col("path").alias("s_path"), F.col("blob").alias("s_blob"), "spans")
+    spans = stored(spans.filter(F.size("spans") > 0).dropDuplicates(["path", "blob"]).select(F.col("path").alias("s_path"), F.col("blob").alias("s_blob"), "spans"))
     d = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    d = d.join(spans.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("s_path")) & (F.col("_blob") == F.col("s_blob")), "left")
+    d = d.join(sized_broadcast(spans), F.col("doc_id").eqNullSafe(F.col("s_path")) & (F.col("_blob") == F.col("s_blob")), "left")
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
 
     def step(a, s):
