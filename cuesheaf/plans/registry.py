@@ -1,4 +1,6 @@
 """All queries of the library's own operators, and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from . import cue_queries, subtitle_queries  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
