@@ -1,6 +1,6 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are similar, as components.
 
-A grouped prefix join (after Bouros, Ge and Mamoulis 2012) under the order of 64-bit hashes:
+A grouped prefix join (after Bouros, Ge and Mamoulis 2012), longest n-grams first:
 1. documents with the same set are one group from here on (its set id);
 2. two sets that link share an n-gram among their first n - ceil(t n) + 1; n-grams that stand in
    one prefix only find no partner and go;
@@ -35,8 +35,16 @@ MOST_BITS = 1 << 15
 
 
 def ngram_set(text: bytes, k: int = NGRAM) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams, A-Z lower-cased."""
-    return np.unique(shingles(word_hashes(text.lower().split()), k))
+    """Sorted distinct keys of the word n-grams, A-Z lower-cased.
+
+    A key is a hash below the n-gram's length in bytes, longest first: long n-grams are rare, so
+    that the first keys of a set are seldom shared by chance. Any fixed order keeps the join exact.
+    """
+    words = text.lower().split()
+    h = shingles(word_hashes(words), k)
+    size = np.cumsum([0, *map(len, words)])
+    wide = size[min(k, len(words)) :] - size[: len(h)]
+    return np.unique((h >> np.uint64(8)) | (np.uint64(255) - np.minimum(wide, 255).astype(np.uint64) << np.uint64(56)))
 
 
 def set_id(items: np.ndarray) -> int:
