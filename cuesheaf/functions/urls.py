@@ -40,7 +40,7 @@ def tag_from_url(url: Column) -> Column:
 def tag_list_url(tag: Column, site: str) -> Column:
     """Address of a tag's list page, encoded as a path part."""
     out = F.replace(F.url_encode(tag), F.lit("+"), F.lit("%20"))
-    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         out = F.replace(out, F.lit(code), F.lit(char))
     return F.concat(F.lit(f"{site}/tag/"), out)
 

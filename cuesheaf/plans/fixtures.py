@@ -102,7 +102,7 @@ SQL["media"] = "SELECT c_custkey AS media_id, '/media/' || c_name || '.mp4' AS p
 
 
 def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = media(spark, sf_dir).withColumn("state_mtime", F.explode(F.array(F.lit(1), F.lit(2))).cast("long"))
+    m = media(spark, sf_dir).withColumn("state_mtime", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
     own = F.substring(F.md5(F.concat_ws("_", "path", F.col("size_bytes").cast("string"), F.col("mtime").cast("string")).cast("binary")), 1, 16)
     return m.select(
         "media_id", "path", "state_mtime", F.lit("base").alias("model"),
@@ -227,8 +227,29 @@ SQL["pixels"] = """
     FROM (SELECT *, floor((sample + 0.6) * 212)::INT AS v FROM frames WHERE frame_idx < 63) GROUP BY ALL)
 """
 
+def galleries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the classes that the class mode of the parsers looks for."""
+    html = F.regexp_replace("html", '<li><a href="([^"]*)">([^<]*)</a></li>', '<li><a class="item-link" href="$1"><span class="item-link-text">$2</span></a></li>')
+    html = F.replace(html, F.lit("<p>"), F.lit('<p><img class="lazy post-item-img" data-original="/i/p.jpg">'))
+    html = F.replace(html, F.lit("<nav><ul>"), F.concat(F.lit('<nav><ul><li class="current">'), F.col("page_id").cast("string"), F.lit("</li>")))
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+
+
+SQL["links"] = """
+  SELECT page_id, url, u.i AS index, replace(replace(replace(u.l[2], '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS name, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || u.l[1] AS target
+  FROM (SELECT page_id, url, list_transform(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), lambda x: [regexp_extract(x, 'href="([^"]*)"', 1), regexp_extract(x, '">([^<]*)<', 1)]) AS ls FROM pages), unnest(ls) WITH ORDINALITY AS u(l, i)
+"""
+
+
+def resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of file_list whose .webp exists."""
+    return file_list(spark, sf_dir).filter(F.col("page_id") % 3 == 0).select(F.regexp_replace("path", r"\.[^./]*$", ".webp").alias("path"))
+
+
+SQL["resized"] = "SELECT regexp_replace(path, '\\.[^./]*$', '.webp') AS path FROM file_list WHERE page_id % 3 = 0"
+
 #: Tables that a fixture's SQL reads from.
-NEEDS = {"segments_raw": ["cues"], "run_states": ["media"], "memory": ["cues"], "srt_files": ["cues"], "txt_files": ["cues"], "state_files": ["media", "run_states"], "stored_segments": ["media"], "pixels": ["frames"]}
+NEEDS = {"segments_raw": ["cues"], "run_states": ["media"], "memory": ["cues"], "srt_files": ["cues"], "txt_files": ["cues"], "state_files": ["media", "run_states"], "stored_segments": ["media"], "pixels": ["frames"], "resized": ["file_list"]}
 
 
 def oracle(body: str, *names: str) -> str:
