@@ -10,6 +10,7 @@ from cuesheaf.operators import intervals as I
 from cuesheaf.operators import reports, rules
 
 from . import fixtures as X
+from . import pipelines
 from .base import query
 
 _S = r"regexp_replace({0}, '^[\s\x{{3000}}]+|[\s\x{{3000}}]+$', '', 'g')"
@@ -188,9 +189,7 @@ def merge_adjacent_duplicates(spark, sf_dir):
 
 @query(f"WITH {REASON_CTE}, {MERGED_CTE} SELECT media_id, seq, start_ms, end_ms, text, confidence, '[' || {_clock('abs(start_ms)')} || ' - ' || {_clock('abs(end_ms)')} || '] ' || text AS line FROM merged", "cues")
 def clean_transcript(spark, sf_dir):
-    kept = I.merge_adjacent_duplicates(rules.with_drop_reason(X.cues(spark, sf_dir)).filter("reason IS NULL"))
-    line = F.concat(F.lit("["), times.format_hms(F.abs("start_ms")), F.lit(" - "), times.format_hms(F.abs("end_ms")), F.lit("] "), "text")
-    return kept.select("media_id", "seq", "start_ms", "end_ms", "text", "confidence", line.alias("line"))
+    return pipelines.clean_transcript(X.cues(spark, sf_dir))
 
 
 @query(
