@@ -49,7 +49,7 @@ def mixed(sized: DataFrame, targets: DataFrame, range_rows: int = RANGE_ROWS) ->
     the source is taken in the same order again. The document at the cut gives only the words
     that are missing, so a source's sum is its target rounded down.
     """
-    keyed = sized.withColumn("key", F.md5(F.col("doc_id").cast("string").cast("binary")))
+    keyed = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     counts = keyed.groupBy("source").agg(F.count("*").alias("docs")).select(F.col("source").alias("s"), F.ceil(F.col("docs") / range_rows).alias("ranges"))
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     dealt = keyed.join(targets, keyed["source"].eqNullSafe(targets["source"])).drop(targets["source"])

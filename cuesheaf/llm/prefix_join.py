@@ -202,9 +202,9 @@ def one_of_each(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT) -> Data
     found = sig.select("doc_id", "version", "n", "sid").join(set_components(docs, sig, k, percent), "sid", "left")
     out = found.filter((F.col("n") > 0) & ((F.col("sid") != F.col("first_sid")) | ~F.col("doc_id").eqNullSafe(F.col("component_id"))))
     again = sig.groupBy("doc_id", "version").count().filter("count > 1")
-    key = [F.col("doc_id").alias("o_doc_id"), F.col("version").alias("o_version")]
+    key = [F.col("doc_id").alias("__doc_id"), F.col("version").alias("__version")]
     out, again = stored(out.select(*key).distinct()), stored(again.select(*key))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("o_doc_id")) & (version_of(docs["text"]) == F.col("o_version"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (version_of(docs["text"]) == F.col("__version"))
     kept = docs.join(sized_broadcast(out), same, "left_anti")
     if again.limit(1).count():
         twice = kept.join(sized_broadcast(again), same, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -95,22 +95,27 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, findings
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every found span of text replaced by a mark; columns stay, n_chars follows the text."""
+    """docs with every found span of text replaced by a mark; columns stay, n_chars follows the text.
+
+    Overlapping spans become one mark. Only names that start with two underscores are used beside
+    the columns of docs.
+    """
     spans, _, _ = scan_versions(docs.select(F.col("doc_id").alias("path"), "text"))
-    spans = stored(spans.filter(F.size("spans") > 0).dropDuplicates(["path", "blob"]).select(F.col("path").alias("s_path"), F.col("blob").alias("s_blob"), "spans"))
-    d = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    d = d.join(sized_broadcast(spans), F.col("doc_id").eqNullSafe(F.col("s_path")) & (F.col("_blob") == F.col("s_blob")), "left")
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
+    found = spans.filter(F.size("spans") > 0).dropDuplicates(["path", "blob"])
+    found = stored(found.select(F.col("path").alias("__path"), F.col("blob").alias("__of"), F.col("spans").alias("__spans")))
+    d = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    d = d.join(sized_broadcast(found), F.col("doc_id").eqNullSafe(F.col("__path")) & (F.col("__blob") == F.col("__of")), "left")
+    text = F.col("text")
+    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def step(a, s):
-        gap = F.when(s["start"] >= a["at"], F.concat(F.substring(F.col("text"), a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.concat(a["text"], gap).alias("text"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    kept = F.aggregate("spans", start, step, lambda a: F.concat(a["text"], F.expr("substring(text, 1)").substr(a["at"].cast("int") + 1, F.length("text"))))
-    d = d.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return d.select(*docs.columns)
+        gap = F.concat(F.substr(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit(mark))
+        return F.struct(F.concat(a["done"], F.when(s["start"] >= a["at"], gap).otherwise(F.lit(""))).alias("done"), F.greatest(a["at"], s["end"]).alias("at"))
+
+    kept = F.aggregate("__spans", start, step, lambda a: F.concat(a["done"], F.substr(text, a["at"].cast("int") + 1)))
+    new = F.when(F.col("__spans").isNull(), text).otherwise(kept)
+    columns = {"text": new, "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))} if "n_chars" in docs.columns else {"text": new}
+    return d.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
 
 
 def digest(paths: DataFrame) -> DataFrame:
