@@ -31,7 +31,7 @@ from .common import connected_components, runs, shingles, sized_broadcast, small
 NGRAM = 3
 PERCENT = 90
 BUCKET_ROWS = 3000
-MOST_BITS = 1 << 15
+MOST_BITS = 1 << 10
 
 
 def ngram_set(text: bytes, k: int = NGRAM) -> np.ndarray:
@@ -56,8 +56,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def sketch(items: np.ndarray) -> bytes:
-    """Parity of the set's items over about one bit an item: two sketches differ in no more bits than the sets differ in items."""
-    bits = min(MOST_BITS, max(64, 1 << (len(items) - 1).bit_length()))
+    """Parity of the set's items over about half a bit an item: two sketches differ in no more bits than the sets differ in items."""
+    bits = min(MOST_BITS, max(64, 1 << ((len(items) - 1) // 2).bit_length()))
     parity = (np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity, bitorder="little").tobytes()
 
