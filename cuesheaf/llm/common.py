@@ -221,7 +221,11 @@ def labelled_sample(docs: DataFrame, known: DataFrame, per_class: int) -> tuple[
     known: (doc_id, label). The ids are picked among the labels alone, so only the sample's texts move.
     """
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    order = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    ids = known.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_class).select(F.col("doc_id").alias("k_doc_id"), "label")
+    keyed = known.select(F.col("doc_id").alias("k_doc_id"), "label", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("key"))
+    keyed = keyed.withColumn("part", F.substring("key", -2, 2))
+    for parts in (["label", "part"], ["label"]):  # a label of a third of all rows is first cut in 256 parts
+        order = Window.partitionBy(*parts).orderBy("key", "k_doc_id")
+        keyed = keyed.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_class).drop("at")
+    ids = keyed.select("k_doc_id", "label")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("k_doc_id")).select("doc_id", "label", "text").collect()
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], str(r["label"]), r["text"]))], counts
