@@ -41,7 +41,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcasting if it has at most `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def n_words(text) -> F.Column:
