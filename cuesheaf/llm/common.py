@@ -39,6 +39,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """A stored copy of df with a number of its own for each row."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcasting if it has at most `rows` rows."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -11,6 +11,9 @@ mean difference of its words' losses, target minus background (lower: closer to
 Defined cases: null, empty and wordless texts have no loss (null) and 0 words; without target or
 background documents that model is uniform; repeated rows count as documents of their own; an empty
 table gives no rows; other columns are ignored.
+
+The shares are the rule of the query and its SQL. whole_difference keeps words and bigrams by a fixed
+small count instead: its models grow with the corpus, stay Spark tables and are never collected.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, small_batches, stored, utf8
+from .common import numbered, sized_broadcast, small_batches, stored, utf8, word_hashes
 
 #: Words rarer than one in VOCABULARY are unknown; bigrams rarer than one in BIGRAMS have no rate of their own.
 VOCABULARY = 20_000
@@ -32,6 +35,10 @@ MIX = 0.7
 #: Added to every word's count.
 ADD = 0.5
 MOST_COUNTED = 800_000
+#: Occurrences in all texts from which whole_difference knows a word or a bigram.
+LEAST = 2
+#: Ids of the unknown word and of a text's start; words have the other 64-bit hashes.
+UNKNOWN, START = 0, 1
 
 
 def flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -168,6 +175,71 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int
     return score(d, fit(d, vocabulary, bigrams))
 
 
+def text_pairs(docs: DataFrame) -> DataFrame:
+    """(row, is_target, prev, cur, n): how often each text of docs (row, is_target, text) has each pair of word ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            for r, is_target, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
+                ids = np.maximum(word_hashes(t.split()), np.uint64(START + 1)).view(np.int64)
+                if not len(ids):
+                    continue
+                pairs, n = np.unique(np.stack([np.concatenate([[START], ids[:-1]]), ids], 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([r] * len(n), pa.int64()), pa.array([is_target] * len(n), pa.bool_()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n, pa.int64())], ["row", "is_target", "prev", "cur", "n"])
+
+    return docs.select("row", "is_target", "text").mapInArrow(run, "row long, is_target boolean, prev long, cur long, n long")
+
+
+def pair_losses(pairs: DataFrame, starts: tuple[int, int], least: int) -> DataFrame:
+    """(prev, cur, lt, lb): losses of every pair of the stored pairs (prev, cur, t, b) under the two models."""
+    words = stored(pairs.groupBy(F.col("cur").alias("word")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
+    known = stored(words.filter(F.col("t") + F.col("b") >= least))
+    zero = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "b")]
+    total, of_known, size = words.agg(*zero).first(), known.agg(*zero).first(), known.count() + 1
+    side = sized_broadcast(known)
+
+    def named(column: str) -> DataFrame:
+        return side.select(F.col("word").alias(f"w_{column}"), F.col("t").alias(f"{column}_t"), F.col("b").alias(f"{column}_b"))
+
+    mapped = pairs.join(named("cur"), F.col("cur") == F.col("w_cur"), "left").join(named("prev"), F.col("prev") == F.col("w_prev"), "left")
+    unknown = {c: total[c] - of_known[c] for c in ("t", "b")}
+    begins = dict(zip(("t", "b"), starts, strict=True))
+    mapped = mapped.select(
+        "prev", "cur", "t", "b", F.coalesce("w_cur", F.lit(UNKNOWN)).alias("c"), F.when(F.col("prev") == START, F.lit(START)).otherwise(F.coalesce("w_prev", F.lit(UNKNOWN))).alias("p"),
+        *(F.coalesce(f"cur_{c}", F.lit(unknown[c])).alias(f"cur_{c}") for c in ("t", "b")),
+        *(F.when(F.col("prev") == START, F.lit(begins[c])).otherwise(F.coalesce(f"prev_{c}", F.lit(unknown[c]))).alias(f"prev_{c}") for c in ("t", "b")),
+    )
+    mapped = stored(mapped)
+    bigrams = stored(mapped.groupBy(F.col("p").alias("b_p"), F.col("c").alias("b_c")).agg(F.sum("t").alias("pair_t"), F.sum("b").alias("pair_b")).filter(F.col("pair_t") + F.col("pair_b") >= least))
+    both = mapped.join(sized_broadcast(bigrams), (F.col("p") == F.col("b_p")) & (F.col("c") == F.col("b_c")), "left")
+
+    def loss(c: str) -> F.Column:
+        rate = (F.col(f"cur_{c}") + ADD) / (total[c] + ADD * size)
+        return -F.ln((1 - MIX) * rate + MIX * F.coalesce(f"pair_{c}", F.lit(0)) / F.greatest(F.col(f"prev_{c}"), F.lit(1)))
+
+    return both.select("prev", "cur", loss("t").alias("lt"), loss("b").alias("lb"))
+
+
+def whole_difference(docs: DataFrame, target: DataFrame, least: int = LEAST) -> DataFrame:
+    """The columns of cross_entropy_difference, by models of all words and bigrams that occur `least` times or more.
+
+    A text's pairs are added up first and meet the losses of all different pairs in one join.
+    """
+    d = numbered(flagged(docs, target), "row")
+    own = stored(text_pairs(d))
+    pairs = stored(own.groupBy("prev", "cur").agg(F.sum(F.when(F.col("is_target"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("is_target"), 0).otherwise(F.col("n"))).alias("b")))
+    begun = pairs.filter(F.col("prev") == START).agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    losses = pair_losses(pairs, (begun[0], begun[1]), least).withColumnsRenamed({"prev": "l_prev", "cur": "l_cur"})
+    met = own.join(losses, (F.col("prev") == F.col("l_prev")) & (F.col("cur") == F.col("l_cur")))
+    n = F.sum("n")
+    scores = met.groupBy(F.col("row").alias("s_row")).agg(
+        n.alias("n_words"), F.round(F.sum(F.col("n") * F.col("lt")) / n, 6).alias("ce_target"), F.round(F.sum(F.col("n") * F.col("lb")) / n, 6).alias("ce_background"),
+        F.round(F.sum(F.col("n") * (F.col("lt") - F.col("lb"))) / n, 6).alias("ce_difference"),
+    )
+    out = d.select("doc_id", "row").join(scores, F.col("row") == F.col("s_row"), "left")
+    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), "ce_target", "ce_background", "ce_difference")
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS tgt, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 tok AS (SELECT r, tgt, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
