@@ -10,19 +10,24 @@ clusters: the first paragraph by (doc_id, place) stays, the others are removed.
 Defined cases: null and empty texts have no paragraph; repeated rows of a document repeat its
 paragraphs, and rows of the same doc_id and place get the same verdict; an empty table gives no
 rows; other columns are ignored.
+
+repeated_passages finds what stands below or across lines: every run of PASSAGE words that occurs
+twice, whatever the line breaks. Unspaced scripts count a character as a word there.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, mixed, shingles, sized_broadcast, small_batches, stored, utf8, verified_links, word_hashes
+from .common import connected_components, mixed, numbered, shingles, sized_broadcast, small_batches, stored, utf8, verified_links, word_hashes
+from .decontaminate import windows
 
 SHINGLE = 5
 PERCENT = 80
@@ -30,6 +35,10 @@ MIN_WORDS = 25
 BANDS, ROWS = 8, 2
 #: ASCII characters other than letters and digits end a word.
 _BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+#: Words of a repeated passage, and of the windows among which its anchors are chosen.
+PASSAGE, ANCHOR = 50, 25
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(f"[{_UNSPACED}]|[^\\x00-/:-@\\[-`{{-\\x7f{_UNSPACED}]+")
 _SEEDS = np.random.default_rng(3).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -137,6 +146,73 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: in
     )
 
 
+def passage_words(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text, ASCII letters lower-cased; line breaks are gaps like any other."""
+    return word_hashes([w.encode().lower() for w in _WORDS.findall(text or "")])
+
+
+def anchor_windows(h: np.ndarray, words: int) -> np.ndarray:
+    """The value of each window of half a passage; those that are least among the windows of a passage are its anchor."""
+    return mixed(windows(h, min(ANCHOR, words)))
+
+
+def anchors(values: np.ndarray, words: int) -> np.ndarray:
+    """Distinct anchors of a text; equal passages of `words` words have the same one."""
+    n = words - min(ANCHOR, words) + 1
+    return np.unique(np.lib.stride_tricks.sliding_window_view(values, n).min(1)) if len(values) >= n else values[:0]
+
+
+def passage_windows(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """(row, doc_id, at, window) of the windows of `words` words around an anchor that occurs twice, from docs (row, doc_id, text).
+
+    Windows that occur once only are among them; none that occurs twice is missing.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                values = anchor_windows(passage_words(t), words)
+                found = anchors(values, words)
+                if len(found):
+                    ordered = np.sort(values)
+                    times = np.searchsorted(ordered, found, side="right") - np.searchsorted(ordered, found)
+                    yield pa.RecordBatch.from_arrays([pa.array([r] * len(found), pa.int64()), pa.array(found.view(np.int64)), pa.array(times, pa.int64())], ["row", "anchor", "times"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            for r, d, t, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = passage_words(t)
+                near = np.flatnonzero(np.isin(anchor_windows(h, words), np.array(wanted, np.int64).view(np.uint64)))
+                whole = windows(h, words).view(np.int64)
+                reach = np.zeros(len(whole) + 1, np.int64)
+                np.add.at(reach, np.maximum(near - words + min(ANCHOR, words), 0), 1)
+                np.add.at(reach, np.minimum(near + 1, len(whole)), -1)
+                at = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([r] * len(at), pa.int64()), pa.array([d] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(whole[at])], ["row", "doc_id", "at", "window"])
+
+    chosen = stored(docs.select("row", "text").mapInArrow(choose, "row long, anchor long, times long"))
+    shared = stored(chosen.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select(F.col("anchor").alias("s_anchor")))
+    wanted = stored(chosen.join(sized_broadcast(shared), F.col("anchor") == F.col("s_anchor")).groupBy(F.col("row").alias("w_row")).agg(F.collect_list("anchor").alias("wanted")))
+    texts = docs.join(sized_broadcast(wanted), F.col("row") == F.col("w_row")).select("row", "doc_id", "text", "wanted")
+    return texts.mapInArrow(cut, "row long, doc_id long, at long, window long")
+
+
+def repeated_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """(doc_id, first_word, n_words, removed) of the maximal runs of words whose windows of `words` words all occur twice or more.
+
+    Of each window the occurrence first by (doc_id, place) stays, the others are removed; words
+    count from 0 over the whole text. Rows and shuffles grow with the repeated text, not with its pairs.
+    """
+    d = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
+    found = stored(passage_windows(d, words))
+    here = F.struct("doc_id", "at", "row")
+    sizes = stored(found.groupBy(F.col("window").alias("s_window")).agg(F.count("*").alias("copies"), F.min(here).alias("first")).filter("copies > 1"))
+    marked = found.join(sized_broadcast(sizes), F.col("window") == F.col("s_window")).select("row", "doc_id", "at", (here != F.col("first")).alias("removed"))
+    run = F.col("at") - F.row_number().over(Window.partitionBy("row", "removed").orderBy("at"))
+    runs = marked.withColumn("run", run).groupBy("row", "doc_id", "removed", "run").agg(F.min("at").alias("first_word"), F.count("*").alias("windows"))
+    return runs.select("doc_id", "first_word", (F.col("windows") + words - 1).alias("n_words"), "removed")
+
+
 SQL = r"""
 WITH RECURSIVE lines AS (SELECT doc_id, t.line, t.place - 1 AS place FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS t(line, place)),
 w AS (SELECT doc_id, place, regexp_extract_all(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+') AS w FROM lines),

@@ -1,6 +1,7 @@
 """Prefix join, paragraph dedup and components against brute force and SQL."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -113,6 +114,59 @@ def test_paragraphs_odd_documents(spark):
     assert out == [(6, 6, 3, False), (6, 6, 3, False), (7, 6, 3, True)]
 
 
+def naive_passages(docs, split, words=50):
+    """Runs of windows that occur twice, by comparing all windows."""
+    texts = [(d, i, split(t or "")) for i, (d, t) in enumerate(docs)]
+    places = {}
+    for d, i, w in texts:
+        for at in range(len(w) - words + 1):
+            places.setdefault(tuple(w[at : at + words]), []).append((d, at, i))
+    flags = {}
+    for found in places.values():
+        if len(found) > 1:
+            for d, at, i in found:
+                flags[i, d, at] = (d, at, i) != min(found)
+    out = []
+    for (i, d, at), removed in flags.items():
+        if flags.get((i, d, at - 1)) != removed:
+            n = next(n for n in range(1, len(flags) + 1) if flags.get((i, d, at + n)) != removed)
+            out.append((d, at, n + words - 1, removed))
+    return sorted(out, key=repr)
+
+
+def test_passages_ignore_lines(spark):
+    rng = random.Random(5)
+
+    def other(n):
+        return [f"o{rng.randrange(10**9)}" for _ in range(n)]
+
+    p, q = other(55), other(50)
+    han = "".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(60))
+    docs = [
+        (7, " ".join([*other(150), *p, *other(150)])), (3, " ".join([*other(90), *p, *other(80)]).upper()),  # inside longer lines
+        (4, "\n".join(" ".join(q[i : i + 10]) for i in range(0, 50, 10)) + "\n" + " ".join(other(30))), (5, " ".join([*other(30), *q])),  # over short lines
+        (6, " ".join(other(9)) + " " + han), (8, han + "字 " + " ".join(other(9))),  # without spaces
+        (9, " ".join([*p[:49], *other(60)])), (10, " ".join(["again", "and"] * 60)), (11, None), (12, ""), (4, "short"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert not {3, 4, 5, 6, 7, 8} & {r["doc_id"] for r in paragraph_dedup.repeated_paragraphs(df).collect()}
+    out = rows(paragraph_dedup.repeated_passages(df), "doc_id", "first_word", "n_words", "removed")
+    assert out == naive_passages(docs, lambda t: re.findall("[\u4e00-\u9fff]|[a-z0-9]+", t.lower()))
+    assert {(7, 150, 55, True), (3, 90, 55, False), (5, 30, 50, True), (8, 0, 60, True)} <= set(out) and 9 not in {r[0] for r in out}
+
+
+def test_passages_equal_brute_force_on_documents(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    out = rows(paragraph_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "first_word", "n_words", "removed")
+    assert out == naive_passages(docs, lambda t: [w.encode().lower() for w in paragraph_dedup._WORDS.findall(t)]) and len(out) > 10
+
+
+def test_passages_odd_documents(spark):
+    out = rows(paragraph_dedup.repeated_passages(odd_documents(spark)), "doc_id", "first_word", "n_words", "removed")
+    assert (7, 0, 90, True) in out and not {0, 1, 2, 3, 4, 8} & {r[0] for r in out}
+    assert paragraph_dedup.repeated_passages(empty_documents(spark)).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_connected_components(spark, seed):
     rng = random.Random(seed)
