@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from cuesheaf.llm import common, paragraph_dedup, prefix_join, queries
 
 from ..conftest import SMALL
@@ -87,6 +88,16 @@ def test_one_of_each(spark):
     assert prefix_join.one_of_each(empty_documents(spark)).count() == 0
 
 
+def test_near_duplicate_stage_equals_brute_force(spark):
+    docs = [(i, t) for i, t in family(1)]
+    base = [f"b{i}" for i in range(50)]
+    docs += [(200, " ".join(base)), (201, " ".join([*base[:25], "other", *base[26:]]))]  # 0.81 of the 5-grams, 0.88 of the 3-grams
+    sets = {i: shingle_set(t, 5) for i, t in docs}
+    expected = smallest_reachable(list(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), SMALL)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values())) and expected[201] == 200
+
+
 @pytest.mark.parametrize("name", ["op4_paragraph_minhash", "op8_prefix_join"])
 def test_query_equals_sql(name, spark, same):
     same(queries.QUERIES[name](spark, SMALL), queries.ORACLES[name])
