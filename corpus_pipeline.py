@@ -1,7 +1,8 @@
 """A corpus pipeline: quality, near duplicates, benchmark leaks, secrets, mixture.
 
 Each stage takes (spark, docs, sf_dir) and all that the one before kept; all but the last return
-the columns of documents. Words of the mixture's repeated passes are counted, not copied.
+the columns of documents. The last one returns the mixture itself, a row for each epoch that takes a
+document; the query sums it up to the words taken of each document.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mixture takes of each document."""
-    return mixing.mix(docs)
+    """The rows of the mixture, with epoch and taken."""
+    return mixing.mixture(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("secrets", secrets), ("mixture", mixture)]
@@ -43,10 +44,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = common.stored(docs)
-    return docs
+    """Words that the mixture takes of each document that the stages before it keep."""
+    kept = docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        kept, docs = docs, common.stored(stage(spark, docs, sf_dir))
+    return mixing.digest(kept, docs)

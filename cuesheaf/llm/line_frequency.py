@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP
+from .common import GAP, numbered, sized_broadcast, stored
 
 MAX_DOCS = 20
 DEPLETED_PERCENT = 50
@@ -109,6 +109,27 @@ def line_frequency(docs: DataFrame, max_docs: int = MAX_DOCS, depleted_percent:
     )
 
 
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """docs without the lines that line_frequency counts as removed; columns and rows stay, n_chars follows the text.
+
+    Only names that start with two underscores are used beside the columns of docs.
+    """
+    d = numbered(docs, "__row")
+    frequent = stored(frequent_lines(d, max_docs).select(F.col("host").alias("__host"), F.col("line").alias("__line")))
+    lines = F.split("text", "\n", -1)
+    parts = F.transform(lines, lambda x, i: F.struct(i.alias("at"), normalised(x).alias("norm")))
+    parts = F.transform(F.filter(parts, lambda x: x["norm"] != ""), lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["norm"]).alias("line")))
+    exploded = d.select(F.col("__row").alias("__of"), F.col("source").alias("__source"), F.explode(parts).alias("__p"))
+    hit = exploded.join(sized_broadcast(frequent), (F.col("__p.line") == F.col("__line")) & F.col("__source").eqNullSafe(F.col("__host")))
+    gone = stored(hit.groupBy("__of").agg(F.collect_set("__p.at").alias("__gone")))
+    out = d.join(sized_broadcast(gone), F.col("__row") == F.col("__of"), "left")
+    hit = F.col("__gone").isNotNull()
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    text = F.when(hit, left).otherwise(F.col("text"))
+    columns = {"text": text} | ({"n_chars": F.when(hit, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return out.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import n_words, numbered, sized_broadcast, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -42,12 +42,12 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, percen
     return t.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(open_level * F.col("weight")).alias("target"))
 
 
-def mixed(sized: DataFrame, targets: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Words taken from each row of sized (doc_id, source, size), by the targets of the sources.
+def passes(sized: DataFrame, targets: DataFrame, range_rows: int = RANGE_ROWS, epochs: int = MOST_EPOCHS) -> DataFrame:
+    """sized (doc_id, source, size, ...) with source_size, target and passes: the words taken from each row in each epoch.
 
     The first pass takes documents in key order until the budget; the part of the target beyond
-    the source is taken in the same order again. The document at the cut gives only the words
-    that are missing, so a source's sum is its target rounded down.
+    the source is taken in the same order again, up to `epochs` times. The document at the cut
+    gives only the words that are missing, so a source's sum is its target rounded down.
     """
     keyed = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     counts = keyed.groupBy("source").agg(F.count("*").alias("docs")).select(F.col("source").alias("s"), F.ceil(F.col("docs") / range_rows).alias("ranges"))
@@ -66,14 +66,54 @@ def mixed(sized: DataFrame, targets: DataFrame, range_rows: int = RANGE_ROWS) ->
         return F.least(F.col("size"), F.greatest(F.lit(0), budget - start))
 
     budget = F.floor("target").cast("long")
-    return dealt.select("doc_id", "source", "size", "source_size", "target", (cut(budget) + cut(budget - F.col("source_size"))).alias("taken"))
+    cuts = F.array(*(cut(budget - e * F.col("source_size")) for e in range(epochs)))
+    return dealt.select(*sized.columns, "source_size", "target", cuts.alias("passes"))
+
+
+def mixed(sized: DataFrame, targets: DataFrame, range_rows: int = RANGE_ROWS, epochs: int = MOST_EPOCHS) -> DataFrame:
+    """Words taken from each row of sized (doc_id, source, size), by the targets of the sources."""
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return passes(sized, targets, range_rows, epochs).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, epochs: int = MOST_EPOCHS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row of docs (doc_id, text, source)."""
     sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return mixed(sized, source_targets(totals, weights, percent, epochs))
+    return mixed(sized, source_targets(totals, weights, percent, epochs), epochs=epochs)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, gaps as they are."""
+    pieces = F.split(text, "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])", -1)
+    return F.array_join(F.slice(pieces, 1, n.cast("int")), "")
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, epochs: int = MOST_EPOCHS) -> DataFrame:
+    """The mixture itself: a row of docs (doc_id, text, source, ...) for each epoch that takes it, with epoch (from 1) and taken.
+
+    The text at a budget's end is cut to its first `taken` words; n_chars follows the text. Documents
+    of which nothing is taken are left out. Only names that start with two underscores are used beside
+    the columns of docs.
+    """
+    d = numbered(docs, "__row")
+    sized = stored(d.select("__row", "doc_id", "source", n_words(F.col("text")).alias("size")))
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, epochs)
+    rows = passes(sized, targets, epochs=epochs).select(F.col("__row").alias("__of"), F.col("size").alias("__size"), F.posexplode("passes").alias("__epoch", "__taken")).filter("__taken > 0")
+    out = d.join(sized_broadcast(stored(rows)), F.col("__row") == F.col("__of"))
+    cut = F.col("__taken") < F.col("__size")
+    text = F.when(cut, first_words(F.col("text"), F.col("__taken"))).otherwise(F.col("text"))
+    columns = {"text": text} | ({"n_chars": F.when(cut, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return out.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns), (F.col("__epoch") + 1).alias("epoch"), F.col("__taken").alias("taken"))
+
+
+def digest(docs: DataFrame, mixture: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, epochs: int = MOST_EPOCHS) -> DataFrame:
+    """The columns of mix, from docs and their mixture by summing; rows of docs of equal doc_id and source count as one."""
+    sized = stored(docs.groupBy("doc_id", "source").agg(F.sum(n_words(F.col("text"))).alias("size")))
+    totals = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, epochs).withColumnRenamed("source", "t_source")
+    took = mixture.groupBy(F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source")).agg(F.sum("taken").alias("taken"))
+    out = sized.join(totals, F.col("source").eqNullSafe(F.col("t_source"))).join(took, F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & F.col("source").eqNullSafe(F.col("m_source")), "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 SQL = r"""

@@ -241,6 +241,48 @@ def test_mixture(spark, seed):
         assert all(0 <= r["taken"] <= 2 * r["size"] for r in own)
 
 
+@pytest.mark.parametrize("epochs", [2, 3])
+def test_mixture_rows(spark, epochs):
+    rng = random.Random(epochs)
+    docs = [(i, "\n ".join(f"{i}.{k}" for k in range(rng.randrange(20))) + " ", "abc"[(i % 20 > 0) + (i % 20 > 12)], i) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long")
+    whole, out = {d: t for d, t, _, _ in docs}, mixing.mixture(df, percent=100, epochs=epochs)
+    assert out.columns == [*df.columns, "epoch", "taken"]
+    for r in out.collect():
+        words = whole[r["doc_id"]].split()
+        assert 0 < r["taken"] <= len(words) and r["text"].split() == words[: r["taken"]] and whole[r["doc_id"]].startswith(r["text"])
+        assert r["text"] == whole[r["doc_id"]] if r["taken"] == len(words) else r["n_chars"] == len(r["text"])
+        assert 1 <= r["epoch"] <= epochs
+    rest = mixing.mix(df, percent=100, epochs=epochs)
+    assert rows(mixing.digest(df, out, percent=100, epochs=epochs), *rest.columns) == rows(rest, *rest.columns)
+    taken, targets = {}, {r["source"]: r["target"] for r in rest.collect()}
+    for r in out.collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert all(int(targets[s]) == taken[s] for s in targets) and max(r["epoch"] for r in out.collect()) == epochs
+    assert 0 < rest.filter("taken = 0 AND size > 0").count() == rest.filter("size > 0").count() - out.select("doc_id").distinct().count()
+
+
+def test_mixture_rows_of_odd_documents(spark):
+    docs = odd_documents(spark)
+    out = mixing.mixture(docs)
+    assert sum(r["taken"] for r in out.collect()) == sum(r["taken"] for r in mixing.mix(docs).collect())
+    assert all(len(r["text"].split()) == r["taken"] for r in out.collect())
+    assert mixing.mixture(empty_documents(spark)).count() == 0
+
+
+def test_cleaned_texts_lack_the_counted_lines(spark):
+    common = "This Line, stands  everywhere it can stand."
+    docs = [(i, "\n".join(["", common, f"own {i}", f"  {common.upper()}!", ""]), None if i % 2 else "h", 7) for i in range(60)] + [(100, common, "other", 7), (101, None, "h", 7), (102, common, "h", 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long")
+    out = {r["doc_id"]: r for r in line_frequency.cleaned(df).collect()}
+    assert all(out[i]["text"] == f"\nown {i}\n" and out[i]["n_chars"] == len(out[i]["text"]) for i in range(60))
+    assert (out[100]["text"], out[100]["n_chars"], out[101]["text"], out[102]["text"]) == (common, 7, None, "")
+    lost = {r["doc_id"]: r["n_words"] - r["removed_words"] for r in line_frequency.line_frequency(df).collect()}
+    assert {d: len((r["text"] or "").split()) for d, r in out.items()} == lost
+    odd = odd_documents(spark)
+    assert line_frequency.cleaned(odd).columns == odd.columns and line_frequency.cleaned(odd).count() == odd.count()
+
+
 def test_mixture_odd_documents(spark):
     docs = odd_documents(spark)
     assert mixing.mix(docs).count() == docs.count()
