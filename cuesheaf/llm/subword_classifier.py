@@ -37,8 +37,8 @@ THRESHOLD = 0.3
 
 def features(word: bytes) -> list[int]:
     """Buckets of a word and of its character n-grams, with < and > at its ends."""
-    s = b"<" + word[:64] + b">"
-    parts = [b"\0" + word, *(s[i : i + n] for n in NGRAMS for i in range(len(s) - n + 1))]
+    s = b"<" + word + b">"
+    parts = chain([b"\0" + word], (s[i : i + n] for n in NGRAMS for i in range(len(s) - n + 1)))
     return [xxhash.xxh32_intdigest(p) % BUCKETS for p in parts]
 
 

@@ -43,9 +43,9 @@ def normal(text: bytes) -> list[bytes]:
 
 def char_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the character 3-grams of all words, one word after the other, and how many each word has."""
-    cut = [w[:48] or b">" for w in words]
-    c = np.frombuffer(b"<" + b"><".join(cut) + b">", np.uint8).astype(np.uint32)
-    size = np.fromiter(map(len, cut), np.int64, len(cut))
+    whole = [w or b">" for w in words]
+    c = np.frombuffer(b"<" + b"><".join(whole) + b">", np.uint8).astype(np.uint32)
+    size = np.fromiter(map(len, whole), np.int64, len(whole))
     h = (c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA6B) ^ c[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
     inside = np.ones(len(h) + 2, bool)
     ends = np.cumsum(size + 2)
@@ -53,6 +53,17 @@ def char_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint32(32 - CHAR_BITS))[inside[: len(h)]].astype(np.int64), size
 
 
+def char_means(table: np.ndarray, words: list[bytes], step: int = 1 << 20) -> np.ndarray:
+    """Mean of the table's rows at each word's slots; at most `step` rows are held at a time, however long a word is."""
+    slots, size = char_slots(words)
+    first = np.cumsum(size) - size
+    out = np.zeros((len(words), table.shape[1]), table.dtype)
+    for lo in range(0, len(slots), step):
+        a, b = np.searchsorted(first, lo, side="right") - 1, np.searchsorted(first, lo + step)
+        out[a:b] += np.add.reduceat(table[slots[lo : lo + step]], np.maximum(first[a:b] - lo, 0))
+    return out / size[:, None]
+
+
 def windows(n: int) -> list[int]:
     """Starts of the windows of a text of n words; the last one ends with the text."""
     if n <= WINDOW:
@@ -82,8 +93,7 @@ class Net:
         self.ready = False
 
     def vectors(self, words: list[bytes]) -> np.ndarray:
-        slots, size = char_slots(words)
-        chars = np.add.reduceat(self.w["char"][slots], np.cumsum(size) - size) / size[:, None]
+        chars = char_means(self.w["char"], words)
         return np.concatenate([self.w["word"][[self.words.get(w, 0) for w in words]], chars], 1, dtype=np.float32)
 
     def one_way(self, x: np.ndarray, mask: np.ndarray | None, side: str, keep: bool) -> tuple[np.ndarray, list]:

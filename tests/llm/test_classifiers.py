@@ -104,6 +104,17 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.allclose(whole, alone, atol=1e-4) and whole[0] == 0 and whole[2] > 0.5 > whole[1]
 
 
+def test_character_ngrams_reach_the_end_of_a_long_word():
+    long = b"x" * 200
+    assert toxicity.char_slots([long + b"bad", b"", b"bad"])[1].tolist() == [203, 1, 3]
+    assert toxicity.char_slots([long + b"bad"])[0][-2:].tolist() == toxicity.char_slots([b"xbad"])[0][-2:].tolist()
+    assert subword_classifier.features(long + b"bad")[-3:] == subword_classifier.features(b"xbad")[-3:] and len(subword_classifier.features(long)) == 201
+    table = np.random.default_rng(0).random((toxicity.CHAR_SLOTS, 3))
+    words = [long, b"a", b"", b"some", b"y" * 77 + long, b"z"]
+    expected = [table[toxicity.char_slots([w])[0]].mean(0) for w in words]
+    assert all(np.allclose(toxicity.char_means(table, words, step), expected) for step in (1 << 20, 1, 7, 100))
+
+
 def test_classifiers_bear_odd_documents(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
