@@ -1,259 +1,344 @@
 """LM scoring by cross-entropy difference of two n-gram models.
 
-Target documents (by label) and all others give two bigram models that share one vocabulary, one
-smoothing and one set of bigrams. Word and bigram counts come from every document: each task counts
-its own texts and a shuffle adds the counts up. Words under VOCABULARY of all words become one
-unknown word, bigrams under BIGRAMS of all pairs fall back to the word's own rate; as these are shares, at
-most 1/VOCABULARY words and 1/BIGRAMS bigrams remain at any size, so that the models can be broadcast.
-A word's loss is -ln(MIX * bigram rate + (1 - MIX) * smoothed word rate); a document's score is the
-mean difference of its words' losses, target minus background (lower: closer to the target).
+Target documents (by label) and all others give two models that share one vocabulary: a word model
+and a bigram model each, with pseudo-counts in proportion to the words of their side, so that a word of
+equal rate on both sides has no difference. A token's loss is MIX times its bigram loss plus 1 - MIX
+times its word loss; the end of a text is a token too. A document's score is the mean of its
+tokens' loss differences, target minus background (lower: closer to the target).
+
+Every word and bigram of every document is counted. Words that occur once in all texts form one
+unknown word; bigrams that occur once count as not seen: they tell of no other text. This limit (LEAST)
+is a count, the same at every size, so the models grow with the corpus. They are Spark tables:
+
+1. each task counts its own words and bigrams, packs the counts by bucket of the hash and sends one row
+   a bucket; a bucket's counts are added up and stored (counted);
+2. features that hold at least one in HOT of all occurrences, so at most HOT of them, are broadcast; all others of a
+   text go to their bucket, packed by block of texts, and meet the bucket's counts there (partial_sums),
+   so no key has more than one in HOT of the rows and no model is held whole anywhere;
+3. the partial sums of a block come together by block and give its documents' scores.
 
 Defined cases: null, empty and wordless texts have no loss (null) and 0 words; without target or
-background documents that model is uniform; repeated rows count as documents of their own; an empty
-table gives no rows; other columns are ignored.
-
-The shares are the rule of the query and its SQL. whole_difference keeps words and bigrams by a fixed
-small count instead: its models grow with the corpus, stay Spark tables and are never collected.
+background documents that model is uniform; repeated rows, and rows of one doc_id with other texts, are
+documents of their own and counted as such; a very long text is a block of its own; equal scores are no
+tie to break, as no order is made; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, sized_broadcast, small_batches, stored, utf8, word_hashes
+from .common import mixed, sized_broadcast, small_batches, stored, utf8, word_hashes
 
-#: Words rarer than one in VOCABULARY are unknown; bigrams rarer than one in BIGRAMS have no rate of their own.
-VOCABULARY = 20_000
-BIGRAMS = 500_000
+#: Share of the bigram loss.
 MIX = 0.7
-#: Added to every word's count.
-ADD = 0.5
-MOST_COUNTED = 800_000
-#: Occurrences in all texts from which whole_difference knows a word or a bigram.
+#: Pseudo-count of a word and of a bigram, on a side that has half of all tokens.
+WORD_ADD, PAIR_ADD = 0.5, 0.05
+#: Occurrences in all texts from which a word or a bigram is known.
 LEAST = 2
-#: Ids of the unknown word and of a text's start; words have the other 64-bit hashes.
-UNKNOWN, START = 0, 1
+#: Features of at least one in HOT of all occurrences are broadcast.
+HOT = 1 << 20
+#: Bytes of text whose features one bucket holds, about, and that one block of texts holds.
+BUCKET_BYTES, BLOCK_BYTES = 32_000_000, 8_000_000
+#: Stand for a text's start and end.
+_START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_COUNTED = "bucket int, high binary, low binary, t binary, b binary, words long, words_t long, words_b long, known_t long, known_b long, pairs_t long, pairs_b long"
+_SENT = "bucket int, kind int, block long, high binary, low binary, t binary, b binary"
+_SUMS = "block long, doc_ids array<long>, n_words array<long>, places binary, t binary, b binary"
 
 
 def flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, text, is_target): whether target (doc_id) has the document."""
-    ids = target.select(F.col("doc_id").alias("t_doc_id")).distinct()
+    """(doc_id, text, is_target): whether target (doc_id) has the document. Beyond the size of a broadcast the texts are stored."""
+    ids = stored(target.select(F.col("doc_id").alias("t_doc_id")).distinct())
+    small = sized_broadcast(ids)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return marked.join(sized_broadcast(stored(ids)), F.col("doc_id") == F.col("t_doc_id"), "left").select("doc_id", "text", F.col("t_doc_id").isNotNull().alias("is_target"))
+    marked = marked.join(small, F.col("doc_id") == F.col("t_doc_id"), "left").select("doc_id", "text", F.col("t_doc_id").isNotNull().alias("is_target"))
+    return marked if small is not ids else stored(marked)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, t, b): occurrences in target and other documents."""
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes (even) and bigram hashes (odd) of all texts, and how many words and bigrams each text has."""
+    split = [t.split() for t in texts]
+    n = np.fromiter(map(len, split), np.int64, len(split))
+    h = word_hashes(list(chain.from_iterable(split)))
+    full = n > 0
+    whole = np.empty(len(h) + 2 * int(full.sum()), np.uint64)
+    ends = np.cumsum(n[full] + 2) - 1
+    starts = ends - n[full] - 1
+    inside = np.ones(len(whole), bool)
+    inside[starts] = inside[ends] = False
+    whole[inside], whole[starts], whole[ends] = h, _START, _END
+    follows = np.ones(max(len(whole) - 1, 0), bool)
+    follows[ends[:-1]] = False
+    pairs = mixed(whole[:-1] * _LEFT + whole[1:] * _RIGHT)[follows] if len(whole) else whole
+    return mixed(h) & ~np.uint64(1), pairs | np.uint64(1), n, n + full
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter(), Counter()]
 
-        def flush():
-            words = list(counts[0].keys() | counts[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], ["word", "t", "b"])
-            for c in counts:
-                c.clear()
-            return out
-
-        for b in small_batches(batches):
-            for t, is_target in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
-                counts[0 if is_target else 1].update(t.split())
-            if len(counts[0]) + len(counts[1]) > MOST_COUNTED:
-                yield flush()
-        yield flush()
+def packed(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """48 bits of each hash, the lowest among them, which tells words from bigrams; buckets hold some of the rest."""
+    return (hashes >> np.uint64(32)).astype(np.uint32).tobytes(), (hashes & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
-    return docs.select("text", "is_target").mapInArrow(run, "word binary, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
+def unpacked(high: bytes, low: bytes) -> np.ndarray:
+    return (np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(16)) | np.frombuffer(low, np.uint16)
 
-def bigram_counts(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
-    """(pair, t, b): occurrences of word pairs; a pair is place * size + place, and a text starts after the word of place 1."""
-    size = len(words) + 2
-    sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
+def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order that brings the hashes together by bucket, their order kept, and where each bucket ends."""
+    bucket = ((hashes >> np.uint64(8)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.cumsum(np.bincount(bucket, minlength=buckets))
 
-        def flush():
-            parts = [np.unique(np.concatenate(h) if h else np.zeros(0, np.int64), return_counts=True) for h in held]
-            for h in held:
-                h.clear()
-            for k, (pairs, n) in enumerate(parts):
-                zero = np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n if k == 0 else zero), pa.array(zero if k == 0 else n)], ["pair", "t", "b"])
-
-        total = 0
-        for b in small_batches(batches):
-            for t, is_target in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
-                ids = places(t.split(), sent.value)
-                if len(ids):
-                    held[0 if is_target else 1].append(np.concatenate([[1], ids[:-1]]) * size + ids)
-                    total += len(ids)
-            if total > 8_000_000:
-                yield from flush()
-                total = 0
-        yield from flush()
-
-    return docs.select("text", "is_target").mapInArrow(run, "pair long, t long, b long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def places(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
-
-
-class Models:
-    """Both models over one vocabulary: loss differences of pairs of places."""
-
-    def __init__(self, words: list[tuple[bytes, int, int]], total: tuple[int, int], docs: tuple[int, int], pairs: np.ndarray, counts: tuple[np.ndarray, np.ndarray]):
-        self.words = {w: k for k, (w, _, _) in enumerate(words, 2)}
-        self.size = len(words) + 2
-        self.pairs, self.counts, self.rates, self.history = pairs, counts, [], []
-        for side in (0, 1):
-            own = np.array([0, 0, *(w[1 + side] for w in words)], np.float64)
-            own[0] = total[side] - own.sum()
-            self.rates.append((own + ADD) / (total[side] + ADD * (self.size - 1)))
-            own[1] = docs[side]
-            self.history.append(own)
-
-    def losses(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Losses of each word under the target and the other model."""
-        before = np.concatenate([[1], ids[:-1]])
-        key = before * self.size + ids
-        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-        hit = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
-        out = []
-        for rate, history, count in zip(self.rates, self.history, self.counts, strict=True):
-            p = (1 - MIX) * rate[ids]
-            p[hit] += MIX * count[at[hit]] / np.maximum(history[before[hit]], 1)
-            out.append(-np.log(p))
-        return out[0], out[1]
-
-
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Models:
-    """Models of flagged docs (doc_id, text, is_target)."""
-    counts = stored(word_counts(docs))
-    total = counts.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    n = total["t"] + total["b"]
-    kept = counts.filter((F.col("t") + F.col("b")) * vocabulary >= n).orderBy("word").collect()
-    words = [(bytes(r["word"]), r["t"], r["b"]) for r in kept]
-    places_of = {w: k for k, (w, _, _) in enumerate(words, 2)}
-    pairs = stored(bigram_counts(docs, places_of).filter((F.col("t") + F.col("b")) * bigrams >= n)).orderBy("pair").toPandas()
-    texts = docs.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).groupBy("is_target").count().collect()
-    having = {r["is_target"]: r["count"] for r in texts}
-    return Models(words, (total["t"], total["b"]), (having.get(True, 0), having.get(False, 0)), pairs["pair"].to_numpy(np.int64), (pairs["t"].to_numpy(np.float64), pairs["b"].to_numpy(np.float64)))
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, n_words, ce_target, ce_background, ce_difference) of each row of docs (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b in small_batches(batches):
-            rows = []
-            for t in utf8(b.column(1)):
-                ids = places(t.split(), m.words)
-                if len(ids):
-                    x, y = m.losses(ids)
-                    rows.append((len(ids), round(float(x.mean()), 6), round(float(y.mean()), 6), round(float((x - y).mean()), 6)))
-                else:
-                    rows.append((0, None, None, None))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:])], ["doc_id", "n_words", "ce_target", "ce_background", "ce_difference"])
+def added_up(hashes: np.ndarray, t: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[first], np.add.reduceat(t[order], first) if len(first) else t, np.add.reduceat(b[order], first) if len(first) else b
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, ce_target double, ce_background double, ce_difference double")
 
+def counted(docs: DataFrame, buckets: int, least: int = LEAST, hold: int = 6_000_000) -> DataFrame:
+    """A stored row for each bucket: counts of its known features, and sums over all its words and bigrams; docs (text, is_target)."""
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> DataFrame:
-    """Scores of every document against the documents that target (doc_id) names."""
-    d = flagged(docs, target)
-    return score(d, fit(d, vocabulary, bigrams))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
 
+        def flush():
+            hashes = np.concatenate([h for h, _ in held])
+            side = np.repeat([s for _, s in held], [len(h) for h, _ in held])
+            hashes, t, b = added_up(hashes, side, 1 - side)
+            order, ends = by_bucket(hashes, buckets)
+            out = [[], [], [], [], []]
+            for k, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                if hi > lo:
+                    at = order[lo:hi]
+                    for c, x in zip(out, (k, *packed(hashes[at]), t[at].astype(np.uint32).tobytes(), b[at].astype(np.uint32).tobytes()), strict=True):
+                        c.append(x)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "high", "low", "t", "b"])
+
+        for batch in small_batches(batches, BLOCK_BYTES):
+            texts, target = utf8(batch.column(0)), batch.column(1).to_pylist()
+            for side in (0, 1):
+                words, pairs, _, _ = features([x for x, is_target in zip(texts, target, strict=True) if is_target == side])
+                held += [(words, side), (pairs, side)]
+                total += len(words) + len(pairs)
+            if total > hold:
+                yield flush()
+                total = 0
+        if total:
+            yield flush()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        def done(bucket, held):
+            h, t, b = added_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            known, word = t + b >= least, h & np.uint64(1) == 0
+            sums = [x[m].sum() for x, m in ((t, word), (b, word), (t, word & known), (b, word & known), (t, ~word), (b, ~word))]
+            values = [bucket, (h[known] >> np.uint64(16)).astype(np.uint32).tobytes(), (h[known] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), t[known].tobytes(), b[known].tobytes(), int((word & known).sum()), *map(int, sums)]
+            kinds = [pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 7]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in _COUNTED.split(", ")])
+
+        last, held, size = None, [], 0
+        for bucket, high, low, t, b in rows():
+            if bucket != last and held:
+                yield done(last, held)
+                held, size = [], 0
+            last = bucket
+            held.append((unpacked(high, low), np.frombuffer(t, np.uint32).astype(np.int64), np.frombuffer(b, np.uint32).astype(np.int64)))
+            size += len(held[-1][0])
+            if len(held) > 1 and size > 2 * len(held[0][0]) + 4_000_000:  # what the tasks share is added up now and then
+                held = [added_up(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                size = len(held[0][0])
+        if held:
+            yield done(last, held)
+
+    parts = docs.select("text", "is_target").mapInArrow(count, "bucket int, high binary, low binary, t binary, b binary")
+    return stored(parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, _COUNTED))
+
+
+class Losses:
+    """Losses of features by their counts, on both sides, from the sums over all texts."""
+
+    def __init__(self, sums: dict[str, int]):
+        words = [sums["words_t"], sums["words_b"]]
+        texts = [sums["pairs_t"] - words[0], sums["pairs_b"] - words[1]]  # a text has a bigram more than words
+        tokens = [w + d for w, d in zip(words, texts, strict=True)]
+        size = sums["words"] + 2  # with the unknown word and the end
+        share = [2 * max(n, 1) / max(sum(tokens), 1) for n in tokens]
+        word_add, self.add = [WORD_ADD * s for s in share], [PAIR_ADD * s for s in share]
+        mass = [a * size for a in self.add]
+        self.total = [n + a * size for n, a in zip(tokens, word_add, strict=True)]
+        self.word_add, self.mass = word_add, mass
+        unknown = [words[0] - sums["known_t"], words[1] - sums["known_b"]]
+        self.unknown_word = [self.word(np.array(unknown[s]), s, 0) for s in (0, 1)]
+        self.unknown_pair = [self.pair(np.array(0), s) for s in (0, 1)]
+        self.edges = [self.word(np.array(texts[s]), s, texts[s]) for s in (0, 1)]  # the end as a word, the start as a history
+
+    def word(self, count: np.ndarray, side: int, history) -> np.ndarray:
+        """Of a word as a token and as the one before a token."""
+        return -(1 - MIX) * np.log((count + self.word_add[side]) / self.total[side]) + MIX * np.log(history + self.mass[side])
+
+    def pair(self, count: np.ndarray, side: int) -> np.ndarray:
+        return -MIX * np.log(count + self.add[side])
+
+    def of(self, h: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        odd = (h & np.uint64(1)).astype(bool)
+        return [np.where(odd, self.pair(c, s), self.word(c, s, c)) for s, c in enumerate(counts)]
+
+    def met(self, h: np.ndarray, table: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+        """Losses of h by a sorted table of known features; all others are unknown."""
+        odd = (h & np.uint64(1)).astype(bool)
+        at = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
+        hit = table[at] == h if len(table) else np.zeros(len(h), bool)
+        return [np.where(hit, values[s][at] if len(table) else 0.0, np.where(odd, self.unknown_pair[s], self.unknown_word[s])) for s in (0, 1)]
+
+
+def hot_features(table: DataFrame, occurrences: int, hot: int = HOT) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sorted features of at least one in `hot` of all occurrences, and their two counts; at most `hot` of them."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for high, low, t, o in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t, o = np.frombuffer(t, np.int64), np.frombuffer(o, np.int64)
+                m = (t + o) * hot >= occurrences
+                if m.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (unpacked(high, low)[m], t[m], o[m])], ["h", "t", "b"])
+
+    rows = table.select("high", "low", "t", "b").mapInArrow(pick, "h binary, t binary, b binary").collect()
+    h, t, b = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) if rows else np.zeros(0, kind) for c, kind in (("h", np.uint64), ("t", np.int64), ("b", np.int64)))
+    order = np.argsort(h)
+    return h[order], [t[order], b[order]]
+
+
+def partial_sums(docs: DataFrame, table: DataFrame, losses: Losses, hot: tuple[np.ndarray, list[np.ndarray]], buckets: int) -> DataFrame:
+    """Sums of losses of each block of texts, from its hot features and from each bucket; docs (doc_id, text).
+
+    A row of _SENT is a bucket's counts (kind 0), the features of a block that fall in the bucket with the
+    place of their text (kind 1), or a block's own row (kind 2: ids, words and hot sums).
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((hot[0], losses.of(*hot)))
+    names, kinds = [c.split()[0] for c in _SENT.split(", ")], [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = sent.value
+        block = TaskContext.get().partitionId() << 32
+        for batch in small_batches(batches, BLOCK_BYTES):
+            for lo in range(0, batch.num_rows, 1 << 16):
+                part = batch.slice(lo, 1 << 16)
+                words, pairs, n, m = features(utf8(part.column(1)))
+                h = np.concatenate([words, pairs])
+                h48 = (h >> np.uint64(32) << np.uint64(16)) | (h & np.uint64(0xFFFF))
+                place = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(n)), m)])
+                at = np.minimum(np.searchsorted(known, h48), max(len(known) - 1, 0))
+                hit = known[at] == h48 if len(known) else np.zeros(len(h), bool)
+                own = [np.bincount(place[hit], values[s][at[hit]], len(n)) + losses.edges[s] for s in (0, 1)]
+                ids = part.column(0)
+                has_id = np.array([x is not None for x in ids.to_pylist()], bool)
+                out = [(int(block % buckets), 2, block, np.array([x or 0 for x in ids.to_pylist()], np.int64).tobytes() + has_id.tobytes(), n.tobytes(), own[0].tobytes(), own[1].tobytes())]
+                h, place = h[~hit], place[~hit].astype(np.uint16)
+                order, ends = by_bucket(h, buckets)
+                h, place = h[order], place[order]
+                for k, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                    if hi > lo:
+                        out.append((k, 1, block, *packed(h[lo:hi]), place[lo:hi].tobytes(), b""))
+                block += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known, values = None, np.zeros(0, np.uint64), [np.zeros(0)] * 2
+        for batch in batches:
+            out = []
+            for bucket, kind, block, high, low, t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != last:
+                    last, known, values = bucket, np.zeros(0, np.uint64), [np.zeros(0)] * 2
+                if kind == 0:
+                    known = unpacked(high, low)
+                    values = losses.of(known, (np.frombuffer(t, np.int64), np.frombuffer(b, np.int64)))
+                elif kind == 1:
+                    h, place = unpacked(high, low), np.frombuffer(t, np.uint16)
+                    used, at = np.unique(place, return_inverse=True)
+                    sums = [np.bincount(at, x, len(used)) for x in losses.met(h, known, values)]
+                    out.append((block, None, None, used.tobytes(), sums[0].tobytes(), sums[1].tobytes()))
+                else:
+                    n = np.frombuffer(low, np.int64)
+                    ids = [i if x else None for i, x in zip(np.frombuffer(high, np.int64, len(n)).tolist(), high[8 * len(n) :], strict=True)]
+                    out.append((block, ids, n.tolist(), np.arange(len(n)).astype(np.uint16).tobytes(), t, b))
+            if out:
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), longs, longs, *[pa.binary()] * 3], strict=True)], [c.split()[0] for c in _SUMS.split(", ")])
 
-def text_pairs(docs: DataFrame) -> DataFrame:
-    """(row, is_target, prev, cur, n): how often each text of docs (row, is_target, text) has each pair of word ids."""
+    counts = table.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), "high", "low", "t", "b")
+    texts = docs.select("doc_id", "text").mapInArrow(split, _SENT)
+    return counts.union(texts).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(meet, _SUMS)
+
+
+def scores(sums: DataFrame) -> DataFrame:
+    """(doc_id, n_words, ce_target, ce_background, ce_difference) from the partial sums of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            for r, is_target, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
-                ids = np.maximum(word_hashes(t.split()), np.uint64(START + 1)).view(np.int64)
-                if not len(ids):
-                    continue
-                pairs, n = np.unique(np.stack([np.concatenate([[START], ids[:-1]]), ids], 1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([r] * len(n), pa.int64()), pa.array([is_target] * len(n), pa.bool_()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n, pa.int64())], ["row", "is_target", "prev", "cur", "n"])
-
-    return docs.select("row", "is_target", "text").mapInArrow(run, "row long, is_target boolean, prev long, cur long, n long")
-
-
-def pair_losses(pairs: DataFrame, starts: tuple[int, int], least: int) -> DataFrame:
-    """(prev, cur, lt, lb): losses of every pair of the stored pairs (prev, cur, t, b) under the two models."""
-    words = stored(pairs.groupBy(F.col("cur").alias("word")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
-    known = stored(words.filter(F.col("t") + F.col("b") >= least))
-    zero = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "b")]
-    total, of_known, size = words.agg(*zero).first(), known.agg(*zero).first(), known.count() + 1
-    side = sized_broadcast(known)
-
-    def named(column: str) -> DataFrame:
-        return side.select(F.col("word").alias(f"w_{column}"), F.col("t").alias(f"{column}_t"), F.col("b").alias(f"{column}_b"))
-
-    mapped = pairs.join(named("cur"), F.col("cur") == F.col("w_cur"), "left").join(named("prev"), F.col("prev") == F.col("w_prev"), "left")
-    unknown = {c: total[c] - of_known[c] for c in ("t", "b")}
-    begins = dict(zip(("t", "b"), starts, strict=True))
-    mapped = mapped.select(
-        "prev", "cur", "t", "b", F.coalesce("w_cur", F.lit(UNKNOWN)).alias("c"), F.when(F.col("prev") == START, F.lit(START)).otherwise(F.coalesce("w_prev", F.lit(UNKNOWN))).alias("p"),
-        *(F.coalesce(f"cur_{c}", F.lit(unknown[c])).alias(f"cur_{c}") for c in ("t", "b")),
-        *(F.when(F.col("prev") == START, F.lit(begins[c])).otherwise(F.coalesce(f"prev_{c}", F.lit(unknown[c]))).alias(f"prev_{c}") for c in ("t", "b")),
-    )
-    mapped = stored(mapped)
-    bigrams = stored(mapped.groupBy(F.col("p").alias("b_p"), F.col("c").alias("b_c")).agg(F.sum("t").alias("pair_t"), F.sum("b").alias("pair_b")).filter(F.col("pair_t") + F.col("pair_b") >= least))
-    both = mapped.join(sized_broadcast(bigrams), (F.col("p") == F.col("b_p")) & (F.col("c") == F.col("b_c")), "left")
-
-    def loss(c: str) -> F.Column:
-        rate = (F.col(f"cur_{c}") + ADD) / (total[c] + ADD * size)
-        return -F.ln((1 - MIX) * rate + MIX * F.coalesce(f"pair_{c}", F.lit(0)) / F.greatest(F.col(f"prev_{c}"), F.lit(1)))
-
-    return both.select("prev", "cur", loss("t").alias("lt"), loss("b").alias("lb"))
-
-
-def whole_difference(docs: DataFrame, target: DataFrame, least: int = LEAST) -> DataFrame:
-    """The columns of cross_entropy_difference, by models of all words and bigrams that occur `least` times or more.
-
-    A text's pairs are added up first and meet the losses of all different pairs in one join.
-    """
-    d = numbered(flagged(docs, target), "row")
-    own = stored(text_pairs(d))
-    pairs = stored(own.groupBy("prev", "cur").agg(F.sum(F.when(F.col("is_target"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("is_target"), 0).otherwise(F.col("n"))).alias("b")))
-    begun = pairs.filter(F.col("prev") == START).agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    losses = pair_losses(pairs, (begun[0], begun[1]), least).withColumnsRenamed({"prev": "l_prev", "cur": "l_cur"})
-    met = own.join(losses, (F.col("prev") == F.col("l_prev")) & (F.col("cur") == F.col("l_cur")))
-    n = F.sum("n")
-    scores = met.groupBy(F.col("row").alias("s_row")).agg(
-        n.alias("n_words"), F.round(F.sum(F.col("n") * F.col("lt")) / n, 6).alias("ce_target"), F.round(F.sum(F.col("n") * F.col("lb")) / n, 6).alias("ce_background"),
-        F.round(F.sum(F.col("n") * (F.col("lt") - F.col("lb"))) / n, 6).alias("ce_difference"),
-    )
-    out = d.select("doc_id", "row").join(scores, F.col("row") == F.col("s_row"), "left")
-    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), "ce_target", "ce_background", "ce_difference")
+        def done(ids, n, t, b):
+            tokens = [None if x == 0 else x + 1 for x in n]
+            cols = [[None if k is None else round(x / k, 6) for x, k in zip(v, tokens, strict=True)] for v in (t, b, [x - y for x, y in zip(t, b, strict=True)])]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, pa.float64()) for c in cols)], ["doc_id", "n_words", "ce_target", "ce_background", "ce_difference"])
+
+        last, total, own = None, None, None
+        for batch in batches:
+            for block, ids, n, places, t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != last:
+                    if own:
+                        yield done(*own, total[0].tolist(), total[1].tolist())
+                    last, total = block, np.zeros((2, 1 << 16))
+                if ids is not None:
+                    own = (ids, n)
+                at = np.frombuffer(places, np.uint16)
+                total[0, at] += np.frombuffer(t, np.float64)
+                total[1, at] += np.frombuffer(b, np.float64)
+                if ids is not None:
+                    total = total[:, : len(ids)]
+        if own:
+            yield done(*own, total[0].tolist(), total[1].tolist())
+
+    return sums.repartition("block").sortWithinPartitions("block", F.col("doc_ids").isNull()).mapInArrow(run, "doc_id long, n_words long, ce_target double, ce_background double, ce_difference double")
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, least: int = LEAST, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Scores of every document of docs (doc_id, text) against the documents that target (doc_id) names."""
+    d = flagged(docs, target)
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(-(-size // bucket_bytes)) or 1
+    table = counted(d, buckets, least)
+    names = ("words", "words_t", "words_b", "known_t", "known_b", "pairs_t", "pairs_b")
+    sums = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first().asDict()
+    occurrences = sum(sums[c] for c in ("words_t", "words_b", "pairs_t", "pairs_b"))
+    return scores(partial_sums(d, table, Losses(sums), hot_features(table, occurrences, hot), buckets))
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS tgt, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-tok AS (SELECT r, tgt, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
-uni AS (SELECT word, count(*) FILTER (WHERE tgt) AS t, count(*) FILTER (WHERE NOT tgt) AS b FROM tok GROUP BY word),
-tot AS (SELECT sum(t) AS t, sum(b) AS b, sum(t + b) AS n FROM uni),
-voc AS (SELECT uni.* FROM uni, tot WHERE (uni.t + uni.b) * 20000 >= n),
-size AS (SELECT count(*) + 1 AS v, sum(t) AS t, sum(b) AS b FROM voc),
-nd AS (SELECT count(*) FILTER (WHERE tgt) AS t, count(*) FILTER (WHERE NOT tgt) AS b FROM d WHERE len(w) > 0),
-hist AS (SELECT word, t, b FROM voc UNION ALL SELECT '<unk>', tot.t - coalesce(size.t, 0), tot.b - coalesce(size.b, 0) FROM tot, size UNION ALL SELECT '<s>', t, b FROM nd),
-ids AS (SELECT r, tgt, i, coalesce(voc.word, '<unk>') AS cur FROM tok LEFT JOIN voc USING (word)),
-pair AS (SELECT r, tgt, cur, coalesce(lag(cur) OVER (PARTITION BY r ORDER BY i), '<s>') AS prev FROM ids),
-big AS (SELECT prev, cur, count(*) FILTER (WHERE tgt) AS t, count(*) FILTER (WHERE NOT tgt) AS b FROM pair, tot GROUP BY prev, cur, n HAVING count(*) * 500000 >= n),
-loss AS (SELECT r, -ln(0.3::DOUBLE * (u.t + 0.5::DOUBLE) / (tot.t + 0.5::DOUBLE * v) + 0.7::DOUBLE * coalesce(big.t, 0) / greatest(h.t, 1)) AS lt, -ln(0.3::DOUBLE * (u.b + 0.5::DOUBLE) / (tot.b + 0.5::DOUBLE * v) + 0.7::DOUBLE * coalesce(big.b, 0) / greatest(h.b, 1)) AS lb
-  FROM pair CROSS JOIN tot CROSS JOIN size JOIN hist u ON u.word = pair.cur JOIN hist h ON h.word = pair.prev LEFT JOIN big ON big.prev = pair.prev AND big.cur = pair.cur)
+full_ AS (SELECT r, tgt, list_concat([NULL], w, [NULL]) AS s FROM d WHERE len(w) > 0),
+pair AS (SELECT r, tgt, unnest(list_transform(range(1, len(s)), lambda i: {'p': s[i], 'c': s[i + 1]}), recursive := true) FROM full_),
+uni AS (SELECT c AS word, count(*) FILTER (WHERE tgt)::DOUBLE AS t, count(*) FILTER (WHERE NOT tgt)::DOUBLE AS b FROM pair WHERE c IS NOT NULL GROUP BY c),
+voc AS (SELECT * FROM uni WHERE t + b >= 2),
+big AS (SELECT p, c, count(*) FILTER (WHERE tgt)::DOUBLE AS t, count(*) FILTER (WHERE NOT tgt)::DOUBLE AS b FROM pair GROUP BY p, c HAVING count(*) >= 2),
+n AS (SELECT count(*) FILTER (WHERE tgt)::DOUBLE AS t, count(*) FILTER (WHERE NOT tgt)::DOUBLE AS b, count(*) FILTER (WHERE tgt AND c IS NULL)::DOUBLE AS dt, count(*) FILTER (WHERE NOT tgt AND c IS NULL)::DOUBLE AS db FROM pair),
+k AS (SELECT count(*) + 2 AS v, coalesce(sum(t), 0) AS t, coalesce(sum(b), 0) AS b FROM voc),
+g AS (SELECT n.*, k.v, n.t - n.dt - k.t AS ut, n.b - n.db - k.b AS ub, 2::DOUBLE * greatest(n.t, 1) / greatest(n.t + n.b, 1) AS st, 2::DOUBLE * greatest(n.b, 1) / greatest(n.t + n.b, 1) AS sb FROM n, k),
+joined AS (SELECT r, g.*, CASE WHEN pair.c IS NULL THEN g.dt ELSE coalesce(u.t, g.ut) END AS ct, CASE WHEN pair.c IS NULL THEN g.db ELSE coalesce(u.b, g.ub) END AS cb,
+  CASE WHEN pair.p IS NULL THEN g.dt ELSE coalesce(h.t, 0) END AS ht, CASE WHEN pair.p IS NULL THEN g.db ELSE coalesce(h.b, 0) END AS hb, coalesce(big.t, 0) AS pt, coalesce(big.b, 0) AS pb
+  FROM pair CROSS JOIN g LEFT JOIN voc u ON u.word = pair.c LEFT JOIN voc h ON h.word = pair.p LEFT JOIN big ON big.p IS NOT DISTINCT FROM pair.p AND big.c IS NOT DISTINCT FROM pair.c),
+loss AS (SELECT r, -0.3::DOUBLE * ln((ct + 0.5::DOUBLE * st) / (t + 0.5::DOUBLE * st * v)) - 0.7::DOUBLE * ln((pt + 0.05::DOUBLE * st) / (ht + 0.05::DOUBLE * st * v)) AS lt,
+  -0.3::DOUBLE * ln((cb + 0.5::DOUBLE * sb) / (b + 0.5::DOUBLE * sb * v)) - 0.7::DOUBLE * ln((pb + 0.05::DOUBLE * sb) / (hb + 0.05::DOUBLE * sb * v)) AS lb FROM joined)
 SELECT doc_id, len(w)::BIGINT AS n_words, round(x.lt, 6) AS ce_target, round(x.lb, 6) AS ce_background, round(x.ld, 6) AS ce_difference
 FROM d LEFT JOIN (SELECT r, avg(lt) AS lt, avg(lb) AS lb, avg(lt - lb) AS ld FROM loss GROUP BY r) x USING (r)
 """

@@ -35,28 +35,26 @@ def test_scores_of_odd_documents(spark):
     assert lm_scoring.cross_entropy_difference(empty_documents(spark), none).count() == 0
 
 
-def test_whole_scores_keep_words_by_count(spark, same):
-    sql = lm_scoring.SQL.replace("(uni.t + uni.b) * 20000 >= n", "uni.t + uni.b >= 2").replace("count(*) * 500000 >= n", "count(*) >= 2")
-    assert sql.count(">= 2") == 2
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    same(lm_scoring.whole_difference(docs, spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1")), sql)
-
-
-def test_whole_scores_see_words_that_are_rare_in_the_corpus(spark):
+def test_scores_see_words_that_are_rare_in_the_corpus(spark):
     texts = ["rare term here"] * 3 + ["seldom seen thing"] * 2 + ["common words all over " * 9000] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    target = docs.filter("doc_id < 2").select("doc_id")
-    capped, whole = ({r["doc_id"]: r["ce_difference"] for r in f(docs, target).collect()} for f in (lm_scoring.cross_entropy_difference, lm_scoring.whole_difference))
-    assert capped[2] == capped[3] and 0.5 < whole[3] - whole[2] and whole[2] < 0 < whole[3]
+    found = {r["doc_id"]: r["ce_difference"] for r in lm_scoring.cross_entropy_difference(docs, docs.filter("doc_id < 2").select("doc_id")).collect()}
+    assert found[2] < 0 < found[3] and 0.5 < found[3] - found[2]
 
 
-def test_whole_scores_of_odd_documents(spark):
-    docs = odd_documents(spark)
-    none = docs.filter("false").select("doc_id")
-    for target in (none, docs.filter("doc_id = 6").select("doc_id", "label")):
-        out = lm_scoring.whole_difference(docs, target).collect()
-        assert len(out) == docs.count() and all((r["ce_difference"] is None) == (r["n_words"] == 0) for r in out)
-    assert lm_scoring.whole_difference(empty_documents(spark), none).count() == 0
+@pytest.mark.parametrize(("hot", "bucket_bytes"), [(1, 10_000), (50, 100_000), (lm_scoring.HOT, 3_000)])
+def test_scores_do_not_depend_on_buckets(spark, same, hot, bucket_bytes):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    target = spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1")
+    same(lm_scoring.cross_entropy_difference(docs, target, hot=hot, bucket_bytes=bucket_bytes), lm_scoring.SQL)
+
+
+def test_documents_that_occur_twice_differ_from_those_that_occur_once(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 100_000}" for _ in range(60)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[150:])), "doc_id long, text string")
+    found = {r["doc_id"]: r["ce_difference"] for r in lm_scoring.cross_entropy_difference(docs, docs.filter("doc_id < 60").select("doc_id")).collect()}
+    assert max(found[i] for i in range(60, 150)) < min(found[i] for i in range(150, 250))
 
 
 def naive_tiles(text, item, k):
