@@ -45,7 +45,7 @@ LEAST = 2
 #: Features of at least one in HOT of all occurrences are broadcast.
 HOT = 1 << 20
 #: Bytes of text whose features one bucket holds, about, and that one block of texts holds.
-BUCKET_BYTES, BLOCK_BYTES = 32_000_000, 8_000_000
+BUCKET_BYTES, BLOCK_BYTES = 24_000_000, 4_000_000
 #: Stand for a text's start and end.
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -101,10 +101,10 @@ def added_up(hashes: np.ndarray, t: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     order = np.argsort(hashes)
     hashes = hashes[order]
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[first], np.add.reduceat(t[order], first) if len(first) else t, np.add.reduceat(b[order], first) if len(first) else b
+    return (hashes[first], *(np.add.reduceat(x[order], first, dtype=np.int64) if len(first) else x.astype(np.int64) for x in (t, b)))
 
 
-def counted(docs: DataFrame, buckets: int, least: int = LEAST, hold: int = 6_000_000) -> DataFrame:
+def counted(docs: DataFrame, buckets: int, least: int = LEAST, hold: int = 2_500_000) -> DataFrame:
     """A stored row for each bucket: counts of its known features, and sums over all its words and bigrams; docs (text, is_target)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def counted(docs: DataFrame, buckets: int, least: int = LEAST, hold: int = 6_000
 
         def flush():
             hashes = np.concatenate([h for h, _ in held])
-            side = np.repeat([s for _, s in held], [len(h) for h, _ in held])
+            side = np.repeat(np.array([s for _, s in held], np.int8), [len(h) for h, _ in held])
             hashes, t, b = added_up(hashes, side, 1 - side)
             order, ends = by_bucket(hashes, buckets)
             out = [[], [], [], [], []]
