@@ -104,6 +104,13 @@ def added_up(hashes: np.ndarray, t: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return (hashes[first], *(np.add.reduceat(x[order], first, dtype=np.int64) if len(first) else x.astype(np.int64) for x in (t, b)))
 
 
+def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches, one at a time: a row holds much."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield tuple(c[i].as_py() for c in b.columns)
+
+
 def counted(docs: DataFrame, buckets: int, least: int = LEAST, hold: int = 2_500_000) -> DataFrame:
     """A stored row for each bucket: counts of its known features, and sums over all its words and bigrams; docs (text, is_target)."""
 
@@ -137,10 +144,6 @@ def counted(docs: DataFrame, buckets: int, least: int = LEAST, hold: int = 2_500
             yield flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
         def done(bucket, held):
             h, t, b = added_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
             known, word = t + b >= least, h & np.uint64(1) == 0
@@ -150,14 +153,14 @@ def counted(docs: DataFrame, buckets: int, least: int = LEAST, hold: int = 2_500
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in _COUNTED.split(", ")])
 
         last, held, size = None, [], 0
-        for bucket, high, low, t, b in rows():
+        for bucket, high, low, t, b in records(batches):
             if bucket != last and held:
                 yield done(last, held)
                 held, size = [], 0
             last = bucket
-            held.append((unpacked(high, low), np.frombuffer(t, np.uint32).astype(np.int64), np.frombuffer(b, np.uint32).astype(np.int64)))
+            held.append((unpacked(high, low), np.frombuffer(t, np.uint32), np.frombuffer(b, np.uint32)))
             size += len(held[-1][0])
-            if len(held) > 1 and size > 2 * len(held[0][0]) + 4_000_000:  # what the tasks share is added up now and then
+            if len(held) > 1 and size > 1.3 * len(held[0][0]) + 1_000_000:  # what the tasks share is added up now and then
                 held = [added_up(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                 size = len(held[0][0])
         if held:
@@ -229,6 +232,7 @@ def partial_sums(docs: DataFrame, table: DataFrame, losses: Losses, hot: tuple[n
     """
     sent = docs.sparkSession.sparkContext.broadcast((hot[0], losses.of(*hot)))
     names, kinds = [c.split()[0] for c in _SENT.split(", ")], [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    sum_kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 3]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, values = sent.value
@@ -257,26 +261,23 @@ def partial_sums(docs: DataFrame, table: DataFrame, losses: Losses, hot: tuple[n
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known, values = None, np.zeros(0, np.uint64), [np.zeros(0)] * 2
-        for batch in batches:
-            out = []
-            for bucket, kind, block, high, low, t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != last:
-                    last, known, values = bucket, np.zeros(0, np.uint64), [np.zeros(0)] * 2
-                if kind == 0:
-                    known = unpacked(high, low)
-                    values = losses.of(known, (np.frombuffer(t, np.int64), np.frombuffer(b, np.int64)))
-                elif kind == 1:
-                    h, place = unpacked(high, low), np.frombuffer(t, np.uint16)
-                    used, at = np.unique(place, return_inverse=True)
-                    sums = [np.bincount(at, x, len(used)) for x in losses.met(h, known, values)]
-                    out.append((block, None, None, used.tobytes(), sums[0].tobytes(), sums[1].tobytes()))
-                else:
-                    n = np.frombuffer(low, np.int64)
-                    ids = [i if x else None for i, x in zip(np.frombuffer(high, np.int64, len(n)).tolist(), high[8 * len(n) :], strict=True)]
-                    out.append((block, ids, n.tolist(), np.arange(len(n)).astype(np.uint16).tobytes(), t, b))
-            if out:
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), longs, longs, *[pa.binary()] * 3], strict=True)], [c.split()[0] for c in _SUMS.split(", ")])
+        for bucket, kind, block, high, low, t, b in records(batches):
+            if bucket != last:
+                last, known, values = bucket, np.zeros(0, np.uint64), [np.zeros(0)] * 2
+            if kind == 0:
+                known = unpacked(high, low)
+                values = losses.of(known, (np.frombuffer(t, np.int64), np.frombuffer(b, np.int64)))
+                continue
+            if kind == 1:
+                h, place = unpacked(high, low), np.frombuffer(t, np.uint16)
+                used, at = np.unique(place, return_inverse=True)
+                sums = [np.bincount(at, x, len(used)) for x in losses.met(h, known, values)]
+                row = (block, None, None, used.tobytes(), sums[0].tobytes(), sums[1].tobytes())
+            else:
+                n = np.frombuffer(low, np.int64)
+                ids = [i if x else None for i, x in zip(np.frombuffer(high, np.int64, len(n)).tolist(), high[8 * len(n) :], strict=True)]
+                row = (block, ids, n.tolist(), np.arange(len(n)).astype(np.uint16).tobytes(), t, b)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, sum_kinds, strict=True)], [c.split()[0] for c in _SUMS.split(", ")])
 
     counts = table.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), "high", "low", "t", "b")
     texts = docs.select("doc_id", "text").mapInArrow(split, _SENT)
@@ -293,19 +294,14 @@ def scores(sums: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, pa.float64()) for c in cols)], ["doc_id", "n_words", "ce_target", "ce_background", "ce_difference"])
 
         last, total, own = None, None, None
-        for batch in batches:
-            for block, ids, n, places, t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != last:
-                    if own:
-                        yield done(*own, total[0].tolist(), total[1].tolist())
-                    last, total = block, np.zeros((2, 1 << 16))
-                if ids is not None:
-                    own = (ids, n)
-                at = np.frombuffer(places, np.uint16)
-                total[0, at] += np.frombuffer(t, np.float64)
-                total[1, at] += np.frombuffer(b, np.float64)
-                if ids is not None:
-                    total = total[:, : len(ids)]
+        for block, ids, n, places, t, b in records(batches):
+            if block != last:
+                if own:
+                    yield done(*own, total[0].tolist(), total[1].tolist())
+                last, own, total = block, (ids, n), np.zeros((2, len(ids)))
+            at = np.frombuffer(places, np.uint16)
+            total[0, at] += np.frombuffer(t, np.float64)
+            total[1, at] += np.frombuffer(b, np.float64)
         if own:
             yield done(*own, total[0].tolist(), total[1].tolist())
 
