@@ -3,42 +3,23 @@ Arrow batches of words, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import discard, stored
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
 #: Rows of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """A stored copy of df with a number of its own for each row."""
     return stored(df.withColumn(name, F.monotonically_increasing_id()))
@@ -119,7 +100,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("x"), "m").filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
-        now = stored(small)
+        last, now = now, stored(small)
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
@@ -127,44 +109,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("connected components did not settle")
 
 
-def local_components(links: np.ndarray) -> np.ndarray:
-    """Smallest reachable index of each row of a dense boolean matrix of links."""
-    n = len(links)
-    label, done = np.arange(n), np.zeros(n, bool)
-    for i in range(n):
-        if done[i]:
-            continue
-        front = np.array([i])
-        done[i] = True
-        while len(front):
-            label[front] = i
-            near = links[front].any(0) & ~done
-            front = np.flatnonzero(near)
-            done[front] = True
-    return label
-
-
-def overlaps(sets: list[np.ndarray], most_cells: int = 8_000_000) -> np.ndarray:
-    """Sizes of all intersections of sorted distinct arrays, by products of presence matrices."""
-    m = len(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, feature, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[feature] > 1
-    owner, feature = owner[shared], feature[shared]
-    ids, feature = np.unique(feature, return_inverse=True)
-    out = np.zeros((m, m), np.float32)
-    step = max(1, most_cells // max(m, 1))
-    order = np.argsort(feature, kind="stable")
-    owner, feature = owner[order], feature[order]
-    for low in range(0, len(ids), step):
-        lo, hi = np.searchsorted(feature, [low, low + step])
-        x = np.zeros((m, min(step, len(ids) - low)), np.float32)
-        x[owner[lo:hi], feature[lo:hi] - low] = 1
-        out += x @ x.T
-    out[np.arange(m), np.arange(m)] = [len(s) for s in sets]
-    return out
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """Rows of equal leading `keys` columns, from batches sorted by these; each run as a list of columns."""
     held: list[list] = []
@@ -183,38 +127,6 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
         yield held
 
 
-def verified_links(members: DataFrame, percent: int, block_rows: int = 1200, block_cells: int = 3_000_000) -> DataFrame:
-    """Links (a, b) that connect exactly the members whose sets are similar enough.
-
-    members: (grp long, id long, n long, items binary of sorted distinct 64-bit values), ids
-    distinct. Two members of a group link when 100 * overlap >= percent * union. A group over
-    the limits of a block is dealt into blocks and every pair of blocks meets in one task, so no
-    task holds an unbounded group; each task gives only a star per component it finds.
-    """
-    shape = members.groupBy("grp").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"))
-    shape = shape.filter("rows > 1").select("grp", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("cells") / block_cells)).cast("int").alias("blocks"))
-    dealt = members.join(shape, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")))
-    dealt = dealt.withColumn("other", F.explode(others))
-    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "items")
-    ready = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-
-    def verify(batches):
-        for _, _, _, ids, items in runs(batches, 3):
-            if len(ids) < 2:
-                continue
-            sets = [np.frombuffer(x, np.uint64) for x in items]
-            size = np.array([len(x) for x in sets], np.float64)
-            both = overlaps(sets).astype(np.float64)
-            label = local_components(100 * both >= percent * (size[:, None] + size[None, :] - both))
-            ids = np.array(ids, np.int64)
-            tied = np.flatnonzero(label != np.arange(len(ids)))
-            if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], ["a", "b"])
-
-    return ready.mapInArrow(verify, "a long, b long")
-
-
 def in_fold(doc_id, folds: int, fold: int) -> F.Column:
     """Whether crc32 of doc_id as text, modulo `folds`, is `fold`."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == fold

@@ -1,18 +1,23 @@
-"""Substring dedup: paragraphs that repeat, by MinHash banding and exact Jaccard.
-
-A paragraph is a line of at least MIN_WORDS words (lower-cased, ASCII punctuation dropped). BANDS
-bands of ROWS MinHash values of its word 5-grams give its band keys: at similarity 0.8 a pair
-shares a key with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.9997. Every paragraph of a key is tied
-to the key's smallest one; the components of these ties are candidates only. Inside them, the
-exact Jaccard similarity of the 5-gram sets decides each link, and components of the links are
-clusters: the first paragraph by (doc_id, place) stays, the others are removed.
-
-Defined cases: null and empty texts have no paragraph; repeated rows of a document repeat its
-paragraphs, and rows of the same doc_id and place get the same verdict; an empty table gives no
-rows; other columns are ignored.
+"""Substring dedup: paragraphs that repeat, by MinHash banding and exact Jaccard, and passages inside them.
+
+Units of a text are its lines and its blocks; a block is a run of lines that have words, so a wrapped
+paragraph is one, whatever its line breaks. Lines meet lines and blocks meet blocks, of any length.
+1. units of the same words (A-Z lower-cased, ASCII punctuation dropped) are one from here on (pid);
+2. BANDS bands of ROWS MinHash values of a unit's word 5-grams give its keys: at similarity 0.8 a
+   pair shares a key with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.9997;
+3. units that share a key meet in its bucket, where sizes and parity sketches filter the pairs; the exact
+   Jaccard similarity of the 5-gram sets decides each pair (set_links.py). A unit of fewer than five words is one
+   shingle and links with its equals only;
+4. components of the links are clusters: the first unit by (doc_id, place) stays, the others are removed.
 
 repeated_passages finds what stands below or across lines: every run of PASSAGE words that occurs
-twice, whatever the line breaks. Unspaced scripts count a character as a word there.
+twice, whatever the line breaks. Unspaced scripts count a character as a word there. Texts choose
+anchors among their windows by value, so equal passages have equal anchors; windows around shared anchors are compared.
+
+Defined cases: null and empty texts have no unit; repeated rows of a document repeat its units; rows of the
+same doc_id, unit and place with other texts are units of their own, and the same verdict holds for those that tie as first; a
+null doc_id counts as the largest; a very long line or text is a unit like others; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,50 +31,49 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, mixed, numbered, shingles, sized_broadcast, small_batches, stored, utf8, verified_links, word_hashes
+from .common import discard, mixed, numbered, shingles, sized_broadcast, small_batches, stored, utf8, word_hashes
 from .decontaminate import windows
+from .set_links import link_components, sketch
 
 SHINGLE = 5
 PERCENT = 80
-MIN_WORDS = 25
 BANDS, ROWS = 8, 2
+UNITS = ("line", "block")
 #: ASCII characters other than letters and digits end a word.
 _BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 #: Words of a repeated passage, and of the windows among which its anchors are chosen.
 PASSAGE, ANCHOR = 50, 25
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORDS = re.compile(f"[{_UNSPACED}]|[^\\x00-/:-@\\[-`{{-\\x7f{_UNSPACED}]+")
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _SEEDS = np.random.default_rng(3).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def paragraphs(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, list[bytes]]]:
-    """(place, words) of the paragraphs that are long enough."""
-    out = []
-    for at, line in enumerate(text.lower().split(b"\n")):
+def units(text: bytes) -> list[tuple[int, int, list[bytes]]]:
+    """(unit, place, words) of the lines and blocks of a text; place is the number of the (first) line, from 0."""
+    out, block, start = [], [], 0
+    for at, line in enumerate([*text.lower().split(b"\n"), b""]):
         words = line.translate(_BREAKS).split()
-        if len(words) >= min_words:
-            out.append((at, words))
+        if words:
+            out.append((0, at, words))
+            start = start if block else at
+            block.extend(words)
+        elif block:
+            out.append((1, start, block))
+            block = []
     return out
 
 
-def content_id(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+def content_id(unit: int, words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words), seed=unit) - (1 << 63)
 
 
-def band_keys(parts: list[list[bytes]]) -> np.ndarray:
-    """Band keys (paragraphs x BANDS) of word lists of at least SHINGLE words."""
-    sizes = np.array([len(p) for p in parts])
-    h = shingles(word_hashes([w for p in parts for w in p]), SHINGLE)
-    inside = np.ones(sizes.sum(), bool)
-    ends = np.cumsum(sizes)
-    for j in range(1, SHINGLE):
-        inside[ends - j] = False
-    h = h[inside[: len(h)]]
-    sizes = sizes - SHINGLE + 1
+def band_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Band keys (units x BANDS) of shingles h, of which `sizes` belong to each unit."""
     first = np.cumsum(sizes) - sizes
-    keys = np.empty((len(parts), BANDS), np.uint64)
+    keys = np.empty((len(sizes), BANDS), np.uint64)
     for band in range(BANDS):
-        key = np.full(len(parts), band + 1, np.uint64)
+        key = np.full(len(sizes), band + 1, np.uint64)
         for r in range(ROWS):
             value = (h ^ _SEEDS[band * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(31)
@@ -79,76 +83,94 @@ def band_keys(parts: list[list[bytes]]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def paragraph_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, at, n_words, pid, keys) of every paragraph of docs (doc_id, text)."""
+def _located(docs: DataFrame) -> DataFrame:
+    """doc_id, version and text of docs; version is a hash of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
+
+
+def unit_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, unit, at, n_words, pid) of every unit of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        for b in small_batches(batches):
+            rows = [(d, v, u, at, len(w), content_id(u, w)) for d, v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True) for u, at, w in units(t)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "version", "unit", "at", "n_words", "pid"])
+
+    return _located(docs).mapInArrow(run, "doc_id long, version long, unit int, at int, n_words int, pid long")
+
+
+def unit_sets(docs: DataFrame, chosen: DataFrame, keys: bool) -> DataFrame:
+    """(pid, n, keys, sketch) or, without keys, (pid, items) of the chosen (doc_id, version, unit, at, pid) units, one row each."""
+    wanted = chosen.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("version").alias("w_version")).agg(F.collect_list(F.struct("unit", "at", "pid")).alias("parts"))
+    d = _located(docs)
+    texts = d.join(sized_broadcast(stored(wanted)), F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("version") == F.col("w_version"))).select("text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            found = [(d, at, words) for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True) for at, words in paragraphs(t, min_words)]
-            if not found:
+            ids, parts = [], []
+            for t, asked in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
+                have = {(u, at): words for u, at, words in units(t)}
+                for p in asked:
+                    words = have.get((p["unit"], p["at"]))
+                    if words and content_id(p["unit"], words) == p["pid"]:
+                        ids.append(p["pid"])
+                        parts.append(np.unique(shingles(word_hashes(words), SHINGLE) ^ np.uint64(p["unit"])))  # lines and blocks share nothing
+            if not ids:
+                continue
+            if not keys:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["pid", "items"])
                 continue
-            keys = band_keys([w for _, _, w in found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _, _ in found], pa.int64()), pa.array([at for _, at, _ in found], pa.int32()), pa.array([len(w) for _, _, w in found], pa.int32()),
-                 pa.array([content_id(w) for _, _, w in found], pa.int64()), pa.ListArray.from_arrays(pa.array(range(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))],
-                ["doc_id", "at", "n_words", "pid", "keys"],
-            )
+            sizes = np.array([len(x) for x in parts])
+            found = band_keys(np.concatenate(parts), sizes)
+            ends = pa.array(range(0, found.size + 1, BANDS), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(found.ravel())), pa.array([sketch(x) for x in parts], pa.binary())], ["pid", "n", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, at int, n_words int, pid long, keys array<long>")
+    return texts.mapInArrow(run, "pid long, n long, keys array<long>, sketch binary" if keys else "pid long, items binary").dropDuplicates(["pid"])
 
 
-def candidate_ties(table: DataFrame) -> DataFrame:
-    """Edges (a, b) from each paragraph to the smallest of each of its band keys."""
-    rows = table.select("pid", F.explode("keys").alias("key"))
-    shared = stored(rows.groupBy("key").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low < high").select(F.col("key").alias("s_key"), "low"))
-    return rows.join(sized_broadcast(shared), F.col("key") == F.col("s_key")).filter("pid <> low").select(F.col("pid").alias("a"), F.col("low").alias("b")).distinct()
+def clusters(docs: DataFrame, table: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component): pid and cluster of the different units of the stored table that link to another one."""
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "unit", "at")).alias("rep")
+    reps = stored(table.filter(F.col("n_words") > SHINGLE).groupBy("pid").agg(rep).select("rep.doc_id", "rep.version", "rep.unit", "rep.at", "pid"))
+    sets = stored(unit_sets(docs, reps, True))
+    rows = sets.select(F.explode("keys").alias("h"), F.col("pid").alias("gid"), "n", F.lit(0).alias("place"))
+    shared = rows.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1").select(F.col("h").alias("s_h"))
+    alive = stored(rows.join(sized_broadcast(stored(shared)), F.col("h") == F.col("s_h"), "left_semi"))
 
+    def fetch(ids: DataFrame) -> DataFrame:
+        chosen = reps.join(sized_broadcast(ids), F.col("pid") == F.col("id")).drop("id")
+        return unit_sets(docs, chosen, False).select(F.col("pid").alias("id"), "items")
 
-def clusters(docs: DataFrame, table: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(pid, cluster) of the different paragraphs that link to another one."""
-    groups = stored(connected_components(candidate_ties(table)))
-    first = table.join(sized_broadcast(groups), F.col("pid") == F.col("node")).groupBy("pid", "component").agg(F.min(F.struct("doc_id", "at")).alias("x"))
-    wanted = stored(first.groupBy("x.doc_id").agg(F.collect_list(F.struct("x.at", "pid", "component")).alias("parts")).withColumnRenamed("doc_id", "w_doc_id"))
+    out = link_components(alive, sets.select(F.col("pid").alias("sid"), F.col("pid").alias("gid"), "n", "sketch"), fetch, percent)
+    discard(alive, sets, reps)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            rows = []
-            for t, parts in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
-                have = dict(paragraphs(t, min_words))
-                for p in parts:
-                    words = have.get(p["at"])
-                    if words and content_id(words) == p["pid"]:
-                        items = np.unique(shingles(word_hashes(words), SHINGLE))
-                        rows.append((p["component"], p["pid"], len(items), items.tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["grp", "id", "n", "items"])
-
-    texts = docs.select("doc_id", "text").join(sized_broadcast(wanted), F.col("doc_id") == F.col("w_doc_id")).select("text", "parts")
-    members = stored(texts.mapInArrow(run, "grp long, id long, n long, items binary").dropDuplicates(["id"]))
-    return connected_components(verified_links(members, percent)).select(F.col("node").alias("pid"), F.col("component").alias("cluster"))
-
-
-def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, paragraph, n_words, first_doc_id, first_paragraph, copies, removed) of every paragraph that repeats.
-
-    paragraph counts the lines of the text from 0; copies is the number of paragraphs in the cluster.
+
+def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, unit, paragraph, n_words, first_doc_id, first_paragraph, copies, removed) of every line and block that repeats.
+
+    paragraph counts the lines of the text from 0; copies is the number of units in the cluster.
     """
-    table = stored(paragraph_table(docs, min_words))
-    found = stored(clusters(docs, table, min_words, percent)).withColumnRenamed("pid", "c_pid")
-    rows = table.select("doc_id", "at", "n_words", "pid").join(sized_broadcast(found), F.col("pid") == F.col("c_pid"), "left")
-    rows = rows.select("doc_id", "at", "n_words", F.coalesce("cluster", "pid").alias("cluster"))
-    sizes = rows.groupBy("cluster").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "at")).alias("first")).filter("copies > 1")
-    out = rows.join(sizes.withColumnRenamed("cluster", "s_cluster"), F.col("cluster") == F.col("s_cluster"))
-    here = F.struct("doc_id", "at")
+    table = stored(unit_table(docs))
+    found = clusters(docs, table, percent)
+    rows = table.join(sized_broadcast(found), F.col("pid") == F.col("node"), "left")
+    rows = rows.select("doc_id", "unit", "at", "n_words", F.coalesce("component", "pid").alias("cluster"))
+    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
+    sizes = stored(rows.groupBy("cluster").agg(F.count("*").alias("copies"), F.min(here).alias("first")).filter("copies > 1").withColumnRenamed("cluster", "s_cluster"))
+    out = rows.join(sized_broadcast(sizes), F.col("cluster") == F.col("s_cluster"))
     return out.select(
-        "doc_id", F.col("at").cast("long").alias("paragraph"), F.col("n_words").cast("long").alias("n_words"), F.col("first.doc_id").alias("first_doc_id"),
-        F.col("first.at").cast("long").alias("first_paragraph"), F.col("copies").cast("long").alias("copies"), (here != F.col("first")).alias("removed"),
+        "doc_id", F.element_at(F.array(*map(F.lit, UNITS)), F.col("unit") + 1).alias("unit"), F.col("at").cast("long").alias("paragraph"), F.col("n_words").cast("long").alias("n_words"),
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").cast("long").alias("first_paragraph"), F.col("copies").cast("long").alias("copies"), (here != F.col("first")).alias("removed"),
     )
 
 
 def passage_words(text: str | None) -> np.ndarray:
     """Hashes of the words of a text, ASCII letters lower-cased; line breaks are gaps like any other."""
-    return word_hashes([w.encode().lower() for w in _WORDS.findall(text or "")])
+    if text and not text.isascii() and _ANY_UNSPACED.search(text):
+        return word_hashes([w.encode().lower() for w in _WORDS.findall(text)])
+    return word_hashes((text or "").encode().lower().translate(_BREAKS).split())
 
 
 def anchor_windows(h: np.ndarray, words: int) -> np.ndarray:
@@ -205,7 +227,8 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
     """
     d = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
     found = stored(passage_windows(d, words))
-    here = F.struct("doc_id", "at", "row")
+    discard(d)
+    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "row")
     sizes = stored(found.groupBy(F.col("window").alias("s_window")).agg(F.count("*").alias("copies"), F.min(here).alias("first")).filter("copies > 1"))
     marked = found.join(sized_broadcast(sizes), F.col("window") == F.col("s_window")).select("row", "doc_id", "at", (here != F.col("first")).alias("removed"))
     run = F.col("at") - F.row_number().over(Window.partitionBy("row", "removed").orderBy("at"))
@@ -213,20 +236,37 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
     return runs.select("doc_id", "first_word", (F.col("windows") + words - 1).alias("n_words"), "removed")
 
 
+def repeats(docs: DataFrame, percent: int = PERCENT, words: int = PASSAGE) -> DataFrame:
+    """Rows of repeated_paragraphs and of repeated_passages; for these, unit is passage and paragraph the place of the first word."""
+    inner = repeated_passages(docs, words)
+    none = F.lit(None).cast("long")
+    inner = inner.select("doc_id", F.lit("passage").alias("unit"), F.col("first_word").alias("paragraph"), "n_words", none.alias("first_doc_id"), none.alias("first_paragraph"), none.alias("copies"), "removed")
+    return repeated_paragraphs(docs, percent).unionByName(inner)
+
+
 SQL = r"""
-WITH RECURSIVE lines AS (SELECT doc_id, t.line, t.place - 1 AS place FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS t(line, place)),
-w AS (SELECT doc_id, place, regexp_extract_all(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+') AS w FROM lines),
-p AS (SELECT doc_id, place, len(w) AS n_words, w, array_to_string(w, ' ') AS t FROM w WHERE len(w) >= 25),
-u AS (SELECT DISTINCT t, w FROM p),
-pid AS (SELECT t, w, row_number() OVER (ORDER BY t) AS k FROM u),
-sh AS (SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM pid),
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT r, doc_id, t.line, t.place - 1 AS place FROM d, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, place)),
+w AS (SELECT r, doc_id, place, regexp_extract_all(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+') AS w FROM lines),
+full_ AS (SELECT * FROM w WHERE len(w) > 0),
+island AS (SELECT *, place - row_number() OVER (PARTITION BY r ORDER BY place) AS k FROM full_),
+p AS (SELECT doc_id, 'line' AS unit, place, len(w) AS n_words, w, array_to_string(w, ' ') AS t FROM full_
+  UNION ALL SELECT doc_id, 'block', min(place), sum(len(w))::BIGINT, flatten(list(w ORDER BY place)) AS ws, array_to_string(ws, ' ') FROM island GROUP BY r, doc_id, k),
+u AS (SELECT DISTINCT unit, t, w FROM p),
+pid AS (SELECT unit, t, w, row_number() OVER (ORDER BY unit, t) AS k FROM u),
+sh AS (SELECT DISTINCT k, unit, unnest(CASE WHEN len(w) < 5 THEN [t] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM pid),
 n AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
-shared AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.k <> y.k GROUP BY ALL),
+shared AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.unit = y.unit AND x.k <> y.k GROUP BY ALL),
 links AS (SELECT a, b FROM shared JOIN n x ON a = x.k JOIN n y ON b = y.k WHERE 100 * c >= 80 * (x.n + y.n - c)),
 reach(a, b) AS (SELECT k, k FROM pid UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 cl AS (SELECT a AS k, min(b) AS cluster FROM reach GROUP BY a),
-occ AS (SELECT doc_id, place, n_words, cluster FROM p JOIN pid USING (t) JOIN cl USING (k)),
+occ AS (SELECT doc_id, p.unit, place, n_words, cluster FROM p JOIN pid ON p.unit = pid.unit AND p.t = pid.t JOIN cl USING (k)),
 sizes AS (SELECT cluster, count(*) AS copies, min(doc_id) AS first_doc_id FROM occ GROUP BY cluster HAVING count(*) > 1),
-firsts AS (SELECT sizes.cluster, copies, first_doc_id, min(place) AS first_at FROM sizes JOIN occ ON occ.cluster = sizes.cluster AND occ.doc_id = first_doc_id GROUP BY ALL)
-SELECT doc_id, place AS paragraph, n_words, first_doc_id, first_at AS first_paragraph, copies, doc_id <> first_doc_id OR place <> first_at AS removed FROM occ JOIN firsts USING (cluster)
-"""
+firsts AS (SELECT sizes.cluster, copies, first_doc_id, min(place) AS first_at FROM sizes JOIN occ ON occ.cluster = sizes.cluster AND occ.doc_id = first_doc_id GROUP BY ALL),
+pw AS (SELECT r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'PATTERN') AS w FROM d),
+win AS (SELECT r, doc_id, i - 1 AS pos, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM pw)),
+marked AS (SELECT r, doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos, r) > 1 AS removed, count(*) OVER (PARTITION BY k) AS c FROM win),
+runs AS (SELECT r, doc_id, pos, removed, pos - row_number() OVER (PARTITION BY r, removed ORDER BY pos) AS run FROM marked WHERE c > 1)
+SELECT doc_id, unit, place AS paragraph, n_words, first_doc_id, first_at AS first_paragraph, copies, doc_id <> first_doc_id OR place <> first_at AS removed FROM occ JOIN firsts USING (cluster)
+UNION ALL SELECT doc_id, 'passage', min(pos), count(*) + 49, NULL, NULL, NULL, removed FROM runs GROUP BY r, doc_id, removed, run
+""".replace("PATTERN", f"[{_UNSPACED}]|[^\\x00-/:-@\\[-`{{-\\x7f{_UNSPACED}]+")

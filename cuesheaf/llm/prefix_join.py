@@ -1,19 +1,21 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are similar, as components.
 
-A grouped prefix join (after Bouros, Ge and Mamoulis 2012), longest n-grams first:
-1. documents with the same set are one group from here on (its set id);
-2. two sets that link share an n-gram among their first n - ceil(t n) + 1; n-grams that stand in
-   one prefix only find no partner and go;
-3. sets that share a prefix n-gram meet in its bucket (a large bucket in pairs of blocks), where
-   the sizes and an exact bound from parity sketches filter the pairs; a bucket gives a spanning
-   star of each candidate component, never its pairs;
-4. the members of a candidate component meet with their whole sets, and products of presence
-   matrices decide each link exactly; components of the links are the result.
+A grouped prefix join (after Bouros, Ge and Mamoulis 2012):
+1. n-grams have one order for all sets: those that many texts hold last (gram_levels counts them over
+   all documents, in a table of fixed size), then the longest first. Any fixed order keeps the join exact;
+2. documents with the same set are one set (sid), and sets of the same size and prefix, the first n - ceil(t n) + 1
+   n-grams, are one group (gid). Two sets that link share an n-gram of their prefixes, so n-grams in the
+   prefix of one group only find no partner and go;
+3. groups that share a prefix n-gram meet in its bucket, where sizes and places filter group pairs; the
+   rest are expanded to members, filtered by parity sketches and verified on their whole sets, pair by pair
+   (set_links.py); sets of one group meet in a bucket of their own;
+4. components of the links are the result.
 
 Defined cases: null, empty and wordless texts have an empty set, link with nothing and keep their
-own doc_id; a text of fewer words than n has one n-gram; rows of one doc_id with different texts
-are separate documents, linked only by their own sets; an empty table gives no rows; other
-columns are ignored.
+own doc_id; a text of fewer words than n has one n-gram; a very long text has a long set and a sketch of at most
+MOST_BITS; rows of one doc_id with different texts are separate documents, linked only by their own sets; a null
+doc_id links like any other, and counts as the largest one; ties cannot occur, as a component has one smallest id;
+repeated rows stay, each with the same answer; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,181 +28,149 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, runs, shingles, sized_broadcast, small_batches, stored, utf8, verified_links, word_hashes
+from .common import discard, shingles, sized_broadcast, small_batches, stored, utf8, word_hashes
+from .set_links import BUCKET_ROWS, link_components, sketch
 
 NGRAM = 3
 PERCENT = 90
-BUCKET_ROWS = 3000
-MOST_BITS = 1 << 12
+#: Slots of the table that tells frequent n-grams from others, and its parts, which tasks send apart.
+SLOT_BITS, PARTS = 20, 16
 
 
-def ngram_set(text: bytes, k: int = NGRAM) -> np.ndarray:
-    """Sorted distinct keys of the word n-grams, A-Z lower-cased.
-
-    A key is a hash below the n-gram's length in bytes, longest first: long n-grams are rare, so
-    that the first keys of a set are seldom shared by chance. Any fixed order keeps the join exact.
-    """
+def gram_hashes(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and length in bytes of each word n-gram, A-Z lower-cased."""
     words = text.lower().split()
     h = shingles(word_hashes(words), k)
     size = np.cumsum([0, *map(len, words)])
-    wide = size[min(k, len(words)) :] - size[: len(h)]
-    return np.unique((h >> np.uint64(8)) | (np.uint64(255) - np.minimum(wide, 255).astype(np.uint64) << np.uint64(56)))
+    return h, size[min(k, len(words)) :] - size[: len(h)]
+
+
+def slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(8) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+
+
+def ngram_set(text: bytes, k: int = NGRAM, levels: np.ndarray | None = None) -> np.ndarray:
+    """Sorted distinct keys of the word n-grams: level of frequency, then the longest first, then a hash of 51 bits."""
+    h, wide = gram_hashes(text, k)
+    key = h >> np.uint64(13) | (np.uint64(127) - np.minimum(wide, 127).astype(np.uint64) << np.uint64(51))
+    if levels is not None:
+        key |= levels[slots(h)].astype(np.uint64) << np.uint64(58)
+    return np.unique(key)
 
 
-def set_id(items: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(items.tobytes(), seed=len(items)) - (1 << 63)
+def set_id(items: np.ndarray, seed: int | None = None) -> int:
+    return xxhash.xxh3_64_intdigest(items.tobytes(), seed=len(items) if seed is None else seed) - (1 << 63)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def sketch(items: np.ndarray) -> bytes:
-    """Parity of the set's items over about one bit an item: two sketches differ in no more bits than the sets differ in items."""
-    bits = min(MOST_BITS, max(64, 1 << (len(items) - 1).bit_length()))
-    parity = (np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(parity, bitorder="little").tobytes()
+def gram_levels(docs: DataFrame, k: int = NGRAM) -> np.ndarray:
+    """Binary digits of the number of documents' n-grams in each slot, from all documents; 1 MB at any size."""
+    size = (1 << SLOT_BITS) // PARTS
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for b in small_batches(batches):
+            found = [np.unique(gram_hashes(t, k)[0]) for t in utf8(b.column(0))]
+            if found:
+                total += np.bincount(slots(np.concatenate(found)), minlength=1 << SLOT_BITS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([total[p * size : (p + 1) * size].astype(np.uint32).tobytes() for p in range(PARTS)], pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k in range(b.num_rows):
+                part = b.column(0)[k].as_py()
+                total[part] = total.get(part, 0) + np.frombuffer(b.column(1)[k].as_py(), np.uint32).astype(np.int64)
+        for part, counts in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.frexp(counts.astype(np.float64))[1].astype(np.uint8).tobytes()], pa.binary())], ["part", "counts"])
+
+    rows = docs.select("text").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary").collect()
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    for r in rows:
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], np.uint8)
+    return np.minimum(out, 63)
+
+
+def version_of(text) -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-def signatures(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, version, n, sid, prefix, sketch) of each row of docs (doc_id, text); version is a hash of the text."""
+
+def signatures(docs: DataFrame, levels, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, version, n, sid, gid, prefix, sketch) of each row of docs (doc_id, text); version is a hash of the text, levels a broadcast table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            sets = [ngram_set(t, k) for t in utf8(b.column(2))]
-            prefix = [s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+            sets = [ngram_set(t, k, levels.value) for t in utf8(b.column(2))]
+            prefix = [s[: prefix_length(len(s), percent)] if len(s) else s for s in sets]
             ends = np.cumsum([0, *map(len, prefix)])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_id, sets), pa.int64()),
+                 pa.array([set_id(p, len(s)) for p, s in zip(prefix, sets, strict=True)], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *prefix]).view(np.int64))),
                  pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary())],
-                ["doc_id", "version", "n", "sid", "prefix", "sketch"],
+                ["doc_id", "version", "n", "sid", "gid", "prefix", "sketch"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version_of(F.col("text")).alias("version"), "text")
-    return rows.mapInArrow(run, "doc_id long, version long, n long, sid long, prefix array<long>, sketch binary")
-
-
-def version_of(text) -> F.Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return rows.mapInArrow(run, "doc_id long, version long, n long, sid long, gid long, prefix array<long>, sketch binary")
 
 
-def most_differences(n: int, m: int, percent: int) -> int:
-    """Items in which two sets of n and m items that link can differ."""
-    least = -(-percent * (n + m) // (100 + percent))
-    return n + m - 2 * least
-
-
-def candidate_star(sids: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Edges that connect the sets of a bucket which sizes and sketches let link."""
-    order = sorted(range(len(sids)), key=sizes.__getitem__)
-    sid, n = [sids[i] for i in order], [sizes[i] for i in order]
-    bits = [sketches[i] for i in order]
-    root = list(range(len(sid)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    if len(sid) <= 48:
-        value = [int.from_bytes(x, "little") for x in bits]
-        for i in range(len(sid)):
-            for j in range(i + 1, len(sid)):
-                if 100 * n[i] < percent * n[j]:
-                    break
-                x, w = value[j], 8 * len(bits[i])
-                if len(bits[j]) > len(bits[i]):
-                    x = (x >> w) ^ (x & ((1 << w) - 1))
-                if find(i) != find(j) and (value[i] ^ x).bit_count() <= most_differences(n[i], n[j], percent):
-                    root[find(j)] = find(i)
-                    out.append((sid[i], sid[j]))
-        return out
-    size, width = np.array(n), np.array([len(x) for x in bits])
-    for w in np.unique(width):
-        rows = np.flatnonzero((width == w) | (width == 2 * w))
-        x = np.stack([np.frombuffer(bits[r], np.uint64) if width[r] == w else np.frombuffer(bits[r][:w], np.uint64) ^ np.frombuffer(bits[r][w:], np.uint64) for r in rows])
-        for at, i in enumerate(rows[width[rows] == w].tolist()):
-            last = np.searchsorted(size[rows], 100 * n[i] // percent, side="right")
-            if last <= at + 1:
-                continue
-            m = size[rows[at + 1 : last]]
-            least = -(-percent * (n[i] + m) // (100 + percent))
-            near = np.bitwise_count(x[at + 1 : last] ^ x[at]).sum(1) <= n[i] + m - 2 * least
-            for j in rows[at + 1 : last][near].tolist():
-                if find(i) != find(j):
-                    root[find(j)] = find(i)
-                    out.append((sid[i], sid[j]))
-    return out
-
-
-def candidate_edges(sets: DataFrame, percent: int = PERCENT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) of set ids that connect all pairs which may link, from sets (sid, n, prefix, sketch)."""
-    rows = sets.select("sid", F.explode("prefix").alias("h"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1")
-    alive = rows.join(shared.withColumnRenamed("h", "sh"), F.col("h") == F.col("sh")).select("sid", "h", F.ceil(F.col("members") / bucket_rows).cast("int").alias("blocks"))
-    alive = alive.join(sets.select("sid", "n", "sketch"), "sid").withColumn("own", F.pmod(F.xxhash64("sid", "h"), F.col("blocks")).cast("int"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")))
-    alive = alive.withColumn("other", F.explode(others))
-    dealt = alive.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "sketch")
-    dealt = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+def set_components(docs: DataFrame, sig: DataFrame, levels, k: int = NGRAM, percent: int = PERCENT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(sid, first) of each set of the stored sig: first is (none, doc_id, version, sid) of its component's smallest doc_id."""
+    some = sig.filter("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("rep")
+    sets = stored(some.groupBy("sid").agg(first, F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("sketch").alias("sketch")))
+    groups = some.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = groups.select(F.posexplode("prefix").alias("place", "h"), "gid", "n")
+    rows = stored(rows)
+    shared = rows.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1").select(F.col("h").alias("s_h"))
+    alive = stored(rows.join(shared, F.col("h") == F.col("s_h"), "left_semi"))
+    discard(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
-
-        def flush():
-            a, b = zip(*out, strict=True)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for _, _, _, sid, n, bits in runs(batches, 3):
-            if len(sid) > 1:
-                out.update(candidate_star(sid, n, bits, percent))
-                if len(out) > 100_000:
-                    yield flush()
-        if out:
-            yield flush()
+    def fetch(ids: DataFrame) -> DataFrame:
+        wanted = sets.join(sized_broadcast(ids), F.col("sid") == F.col("id")).select("id", F.col("rep.doc_id").alias("w_doc_id"), F.col("rep.version").alias("w_version"))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in small_batches(batches):
+                items = [ngram_set(t, k, levels.value) for t in utf8(b.column(1))]
+                same = [set_id(s) == i for s, i in zip(items, b.column(0).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in items], pa.binary())], ["id", "items"]).filter(pa.array(same, pa.bool_()))
 
+        here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version_of(F.col("text")).alias("version"), "text")
+        texts = here.join(sized_broadcast(stored(wanted)), F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("version") == F.col("w_version"))).select("id", "text")
+        return texts.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
-def set_components(docs: DataFrame, sig: DataFrame, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(sid, component_id, first_sid) of each set of the stored sig: smallest doc_id of its component, and the set that has it."""
-    sets = stored(sig.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
-    groups = connected_components(candidate_edges(sets, percent)).withColumnRenamed("node", "sid")
-    wanted = stored(groups.join(sets.select("sid", "rep"), "sid"))
+    linked = link_components(alive, sets, fetch, percent, bucket_rows)
+    whole = sets.select("sid", "rep").join(sized_broadcast(linked), F.col("sid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sid"))
+    lowest = whole.groupBy("component").agg(F.min(F.struct("rep.none", "rep.doc_id", "rep.version", "sid")).alias("first"))
+    return whole.select("sid", "component").join(lowest, "component").select("sid", "first")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            items = [ngram_set(t, k) for t in utf8(b.column(2))]
-            same = [set_id(s) == sid for s, sid in zip(items, b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in items], pa.int64()), pa.array([s.tobytes() for s in items], pa.binary())], ["grp", "id", "n", "items"]).filter(pa.array(same))
 
-    texts = docs.select("doc_id", "text").join(sized_broadcast(wanted), F.col("doc_id") == F.col("rep")).select(F.col("component").alias("grp"), F.col("sid").alias("id"), "text")
-    members = stored(texts.mapInArrow(run, "grp long, id long, n long, items binary").dropDuplicates(["id"]))
-    linked = connected_components(verified_links(members, percent)).withColumnRenamed("node", "sid")
-    whole = sets.select("sid", "rep").join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    lowest = whole.groupBy("component").agg(F.min(F.struct("rep", "sid")).alias("first"))
-    return whole.join(lowest, "component").select("sid", F.col("first.rep").alias("component_id"), F.col("first.sid").alias("first_sid"))
+def prepared(docs: DataFrame, k: int, percent: int) -> tuple:
+    """Broadcast levels and stored signatures of docs."""
+    levels = docs.sparkSession.sparkContext.broadcast(gram_levels(docs, k))
+    return levels, stored(signatures(docs, levels, k, percent))
 
 
-def join_components(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def join_components(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text)."""
-    sig = stored(signatures(docs, k, percent))
-    found = set_components(docs, sig, k, percent)
-    return sig.select("doc_id", "n", "sid").join(found, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    levels, sig = prepared(docs, k, percent)
+    found = set_components(docs, sig, levels, k, percent, bucket_rows)
+    return sig.select("doc_id", "n", "sid").join(found, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of docs, of each component one: that of the smallest doc_id; all columns stay.
 
     Wordless documents all stay; of rows that repeat doc_id and text one stays.
     """
-    sig = stored(signatures(docs, k, percent))
-    found = sig.select("doc_id", "version", "n", "sid").join(set_components(docs, sig, k, percent), "sid", "left")
-    out = found.filter((F.col("n") > 0) & ((F.col("sid") != F.col("first_sid")) | ~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    levels, sig = prepared(docs, k, percent)
+    found = sig.select("doc_id", "version", "n", "sid").join(set_components(docs, sig, levels, k, percent, bucket_rows), "sid", "left")
+    out = found.filter((F.col("n") > 0) & ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))))
     again = sig.groupBy("doc_id", "version").count().filter("count > 1")
     key = [F.col("doc_id").alias("__doc_id"), F.col("version").alias("__version")]
     out, again = stored(out.select(*key).distinct()), stored(again.select(*key))

@@ -26,7 +26,7 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.repeated_paragraphs(_read(spark, sf_dir, "documents"))
+    return paragraph_dedup.repeats(_read(spark, sf_dir, "documents"))
 
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from cuesheaf.llm import common, paragraph_dedup, prefix_join, queries
+from cuesheaf.llm import common, paragraph_dedup, prefix_join, queries, set_links
 
 from ..conftest import SMALL
 from .helpers import empty_documents, odd_documents, rows
@@ -48,28 +48,66 @@ def family(seed, n=70):
 
 
 @pytest.mark.parametrize("bucket_rows", [3000, 5])
-def test_components_equal_brute_force(spark, monkeypatch, bucket_rows):
-    monkeypatch.setattr(prefix_join.candidate_edges, "__defaults__", (prefix_join.PERCENT, bucket_rows))
-    monkeypatch.setattr(common.verified_links, "__defaults__", (min(1200, bucket_rows), 3_000_000))
+def test_components_equal_brute_force(spark, bucket_rows):
     docs = family(1)
     sets = {i: shingle_set(t) for i, t in docs}
     expected = smallest_reachable(list(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]))
-    out = prefix_join.join_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    out = prefix_join.join_components(spark.createDataFrame(docs, "doc_id long, text string"), bucket_rows=bucket_rows)
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == expected
     assert len(set(expected.values())) > 10
 
 
-def test_candidate_star_covers_all_links_in_large_buckets():
-    docs = family(2, 150)
+@pytest.mark.parametrize("bucket_rows", [3000, 7])
+def test_sets_of_one_prefix_are_one_group(spark, bucket_rows):
+    """Texts that differ by common words, long ones in four places and short ones in five: few groups, many sets."""
+    rng = random.Random(3)
+    docs = []
+    for i in range(150):
+        words = [f"c{k}" for k in range(110)]
+        for k in range(9):
+            words[k * 12 + 5] = rng.choice("ab") * (30 if k < 4 else 1)
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    levels, sig = prefix_join.prepared(df, 3, 90)
+    groups, sids = sig.select("gid").distinct().count(), sig.select("sid").distinct().count()
+    assert groups < 40 < sids
+    sets = {i: shingle_set(t) for i, t in docs}
+    expected = smallest_reachable(list(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]))
+    out = prefix_join.join_components(df, bucket_rows=bucket_rows)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == expected and 1 < len(set(expected.values())) < 100
+
+
+def test_rare_ngrams_come_first(spark):
+    docs = spark.createDataFrame([(i, f"common words stand here own{i} text{i} of{i}") for i in range(40)], "doc_id long, text string")
+    levels = prefix_join.gram_levels(docs, 3)
+    often, seldom = prefix_join.ngram_set(b"common words stand", 3, levels)[0], prefix_join.ngram_set(b"own1 text1 of1", 3, levels)[0]
+    assert seldom < often and levels.max() == 6 and int(often >> np.uint64(58)) == 6 and int(seldom >> np.uint64(58)) == 1
+
+
+@pytest.mark.parametrize("spanning", [True, False])
+@pytest.mark.parametrize("n", [12, 150])
+def test_candidates_cover_all_links(n, spanning):
+    docs = family(2, n)
     sets = {i: prefix_join.ngram_set(t.encode()) for i, t in docs}
-    ids = list(sets)
-    star = prefix_join.candidate_star(ids, [len(sets[i]) for i in ids], [prefix_join.sketch(sets[i]) for i in ids], 90)
-    groups = smallest_reachable(ids, lambda a, b: (a, b) in star or (b, a) in star)
-    for a in ids:
-        for b in ids:
+    groups = [(i, None, len(s), 0, [i], [i], [set_links.sketch(s)]) for i, s in sets.items()]
+    found = set(set_links.candidates(groups, 90, False, spanning))
+    parts = smallest_reachable(list(sets), lambda a, b: (a, b) in found or (b, a) in found)
+    for a in sets:
+        for b in sets:
             both = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
-                assert groups[a] == groups[b]
+            if a < b and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+                assert parts[a] == parts[b] and (spanning or (a, b) in found)
+    assert not spanning or len(found) < n
+
+
+def test_null_ids_link_like_others(spark):
+    base = [f"b{i}" for i in range(60)]
+    near = [*base[:59], "other"]
+    rows_ = [(None, " ".join(base)), (2, " ".join(near)), (None, " ".join([*near[1:], "more"])), (1, " ".join(base))]
+    out = prefix_join.join_components(spark.createDataFrame(rows_, "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {(None, 1), (2, 1), (1, 1)}
+    alone = prefix_join.join_components(spark.createDataFrame(rows_[:1], "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in alone] == [None]
 
 
 def test_prefix_join_odd_documents(spark):
@@ -108,7 +146,8 @@ def test_paragraphs_in_other_places(spark):
     near = p.replace("word20 ", "Word20, ")
     changed = p.replace("word3 ", "other ").replace("word35 ", "new ")
     docs = spark.createDataFrame([(5, f"intro\n{p}"), (2, f"{near}\nend"), (9, p.replace("word7", "x")), (4, changed), (3, "short line\n" * 5), (1, None)], "doc_id long, text string")
-    out = rows(paragraph_dedup.repeated_paragraphs(docs), "doc_id", "paragraph", "first_doc_id", "copies", "removed")
+    found = paragraph_dedup.repeated_paragraphs(docs).filter("unit = 'line'")
+    out = rows(found.filter("n_words > 2"), "doc_id", "paragraph", "first_doc_id", "copies", "removed")
     sets = {d: shingle_set(t, 5) for d, t in ((5, p), (9, p.replace("word7", "x")), (4, changed))}
 
     def close(a, b):
@@ -117,12 +156,36 @@ def test_paragraphs_in_other_places(spark):
     assert not close(5, 4)
     n = 3 if close(5, 9) else 2
     assert (2, 0, 2, n, False) in out and (5, 1, 2, n, True) in out and len(out) == n
+    assert rows(found.filter("n_words = 2"), "doc_id", "paragraph", "copies", "removed") == [(3, i, 5, i > 0) for i in range(5)]
     assert paragraph_dedup.repeated_paragraphs(empty_documents(spark)).count() == 0
 
 
+def test_short_and_wrapped_paragraphs(spark):
+    line = " ".join(f"w{i}" for i in range(24))
+    long = [f"p{i}" for i in range(120)]
+
+    def wrapped(words, n):
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+    changed = [*long[:60], "new", *long[61:]]
+    docs = [(1, f"one intro\n\n{line}"), (2, f"{line}\n\nother end"), (3, f"head a\n \n{wrapped(long, 12)}"), (4, f"{wrapped(changed, 17)}\n\ntail b"), (5, " ".join(long))]
+    out = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows(out.filter("unit = 'line'"), "doc_id", "paragraph", "first_doc_id", "copies", "removed") == [(1, 2, 1, 2, False), (2, 0, 1, 2, True)]
+    assert {r[:4] for r in rows(out.filter("unit = 'block'"), "doc_id", "paragraph", "first_doc_id", "copies", "removed")} == {(1, 2, 1, 2), (2, 0, 1, 2), (3, 2, 3, 3), (4, 0, 3, 3), (5, 0, 3, 3)}
+
+
+def test_null_ids_keep_their_links(spark):
+    p = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, p), (None, p), (2, p.replace("word30 ", "x "))], "doc_id long, text string")
+    out = paragraph_dedup.repeated_paragraphs(docs).filter("unit = 'line'")
+    assert rows(out, "doc_id", "first_doc_id", "copies", "removed") == sorted([(1, 1, 3, False), (2, 1, 3, True), (None, 1, 3, True)], key=repr)
+
+
 def test_paragraphs_odd_documents(spark):
-    out = rows(paragraph_dedup.repeated_paragraphs(odd_documents(spark)), "doc_id", "first_doc_id", "copies", "removed")
-    assert out == [(6, 6, 3, False), (6, 6, 3, False), (7, 6, 3, True)]
+    out = rows(paragraph_dedup.repeats(odd_documents(spark)), "doc_id", "unit", "first_doc_id", "copies", "removed")
+    assert [r for r in out if r[1] == "line"] == [(6, "line", 6, 3, False), (6, "line", 6, 3, False), (7, "line", 6, 3, True)]
+    assert (7, "passage", None, None, True) in out
+    assert paragraph_dedup.repeats(empty_documents(spark)).count() == 0
 
 
 def naive_passages(docs, split, words=50):
@@ -160,7 +223,7 @@ def test_passages_ignore_lines(spark):
         (9, " ".join([*p[:49], *other(60)])), (10, " ".join(["again", "and"] * 60)), (11, None), (12, ""), (4, "short"),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert not {3, 4, 5, 6, 7, 8} & {r["doc_id"] for r in paragraph_dedup.repeated_paragraphs(df).collect()}
+    assert {3, 4, 5, 6, 7, 8} == {r["doc_id"] for r in paragraph_dedup.repeats(df).filter("unit = 'passage' OR n_words > 9").collect()} - {10}
     out = rows(paragraph_dedup.repeated_passages(df), "doc_id", "first_word", "n_words", "removed")
     assert out == naive_passages(docs, lambda t: re.findall("[\u4e00-\u9fff]|[a-z0-9]+", t.lower()))
     assert {(7, 150, 55, True), (3, 90, 55, False), (5, 30, 50, True), (8, 0, 60, True)} <= set(out) and 9 not in {r[0] for r in out}
@@ -186,11 +249,3 @@ def test_connected_components(spark, seed):
     expected = smallest_reachable(ids, lambda a, b: (a, b) in edges or (b, a) in edges)
     out = common.connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["component"] for r in out.collect()} == expected
-
-
-def test_overlaps():
-    rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 50, rng.integers(1, 40)).astype(np.uint64)) for _ in range(12)]
-    expected = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
-    assert common.overlaps(sets).tolist() == expected
-    assert common.overlaps(sets, most_cells=24).tolist() == expected
