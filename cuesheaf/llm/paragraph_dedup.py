@@ -101,50 +101,62 @@ def unit_table(docs: DataFrame) -> DataFrame:
     return _located(docs).mapInArrow(run, "doc_id long, version long, unit int, at int, n_words int, pid long")
 
 
-def unit_sets(docs: DataFrame, chosen: DataFrame, keys: bool) -> DataFrame:
-    """(pid, n, keys, sketch) or, without keys, (pid, items) of the chosen (doc_id, version, unit, at, pid) units, one row each."""
+def _shingled(unit: int, words: list[bytes]) -> np.ndarray:
+    return np.unique(shingles(word_hashes(words), SHINGLE) ^ np.uint64(unit))  # lines and blocks share nothing
+
+
+def unit_sets(docs: DataFrame) -> DataFrame:
+    """(sid, gid, n, keys, sketch) of the different units of more than SHINGLE words; gid is sid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            found = {content_id(u, w): (u, w) for t in utf8(b.column(0)) for u, _, w in units(t) if len(w) > SHINGLE}
+            if not found:
+                continue
+            parts = [_shingled(u, w) for u, w in found.values()]
+            sizes = np.array([len(x) for x in parts])
+            keys = band_keys(np.concatenate(parts), sizes)
+            ends = pa.array(range(0, keys.size + 1, BANDS), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), pa.array([sketch(x) for x in parts], pa.binary())], ["sid", "n", "keys", "sketch"])
+
+    return docs.select("text").mapInArrow(run, "sid long, n long, keys array<long>, sketch binary").dropDuplicates(["sid"]).withColumn("gid", F.col("sid"))
+
+
+def unit_items(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, items): shingles of the chosen units (doc_id, version, unit, at, pid), one row each."""
     wanted = chosen.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("version").alias("w_version")).agg(F.collect_list(F.struct("unit", "at", "pid")).alias("parts"))
     d = _located(docs)
-    texts = d.join(sized_broadcast(stored(wanted)), F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("version") == F.col("w_version"))).select("text", "parts")
+    texts = d.join(sized_broadcast(stored(wanted), 200_000), F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("version") == F.col("w_version"))).select("text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            ids, parts = [], []
+            rows = []
             for t, asked in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
                 have = {(u, at): words for u, at, words in units(t)}
                 for p in asked:
                     words = have.get((p["unit"], p["at"]))
                     if words and content_id(p["unit"], words) == p["pid"]:
-                        ids.append(p["pid"])
-                        parts.append(np.unique(shingles(word_hashes(words), SHINGLE) ^ np.uint64(p["unit"])))  # lines and blocks share nothing
-            if not ids:
-                continue
-            if not keys:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["pid", "items"])
-                continue
-            sizes = np.array([len(x) for x in parts])
-            found = band_keys(np.concatenate(parts), sizes)
-            ends = pa.array(range(0, found.size + 1, BANDS), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(found.ravel())), pa.array([sketch(x) for x in parts], pa.binary())], ["pid", "n", "keys", "sketch"])
+                        rows.append((p["pid"], _shingled(p["unit"], words).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], ["id", "items"])
 
-    return texts.mapInArrow(run, "pid long, n long, keys array<long>, sketch binary" if keys else "pid long, items binary").dropDuplicates(["pid"])
+    return texts.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
 
 def clusters(docs: DataFrame, table: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component): pid and cluster of the different units of the stored table that link to another one."""
-    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "unit", "at")).alias("rep")
-    reps = stored(table.filter(F.col("n_words") > SHINGLE).groupBy("pid").agg(rep).select("rep.doc_id", "rep.version", "rep.unit", "rep.at", "pid"))
-    sets = stored(unit_sets(docs, reps, True))
-    rows = sets.select(F.explode("keys").alias("h"), F.col("pid").alias("gid"), "n", F.lit(0).alias("place"))
+    sets = stored(unit_sets(docs))
+    rows = sets.select(F.explode("keys").alias("h"), "gid", "n", F.lit(0).alias("place"))
     shared = rows.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1").select(F.col("h").alias("s_h"))
     alive = stored(rows.join(sized_broadcast(stored(shared)), F.col("h") == F.col("s_h"), "left_semi"))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        chosen = reps.join(sized_broadcast(ids), F.col("pid") == F.col("id")).drop("id")
-        return unit_sets(docs, chosen, False).select(F.col("pid").alias("id"), "items")
+        rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "unit", "at")).alias("rep")
+        reps = table.join(sized_broadcast(ids), F.col("pid") == F.col("id")).groupBy("pid").agg(rep)
+        return unit_items(docs, reps.select("rep.doc_id", "rep.version", "rep.unit", "rep.at", "pid"))
 
-    out = link_components(alive, sets.select(F.col("pid").alias("sid"), F.col("pid").alias("gid"), "n", "sketch"), fetch, percent)
-    discard(alive, sets, reps)
+    out = link_components(alive, sets, fetch, percent)
+    discard(alive, sets)
     return out
 
 

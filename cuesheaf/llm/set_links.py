@@ -28,6 +28,8 @@ from .common import connected_components, discard, runs, sized_broadcast, stored
 BUCKET_ROWS = 3000
 MOST_BITS = 1 << 12
 GROUP_ROWS = 64
+#: Rows of a table that a join here broadcasts; several may be held at once.
+LOCAL_ROWS = 100_000
 _PAIR = "a long, b long"
 
 
@@ -125,9 +127,9 @@ def group_members(sets: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         s = sets.withColumn("comp", F.col("sid"))
     else:
-        s = sets.join(sized_broadcast(comps), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
+        s = sets.join(sized_broadcast(comps, LOCAL_ROWS), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
     chunks = s.groupBy(F.col("gid").alias("c_gid")).agg(F.ceil(F.count("*") / GROUP_ROWS).alias("chunks")).filter("chunks > 1")
-    s = s.join(sized_broadcast(stored(chunks)), F.col("gid") == F.col("c_gid"), "left")
+    s = s.join(sized_broadcast(stored(chunks), LOCAL_ROWS), F.col("gid") == F.col("c_gid"), "left")
     chunk = F.pmod(F.xxhash64("sid"), F.coalesce("chunks", F.lit(1))).alias("chunk")
     out = s.groupBy("gid", chunk).agg(F.collect_list("sid").alias("sids"), F.collect_list("comp").alias("comps"), F.collect_list("sketch").alias("sketches"))
     return out.select(F.col("gid").alias("m_gid"), "sids", "comps", "sketches", F.when(F.array_min("comps") == F.array_max("comps"), F.array_min("comps")).alias("comp"))
@@ -140,7 +142,7 @@ def bucket_pairs(rows: DataFrame, members: DataFrame, percent: int, bucket_rows:
     major = F.max_by("comp", F.when(F.col("comp").isNotNull(), F.col("rows")).otherwise(0))
     shape = per.groupBy("h", "own").agg(F.sum("rows").alias("rows"), F.count("*").alias("kinds"), F.max(F.col("comp").isNull()).alias("mixed"), major.alias("major"), F.max(F.when(F.col("comp").isNotNull(), F.col("rows"))).alias("most"))
     shape = stored(shape.filter("kinds > 1 OR mixed").select(F.col("h").alias("s_h"), F.col("own").alias("s_own"), "rows", "major", F.coalesce("most", F.lit(0)).alias("most")))
-    met = met.join(sized_broadcast(shape), (F.col("h") == F.col("s_h")) & (F.col("own") == F.col("s_own"))).drop("s_h", "s_own")
+    met = met.join(sized_broadcast(shape, LOCAL_ROWS), (F.col("h") == F.col("s_h")) & (F.col("own") == F.col("s_own"))).drop("s_h", "s_own")
     deal = F.xxhash64("gid", F.element_at("sids", 1), F.lit(star or 0))
     if star is not None:
         dealt = met.withColumn("i", F.pmod(deal, F.ceil(F.col("rows") / bucket_rows)).cast("int")).withColumn("j", F.lit(0)).withColumn("block", F.lit(None).cast("int"))
@@ -211,7 +213,7 @@ def link_components(rows: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame
     for star in [0, *([1] if largest > bucket_rows else []), None]:
         pairs = bucket_pairs(met, group_members(sets.select("sid", "gid", "sketch"), comps), percent, bucket_rows, star)
         if tried is not None:
-            pairs = pairs.join(sized_broadcast(tried), ["a", "b"], "left_anti")
+            pairs = pairs.join(sized_broadcast(tried, LOCAL_ROWS), ["a", "b"], "left_anti")
         pairs = stored(pairs)
         old.append(pairs)
         if not pairs.limit(1).count():
