@@ -1,22 +1,23 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are word sequences, lower-cased, without ASCII punctuation. Windows of MIN_MATCH words that a
-document shares with a benchmark item are the seeds (rolling Karp-Rabin hashes against the seed
-table of a bounded block of items). For each document and item with seeds, the longest match
-that overlaps no marked word is marked, again and again, until none of MIN_MATCH words is left.
-The share of the item's words that are marked decides: order does not matter, so passages with
-their parts moved are caught.
+Texts are word sequences, lower-cased, without ASCII punctuation; a character of an unspaced script is a
+word. Windows of MIN_MATCH words that a document shares with a benchmark item are the seeds (Karp-Rabin hashes
+against the seed table of a bounded block of items). Equal windows are counted, never paired. For each document
+and item whose seeds can cover enough, the longest match that overlaps no marked word is
+marked, again and again, until none of MIN_MATCH words is left: a bisection with rolling hashes
+of growing windows finds the longest length, and one pass marks its matches. The share of the
+item's words that are marked decides: order does not matter, so passages with their parts moved are caught.
 
 Defined cases: null and empty texts match nothing; items of fewer than MIN_MATCH words are never
-matched; repeated rows of documents or items are matched alike; empty tables give no rows; other
-columns are ignored.
+matched, as they stand in most texts by chance; of equally long matches the first in the text is marked, then the first in
+the item; a very long text, or one word repeated, costs its length times a logarithm for each length of a tile; repeated rows
+of documents or items are matched alike; null ids stay null; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,16 @@ COVERAGE_PERCENT = 60
 BLOCK_CHARS = 16_000_000
 #: ASCII characters other than letters and digits end a word.
 _BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+#: Thai to Lao, Burmese, Khmer, kana and Han: scripts without spaces.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
 
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of a text's words."""
+    if text and not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
     found = text.lower().encode().translate(_BREAKS).split() if text else []
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
@@ -52,50 +57,89 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def tiles(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from the seed pairs (text place, item place): (length, text place, item place) of each tile."""
-    lanes = defaultdict(list)
-    for i, j in seeds:
-        if np.array_equal(text[i : i + k], item[j : j + k]):
-            lanes[i - j].append(i)
-    heap = []
-    for lane, places in lanes.items():
-        places.sort()
-        first = last = places[0]
-        for i in [*places[1:], None]:
-            if i is None or i != last + 1:
-                heap.append((-(last - first + k), first, first - lane))
-                first = i
-            last = i
-    heapify(heap)
-    used_text, used_item = np.zeros(len(text), bool), np.zeros(len(item), bool)
-    out = []
-    while heap:
-        length, i, j = heappop(heap)
-        length = -length
-        taken = used_text[i : i + length] | used_item[j : j + length]
-        if not taken.any():
-            used_text[i : i + length] = used_item[j : j + length] = True
-            out.append((length, i, j))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
-        for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if hi - lo >= k:
-                heappush(heap, (lo - hi, i + lo, j + lo))
+class Rolling:
+    """Karp-Rabin hashes of all windows of any length of a sequence, each in one vector operation."""
+
+    def __init__(self, h: np.ndarray):
+        n, self.h = len(h), h
+        self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE), dtype=np.uint64)])
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(h * self.power[:n], dtype=np.uint64)])
+        self.used = np.zeros(n, bool)
+
+    def free(self, length: int) -> np.ndarray:
+        """Starts of the windows without a marked word."""
+        taken = np.concatenate([[0], np.cumsum(self.used)])
+        return np.flatnonzero(taken[length:] == taken[: len(taken) - length])
+
+    def at(self, starts: np.ndarray, length: int, longest: int) -> np.ndarray:
+        """Hashes of the windows at the starts, all brought to the same power; odd factors lose nothing modulo 2^64."""
+        return (self.sums[starts + length] - self.sums[starts]) * self.power_to(longest - starts)
+
+    def power_to(self, n: np.ndarray) -> np.ndarray:
+        if len(self.power) <= n.max(initial=0):
+            self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(int(n.max()), _BASE), dtype=np.uint64)])
+        return self.power[n]
+
+
+def tiles(text: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling: (length, text place, item place) of each tile, the longest first, then by text place and item place."""
+    if not len(text) or not len(item):
+        return []
+    a, b = Rolling(text), Rolling(item)
+    far = max(len(text), len(item))
+    out: list[tuple[int, int, int]] = []
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        x, y = a.free(length), b.free(length)
+        if not len(x) or not len(y):
+            return None
+        u, v = a.at(x, length, far), b.at(y, length, far)
+        x, u = x[hit := np.isin(u, v)], u[hit]
+        return (x, u, y, v) if len(x) else None
+
+    top = min(len(text), len(item))
+    while top >= k:
+        low, high, found = k - 1, top, None
+        while low < high:  # the longest length that has a match: whatever is shared has shorter parts that are
+            middle = (low + high + 1) // 2
+            if now := common(middle):
+                low, found = middle, (middle, now)
+            else:
+                high = middle - 1
+        if found is None:
+            break
+        length, (x, u, y, v) = found
+        places: dict[int, list[int]] = {}
+        for j, value in zip(y.tolist(), v.tolist(), strict=True):
+            places.setdefault(value, []).append(j)
+        last = -length
+        for i, value in zip(x.tolist(), u.tolist(), strict=True):
+            if i < last + length:
+                continue
+            left = places[value]
+            while left and (b.used[left[0] : left[0] + length].any() or not np.array_equal(text[i : i + length], item[left[0] : left[0] + length])):
+                left.pop(0)
+            if left:
+                j = left.pop(0)
+                a.used[i : i + length] = b.used[j : j + length] = True
+                out.append((length, i, j))
+                last = i
+        top = length - 1
     return out
 
 
 class Seeds:
-    """The seed table of a block of items."""
+    """The seed table of a block of items: each different window of an item once, with the number of its places."""
 
     def __init__(self, items: list[tuple[int, str]], k: int):
         self.k, self.ids, self.items = k, [i for i, _ in items], [tokens(t) for _, t in items]
-        table = [windows(h, k) for h in self.items]
-        self.item = np.repeat(np.arange(len(table)), [len(w) for w in table])
-        self.place = np.concatenate([np.arange(len(w)) for w in table]) if table else np.zeros(0, np.int64)
-        keys = np.concatenate(table) if table else np.zeros(0, np.uint64)
+        table = [np.unique(windows(h, k), return_counts=True) for h in self.items]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in table)])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.place = keys[order], self.item[order], self.place[order]
+        self.keys = keys[order]
+        self.item = np.repeat(np.arange(len(table)), [len(w) for w, _ in table])[order]
+        self.times = np.concatenate([np.zeros(0, np.int64), *(n for _, n in table)])[order]
+        self.size = np.array([len(h) for h in self.items], np.int64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
 
@@ -104,20 +148,27 @@ class Seeds:
         h = tokens(text)
         w = windows(h, self.k)
         near = np.flatnonzero(self.filter[w >> np.uint64(64 - _FILTER_BITS)])
-        lo, hi = np.searchsorted(self.keys, w[near]), np.searchsorted(self.keys, w[near], side="right")
-        seeds = defaultdict(list)
-        for i, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-            for s in range(a, b):
-                seeds[int(self.item[s])].append((i, int(self.place[s])))
+        values = np.unique(w[near])
+        lo, hi = np.searchsorted(self.keys, values), np.searchsorted(self.keys, values, side="right")
+        lo, n = lo[hi > lo], (hi - lo)[hi > lo]
+        if not len(lo):
+            return []
+        met = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())  # rows of the table that the text has
+        used, at = np.unique(self.item[met], return_inverse=True)
+        most = np.minimum(np.bincount(at, self.times[met]) * self.k, self.size[used])
         out = []
-        for item, pairs in seeds.items():
-            n = len(self.items[item])
-            if 100 * (len({j for _, j in pairs}) * self.k) < percent * n:
-                continue
-            found = tiles(h, self.items[item], pairs, self.k)
+        for item in used[100 * most >= percent * self.size[used]].tolist():
+            here = near[np.isin(w[near], self.keys[met[self.item[met] == item]])]
+            inside = np.zeros(len(h) + 1, np.int64)
+            np.add.at(inside, here, 1)
+            np.add.at(inside, here + self.k, -1)
+            inside = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+            part = h[inside]
+            gaps = np.flatnonzero(np.diff(inside) > 1) + 1  # words that no seed covers become one word that no item has
+            found = tiles(np.insert(part, gaps, np.uint64(0)), self.items[item], self.k)
             words = sum(length for length, _, _ in found)
-            if 100 * words >= percent * n:
-                out.append((self.ids[item], round(words / n, 6), len(found), words))
+            if 100 * words >= percent * self.size[item]:
+                out.append((self.ids[item], round(words / int(self.size[item]), 6), len(found), words))
         return out
 
 
@@ -127,8 +178,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, percent: in
     A benchmark within `block_chars` is one block; a larger one is dealt by hash into blocks,
     each of which meets all documents in a pass of its own.
     """
-    out = None
-    for sent in blocks_of(docs, benchmark, block_chars):
+    sc, out = docs.sparkSession.sparkContext, None
+    for block in blocks_of(benchmark, block_chars):
+        sent = sc.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             table = Seeds(sent.value, k)
@@ -143,17 +195,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, percent: in
     return out
 
 
-def blocks_of(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> list:
-    """The items as broadcast blocks of about `block_chars` characters."""
+def blocks_of(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about `block_chars` characters, one after the other: the driver holds one at a time."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
-    parts = [benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text").filter("text IS NOT NULL") for k in range(blocks)]
-    return [docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in p.collect()]) for p in parts]
+    for k in range(blocks):
+        part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text").filter("text IS NOT NULL")
+        yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, percent: int = COVERAGE_PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without the documents that cover a benchmark item; all columns stay and nothing is shuffled."""
-    for sent in blocks_of(docs, benchmark, block_chars):
+    sc = docs.sparkSession.sparkContext
+    for block in blocks_of(benchmark, block_chars):
+        sent = sc.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             table = Seeds(sent.value, k)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -58,8 +59,8 @@ def test_documents_that_occur_twice_differ_from_those_that_occur_once(spark):
 
 
 def naive_tiles(text, item, k):
-    """Greedy string tiling by trying all pairs; only the sum of the lengths is unique."""
-    used_t, used_i, total = [False] * len(text), [False] * len(item), 0
+    """Greedy string tiling by trying all pairs: the longest match, then the first in the text, then in the item."""
+    used_t, used_i, out = [False] * len(text), [False] * len(item), []
     while True:
         best = (0, 0, 0)
         for i in range(len(text)):
@@ -70,24 +71,51 @@ def naive_tiles(text, item, k):
                 best = max(best, (n, -i, -j))
         n, i, j = best[0], -best[1], -best[2]
         if n < k:
-            return total
-        total += n
+            return out
+        out.append((n, i, j))
         used_t[i : i + n] = used_i[j : j + n] = [True] * n
 
 
-@pytest.mark.parametrize("seed", range(25))
+@pytest.mark.parametrize("seed", range(60))
 def test_tiles_equal_naive_tiling(seed):
     rng = random.Random(seed)
-    item = [rng.randrange(12) for _ in range(30)]
+    kinds = rng.choice([2, 4, 12])
+    item = [rng.randrange(kinds) for _ in range(30)]
     cut = rng.randrange(30)
-    text = [rng.randrange(12) for _ in range(10)] + item[cut:] + [rng.randrange(12) for _ in range(3)] + item[:cut]
-    t, i = np.array(text, np.uint64), np.array(item, np.uint64)
-    seeds = [(a, b) for a in range(len(text) - 2) for b in range(len(item) - 2) if text[a : a + 3] == item[b : b + 3]]
-    found = decontaminate.tiles(t, i, seeds, 3)
-    assert [length for length, _, _ in found] == sorted((length for length, _, _ in found), reverse=True)
-    assert all(text[a : a + n] == item[b : b + n] for n, a, b in found)
-    assert len({x for n, a, _ in found for x in range(a, a + n)}) == len({x for n, _, b in found for x in range(b, b + n)}) == sum(n for n, _, _ in found)
-    assert abs(sum(n for n, _, _ in found) - naive_tiles(text, item, 3)) <= 6  # ties may be broken another way
+    text = [rng.randrange(kinds) for _ in range(10)] + item[cut:] + [rng.randrange(kinds) for _ in range(3)] + item[:cut]
+    hashes = np.random.default_rng(seed).integers(1, 1 << 63, kinds, dtype=np.uint64)
+    for k in (3, 5):
+        assert decontaminate.tiles(hashes[text], hashes[item], k) == naive_tiles(text, item, k)
+
+
+def test_matches_equal_naive_tiling_on_documents(spark):
+    split = re.compile("[^\\x00-/:-@\\[-`{-\\x7f]+")
+    items = [(r["item_id"], split.findall(r["text"].lower())) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    expected = []
+    for r in docs.collect():
+        w = split.findall(r["text"].lower())
+        have = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for item_id, item in items:
+            if 60 * len(item) <= 500 * sum(tuple(item[i : i + 5]) in have for i in range(len(item) - 4)):
+                found = naive_tiles(w, item, 5)
+                n = sum(length for length, _, _ in found)
+                if 100 * n >= 60 * len(item):
+                    expected.append((r["doc_id"], item_id, round(n / len(item), 6), len(found), n))
+    assert rows(queries.op2_string_tiling(spark, SMALL), "doc_id", "item_id", "coverage", "tiles", "words") == sorted(expected, key=repr) and len(expected) >= 3
+
+
+def test_repeated_words_cost_no_square():
+    table = decontaminate.Seeds([(1, "a " * 400), (2, "b " * 30 + "a " * 30)], 5)
+    began = time.monotonic()
+    assert table.matches("a " * 100_000 + "b " * 100_000, 60) == [(1, 1.0, 1, 400), (2, 1.0, 2, 60)]
+    assert time.monotonic() - began < 5
+
+
+def test_unspaced_scripts_match_by_character():
+    item = "".join(chr(0x4E00 + 7 * i) for i in range(20))
+    table = decontaminate.Seeds([(1, item)], 5)
+    assert table.matches(f"before{item[10:]}、{item[:10]}after", 60) == [(1, 1.0, 2, 20)] and not table.matches(item[:8], 60)
 
 
 def test_reordered_passages_are_leaks(spark):
