@@ -65,6 +65,18 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def trigram_slots(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash slots of the 3-byte n-grams of all words with < and > at their ends, one word after the other, and how many each word has."""
+    whole = [w or b">" for w in words]
+    c = np.frombuffer(b"<" + b"><".join(whole) + b">", np.uint8).astype(np.uint32)
+    size = np.fromiter(map(len, whole), np.int64, len(whole))
+    h = (c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA6B) ^ c[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
+    inside = np.ones(len(h) + 2, bool)
+    ends = np.cumsum(size + 2)
+    inside[ends - 1] = inside[ends - 2] = False
+    return (h >> np.uint32(32 - bits))[inside[: len(h)]].astype(np.int64), size
+
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -132,17 +144,28 @@ def in_fold(doc_id, folds: int, fold: int) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == fold
 
 
-def labelled_sample(docs: DataFrame, known: DataFrame, per_class: int) -> tuple[list[tuple[str, object]], dict]:
+#: Rows that a training sample holds in all, however many labels there are, and bytes of a text in it.
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 1_000_000
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, per_class: int, most_rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[tuple[str, object]], dict]:
     """At most `per_class` (text, label) of each label, by hash of doc_id, and the count of every label.
 
-    known: (doc_id, label). The ids are picked among the labels alone, so only the sample's texts move.
+    known: (doc_id, label). The ids are picked among the labels alone, so only the sample's texts move. The sample
+    is bounded: with more than `most_rows` / `per_class` labels each gives fewer rows, of more than `most_rows` labels the
+    most frequent ones teach, and a text of over `most_bytes` bytes teaches nothing.
     """
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    often = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_rows).collect()
+    counts = {r["label"]: r["count"] for r in often}
+    per_class = max(1, min(per_class, most_rows // max(1, len(often))))
     keyed = known.select(F.col("doc_id").alias("k_doc_id"), "label", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("key"))
+    if len(often) == most_rows:
+        keyed = keyed.filter(F.col("label").isin(list(counts)))
     keyed = keyed.withColumn("part", F.substring("key", -2, 2))
     for parts in (["label", "part"], ["label"]):  # a label of a third of all rows is first cut in 256 parts
         order = Window.partitionBy(*parts).orderBy("key", "k_doc_id")
         keyed = keyed.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_class).drop("at")
     ids = keyed.select("k_doc_id", "label")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("k_doc_id")).select("doc_id", "label", "text").collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= most_bytes)
+    rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("k_doc_id")).select("doc_id", "label", "text").collect()  # ids: at most most_rows
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], str(r["label"]), r["text"]))], counts

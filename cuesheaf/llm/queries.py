@@ -31,7 +31,7 @@ def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    return secret_ledger.digest(secret_ledger.scan_versions(docs)[0])
+    return secret_ledger.digest(secret_ledger.scan_batches(docs)[0])
 
 
 def op6_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 Every version of a document is addressed by the SHA-256 of its content. The ledger holds the
 (blob, rules_version) pairs that were scanned, the findings those that hold a secret. A run scans only
 pairs that the ledger lacks, each blob once however many paths hold it, and joins findings back
-to all paths. Texts move in a shuffle only if they hold a keyword of a rule.
+to all paths. Texts move in a shuffle only if they hold a keyword of a rule. Versions arrive in
+batches (scan_batches): each one is scanned against the stored ledger of those before it.
 
-Defined cases: a null text is the empty blob; repeated rows are paths of their own; an empty table
-scans nothing; other columns are ignored.
+Defined cases: a null text is the empty blob; a null path is a path; a very long text is one blob like others; spans that tie in
+their start are in the order of the kinds; repeated rows are paths of their own; an empty table scans nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,16 +83,35 @@ def unseen_findings(versions: DataFrame, ledger: DataFrame | None = None, versio
     return new.select("blob", rows), stored(found.select("blob", rows, "spans"))
 
 
+def joined_back(versions: DataFrame, findings: DataFrame, version: str = VERSION) -> DataFrame:
+    """(path, blob, spans) of every row of versions (path, text), from stored findings."""
+    now = findings.filter(F.col("rules_version") == version).select(F.col("blob").alias("f_blob"), "spans")
+    out = blobs(versions).select("path", "blob").join(sized_broadcast(now, 200_000), F.col("blob") == F.col("f_blob"), "left")
+    empty = F.array().cast(f"array<{SPAN}>")
+    return out.select("path", "blob", F.coalesce("spans", empty).alias("spans"))
+
+
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, version: str = VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Findings of every path (path, blob, spans), the whole ledger and all findings after the run."""
     more, found = unseen_findings(versions, ledger, version)
     found = found if findings is None else findings.unionByName(found)
     ledger = more if ledger is None else ledger.unionByName(more)
-    now = found.filter(F.col("rules_version") == version).select(F.col("blob").alias("f_blob"), "spans")
-    paths = blobs(versions).select("path", "blob")
-    out = paths.join(now, F.col("blob") == F.col("f_blob"), "left")
-    empty = F.array().cast(f"array<{SPAN}>")
-    return out.select("path", "blob", F.coalesce("spans", empty).alias("spans")), ledger, found
+    return joined_back(versions, found, version), ledger, found
+
+
+def scan_batches(versions: DataFrame, batches: int = 2, version: str = VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """scan_versions over all versions (path, text), which arrive in batches by a hash of the path.
+
+    The ledger and the findings of a batch are stored before the next one, which scans only the
+    blobs that are still unseen; the findings are joined back to the paths of all batches at the end.
+    """
+    ledger = findings = None
+    for k in range(batches):
+        part = versions.filter(F.pmod(F.xxhash64("path"), F.lit(batches)) == k)
+        more, found = unseen_findings(part, ledger, version)
+        ledger = stored(more if ledger is None else ledger.unionByName(more))
+        findings = found if findings is None else stored(findings.unionByName(found))
+    return joined_back(versions, findings, version), ledger, findings
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:

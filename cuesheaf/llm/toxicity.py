@@ -8,7 +8,8 @@ of labelled documents; vectors start from log-odds of the labels, each toxic doc
 likeliest window and the others give theirs and random ones.
 
 Defined cases: a null text counts as empty; an empty one, or any where training saw fewer than two
-classes, scores 0; repeated rows are scored alike; an empty table gives no rows; other columns are ignored.
+classes, scores 0; a very long text is scored in all its windows, a very long word by all its 3-grams; of equally likely windows the
+first trains; null ids and labels teach nothing; repeated rows are scored alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, labelled_sample, small_batches, utf8
+from .common import in_fold, labelled_sample, small_batches, trigram_slots, utf8
 
 WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 6, 6, 8, 6
 CHAR_BITS = 14
 CHAR_SLOTS = 1 << CHAR_BITS
-MOST_WORDS = 50_000
 SAMPLE_PER_CLASS = 1200
 EPOCHS = 5
 THRESHOLD = 0.3
@@ -43,14 +43,7 @@ def normal(text: bytes) -> list[bytes]:
 
 def char_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the character 3-grams of all words, one word after the other, and how many each word has."""
-    whole = [w or b">" for w in words]
-    c = np.frombuffer(b"<" + b"><".join(whole) + b">", np.uint8).astype(np.uint32)
-    size = np.fromiter(map(len, whole), np.int64, len(whole))
-    h = (c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA6B) ^ c[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
-    inside = np.ones(len(h) + 2, bool)
-    ends = np.cumsum(size + 2)
-    inside[ends - 1] = inside[ends - 2] = False
-    return (h >> np.uint32(32 - CHAR_BITS))[inside[: len(h)]].astype(np.int64), size
+    return trigram_slots(words, CHAR_BITS)
 
 
 def char_means(table: np.ndarray, words: list[bytes], step: int = 1 << 20) -> np.ndarray:
@@ -172,7 +165,7 @@ class Net:
         np.add.at(dwords, ids, dx)
         return g, dwords
 
-    def train(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 11, batch: int = 64) -> Net:
+    def train(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 11, batch: int = 64, from_odds: bool = True) -> Net:
         if len(set(labels)) < 2:
             return self
         rng = np.random.default_rng(seed)
@@ -183,17 +176,19 @@ class Net:
         for w in seen[0].keys() | seen[1].keys():
             n0, n1 = seen[0][w], seen[1][w]
             odds[w] = (np.log((n1 + 0.5) / (total[1] + 1)) - np.log((n0 + 0.5) / (total[0] + 1))) * (n0 + n1) / (n0 + n1 + 3)
-        ranked = sorted((w for w in odds if w and seen[0][w] + seen[1][w] >= 3), key=lambda w: (-abs(odds[w]), w))[:MOST_WORDS]
+        ranked = sorted((w for w in odds if w and seen[0][w] + seen[1][w] >= 3), key=lambda w: (-abs(odds[w]), w))
         self.words = {w: k for k, w in enumerate(ranked, 1)}
         self.w["word"] = (rng.standard_normal((len(ranked) + 1, WORD_DIM)) * 0.05).astype(np.float32)
         self.w["word"][0] = 0
-        self.w["word"][1:, 0] = [odds[w] for w in ranked]
+        if from_odds:
+            self.w["word"][1:, 0] = [odds[w] for w in ranked]
         sums = np.zeros((2, CHAR_SLOTS))
         if ranked:
             slots, size = char_slots(ranked)
             np.add.at(sums[0], slots, np.repeat([odds[w] for w in ranked], size))
             np.add.at(sums[1], slots, 1)
-        self.w["char"][:, 0] = sums[0] / (sums[1] + 1)
+        if from_odds:
+            self.w["char"][:, 0] = sums[0] / (sums[1] + 1)
         pieces = []
         for d, label in zip(docs, labels, strict=True):
             starts = windows(len(d))

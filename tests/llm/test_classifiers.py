@@ -5,12 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuesheaf.llm import queries, secret_ledger, string_kernel, subword_classifier, toxicity
+from cuesheaf.llm import common, queries, secret_ledger, string_kernel, subword_classifier, toxicity
 
 from ..conftest import SMALL
 from .helpers import empty_documents, odd_documents
 
 MEDIUM = "/root/testdata/sf0.01"
+LARGE = "/root/testdata/sf0.1"
 
 
 def accuracy(out, truth, column, answer):
@@ -18,6 +19,12 @@ def accuracy(out, truth, column, answer):
     return sum(r[0] == r[1] for r in both) / len(both)
 
 
+def precision_recall(out, truth, answer):
+    both = [(r["predicted"], r[answer]) for r in out.filter("held_out").join(truth, "doc_id").select("predicted", answer).collect()]
+    hit = sum(p * t for p, t in both)
+    return hit / sum(p for p, _ in both), hit / sum(t for _, t in both)
+
+
 def test_language_of_held_out_documents(spark):
     out = queries.op6_string_kernel(spark, MEDIUM).cache()
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
@@ -29,17 +36,95 @@ def test_language_of_held_out_documents(spark):
 def test_quality_of_held_out_documents(spark):
     out = queries.op10_subword_quality(spark, MEDIUM).cache()
     labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
-    assert accuracy(out, labels, "predicted", "quality") > 0.95
+    precision, recall = precision_recall(out, labels, "quality")
+    assert precision > 0.95 and recall > 0.95 and accuracy(out, labels, "predicted", "quality") > 0.95
     assert out.filter("score < 0 OR score > 1").count() == 0
 
 
 def test_toxicity_of_held_out_documents(spark):
-    out = queries.op7_bigru_toxicity(spark, MEDIUM).cache()
-    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
-    assert accuracy(out, labels, "predicted", "toxic") > 0.85
+    out = queries.op7_bigru_toxicity(spark, LARGE).cache()
+    labels = spark.read.parquet(f"{LARGE}/labels.parquet")
+    precision, recall = precision_recall(out, labels, "toxic")
+    assert precision > 0.7 and recall > 0.9
     assert out.filter("score < 0 OR score > 1").count() == 0
 
 
+def test_exact_ridge_regression_with_all_landmarks():
+    """Every document a landmark: the answers of one-versus-rest kernel ridge regression, solved directly."""
+    rng = np.random.default_rng(1)
+    words = {"aa": ["uno", "due", "tre", "sei"], "bb": ["one", "two", "six", "ten"], "cc": ["een", "twee", "zes", "tien"]}
+    sample = [(" ".join(rng.choice(w, 5)) + f" {lang}{i}", lang) for lang, w in words.items() for i in range(6)]
+    m = string_kernel.Machine(sample, landmarks=100)
+    new = [" ".join(rng.choice(w, 4)) for w in words.values()]
+
+    def grams(t):
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    def kernel(x, y):
+        return np.array([[len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b))) for b in y] for a in x])
+
+    texts = [t for t, _ in sample]
+    y = np.array([[1.0 if lang == other else -1.0 for other in sorted(words)] for _, lang in sample])
+    weight = 1 / 6
+    k, mean = kernel(texts, texts), y.mean(0)
+    alpha = np.linalg.solve(k * weight + string_kernel.RIDGE * weight * np.eye(len(texts)), weight * (y - mean))
+    margin = kernel(new, texts) @ alpha + mean
+    langs, scores = m.answers(new)
+    assert langs == [sorted(words)[i] for i in margin.argmax(1)] == list(words)
+    assert np.allclose(scores, np.clip((margin.max(1) + 1) / 2, 0, 1), atol=2e-3)
+
+
+def test_quality_scores_equal_a_plain_loop():
+    texts = [b"", b"one", b"good words go here", b"bad bad bad junk", b"good \xc3\xa9 " * 50, b"x" * 300]
+    model = subword_classifier.Model().train(texts * 6, [0, 1, 1, 0, 1, 0] * 6)
+    found = subword_classifier.Scorer(model.slot_logits(), float(model.bias[1] - model.bias[0]), model.prior, most=3)
+    e = model.embedding.astype(np.float64)
+    for text, score in zip(texts, found.scores(texts), strict=True):
+        words = text.split()
+        total = np.zeros(subword_classifier.DIM)
+        for i, w in enumerate(words):
+            slots = [*common.trigram_slots([w], subword_classifier.GRAM_BITS)[0], *subword_classifier.word_slots(common.word_hashes([w]))]
+            total += e[slots].mean(0)
+            if i:
+                total += e[subword_classifier.pair_slots(common.word_hashes(words[i - 1 : i + 1]))[0]]
+        z = total / max(1, len(words)) @ model.out + model.bias
+        assert abs(score - (np.exp(z[1]) / np.exp(z).sum() if words else model.prior)) < 1e-4
+    assert np.allclose([found.scores([t])[0] for t in texts], found.scores(texts))
+
+
+def test_window_scores_equal_a_plain_loop():
+    """One word at a time, by the equations of the net."""
+    net = toxicity.Net().train([b"a bad word here", b"all is fine"] * 20, [1, 0] * 20)
+    w, n = {k: v.astype(np.float64) for k, v in net.w.items()}, toxicity.HIDDEN
+
+    def window(words):
+        x = [np.concatenate([w["word"][net.words.get(v, 0)], w["char"][toxicity.char_slots([v])[0]].mean(0)]) for v in words]
+        both = []
+        for side, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, states = np.zeros(n), [None] * len(x)
+            for t in order:
+                p, u = x[t] @ w[f"x{side}"] + w[f"c{side}"], h @ w[f"u{side}"]
+                z, r = toxicity.sigmoid(p[:n] + u[:n]), toxicity.sigmoid(p[n : 2 * n] + u[n : 2 * n])
+                h = states[t] = z * h + (1 - z) * np.tanh(p[2 * n :] + r * u[2 * n :])
+            both.append(states)
+        s = np.concatenate([np.array(b) for b in both], 1)
+        e = np.exp(np.tanh(s @ w["wa"] + w["ba"]) @ w["va"])
+        return toxicity.sigmoid((e / e.sum()) @ s @ w["wo"] + w["bo"][0])
+
+    texts = [b"bad", b"fine all is", b"fine " * 70 + b"bad " + b"is " * 40, b"a word, here! " * 30]
+    for text, score in zip(texts, toxicity.Scorer(net).scores(texts), strict=True):
+        words = toxicity.normal(text)
+        assert abs(score - max(window(words[s : s + toxicity.WINDOW]) for s in toxicity.windows(len(words)))) < 1e-3
+
+
+def test_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (i + 1), f"l{i % 50}") for i in range(400)], "doc_id long, text string, label string")
+    sample, counts = common.labelled_sample(docs, docs.select("doc_id", "label"), 5, most_rows=100, most_bytes=300)
+    assert len(counts) == 50 and len(sample) <= 100 and max(len(t) for t, _ in sample) <= 300
+    few, _ = common.labelled_sample(docs, docs.select("doc_id", "label"), 5, most_rows=10)
+    assert len(few) == 10 and len({label for _, label in few}) == 10
+
+
 def test_presence_kernel_equals_sets():
     texts = ["the cat sat", "a dog ran by", "le chat dort"]
     m = string_kernel.Machine([(t, str(i)) for i, t in enumerate(texts)])
@@ -108,7 +193,7 @@ def test_character_ngrams_reach_the_end_of_a_long_word():
     long = b"x" * 200
     assert toxicity.char_slots([long + b"bad", b"", b"bad"])[1].tolist() == [203, 1, 3]
     assert toxicity.char_slots([long + b"bad"])[0][-2:].tolist() == toxicity.char_slots([b"xbad"])[0][-2:].tolist()
-    assert subword_classifier.features(long + b"bad")[-3:] == subword_classifier.features(b"xbad")[-3:] and len(subword_classifier.features(long)) == 201
+    assert {int(x) for x in common.trigram_slots([b"xbad"], subword_classifier.GRAM_BITS)[0][-3:]} <= {int(x) for x in subword_classifier.features(long + b"bad")[0]}
     table = np.random.default_rng(0).random((toxicity.CHAR_SLOTS, 3))
     words = [long, b"a", b"", b"some", b"y" * 77 + long, b"z"]
     expected = [table[toxicity.char_slots([w])[0]].mean(0) for w in words]
@@ -147,6 +232,10 @@ def test_quality_stage_equals_brute_force(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").selectExpr("doc_id", "quality AS label")
     model = subword_classifier.trained(docs, labels)
     rows = docs.collect()
-    scores = model.scores([r["text"].encode() for r in rows], model.word_logits().tolist(), {})
+    embedding, scores = model.embedding.astype(np.float64), []
+    for r in rows:
+        slots, weight = subword_classifier.features(r["text"].encode())
+        z = weight @ embedding[slots] @ model.out + model.bias
+        scores.append(np.exp(z[1]) / np.exp(z).sum() if len(slots) else model.prior)
     expected = {r["doc_id"] for r, s in zip(rows, scores, strict=True) if s >= 0.3}
     assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, SMALL).collect()} == expected

@@ -214,6 +214,18 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secret_ledger.unseen_findings(v2, ledger, version="2")[0].count() == 4
 
 
+def test_batches_scan_each_blob_once(spark, monkeypatch):
+    docs = [(f"p{i}", f"token = abcdefgh{i % 7}" if i % 2 else f"nothing {i % 5}") for i in range(40)] + [("z", None), ("p1", "again"), (None, "token = abcdefgh1")]
+    df = spark.createDataFrame(docs, "path string, text string")
+    seen, scan = [], secret_ledger.unseen_findings
+    monkeypatch.setattr(secret_ledger, "unseen_findings", lambda *a: seen.append(scan(*a)) or seen[-1])
+    out, ledger, findings = secret_ledger.scan_batches(df, 3)
+    blobs = {secret_ledger.sha256(t or "") for _, t in docs}
+    assert len(seen) == 3 and sum(m.count() for m, _ in seen) == ledger.count() == len(blobs) and findings.count() == 7
+    whole = secret_ledger.scan_versions(df)[0]
+    assert rows(out, "path", "blob", "spans") == rows(whole, "path", "blob", "spans") and out.count() == len(docs)
+
+
 def test_digest_of_all_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     expected = []
