@@ -32,7 +32,8 @@ def encode_policy(ext: Column) -> tuple[Column, Column, Column]:
 
 
 def has_skip_mark(path: Column) -> Column:
-    return path.rlike(r"_skip(_\d+)?\.[^./]*$")
+    """`_skip`, or `_skip_` and digits, before an image extension, in either case."""
+    return path.rlike(r"(?i)_skip(_\d+)?\.(png|jpe?g|gif)$")
 
 
 def webp_path(path: Column) -> Column:

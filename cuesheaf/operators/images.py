@@ -42,11 +42,12 @@ def already_converted(files: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def output_paths(files: DataFrame, existing: DataFrame, stamp: str) -> DataFrame:
-    """Adds output_path (.webp; with the stamp if existing has that path) and skip_path."""
+    """Adds output_path (.webp) and skip_path; each one with the stamp if existing has that path."""
     have = existing.select(F.col("path").alias("_have")).distinct()
-    out = M.webp_path(F.col("path"))
-    f = files.join(have, out == F.col("_have"), "left")
-    return f.withColumns({"output_path": F.when(F.col("_have").isNull(), out).otherwise(M.clash_path(out, stamp)), "skip_path": M.skip_path(F.col("path"))}).drop("_have")
+    f = files
+    for name, out in (("output_path", M.webp_path(F.col("path"))), ("skip_path", M.skip_path(F.col("path")))):
+        f = f.join(have, out == F.col("_have"), "left").withColumn(name, F.when(F.col("_have").isNull(), out).otherwise(M.clash_path(out, stamp))).drop("_have")
+    return f
 
 
 def savings_report(files: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cuesheaf.functions import text as T
 from cuesheaf.functions import urls
-from cuesheaf.sources.storage import stored
+from cuesheaf.sources.storage import discard, stored
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -146,9 +146,9 @@ def page_store_lookup(requests: DataFrame, pages: DataFrame, today: str) -> Data
 
 
 def images_to_fetch(links: DataFrame, files: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "gif", "webp")) -> DataFrame:
-    """links (folder, name) for which files (folder, path) have no file of the same clean name with one of the extensions."""
+    """links (folder, name) for which files (folder, path) have no file of the same clean name with one of the extensions, in lower case."""
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
-    have = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*extensions)).select("folder", stem.alias("stem")).distinct()
+    have = files.filter(F.regexp_extract("path", r"\.([^./]*)$", 1).isin(*extensions)).select("folder", stem.alias("stem")).distinct()
     return links.withColumn("stem", T.clean_filename(F.col("name"))).join(have, ["folder", "stem"], "left_anti")
 
 
@@ -167,23 +167,29 @@ def crawl_report(links: DataFrame, stored_pages: DataFrame) -> DataFrame:
 
 
 def pagination_walk(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(start, page, step): the pages met from each start (start, first number) along edges (src, dst), step from 0.
+    """(start, page, step, number): the pages met from each of starts (start, current) along edges (src, dst), step from 0.
 
+    The number of the first page is the leading whole number of its text `current`, else 1; each step adds one.
     Doubling: reached pages and jumps of 2^k steps, so a walk of n pages takes log2(n) joins. A page
-    met again is not visited again, which ends loops; a source has one edge.
+    met again is not visited again, which ends loops; of several edges of a source the one to the smallest page counts.
     """
-    reached = stored(starts.select("start", F.col("start").alias("page"), F.lit(0).cast("long").alias("step")))
-    jump = stored(edges.select("src", "dst", F.lit(1).cast("long").alias("hop")).dropDuplicates(["src"]))
+    first = F.coalesce(F.regexp_extract(T.strip(F.col("current")), r"^([+-]?[0-9]{1,18})", 1).try_cast("long"), F.lit(1).cast("long"))
+    numbers = starts.select("start", first.alias("first")).groupBy("start").agg(F.min("first").alias("first"))
+    reached = stored(numbers.select("start", F.col("start").alias("page"), F.lit(0).cast("long").alias("step")))
+    jump = stored(edges.groupBy("src").agg(F.min("dst").alias("dst")).select("src", "dst", F.lit(1).cast("long").alias("hop")))
     count = reached.count()
     while True:
         more = reached.join(jump, F.col("page") == F.col("src")).select("start", F.col("dst").alias("page"), (F.col("step") + F.col("hop")).alias("step"))
-        reached = stored(reached.unionByName(more).groupBy("start", "page").agg(F.min("step").alias("step")))
+        last, reached = reached, stored(reached.unionByName(more).groupBy("start", "page").agg(F.min("step").alias("step")))
+        discard(last)
         now = reached.count()
         if now == count:
-            return reached
+            discard(jump)
+            return reached.join(numbers, "start").select("start", "page", "step", (F.col("first") + F.col("step")).alias("number"))
         count = now
         other = jump.select(F.col("src").alias("dst"), F.col("dst").alias("_dst"), F.col("hop").alias("_hop"))
-        jump = stored(jump.join(other, "dst").select("src", F.col("_dst").alias("dst"), (F.col("hop") + F.col("_hop")).alias("hop")))
+        last, jump = jump, stored(jump.join(other, "dst").select("src", F.col("_dst").alias("dst"), (F.col("hop") + F.col("_hop")).alias("hop")))
+        discard(last)
 
 
 def plan_tag_crawl(tags: DataFrame, site: str) -> DataFrame:

@@ -87,16 +87,18 @@ def with_drop_reason(cues: DataFrame, patterns: Sequence[str] = DROP_PATTERNS, r
 
 
 def is_hallucination(text: Column, duration_ms: Column, patterns: Sequence[str] = DROP_PATTERNS) -> Column:
-    """Second rule set: a pattern at the start, under 0.5 characters a second over 3 s, over 12 a second, or blank; all characters count."""
+    """Second rule set: a pattern at the start, under 0.5 characters a second over 3 s, over 12 a second, or blank; blanks at the ends count as characters of the rate."""
     t = strip(text)
-    n = F.length(t)
+    n = F.length(text)
     slow = (duration_ms > 3000) & (n * 2000 < duration_ms)
     fast = (duration_ms > 0) & (n * 1000 > 12 * duration_ms)
-    return (n == 0) | t.rlike("^(?:" + "|".join(patterns) + ")") | slow | fast
+    return (F.length(t) == 0) | t.rlike("^(?:" + "|".join(patterns) + ")") | slow | fast
 
 
-def valid_chunk(duration_ms: Column, size_bytes: Column, least_ms: int = 100, least_bytes: int = 1000) -> Column:
-    return (duration_ms > least_ms) & (size_bytes > least_bytes)
+def valid_chunk(duration_ms: Column, size_bytes: Column, least_ms: int = 100, least_bytes: int = 1000, planned_ms: Column | None = None, least_planned_ms: int = 1000) -> Column:
+    """Long and large enough; where a planned length is given, as for the last chunk of a media, it is a second at least."""
+    ok = (duration_ms > least_ms) & (size_bytes > least_bytes)
+    return ok if planned_ms is None else ok & (planned_ms >= least_planned_ms)
 
 
 def near_white(r: Column, g: Column, b: Column) -> Column:

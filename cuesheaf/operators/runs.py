@@ -79,7 +79,7 @@ def chunk_count_check(media: DataFrame, chunks: DataFrame, segment_ms: int = 60_
 
 def latest_state(media: DataFrame, states: DataFrame, finished: DataFrame) -> DataFrame:
     """(media_id, class, processed, total) by the newest state: completed if all is processed and finished (media_id) has a transcript, else abnormal; continue; none without a state."""
-    w = Window.partitionBy("media_id").orderBy(F.desc("state_mtime"))
+    w = Window.partitionBy("media_id").orderBy(F.desc("state_mtime"), F.desc("processed"), F.desc("total"))
     last = states.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("media_id", "processed", "total")
     done = finished.select("media_id").distinct().withColumn("_done", F.lit(True))
     out = media.select("media_id").join(last, "media_id", "left").join(done, "media_id", "left")

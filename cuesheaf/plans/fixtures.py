@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     k = F.col("doc_id") + F.col("i")
-    text = F.when((k % 17).isin(0, 1), "yes").when(k % 23 == 0, "Thanks for watching.").when(k % 29 == 0, "haaaaaaa").when(k % 37 == 0, "").otherwise(F.trim(F.substring("line", 1, 60)))
+    text = F.when((k % 17).isin(0, 1), "yes").when(k % 23 == 0, "Thanks for watching.").when(k % 29 == 0, "haaaaaaa").when(k % 37 == 0, "").otherwise(F.trim("line"))
     speed = (F.col("doc_id") * 7 + F.col("i") * 13) % 8
     factor = F.when(speed == 0, 30).when(speed == 1, 4000).when(speed == 2, 600).when(speed == 3, 10).otherwise(90)
     gap = F.element_at(F.array(*map(F.lit, (0, 250, -200, 2500, 6000))), (k % 5 + 1).cast("int")).cast("long")
@@ -34,7 +34,7 @@ SQL["cues"] = """
   SELECT doc_id AS media_id, i AS seq, end_ms - dur AS start_ms, end_ms, text, -((doc_id * 31 + i * 17) % 120) / 100.0::DOUBLE AS confidence FROM (
     SELECT *, (sum(dur + CASE (doc_id + i) % 5 WHEN 0 THEN 0 WHEN 1 THEN 250 WHEN 2 THEN -200 WHEN 3 THEN 2500 ELSE 6000 END) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS end_ms FROM (
       SELECT *, (CASE text WHEN 'yes' THEN 200 WHEN 'haaaaaaa' THEN 1000 ELSE length(text) * CASE (doc_id * 7 + i * 13) % 8 WHEN 0 THEN 30 WHEN 1 THEN 4000 WHEN 2 THEN 600 WHEN 3 THEN 10 ELSE 90 END END)::BIGINT AS dur FROM (
-        SELECT doc_id, i, CASE WHEN (doc_id + i) % 17 IN (0, 1) THEN 'yes' WHEN (doc_id + i) % 23 = 0 THEN 'Thanks for watching.' WHEN (doc_id + i) % 29 = 0 THEN 'haaaaaaa' WHEN (doc_id + i) % 37 = 0 THEN '' ELSE trim(substring(line, 1, 60)) END AS text
+        SELECT doc_id, i, CASE WHEN (doc_id + i) % 17 IN (0, 1) THEN 'yes' WHEN (doc_id + i) % 23 = 0 THEN 'Thanks for watching.' WHEN (doc_id + i) % 29 = 0 THEN 'haaaaaaa' WHEN (doc_id + i) % 37 = 0 THEN '' ELSE trim(line) END AS text
         FROM (SELECT doc_id, u.line, (u.i - 1)::BIGINT AS i FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)))))
 """
 

@@ -92,10 +92,13 @@ def next_page_edges(spark, sf_dir):
 
 @query(
     """WITH RECURSIVE walk(start, page, step) AS (SELECT min(src), min(src), 0 FROM page_edges GROUP BY lang UNION ALL SELECT start, dst, step + 1 FROM walk JOIN page_edges ON page = src)
-    SELECT start, page, step FROM walk""", "page_edges")
+    SELECT start, page, step, step + CASE start % 3 WHEN 0 THEN start WHEN 1 THEN 7 ELSE 1 END AS number FROM walk""", "page_edges")
 def pagination_walk(spark, sf_dir):
     edges = X.page_edges(spark, sf_dir, loop=True)
-    return P.pagination_walk(edges.groupBy("lang").agg(F.min("src").alias("start")), edges.select("src", "dst"))
+    starts = edges.groupBy("lang").agg(F.min("src").alias("start"))
+    k = F.col("start") % 3
+    current = F.when(k == 0, F.col("start").cast("string")).when(k == 1, " 7th page").otherwise("next")
+    return P.pagination_walk(starts.select("start", current.alias("current")), edges.select("src", "dst"))
 
 
 @query("SELECT page_id * 10 + 0 AS request, page_id, false AS missing FROM pages UNION ALL SELECT page_id * 10 + 1, NULL, true FROM pages")
@@ -109,7 +112,8 @@ def page_store_lookup(spark, sf_dir):
 def images_to_fetch(spark, sf_dir):
     pages = X.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[^:]+://[^/]+/([^/]+)", 1).alias("folder"))
     links = pages.select("page_id", "folder", F.concat(F.lit("img "), F.col("page_id").cast("string")).alias("name"))
-    files = pages.filter("page_id % 4 = 0").select("folder", F.concat(F.lit("/m/"), "folder", F.lit("/img_"), F.col("page_id").cast("string"), F.lit(".PNG")).alias("path"))
+    ext = F.when(F.col("page_id") % 4 == 0, ".png").otherwise(".PNG")
+    files = pages.filter("page_id % 4 < 2").select("folder", F.concat(F.lit("/m/"), "folder", F.lit("/img_"), F.col("page_id").cast("string"), ext).alias("path"))
     return P.images_to_fetch(links, files).select("page_id", "folder", "name")
 
 
@@ -153,9 +157,10 @@ def gallery_inventory(spark, sf_dir):
     return out.select("page_id", "title", "found", "stored", F.coalesce("images", F.lit(0)).cast("long").alias("images"), F.coalesce("to_fetch", F.lit(0)).cast("long").alias("to_fetch"))
 
 
-@query("SELECT page_id, path, length, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS ext FROM file_list WHERE NOT regexp_matches(path, '_skip(_[0-9]+)?\\.[^./]*$') AND regexp_extract(path, '\\.([^./]*)$', 1) <> 'webp'", "file_list")
+@query("SELECT page_id, path, length, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS ext FROM (SELECT * REPLACE (CASE WHEN page_id % 2 = 0 THEN replace(path, '_skip.', '_SKIP.') ELSE path END AS path) FROM file_list) WHERE NOT regexp_matches(path, '_(skip|SKIP)(_[0-9]+)?\\.(png|jpe?g|gif)$') AND regexp_extract(path, '\\.([^./]*)$', 1) <> 'webp'", "file_list")
 def scan_media_files(spark, sf_dir):
-    return G.scan_media_files(X.file_list(spark, sf_dir)).drop("encoded_length")
+    upper = F.when(F.col("page_id") % 2 == 0, F.replace("path", F.lit("_skip."), F.lit("_SKIP."))).otherwise(F.col("path"))
+    return G.scan_media_files(X.file_list(spark, sf_dir).withColumn("path", upper)).drop("encoded_length")
 
 
 @query("SELECT DISTINCT regexp_extract(path, '\\[([^\\]]+)\\]', 1) AS tag FROM file_list", "file_list")
@@ -189,9 +194,11 @@ def encode_policy(spark, sf_dir):
 _BASE = "regexp_replace(path, '\\.[^./]*$', '')"
 
 
-@query(f"SELECT path, {_BASE} || CASE WHEN page_id % 3 = 0 THEN '_20240101' ELSE '' END || '.webp' AS output_path, {_BASE} || '_skip.' || regexp_extract(path, '\\.([^./]*)$', 1) AS skip_path FROM file_list", "file_list")
+@query(f"SELECT path, {_BASE} || CASE WHEN page_id % 3 = 0 THEN '_20240101' ELSE '' END || '.webp' AS output_path, {_BASE} || '_skip' || CASE WHEN page_id % 4 = 0 THEN '_20240101' ELSE '' END || '.' || regexp_extract(path, '\\.([^./]*)$', 1) AS skip_path FROM file_list", "file_list")
 def output_path(spark, sf_dir):
-    return G.output_paths(X.file_list(spark, sf_dir), X.resized(spark, sf_dir), "20240101").select("path", "output_path", "skip_path")
+    files = X.file_list(spark, sf_dir)
+    marked = files.filter("page_id % 4 = 0").select(F.regexp_replace("path", r"(\.[^./]*)$", "_skip$1").alias("path"))
+    return G.output_paths(files, X.resized(spark, sf_dir).union(marked), "20240101").select("path", "output_path", "skip_path")
 
 
 @query("SELECT path, page_id % 3 = 0 AS done FROM file_list", "file_list")

@@ -23,9 +23,10 @@ def safe_media_name(spark, sf_dir):
     return X.media(spark, sf_dir).select("media_id", T.safe_media_name(F.concat("name", F.lit(" (a)_b-"), F.col("media_id").cast("string"))).alias("safe"))
 
 
-@query("SELECT * FROM chunks WHERE dur_ms > 100 AND size_bytes > 1000", "chunks")
+@query("SELECT *, dur_ms % 60000 AS last_ms FROM chunks WHERE dur_ms > 100 AND size_bytes > 1000 AND dur_ms % 60000 >= 1000", "chunks")
 def valid_chunks(spark, sf_dir):
-    return X.chunks(spark, sf_dir).filter(rules.valid_chunk(F.col("dur_ms"), F.col("size_bytes")))
+    c = X.chunks(spark, sf_dir).withColumn("last_ms", F.col("dur_ms") % 60000)
+    return c.filter(rules.valid_chunk(F.col("dur_ms"), F.col("size_bytes"), planned_ms=F.col("last_ms")))
 
 
 @query(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cuesheaf.functions import text as T
 from cuesheaf.functions import times, urls
-from cuesheaf.operators import intervals, pages, rules, similar, translate
+from cuesheaf.operators import images, intervals, pages, rules, similar, translate
 from cuesheaf.plans import pipelines
 from cuesheaf.sources import transcripts
 
@@ -197,9 +197,33 @@ def test_item_and_image_links(spark):
 
 
 def test_pagination_walk_ends_in_a_loop(spark):
-    starts = spark.createDataFrame([(1,), (9,)], "start long")
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 8)], "src long, dst long")
-    assert sorted(tuple(r) for r in pages.pagination_walk(starts, edges).collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (9, 8, 1), (9, 9, 0)]
+    starts = spark.createDataFrame([(1, " 4 of 9 "), (9, None), (20, "next")], "start long, current string")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 8), (9, 10)], "src long, dst long")
+    assert sorted(tuple(r) for r in pages.pagination_walk(starts, edges).collect()) == [(1, 1, 0, 4), (1, 2, 1, 5), (1, 3, 2, 6), (9, 8, 1, 2), (9, 9, 0, 1), (20, 20, 0, 1)]
+
+
+def test_sources_and_sinks_on_files(spark, tmp_path):
+    for name in ("a_skip.PNG", "a_SKIP_12.jpg", "b.png", "deep/c.JPEG", "d_skip.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    found = images.scan_media_files(images.list_files(spark, str(tmp_path)))
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in found.collect()) == ["b.png", "c.JPEG"]
+    contents = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,000\nhello\n"), (2, "line one\nline two")], "media_id long, content string")
+    transcripts.write_files(contents, str(tmp_path / "out"))
+    for media, text in ((1, "hello"), (2, "line two")):
+        (path,) = (tmp_path / "out" / f"media_id={media}").glob("*.txt")
+        assert text in path.read_text()
+
+
+def test_rules_at_their_edges(spark):
+    t = spark.createDataFrame([("ab" + " " * 20, 1000), ("ab", 1000), ("a ", 4000), ("a", 4000)], "text string, d long")
+    assert [r[0] for r in t.select(rules.is_hallucination(F.col("text"), F.col("d"))).collect()] == [True, False, False, True]
+    c = spark.createDataFrame([(200, 2000, 999), (200, 2000, 1000), (100, 2000, 5000)], "d long, s long, p long")
+    assert [r[0] for r in c.select(rules.valid_chunk(F.col("d"), F.col("s"), planned_ms=F.col("p"))).collect()] == [False, True, False]
+    files = spark.createDataFrame([("/m/a.png",), ("/m/b.png",)], "path string")
+    have = spark.createDataFrame([("/m/a.webp",), ("/m/b_skip.png",)], "path string")
+    out = [tuple(r) for r in images.output_paths(files, have, "7").orderBy("path").select("output_path", "skip_path").collect()]
+    assert out == [("/m/a_7.webp", "/m/a_skip.png"), ("/m/b.webp", "/m/b_skip_7.png")]
 
 
 def test_similar_segments_take_the_more_confident_text(spark):
