@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, mixed, numbered, shingles, sized_broadcast, small_batches, stored, utf8, word_hashes
 from .decontaminate import windows
-from .set_links import link_components, sketch
+from .set_links import link_components, sketches
 
 SHINGLE = 5
 PERCENT = 80
@@ -105,6 +106,23 @@ def _shingled(unit: int, words: list[bytes]) -> np.ndarray:
     return np.unique(shingles(word_hashes(words), SHINGLE) ^ np.uint64(unit))  # lines and blocks share nothing
 
 
+def shingled(parts: list[list[bytes]], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of each of many units of SHINGLE words or more, one unit after the other, and their numbers."""
+    n = np.array([len(p) for p in parts])
+    h = shingles(word_hashes(list(chain.from_iterable(parts))), SHINGLE)
+    inside = np.ones(n.sum(), bool)
+    ends = np.cumsum(n)
+    for j in range(1, SHINGLE):
+        inside[ends - j] = False  # windows that run into the next unit
+    owner = np.repeat(np.arange(len(n)), n - SHINGLE + 1)
+    h = h[inside[: len(h)]] ^ unit[owner]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.bincount(owner[new], minlength=len(n))
+
+
 def unit_sets(docs: DataFrame) -> DataFrame:
     """(sid, gid, n, keys, sketch) of the different units of more than SHINGLE words; gid is sid."""
 
@@ -113,11 +131,10 @@ def unit_sets(docs: DataFrame) -> DataFrame:
             found = {content_id(u, w): (u, w) for t in utf8(b.column(0)) for u, _, w in units(t) if len(w) > SHINGLE}
             if not found:
                 continue
-            parts = [_shingled(u, w) for u, w in found.values()]
-            sizes = np.array([len(x) for x in parts])
-            keys = band_keys(np.concatenate(parts), sizes)
+            items, sizes = shingled([w for _, w in found.values()], np.array([u for u, _ in found.values()], np.uint64))
+            keys = band_keys(items, sizes)
             ends = pa.array(range(0, keys.size + 1, BANDS), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), pa.array([sketch(x) for x in parts], pa.binary())], ["sid", "n", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), pa.array(sketches(items, sizes), pa.binary())], ["sid", "n", "keys", "sketch"])
 
     return docs.select("text").mapInArrow(run, "sid long, n long, keys array<long>, sketch binary").dropDuplicates(["sid"]).withColumn("gid", F.col("sid"))
 

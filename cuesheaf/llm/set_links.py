@@ -6,9 +6,9 @@ are left are expanded to their members, which an exact bound from parity sketche
 is verified pair by pair on the whole sets.
 
 Links are wanted as components, so pairs inside a component need no verification:
-1. star rounds: each bucket gives a spanning star of its candidates that are not yet connected, a
-   large bucket in blocks, dealt anew in each round, so a row is sent once; the pairs are verified
-   and the links make components;
+1. star rounds: each bucket gives a spanning star of its candidates that are not yet connected and, if it is
+   large, a few random candidates of each set; a bucket of over `bucket_rows` rows goes in blocks, dealt anew in
+   each round, so a row is sent once; the pairs are verified and the links make components;
 2. last round: buckets that hold one component only are done. The others give all their candidate
    pairs of different components that were not tried yet. In a large one, rows of its largest
    component meet the rest only, not each other, so a family of copies costs no square.
@@ -28,6 +28,8 @@ from .common import connected_components, discard, runs, sized_broadcast, stored
 BUCKET_ROWS = 3000
 MOST_BITS = 1 << 12
 GROUP_ROWS = 64
+#: Candidates that each set of a bucket of over 48 sets gives in a star round besides the star.
+RANDOM_PAIRS = 6
 #: Rows of a table that a join here broadcasts; several may be held at once.
 LOCAL_ROWS = 100_000
 _PAIR = "a long, b long"
@@ -40,6 +42,23 @@ def sketch(items: np.ndarray) -> bytes:
     return np.packbits(parity, bitorder="little").tobytes()
 
 
+def sketches(items: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Sketches of many sets at once: items of all, of which `sizes` belong to each."""
+    out: list[bytes] = [b""] * len(sizes)
+    bits = np.array([min(MOST_BITS, max(64, 1 << (n - 1).bit_length())) for n in sizes.tolist()])
+    first = np.cumsum(sizes) - sizes
+    for w in np.unique(bits).tolist():
+        rows = np.flatnonzero(bits == w)
+        n = sizes[rows]
+        at = np.repeat(first[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        place = np.repeat(np.arange(len(rows)), n) * w + (items[at] & np.uint64(w - 1)).astype(np.int64)
+        parity = (np.bincount(place, minlength=w * len(rows)) & 1).astype(np.uint8)
+        packed = np.packbits(parity.reshape(len(rows), w), axis=1, bitorder="little").tobytes()
+        for k, r in enumerate(rows.tolist()):
+            out[r] = packed[k * w // 8 : (k + 1) * w // 8]
+    return out
+
+
 def least_overlap(n, m, percent: int):
     """Items that two sets of n and m items share at least if they link."""
     return -(-percent * (n + m) // (100 + percent))
@@ -116,9 +135,12 @@ def candidates(groups: list[tuple], percent: int, own: bool, spanning: bool) ->
             near = (np.minimum(n[at] - p[at], m - p[at + 1 : last]) >= least) & ((g[at + 1 : last] == g[at]) == own) & ((b[at] < 0) | (b[at + 1 : last] != b[at]))
             near = np.flatnonzero(near)
             near = near[np.bitwise_count(x[at + 1 + near] ^ x[at]).sum(1) <= n[at] + m[near] - 2 * least[near]]
-            f = flat[rows[at]]
-            for j in rows[at + 1 + near].tolist():
+            f, near = flat[rows[at]], rows[at + 1 + near]
+            for j in near.tolist():
                 take(f[4], f[5], flat[j][4], flat[j][5])
+            if spanning and len(near) > 1:  # and a few at random: one star would leave a family whose hub links to few in pieces
+                pick = np.random.default_rng(f[4] & 0xFFFFFFFF).integers(0, len(near), RANDOM_PAIRS)
+                out.extend((f[4], flat[near[j]][4]) for j in pick.tolist() if f[5] != flat[near[j]][5])
     return out
 
 
