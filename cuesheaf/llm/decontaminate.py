@@ -51,9 +51,11 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hashes, modulo 2^64, of the k-word windows."""
     if len(h) < k:
         return h[:0]
-    out = h[: len(h) - k + 1].copy()
-    for j in range(1, k):
-        out = out * _BASE + h[j : len(h) - k + 1 + j]
+    out, size = h, 1  # windows of `size` words
+    for bit in bin(k)[3:]:
+        out, size = out[:-size] * np.uint64(pow(int(_BASE), size, 1 << 64)) + out[size:], 2 * size
+        if bit == "1":
+            out, size = out[:-1] * _BASE + h[size:], size + 1
     return out ^ (out >> np.uint64(29))
 
 

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +75,7 @@ def band_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     for band in range(BANDS):
         key = np.full(len(sizes), band + 1, np.uint64)
         for r in range(ROWS):
-            value = (h ^ _SEEDS[band * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15)
-            value ^= value >> np.uint64(31)
-            value *= _SEEDS[band * ROWS + r]
-            key = mixed(key ^ np.minimum.reduceat(value, first))
+            key = mixed(key ^ np.minimum.reduceat(h * _SEEDS[band * ROWS + r], first))  # h is mixed already
         keys[:, band] = key
     return keys.view(np.int64)
 
@@ -106,32 +102,49 @@ def _shingled(unit: int, words: list[bytes]) -> np.ndarray:
     return np.unique(shingles(word_hashes(words), SHINGLE) ^ np.uint64(unit))  # lines and blocks share nothing
 
 
-def shingled(parts: list[list[bytes]], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingles of each of many units of SHINGLE words or more, one unit after the other, and their numbers."""
+def distinct_shingles(parts: list[np.ndarray], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of each of many units of SHINGLE words or more, given as word hashes, one unit after the other, and their numbers."""
     n = np.array([len(p) for p in parts])
-    h = shingles(word_hashes(list(chain.from_iterable(parts))), SHINGLE)
+    h = shingles(np.concatenate(parts), SHINGLE)
     inside = np.ones(n.sum(), bool)
     ends = np.cumsum(n)
     for j in range(1, SHINGLE):
         inside[ends - j] = False  # windows that run into the next unit
     owner = np.repeat(np.arange(len(n)), n - SHINGLE + 1)
     h = h[inside[: len(h)]] ^ unit[owner]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+    ends = np.cumsum(n - SHINGLE + 1)
+    for start, end in zip((ends - n + SHINGLE - 1).tolist(), ends.tolist(), strict=True):
+        h[start:end].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     return h[new], np.bincount(owner[new], minlength=len(n))
 
 
+def shingled(parts: list[list[bytes]], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """distinct_shingles of units given as words."""
+    return distinct_shingles([word_hashes(p) for p in parts], unit)
+
+
+def hashed_units(text: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(pid, unit, word hashes) of the units of a text of more than SHINGLE words; each word is hashed once, for its line and its block."""
+    found = units(text)
+    h = word_hashes([w for u, _, words in found if u == 0 for w in words])
+    at = [0] * len(UNITS)
+    for u, _, words in found:
+        at[u] += len(words)
+        if len(words) > SHINGLE:
+            yield content_id(u, words), u, h[at[u] - len(words) : at[u]]
+
+
 def unit_sets(docs: DataFrame) -> DataFrame:
     """(sid, gid, n, keys, sketch) of the different units of more than SHINGLE words; gid is sid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            found = {content_id(u, w): (u, w) for t in utf8(b.column(0)) for u, _, w in units(t) if len(w) > SHINGLE}
+            found = {pid: (u, h) for t in utf8(b.column(0)) for pid, u, h in hashed_units(t)}
             if not found:
                 continue
-            items, sizes = shingled([w for _, w in found.values()], np.array([u for u, _ in found.values()], np.uint64))
+            items, sizes = distinct_shingles([h for _, h in found.values()], np.array([u for u, _ in found.values()], np.uint64))
             keys = band_keys(items, sizes)
             ends = pa.array(range(0, keys.size + 1, BANDS), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), pa.array(sketches(items, sizes), pa.binary())], ["sid", "n", "keys", "sketch"])
@@ -140,22 +153,26 @@ def unit_sets(docs: DataFrame) -> DataFrame:
 
 
 def unit_items(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, items): shingles of the chosen units (doc_id, version, unit, at, pid), one row each."""
+    """(id, items): shingles of the chosen units (doc_id, version, unit, at, pid) of more than SHINGLE words, one row each."""
     wanted = chosen.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("version").alias("w_version")).agg(F.collect_list(F.struct("unit", "at", "pid")).alias("parts"))
     d = _located(docs)
     texts = d.join(sized_broadcast(stored(wanted), 200_000), F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("version") == F.col("w_version"))).select("text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            rows = []
+            found = {}
             for t, asked in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
                 have = {(u, at): words for u, at, words in units(t)}
                 for p in asked:
                     words = have.get((p["unit"], p["at"]))
                     if words and content_id(p["unit"], words) == p["pid"]:
-                        rows.append((p["pid"], _shingled(p["unit"], words).tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], ["id", "items"])
+                        found[p["pid"]] = (p["unit"], words)
+            if not found:
+                continue
+            items, sizes = shingled([w for _, w in found.values()], np.array([u for u, _ in found.values()], np.uint64))
+            ends = np.cumsum(sizes)
+            sets = [items[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sets, pa.binary())], ["id", "items"])
 
     return texts.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
