@@ -132,7 +132,7 @@ def set_components(docs: DataFrame, sig: DataFrame, levels, k: int = NGRAM, perc
     discard(rows)
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = sets.join(sized_broadcast(ids), F.col("sid") == F.col("id")).select("id", F.col("rep.doc_id").alias("w_doc_id"), F.col("rep.version").alias("w_version"))
+        wanted = sets.join(sized_broadcast(ids), F.col("sid") == F.col("id")).select("id", F.xxhash64("rep.doc_id", "rep.version").alias("w_key"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in small_batches(batches):
@@ -140,8 +140,8 @@ def set_components(docs: DataFrame, sig: DataFrame, levels, k: int = NGRAM, perc
                 same = [set_id(s) == i for s, i in zip(items, b.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in items], pa.binary())], ["id", "items"]).filter(pa.array(same, pa.bool_()))
 
-        here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version_of(F.col("text")).alias("version"), "text")
-        texts = here.join(sized_broadcast(stored(wanted)), F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("version") == F.col("w_version"))).select("id", "text")
+        here = docs.select(F.xxhash64(F.col("doc_id").cast("long"), version_of(F.col("text"))).alias("key"), "text")
+        texts = here.join(sized_broadcast(stored(wanted)), F.col("key") == F.col("w_key")).select("id", "text")  # run checks the set itself
         return texts.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
     linked = link_components(alive, sets, fetch, percent, bucket_rows)

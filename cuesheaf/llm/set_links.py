@@ -32,6 +32,8 @@ GROUP_ROWS = 64
 RANDOM_PAIRS = 6
 #: Rows of a table that a join here broadcasts; several may be held at once.
 LOCAL_ROWS = 100_000
+#: Bytes of sets that a join broadcasts; their hashes do not compress, and the driver holds them several times over.
+LOCAL_BYTES = 16_000_000
 _PAIR = "a long, b long"
 
 
@@ -202,7 +204,8 @@ def bucket_pairs(rows: DataFrame, members: DataFrame, percent: int, bucket_rows:
 
 def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by the whole sets of items (id, items: sorted distinct 64-bit values)."""
-    side = sized_broadcast(items, 20_000)
+    whole = items.agg(F.sum(F.octet_length("items"))).first()[0] or 0
+    side = F.broadcast(items) if whole <= LOCAL_BYTES else items
     both = pairs.join(side.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(side.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,22 +225,30 @@ def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 def link_components(rows: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(node, component) of every set that links to another one; component is the smallest set id.
 
-    rows: stored (h, gid, n, place) of each group in each of its buckets; place counts the keys of
+    rows: stored (h, gid, n, place) of each group in each of its buckets, deleted once copied; place counts the keys of
     the group before h in an order that all groups share. sets: stored (sid, gid, sketch).
     fetch gives (id, items) for a table of ids. An empty table gives no rows.
     """
     twins = sets.groupBy("gid").agg(F.count("*").alias("members"), F.max("n").alias("n")).filter("members > 1")
     met = rows.select("h", F.lit(False).alias("own"), "gid", "n", "place").unionByName(twins.select(F.col("gid").alias("h"), F.lit(True).alias("own"), "gid", "n", F.lit(0).alias("place")))
     met = stored(met)
+    discard(rows)
     largest = met.groupBy("h", "own").count().agg(F.max("count")).first()[0] or 0
     comps = tried = items = links = None
-    old: list[DataFrame] = [met]
+
+    def grown(table: DataFrame | None, more: DataFrame) -> DataFrame:
+        """Both tables as one; the parts are deleted."""
+        if table is None:
+            return more
+        out = stored(table.unionByName(more))
+        discard(table, more)
+        return out
+
     for star in [0, *([1] if largest > bucket_rows else []), None]:
         pairs = bucket_pairs(met, group_members(sets.select("sid", "gid", "sketch"), comps), percent, bucket_rows, star)
         if tried is not None:
             pairs = pairs.join(sized_broadcast(tried, LOCAL_ROWS), ["a", "b"], "left_anti")
         pairs = stored(pairs)
-        old.append(pairs)
         if not pairs.limit(1).count():
             if tried is None:
                 break
@@ -245,15 +256,13 @@ def link_components(rows: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if items is not None:
             ids = ids.join(items.select("id"), "id", "left_anti")
-        more = stored(fetch(stored(ids)))
-        items = more if items is None else stored(items.unionByName(more))
-        old += [more, items]
-        good = stored(verified(pairs, items, percent))
-        links = good if links is None else stored(links.unionByName(good))
-        tried = pairs if tried is None else stored(tried.unionByName(pairs))
-        old += [good, links, tried]
+        ids = stored(ids)
+        items = grown(items, stored(fetch(ids)))
+        discard(ids)
+        links = grown(links, stored(verified(pairs, items, percent)))
+        tried = grown(tried, pairs)
         comps = stored(connected_components(links))
     if comps is None:
         comps = stored(met.select(F.col("gid").alias("node"), F.col("gid").alias("component")).filter("false"))
-    discard(*old)
+    discard(met, *(t for t in (tried, items, links) if t is not None))
     return comps
