@@ -12,7 +12,8 @@ paragraph is one, whatever its line breaks. Lines meet lines and blocks meet blo
 
 repeated_passages finds what stands below or across lines: every run of PASSAGE words that occurs
 twice, whatever the line breaks. Unspaced scripts count a character as a word there. Texts choose
-anchors among their windows by value, so equal passages have equal anchors; windows around shared anchors are compared.
+anchors among their windows by value, so equal passages have equal anchors. Runs of windows of one shared
+anchor are segments; equal segments are one, and the windows of the different ones are compared.
 
 Defined cases: null and empty texts have no unit; repeated rows of a document repeat its units; rows of the
 same doc_id, unit and place with other texts are units of their own, and the same verdict holds for those that tie as first; a
@@ -43,6 +44,8 @@ UNITS = ("line", "block")
 _BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 #: Words of a repeated passage, and of the windows among which its anchors are chosen.
 PASSAGE, ANCHOR = 50, 25
+#: Windows of a passage that go as one row.
+SEGMENT = 64
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORDS = re.compile(f"[{_UNSPACED}]|[^\\x00-/:-@\\[-`{{-\\x7f{_UNSPACED}]+")
 _ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
@@ -212,11 +215,11 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def passage_words(text: str | None) -> np.ndarray:
+def passage_words(text: bytes) -> np.ndarray:
     """Hashes of the words of a text, ASCII letters lower-cased; line breaks are gaps like any other."""
-    if text and not text.isascii() and _ANY_UNSPACED.search(text):
-        return word_hashes([w.encode().lower() for w in _WORDS.findall(text)])
-    return word_hashes((text or "").encode().lower().translate(_BREAKS).split())
+    if not text.isascii() and _ANY_UNSPACED.search(whole := text.decode()):
+        return word_hashes([w.encode().lower() for w in _WORDS.findall(whole)])
+    return word_hashes(text.lower().translate(_BREAKS).split())
 
 
 def anchor_windows(h: np.ndarray, words: int) -> np.ndarray:
@@ -225,60 +228,104 @@ def anchor_windows(h: np.ndarray, words: int) -> np.ndarray:
 
 
 def anchors(values: np.ndarray, words: int) -> np.ndarray:
-    """Distinct anchors of a text; equal passages of `words` words have the same one."""
-    n = words - min(ANCHOR, words) + 1
-    return np.unique(np.lib.stride_tricks.sliding_window_view(values, n).min(1)) if len(values) >= n else values[:0]
-
-
-def passage_windows(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
-    """(row, doc_id, at, window) of the windows of `words` words around an anchor that occurs twice, from docs (row, doc_id, text).
-
-    Windows that occur once only are among them; none that occurs twice is missing.
+    """The anchor of each window of `words` words of a text; equal passages have the same one."""
+    n, size = words - min(ANCHOR, words) + 1, 1
+    if len(values) < n:
+        return values[:0]
+    while size < n:  # least of `size` values, from those of fewer
+        step = min(size, n - size)
+        values, size = np.minimum(values[:-step], values[step:]), size + step
+    return values
+
+
+def segments(anchor: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of windows of one wanted anchor, cut every SEGMENT windows."""
+    edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+    end = np.append(edge[1:], len(anchor))[: len(edge)]
+    keep = np.isin(anchor[edge], wanted)
+    edge, end = edge[keep], end[keep]
+    pieces = -(-(end - edge) // SEGMENT)
+    start = np.repeat(edge, pieces) + SEGMENT * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return start, np.minimum(start + SEGMENT, np.repeat(end, pieces))
+
+
+def passage_segments(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """(row, doc_id, at, seg, windows) of the segments of an anchor that occurs twice, from docs (row, doc_id, text).
+
+    windows holds the hashes of the segment's windows of `words` words, at least in one of its rows. Windows that
+    occur once only are among them; none that occurs twice is missing.
     """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found, times = [], []
+            for t in utf8(b.column(1)):
                 values = anchor_windows(passage_words(t), words)
-                found = anchors(values, words)
-                if len(found):
-                    ordered = np.sort(values)
-                    times = np.searchsorted(ordered, found, side="right") - np.searchsorted(ordered, found)
-                    yield pa.RecordBatch.from_arrays([pa.array([r] * len(found), pa.int64()), pa.array(found.view(np.int64)), pa.array(times, pa.int64())], ["row", "anchor", "times"])
+                found.append(np.unique(anchors(values, words)))
+                ordered = np.sort(values)
+                times.append(np.searchsorted(ordered, found[-1], side="right") - np.searchsorted(ordered, found[-1]))
+            row = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(times), pa.int64())], ["row", "anchor", "times"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            for r, d, t, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            owner, places, keys, lists, seen = [], [], [], [], set()
+            for k, (t, wanted) in enumerate(zip(utf8(b.column(2)), b.column(3).to_pylist(), strict=True)):
                 h = passage_words(t)
-                near = np.flatnonzero(np.isin(anchor_windows(h, words), np.array(wanted, np.int64).view(np.uint64)))
+                start, end = segments(anchors(anchor_windows(h, words), words), np.array(wanted, np.int64).view(np.uint64))
                 whole = windows(h, words).view(np.int64)
-                reach = np.zeros(len(whole) + 1, np.int64)
-                np.add.at(reach, np.maximum(near - words + min(ANCHOR, words), 0), 1)
-                np.add.at(reach, np.minimum(near + 1, len(whole)), -1)
-                at = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([r] * len(at), pa.int64()), pa.array([d] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(whole[at])], ["row", "doc_id", "at", "window"])
+                for x, y in zip(start.tolist(), end.tolist(), strict=True):
+                    keys.append(key := xxhash.xxh3_64_intdigest(whole[x:y].tobytes()) - (1 << 63))
+                    lists.append(None if key in seen else whole[x:y])
+                    seen.add(key)
+                places.append(start)
+                owner.extend([k] * len(start))
+            at = pa.array(owner, pa.int64())
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(places), pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "at", "seg", "windows"])
 
     chosen = stored(docs.select("row", "text").mapInArrow(choose, "row long, anchor long, times long"))
     shared = stored(chosen.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select(F.col("anchor").alias("s_anchor")))
     wanted = stored(chosen.join(sized_broadcast(shared), F.col("anchor") == F.col("s_anchor")).groupBy(F.col("row").alias("w_row")).agg(F.collect_list("anchor").alias("wanted")))
+    discard(chosen, shared)
     texts = docs.join(sized_broadcast(wanted), F.col("row") == F.col("w_row")).select("row", "doc_id", "text", "wanted")
-    return texts.mapInArrow(cut, "row long, doc_id long, at long, window long")
+    out = stored(texts.mapInArrow(cut, "row long, doc_id long, at long, seg long, windows array<long>"))
+    discard(wanted)
+    return out
 
 
 def repeated_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
     """(doc_id, first_word, n_words, removed) of the maximal runs of words whose windows of `words` words all occur twice or more.
 
     Of each window the occurrence first by (doc_id, place) stays, the others are removed; words
-    count from 0 over the whole text. Rows and shuffles grow with the repeated text, not with its pairs.
+    count from 0 over the whole text. Equal segments are one before their windows are compared, so rows and shuffles
+    grow with the segments of the repeated text, not with its words or pairs.
     """
     d = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
-    found = stored(passage_windows(d, words))
+    found = passage_segments(d, words)
     discard(d)
     here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "row")
-    sizes = stored(found.groupBy(F.col("window").alias("s_window")).agg(F.count("*").alias("copies"), F.min(here).alias("first")).filter("copies > 1"))
-    marked = found.join(sized_broadcast(sizes), F.col("window") == F.col("s_window")).select("row", "doc_id", "at", (here != F.col("first")).alias("removed"))
-    run = F.col("at") - F.row_number().over(Window.partitionBy("row", "removed").orderBy("at"))
-    runs = marked.withColumn("run", run).groupBy("row", "doc_id", "removed", "run").agg(F.min("at").alias("first_word"), F.count("*").alias("windows"))
+    parts = stored(found.groupBy("seg").agg(F.count("*").alias("times"), F.min(here).alias("rep"), F.first("windows", ignorenulls=True).alias("windows")))
+    each = parts.select("seg", "times", "rep", F.posexplode("windows").alias("k", "window"))
+    each = each.select("seg", "k", "window", "times", F.struct("rep.none", "rep.doc_id", (F.col("rep.at") + F.col("k")).alias("at"), "rep.row").alias("here"))
+    sizes = stored(each.groupBy(F.col("window").alias("s_window")).agg(F.sum("times").alias("copies"), F.min("here").alias("first")).filter("copies > 1"))
+    marked = stored(each.join(sized_broadcast(sizes), F.col("window") == F.col("s_window")).select("seg", "k", (F.col("here") != F.col("first")).alias("removed")))
+
+    def islands(*by: str) -> DataFrame:
+        run = F.col("k") - F.row_number().over(Window.partitionBy("seg", *by).orderBy("k"))
+        out = marked.withColumn("run", run).groupBy("seg", *by, "run").agg(F.min("k").alias("k"), F.count("*").alias("n"))
+        return stored(out.select(F.col("seg").alias("r_seg"), *by, "k", "n"))
+
+    reps = parts.select("seg", F.col("rep.row").alias("row"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.at").alias("at"))
+    others = found.select("seg", "row", "doc_id", "at").join(sized_broadcast(islands()), F.col("seg") == F.col("r_seg"))
+    others = others.join(sized_broadcast(stored(reps.select(F.col("row").alias("f_row"), F.col("at").alias("f_at")))), (F.col("row") == F.col("f_row")) & (F.col("at") == F.col("f_at")), "left_anti")
+    firsts = reps.join(sized_broadcast(islands("removed")), F.col("seg") == F.col("r_seg"))
+    start = (F.col("at") + F.col("k")).alias("start")
+    runs = others.select("row", "doc_id", F.lit(True).alias("removed"), start, "n").unionByName(firsts.select("row", "doc_id", "removed", start, "n"))
+    order = Window.partitionBy("row", "removed").orderBy("start")
+    fresh = F.coalesce(F.lag(F.col("start") + F.col("n")).over(order) != F.col("start"), F.lit(True)).cast("long")
+    runs = runs.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    runs = runs.groupBy("row", "doc_id", "removed", "run").agg(F.min("start").alias("first_word"), F.sum("n").alias("windows"))
     return runs.select("doc_id", "first_word", (F.col("windows") + words - 1).alias("n_words"), "removed")
 
 
