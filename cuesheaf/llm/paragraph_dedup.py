@@ -192,7 +192,7 @@ def clusters(docs: DataFrame, table: DataFrame, percent: int = PERCENT) -> DataF
         reps = table.join(sized_broadcast(ids), F.col("pid") == F.col("id")).groupBy("pid").agg(rep)
         return unit_items(docs, reps.select("rep.doc_id", "rep.version", "rep.unit", "rep.at", "pid"))
 
-    out = link_components(alive, sets, fetch, percent)
+    out = link_components(alive, sets, fetch, percent, random_pairs=1)  # a unit is in BANDS buckets
     discard(alive, sets)
     return out
 

@@ -28,7 +28,7 @@ from .common import connected_components, discard, runs, sized_broadcast, stored
 BUCKET_ROWS = 3000
 MOST_BITS = 1 << 12
 GROUP_ROWS = 64
-#: Candidates that each set of a bucket of over 48 sets gives in a star round besides the star.
+#: Candidates that each set of a bucket of over 48 sets gives in a star round besides the star; fewer do where all sets are in many buckets.
 RANDOM_PAIRS = 6
 #: Rows of a table that a join here broadcasts; several may be held at once.
 LOCAL_ROWS = 100_000
@@ -85,7 +85,7 @@ class Forest:
         return x != y
 
 
-def candidates(groups: list[tuple], percent: int, own: bool, spanning: bool) -> list[tuple[int, int]]:
+def candidates(groups: list[tuple], percent: int, own: bool, spanning: bool, random_pairs: int = RANDOM_PAIRS) -> list[tuple[int, int]]:
     """Pairs of set ids of a bucket that may link and are in different components, or of these a spanning star.
 
     groups: (gid, block, n, place, sids, comps, sketches). Pairs of one group meet in the bucket of the
@@ -141,7 +141,7 @@ def candidates(groups: list[tuple], percent: int, own: bool, spanning: bool) ->
             for j in near.tolist():
                 take(f[4], f[5], flat[j][4], flat[j][5])
             if spanning and len(near) > 1:  # and a few at random: one star would leave a family whose hub links to few in pieces
-                pick = np.random.default_rng(f[4] & 0xFFFFFFFF).integers(0, len(near), RANDOM_PAIRS)
+                pick = np.random.default_rng(f[4] & 0xFFFFFFFF).integers(0, len(near), random_pairs)
                 out.extend((f[4], flat[near[j]][4]) for j in pick.tolist() if f[5] != flat[near[j]][5])
     return out
 
@@ -159,7 +159,7 @@ def group_members(sets: DataFrame, comps: DataFrame | None) -> DataFrame:
     return out.select(F.col("gid").alias("m_gid"), "sids", "comps", "sketches", F.when(F.array_min("comps") == F.array_max("comps"), F.array_min("comps")).alias("comp"))
 
 
-def bucket_pairs(rows: DataFrame, members: DataFrame, percent: int, bucket_rows: int, star: int | None) -> DataFrame:
+def bucket_pairs(rows: DataFrame, members: DataFrame, percent: int, bucket_rows: int, star: int | None, random_pairs: int = RANDOM_PAIRS) -> DataFrame:
     """Distinct candidate pairs (a, b) of all buckets, from rows (h, own, gid, n, place); star: number of the star round, None for the last."""
     met = rows.join(members, F.col("gid") == F.col("m_gid")).drop("m_gid")
     per = met.groupBy("h", "own", "comp").agg(F.count("*").alias("rows"))
@@ -192,7 +192,7 @@ def bucket_pairs(rows: DataFrame, members: DataFrame, percent: int, bucket_rows:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for bucket in runs(batches, 4):
-            out.update(candidates(list(zip(*bucket[4:], strict=True)), percent, bucket[1][0], star is not None))
+            out.update(candidates(list(zip(*bucket[4:], strict=True)), percent, bucket[1][0], star is not None, random_pairs))
             if len(out) > 100_000:
                 yield flush()
         if out:
@@ -222,7 +222,7 @@ def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, _PAIR)
 
 
-def link_components(rows: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def link_components(rows: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, bucket_rows: int = BUCKET_ROWS, random_pairs: int = RANDOM_PAIRS) -> DataFrame:
     """(node, component) of every set that links to another one; component is the smallest set id.
 
     rows: stored (h, gid, n, place) of each group in each of its buckets, deleted once copied; place counts the keys of
@@ -245,7 +245,7 @@ def link_components(rows: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame
         return out
 
     for star in [0, *([1] if largest > bucket_rows else []), None]:
-        pairs = bucket_pairs(met, group_members(sets.select("sid", "gid", "sketch"), comps), percent, bucket_rows, star)
+        pairs = bucket_pairs(met, group_members(sets.select("sid", "gid", "sketch"), comps), percent, bucket_rows, star, random_pairs)
         if tried is not None:
             pairs = pairs.join(sized_broadcast(tried, LOCAL_ROWS), ["a", "b"], "left_anti")
         pairs = stored(pairs)
