@@ -44,7 +44,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `chars` bytes of its text column; one long text may exceed it."""
     for b in batches:
         sizes = np.zeros(b.num_rows, np.int64)
@@ -59,6 +59,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) ->
             total += s
         if start < b.num_rows:
             yield b.slice(start)
+    pa.default_memory_pool().release_unused()  # a worker process goes on to other tasks
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
