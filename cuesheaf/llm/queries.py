@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontaminate, line_frequency, lm_scoring, mixing, paragraph_dedup, prefix_join, secret_ledger, string_kernel, subword_classifier, token_alignment, toxicity
+from . import conversation_repair, decontaminate, line_dedup, line_frequency, lm_scoring, mixing, paragraph_dedup, prefix_join, secret_ledger, string_kernel, subword_classifier, token_alignment, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment(_read(spark, sf_dir, "documents"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return line_dedup.digest(line_dedup.deduplicated(docs, line_dedup.in_batches(docs)))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(_read(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_entropy, op2_string_tiling, op3_line_frequency, op4_paragraph_minhash, op5_secret_ledger, op6_string_kernel, op7_bigru_toxicity, op8_prefix_join, op9_source_mixing, op10_subword_quality, op11_token_alignment, op13_conversation_repair)}
-ORACLES = {"op1_cross_entropy": lm_scoring.SQL, "op3_line_frequency": line_frequency.SQL, "op4_paragraph_minhash": paragraph_dedup.SQL, "op8_prefix_join": prefix_join.SQL, "op9_source_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_cross_entropy, op2_string_tiling, op3_line_frequency, op4_paragraph_minhash, op5_secret_ledger, op6_string_kernel, op7_bigru_toxicity, op8_prefix_join, op9_source_mixing, op10_subword_quality, op11_token_alignment, op12_line_dedup, op13_conversation_repair)}
+ORACLES = {"op1_cross_entropy": lm_scoring.SQL, "op3_line_frequency": line_frequency.SQL, "op4_paragraph_minhash": paragraph_dedup.SQL, "op8_prefix_join": prefix_join.SQL, "op9_source_mixing": mixing.SQL, "op12_line_dedup": line_dedup.SQL}
