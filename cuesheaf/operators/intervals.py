@@ -1,6 +1,7 @@
 """Ordered rows of a media: gaps, islands, merges, plans and numbering.
 
-Each function works on one partition of windows by media_id, ordered by (start_ms, seq) or as said.
+Each function works on one partition of windows by media_id, ordered by (start_ms, seq) or as said; those with `above` cut
+the largest media of more rows than that into ranges (`ranges.py`).
 """
 
 from __future__ import annotations
@@ -10,32 +11,76 @@ from pyspark.sql import functions as F
 
 from cuesheaf.functions.text import strip
 
+from .ranges import RANGE_ROWS, by_size, earlier, fed, inside, over_ranges
+
 
 def by_start(*more: str) -> Window:
     return Window.partitionBy("media_id").orderBy("start_ms", *(more or ("seq",)))
 
 
-def merge_adjacent_duplicates(cues: DataFrame, within_ms: int = 5000) -> DataFrame:
-    """Rows of the same text that start under `within_ms` after the end of the one before become one; its end is the last row's."""
+def merged_whole(cues: DataFrame, within_ms: int = 5000) -> DataFrame:
+    """merge_adjacent_duplicates with one window a media."""
     w = by_start()
     t = strip(F.col("text"))
     starts = F.coalesce((F.lag(t).over(w) != t) | (F.col("start_ms") - F.lag("end_ms").over(w) >= within_ms), F.lit(True))
     c = cues.withColumn("_new", starts.cast("int"))
     c = c.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _islands(c.withColumn("_t", t))
+
+
+def _islands(c: DataFrame) -> DataFrame:
     at = F.struct("start_ms", "seq")
     return c.groupBy("media_id", "_island").agg(
         F.min_by("seq", at).alias("seq"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", at).alias("end_ms"),
-        F.min_by(t, at).alias("text"), F.min_by("confidence", at).alias("confidence"), F.count("*").alias("merged"),
+        F.min_by("_t", at).alias("text"), F.min_by("confidence", at).alias("confidence"), F.count("*").alias("merged"),
     ).drop("_island")
 
 
-def merge_intervals(intervals: DataFrame, gap_ms: int = 100, least_ms: int = 150, key: str = "media_id") -> DataFrame:
-    """Intervals at most `gap_ms` apart become one; those under `least_ms` go."""
-    w = Window.partitionBy(key).orderBy("start_ms", "end_ms")
+def merged_cut(cues: DataFrame, within_ms: int = 5000) -> DataFrame:
+    """The same over ranges: an island is named by its first row; a range carries its first and last row and its last break."""
+    w, at = inside("start_ms", "seq"), F.struct("start_ms", "seq")
+    c = cues.withColumn("_t", strip(F.col("text"))).withColumns({"_last_t": F.lag("_t").over(w), "_last_end": F.lag("end_ms").over(w), "_in": F.lag(F.lit(True)).over(w)})
+    breaks = F.coalesce((F.col("_last_t") != F.col("_t")) | (F.col("start_ms") - F.col("_last_end") >= within_ms), F.lit(True))
+    c = c.withColumn("_break", F.when(F.col("_in") & breaks, at))
+    own = c.groupBy("media_id", "_range").agg(
+        F.min_by(F.struct("start_ms", "seq", "_t"), at).alias("_first"), F.max_by(F.struct("end_ms", "_t"), at).alias("_end"), F.max("_break").alias("_break"),
+    )
+    last = F.lag("_end").over(over_ranges())
+    opens = F.coalesce((last["_t"] != F.col("_first._t")) | (F.col("_first.start_ms") - last["end_ms"] >= within_ms), F.lit(True))
+    own = own.withColumn("_opened", F.when(opens, F.struct("_first.start_ms", "_first.seq")))
+    before = F.last(F.coalesce("_break", "_opened"), ignorenulls=True).over(earlier())
+    c = fed(c, own.select("media_id", "_range", F.coalesce("_opened", before).alias("_entry")))
+    here = F.last("_break", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return _islands(c.withColumn("_island", F.coalesce(here, "_entry")))
+
+
+def merge_adjacent_duplicates(cues: DataFrame, within_ms: int = 5000, above: int = RANGE_ROWS) -> DataFrame:
+    """Rows of the same text that start under `within_ms` after the end of the one before become one; its end is the last row's."""
+    return by_size(cues, lambda c: merged_whole(c, within_ms), lambda c: merged_cut(c, within_ms), above=above)
+
+
+def _local_islands(intervals: DataFrame, gap_ms: int, *keys: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
     before = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    c = intervals.select(key, "start_ms", "end_ms").withColumn("_new", F.coalesce(F.col("start_ms") > before + gap_ms, F.lit(True)).cast("int"))
+    c = intervals.select(*keys, "start_ms", "end_ms").withColumn("_new", F.coalesce(F.col("start_ms") > before + gap_ms, F.lit(True)).cast("int"))
     c = c.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = c.groupBy(key, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_island")
+    return c.groupBy(*keys, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_island")
+
+
+def _intervals_cut(intervals: DataFrame, gap_ms: int, key: str) -> DataFrame:
+    """Islands of each range, joined across ranges: those that start by the largest end before them belong to the last one that does not; it is named by its start."""
+    c = _local_islands(intervals, gap_ms, key, "_range")
+    own = c.groupBy(key, "_range").agg(F.max("end_ms").alias("_end"), F.max("start_ms").alias("_start"))
+    own = own.withColumn("_reach", F.max("_end").over(earlier(key)) + gap_ms)
+    apart = F.when(F.col("_reach").isNull() | (F.col("_start") > F.col("_reach")), F.col("_start"))
+    c = fed(c, own.select(key, "_range", "_reach", F.last(apart, ignorenulls=True).over(earlier(key)).alias("_entry")), key)
+    name = F.when(F.col("_reach").isNull() | (F.col("start_ms") > F.col("_reach")), F.col("start_ms")).otherwise(F.col("_entry"))
+    return c.groupBy(key, name.alias("start_ms")).agg(F.max("end_ms").alias("end_ms"))
+
+
+def merge_intervals(intervals: DataFrame, gap_ms: int = 100, least_ms: int = 150, key: str = "media_id", above: int = RANGE_ROWS) -> DataFrame:
+    """Intervals at most `gap_ms` apart become one; those under `least_ms` go."""
+    out = by_size(intervals, lambda x: _local_islands(x, gap_ms, key), lambda x: _intervals_cut(x, gap_ms, key), above=above, key=key)
     return out.filter(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
 
@@ -47,19 +92,37 @@ def gaps_and_overlaps(cues: DataFrame, gap_ms: int = 2000) -> DataFrame:
     return c.select("media_id", "seq", kind.alias("kind"), F.abs("gap").alias("ms")).filter("kind IS NOT NULL")
 
 
-def chunk_offsets(chunks: DataFrame, segment_ms: int = 60_000) -> DataFrame:
+def _offsets(chunks: DataFrame, segment_ms: int, *keys: str) -> DataFrame:
+    """Adds start_ms and `_resets`, the unreadable chunks up to the row, of rows whose sum starts at 0 with the first of `keys`."""
+    w = Window.partitionBy(*keys).orderBy("chunk_idx")
+    bad = (~F.col("readable")).cast("int")
+    c = chunks.withColumn("_resets", F.sum(bad).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    island = Window.partitionBy(*keys, "_resets").orderBy("chunk_idx")
+    base = F.first(F.when(~F.col("readable"), (F.col("chunk_idx") + 1) * segment_ms)).over(island.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    run = F.coalesce(F.sum(F.when(F.col("readable"), F.col("dur_ms"))).over(island.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.when(~F.col("readable"), F.col("chunk_idx") * segment_ms).when(F.col("dur_ms").isNull(), F.lit(0)).otherwise(F.coalesce(base, F.lit(0)) + run)
+    return c.withColumn("start_ms", start.cast("long"))
+
+
+def _offsets_cut(chunks: DataFrame, segment_ms: int) -> DataFrame:
+    """The same over ranges: a range carries the sum behind its last row, which an unreadable chunk in it makes independent of what came before."""
+    c = _offsets(chunks, segment_ms, "media_id", "_range")
+    bad = ~F.col("readable")
+    parts = c.groupBy("media_id", "_range", "_resets").agg((F.coalesce(F.max(F.when(bad, (F.col("chunk_idx") + 1) * segment_ms)), F.lit(0)) + F.coalesce(F.sum(F.when(~bad, F.col("dur_ms"))), F.lit(0))).alias("_sum"))
+    own = parts.groupBy("media_id", "_range").agg(F.max_by("_sum", "_resets").alias("_sum"), (F.max("_resets") > 0).cast("int").alias("_fresh"))
+    own = own.withColumn("_since", F.sum("_fresh").over(over_ranges()))
+    behind = F.sum("_sum").over(Window.partitionBy("media_id", "_since").orderBy("_range"))
+    own = own.withColumn("_behind", behind).select("media_id", "_range", F.coalesce(F.lag("_behind").over(over_ranges()), F.lit(0)).alias("_carry"))
+    moved = (F.col("_resets") == 0) & F.col("dur_ms").isNotNull()
+    return fed(c, own).withColumn("start_ms", F.when(moved, F.col("start_ms") + F.col("_carry")).otherwise(F.col("start_ms"))).drop("_carry", "_range", "_resets")
+
+
+def chunk_offsets(chunks: DataFrame, segment_ms: int = 60_000, above: int = RANGE_ROWS) -> DataFrame:
     """Adds start_ms: the sum of the earlier durations; an unreadable chunk i starts at i * segment_ms and the sum goes on at (i + 1) * segment_ms.
 
     A row whose duration is null is a missing file: it starts at 0 and adds nothing.
     """
-    w = Window.partitionBy("media_id").orderBy("chunk_idx")
-    bad = (~F.col("readable")).cast("int")
-    c = chunks.withColumn("_island", F.sum(bad).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("media_id", "_island").orderBy("chunk_idx")
-    base = F.first(F.when(~F.col("readable"), (F.col("chunk_idx") + 1) * segment_ms)).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    run = F.coalesce(F.sum(F.when(F.col("readable"), F.col("dur_ms"))).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = F.when(~F.col("readable"), F.col("chunk_idx") * segment_ms).when(F.col("dur_ms").isNull(), F.lit(0)).otherwise(F.coalesce(base, F.lit(0)) + run)
-    return c.withColumn("start_ms", start.cast("long")).drop("_island")
+    return by_size(chunks, lambda c: _offsets(c, segment_ms, "media_id").drop("_resets"), lambda c: _offsets_cut(c, segment_ms), "chunk_idx", above)
 
 
 def energy_intervals(frames: DataFrame, hop_ms: int = 10, least_frames: int = 5, quantile: float = 0.3) -> DataFrame:
@@ -82,12 +145,21 @@ def head_fraction(rows: DataFrame, percent: int, key: str = "media_id", order: s
     return out.filter("_at <= _most").drop("_at", "_most")
 
 
-def renumbered(cues: DataFrame, column: str = "number") -> DataFrame:
-    return cues.withColumn(column, F.row_number().over(by_start()).cast("long"))
+def _numbers_cut(cues: DataFrame, column: str) -> DataFrame:
+    rows = cues.groupBy("media_id", "_range").agg(F.count("*").alias("_rows"))
+    base = rows.select("media_id", "_range", F.coalesce(F.sum("_rows").over(earlier()), F.lit(0)).alias("_base"))
+    own = cues.withColumn(column, F.row_number().over(inside("start_ms", "seq")))
+    return fed(own, base).withColumn(column, (F.col(column) + F.col("_base")).cast("long")).drop("_base", "_range")
+
+
+def renumbered(cues: DataFrame, column: str = "number", above: int = RANGE_ROWS) -> DataFrame:
+    """Adds the row's number in its media, from 1."""
+    return by_size(cues, lambda c: c.withColumn(column, F.row_number().over(by_start()).cast("long")), lambda c: _numbers_cut(c, column), above=above)
 
 
-def batched(cues: DataFrame, size: int = 10) -> DataFrame:
-    return cues.withColumn("batch_id", F.floor((F.row_number().over(by_start()) - 1) / size))
+def batched(cues: DataFrame, size: int = 10, above: int = RANGE_ROWS) -> DataFrame:
+    """Adds batch_id: every `size` rows of a media in order."""
+    return renumbered(cues, "_number", above).withColumn("batch_id", F.floor((F.col("_number") - 1) / size)).drop("_number")
 
 
 def best_attempt(attempts: DataFrame, enough: float = -1.0) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheaf.functions.text import strip
 
-from .intervals import by_start, merge_adjacent_duplicates
-from .rules import with_drop_reason
+from . import rules
+from .intervals import by_start, merged_cut
+from .ranges import RANGE_ROWS, by_size
 
 
 def continuity_stats(cues: DataFrame, limits: DataFrame, gap_ms: int = 2000) -> DataFrame:
@@ -27,15 +28,34 @@ def continuity_stats(cues: DataFrame, limits: DataFrame, gap_ms: int = 2000) ->
     })
 
 
-def filter_report(cues: DataFrame) -> DataFrame:
-    """original, kept, merged and removed rows of each media, and those of every reason."""
-    marked = with_drop_reason(cues)
-    reasons = ("blank", "confidence", "pattern", "run", "slow", "fast", "too_short", "too_long", "repeat")
-    counts = marked.groupBy("media_id").agg(
-        F.count("*").alias("original"), F.count_if(F.col("reason").isNull()).alias("filtered"), *(F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in reasons)
+_REASONS = ("blank", "confidence", "pattern", "run", "slow", "fast", "too_short", "too_long", "repeat")
+
+
+def _counts(marked: DataFrame, *more: Column) -> DataFrame:
+    return marked.groupBy("media_id").agg(
+        F.count("*").alias("original"), F.count_if(F.col("reason").isNull()).alias("filtered"), *(F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in _REASONS), *more
     )
-    merged = merge_adjacent_duplicates(marked.filter("reason IS NULL")).groupBy("media_id").agg(F.count("*").alias("deduplicated"))
-    out = counts.join(merged, "media_id", "left").withColumn("deduplicated", F.coalesce("deduplicated", F.lit(0).cast("long")))
+
+
+def _report_whole(cues: DataFrame, within_ms: int = 5000) -> DataFrame:
+    """One pass: a kept row is one of the deduplicated if it does not go into the kept one before it."""
+    marked = rules.repeats_whole(cues).withColumn("reason", rules.drop_reason())
+    kept = F.when(F.col("reason").isNull(), F.struct(F.xxhash64(strip(F.col("text"))).alias("t"), "end_ms"))
+    marked = marked.withColumn("_kept", kept).withColumn("_before", F.last("_kept", ignorenulls=True).over(by_start().rowsBetween(Window.unboundedPreceding, -1)))
+    joins = (F.col("_before.t") == F.col("_kept.t")) & (F.col("start_ms") - F.col("_before.end_ms") < within_ms)
+    return _counts(marked, F.count_if(F.col("reason").isNull() & ~F.coalesce(joins, F.lit(False))).alias("deduplicated"))
+
+
+def _report_cut(cues: DataFrame) -> DataFrame:
+    marked = rules.repeats_cut(cues).withColumn("reason", rules.drop_reason())
+    merged = merged_cut(marked.filter("reason IS NULL")).groupBy("media_id").agg(F.count("*").alias("deduplicated"))
+    out = _counts(marked).join(merged, "media_id", "left")
+    return out.withColumn("deduplicated", F.coalesce("deduplicated", F.lit(0).cast("long")))
+
+
+def filter_report(cues: DataFrame, above: int = RANGE_ROWS) -> DataFrame:
+    """original, kept, merged and removed rows of each media, and those of every reason."""
+    out = by_size(cues, _report_whole, _report_cut, above=above)
     return out.withColumn("removed", F.col("original") - F.col("deduplicated"))
 
 

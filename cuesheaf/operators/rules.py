@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cuesheaf.functions.text import spoken_chars, strip
 
+from .ranges import RANGE_ROWS, by_size, inside
+
 SHORT_REPLIES = ("yes",)
 DROP_PATTERNS = ("Thanks for watching",)
 
@@ -52,27 +54,64 @@ def too_long(duration_ms: Column, most_ms: int = 30_000) -> Column:
     return duration_ms > most_ms
 
 
-def with_repeats(cues: DataFrame, replies: Sequence[str] = SHORT_REPLIES) -> DataFrame:
+_NEAR = 5
+
+
+def _prints(cues: DataFrame) -> DataFrame:
+    """Adds `_print`: a hash of the stripped text and one of the whole row; comparing these moves no text."""
+    text = F.xxhash64(strip(F.col("text")), F.length("text"))
+    return cues.withColumn("_print", F.struct(text.alias("text"), F.xxhash64("start_ms", "end_ms", "text", "confidence", F.col("confidence").isNull()).alias("row")))
+
+
+def _beside(window: Window) -> tuple[Column, Column]:
+    """Whether a twin stands in the last five of the rows from 5 before to 5 after, and whether fewer than five rows follow.
+
+    Five rows on: these decide. Only where fewer follow, rows before count as well, as many as are missing.
+    """
+
+    def twin(other: Column) -> Column:
+        return (other["text"] == F.col("_print.text")) & (other["row"] != F.col("_print.row"))
+
+    after = [F.lead("_print", k).over(window) for k in range(1, _NEAR + 1)]
+    hits = [twin(x) for x in after]
+    hits += [after[_NEAR - 1 - k].isNull() & twin(F.lag("_print", k).over(window)) for k in range(1, _NEAR)]
+    hit = F.coalesce(hits[0], F.lit(False))
+    for h in hits[1:]:
+        hit = hit | F.coalesce(h, F.lit(False))
+    return hit, after[-1].isNull()
+
+
+def _spoken(c: DataFrame, replies: Sequence[str]) -> DataFrame:
+    return c.withColumn("repeated", F.col("_hit") & ~is_short_reply(F.col("text"), replies)).drop("_hit", "_print")
+
+
+def repeats_whole(cues: DataFrame, replies: Sequence[str] = SHORT_REPLIES) -> DataFrame:
+    """with_repeats with one window a media."""
+    return _spoken(_prints(cues).withColumn("_hit", _beside(Window.partitionBy("media_id").orderBy("start_ms", "seq"))[0]), replies)
+
+
+def repeats_cut(cues: DataFrame, replies: Sequence[str] = SHORT_REPLIES) -> DataFrame:
+    """The same over ranges with a halo: only the last five rows of a range look into the next ones, of which the first five rows suffice."""
+    w = inside("start_ms", "seq")
+    hit, tail = _beside(w)
+    c = _prints(cues).withColumns({"_hit": hit, "_tail": tail, "_at": F.row_number().over(w)})
+    edges = c.filter(F.col("_tail") | (F.col("_at") <= _NEAR)).withColumn("_hit", _beside(Window.partitionBy("media_id").orderBy("start_ms", "seq"))[0])
+    return _spoken(c.filter("NOT _tail").unionByName(edges.filter("_tail")).drop("_tail", "_at"), replies)
+
+
+def with_repeats(cues: DataFrame, replies: Sequence[str] = SHORT_REPLIES, above: int = RANGE_ROWS) -> DataFrame:
     """Adds `repeated`: the text stands in the last five of the rows from 5 before to 5 after.
 
     Away from the end these are the next five rows; for the last five rows of a media they are the
     media's last five. A row equal in all its values counts as the row itself; short replies are exempt.
     """
-    order = Window.partitionBy("media_id").orderBy("start_ms", "seq")
-    row = F.struct(F.col("_at").alias("at"), strip(F.col("text")).alias("t"), F.struct("start_ms", "end_ms", "text", "confidence").alias("row"))
-    c = cues.withColumns({"_at": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy("media_id"))})
-    c = c.withColumn("_near", F.collect_list(row).over(order.rowsBetween(-4, 5)))
-    last = F.least(F.col("_n"), F.col("_at") + 5)
-    own = F.struct("start_ms", "end_ms", "text", "confidence")
-    hit = F.exists("_near", lambda x: (x["at"] > last - 5) & (x["at"] <= last) & (x["t"] == strip(F.col("text"))) & ~x["row"].eqNullSafe(own))
-    return c.withColumn("repeated", hit & ~is_short_reply(F.col("text"), replies)).drop("_at", "_n", "_near")
+    return by_size(cues, lambda c: repeats_whole(c, replies), lambda c: repeats_cut(c, replies).drop("_range"), above=above)
 
 
-def with_drop_reason(cues: DataFrame, patterns: Sequence[str] = DROP_PATTERNS, replies: Sequence[str] = SHORT_REPLIES) -> DataFrame:
-    """Adds `reason`: the first rule that drops the row, null if it is kept."""
+def drop_reason(patterns: Sequence[str] = DROP_PATTERNS, replies: Sequence[str] = SHORT_REPLIES) -> Column:
+    """The first rule that drops a row that with_repeats has marked, null if it is kept."""
     t, d = F.col("text"), F.col("end_ms") - F.col("start_ms")
-    c = with_repeats(cues, replies)
-    reason = (
+    return (
         F.when(is_blank(t), "blank")
         .when(low_confidence(F.col("confidence"), t, replies), "confidence")
         .when(is_boilerplate(t, patterns, replies), "pattern")
@@ -83,7 +122,21 @@ def with_drop_reason(cues: DataFrame, patterns: Sequence[str] = DROP_PATTERNS, r
         .when(too_long(d), "too_long")
         .when(F.col("repeated"), "repeat")
     )
-    return c.withColumn("reason", reason).drop("repeated")
+
+
+def with_drop_reason(cues: DataFrame, patterns: Sequence[str] = DROP_PATTERNS, replies: Sequence[str] = SHORT_REPLIES, above: int = RANGE_ROWS) -> DataFrame:
+    """Adds `reason`: the first rule that drops the row, null if it is kept."""
+    return with_repeats(cues, replies, above).withColumn("reason", drop_reason(patterns, replies)).drop("repeated")
+
+
+def kept_whole(cues: DataFrame) -> DataFrame:
+    """Rows that no rule drops, of media that are one window each."""
+    return repeats_whole(cues).filter(drop_reason().isNull()).drop("repeated")
+
+
+def kept_cut(cues: DataFrame) -> DataFrame:
+    """The same of media in ranges."""
+    return repeats_cut(cues).filter(drop_reason().isNull()).drop("repeated")
 
 
 def is_hallucination(text: Column, duration_ms: Column, patterns: Sequence[str] = DROP_PATTERNS) -> Column:

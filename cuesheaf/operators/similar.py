@@ -3,24 +3,53 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-_MARKS = re.compile("[、。,!?]")
+_MARKS = "、。,!?"
+_DROP = re.compile(f"[{_MARKS}]")
+#: How a pair was decided: by equal texts, by the lengths, by the characters of both, or by the full comparison.
+WAYS = ("equal", "length", "characters", "full")
 
 
 def similarity(a: str, b: str) -> float:
     """Ratcliff-Obershelp ratio without punctuation."""
-    return 1.0 if a == b else SequenceMatcher(None, _MARKS.sub("", a), _MARKS.sub("", b)).ratio()
+    return 1.0 if a == b else SequenceMatcher(None, _DROP.sub("", a), _DROP.sub("", b)).ratio()
+
+
+@lru_cache(4096)
+def _profile(text: str) -> tuple[str, Counter]:
+    """The text without punctuation, and its characters with their counts."""
+    t = _DROP.sub("", text)
+    return t, Counter(t)
+
+
+def decided(a: str, b: str, threshold: float) -> tuple[bool, str]:
+    """Whether the similarity is over the threshold, and the first of WAYS that says so.
+
+    Matching blocks hold at most the shorter text, and at most the characters that both texts share, each as often as in the text that has
+    fewer of it; twice that over both lengths is an upper bound, so a pair that it leaves under the threshold needs no comparison.
+    """
+    if a == b:
+        return threshold < 1.0, "equal"
+    (x, in_x), (y, in_y) = _profile(a), _profile(b)
+    both = len(x) + len(y)
+    if both and 2.0 * min(len(x), len(y)) / both <= threshold:
+        return False, "length"
+    if both and 2.0 * sum((in_x & in_y).values()) / both <= threshold:
+        return False, "characters"
+    return SequenceMatcher(None, x, y).ratio() > threshold, "full"
 
 
 def text_similarity(a, b):
-    """The same as a column; null if a side is null."""
+    """The similarity as a column; null if a side is null."""
 
     @pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -29,6 +58,29 @@ def text_similarity(a, b):
     return ratio(a, b)
 
 
+def is_similar(a, b, threshold: float = 0.7):
+    """struct (similar, way): whether the similarity is over the threshold and how that was decided; null if a side is null."""
+
+    @pandas_udf("similar boolean, way string")
+    def over(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if p is None or q is None else decided(p, q, threshold) for p, q in zip(x, y, strict=True)]
+        return pd.DataFrame(found, columns=["similar", "way"])
+
+    return over(a, b)
+
+
+def similarity_bounds(a: Column, b: Column) -> tuple[Column, Column]:
+    """Both upper bounds of the similarity as expressions, by the lengths and by the shared characters; 1 for two texts without characters."""
+    x, y = (F.translate(c, _MARKS, "") for c in (a, b))
+    both = F.length(x) + F.length(y)
+
+    def times(text: Column, c: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, c, F.lit("")))
+
+    shared = F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(x, c), times(y, c))))
+    return tuple(F.when(both == 0, F.lit(1.0)).otherwise(2.0 * n / both) for n in (F.least(F.length(x), F.length(y)), shared))
+
+
 def _folded(rows: DataFrame, key: list[str], joins) -> DataFrame:
     """Fold each group in order of (start_ms, seq): `joins(last, row)` says if a row goes into the last kept one, and changes it.
 
@@ -62,7 +114,7 @@ def merge_similar_segments(segments: DataFrame, overlap_ms: int = 100, gap_ms: i
 
     def joins(last: dict, row: dict) -> bool:
         overlap = min(last["end_ms"], row["end_ms"]) - max(last["start_ms"], row["start_ms"])
-        if (overlap <= overlap_ms and row["start_ms"] - last["end_ms"] >= gap_ms) or similarity(last["text"], row["text"]) <= threshold:
+        if (overlap <= overlap_ms and row["start_ms"] - last["end_ms"] >= gap_ms) or not decided(last["text"], row["text"], threshold)[0]:
             return False
         last["end_ms"] = row["end_ms"]
         if row["confidence"] > last["confidence"]:
@@ -76,7 +128,7 @@ def merge_similar_chunks(segments: DataFrame, threshold: float = 0.7) -> DataFra
     """Over all chunks of a media, a row similar to the last kept one goes into it whatever the time between; the first text stays."""
 
     def joins(last: dict, row: dict) -> bool:
-        if similarity(last["text"], row["text"]) <= threshold:
+        if not decided(last["text"], row["text"], threshold)[0]:
             return False
         last["end_ms"] = row["end_ms"]
         return True

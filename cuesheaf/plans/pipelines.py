@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from cuesheaf.functions import text as T
 from cuesheaf.functions import times
-from cuesheaf.operators import intervals, rules, translate
+from cuesheaf.operators import intervals, ranges, rules, translate
 from cuesheaf.sources import transcripts
 
 
-def clean_transcript(cues: DataFrame) -> DataFrame:
-    """Cues that no rule drops, adjacent duplicates merged, with their rendered line; one exchange by media_id serves all windows."""
-    kept = rules.with_drop_reason(cues).filter("reason IS NULL").transform(intervals.merge_adjacent_duplicates)
+def clean_transcript(cues: DataFrame, above: int = ranges.RANGE_ROWS) -> DataFrame:
+    """Cues that no rule drops, adjacent duplicates merged, with their rendered line; one exchange by media_id (or by its range) serves all windows."""
+    kept = ranges.by_size(cues, lambda c: rules.kept_whole(c).transform(intervals.merged_whole), lambda c: rules.kept_cut(c).transform(intervals.merged_cut), above=above)
     line = F.concat(F.lit("["), times.format_hms(F.abs("start_ms")), F.lit(" - "), times.format_hms(F.abs("end_ms")), F.lit("] "), "text")
     return kept.select("media_id", "seq", "start_ms", "end_ms", "text", "confidence", line.alias("line"))
 

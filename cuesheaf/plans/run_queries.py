@@ -147,6 +147,28 @@ def text_similarity(spark, sf_dir):
     return c.select("media_id", "seq", F.round(similar.text_similarity(F.col("before"), F.col("text")), 6).alias("similarity"))
 
 
+_SHARED = """WITH p AS (SELECT media_id, seq, translate(lag(text) OVER (PARTITION BY media_id ORDER BY start_ms, seq), '、。,!?', '') AS x, translate(text, '、。,!?', '') AS y FROM cues),
+l AS (SELECT media_id, seq, c, count(*) AS n FROM (SELECT media_id, seq, unnest(string_split(x, '')) AS c FROM p) WHERE c <> '' GROUP BY ALL), r AS (SELECT media_id, seq, c, count(*) AS n FROM (SELECT media_id, seq, unnest(string_split(y, '')) AS c FROM p) WHERE c <> '' GROUP BY ALL),
+s AS (SELECT media_id, seq, sum(least(l.n, r.n))::BIGINT AS shared FROM l JOIN r USING (media_id, seq, c) GROUP BY ALL)
+SELECT media_id, seq, CASE WHEN length(x) + length(y) = 0 THEN 1.0 ELSE round(2.0 * least(length(x), length(y)) / (length(x) + length(y)), 6) END::DOUBLE AS by_length,
+  CASE WHEN length(x) + length(y) = 0 THEN 1.0 ELSE round(2.0 * coalesce(shared, 0) / (length(x) + length(y)), 6) END::DOUBLE AS by_characters FROM p LEFT JOIN s USING (media_id, seq) WHERE x IS NOT NULL"""
+
+
+@query(_SHARED, "cues")
+def similarity_bounds(spark, sf_dir):
+    c = X.cues(spark, sf_dir).select("media_id", "seq", "text", F.lag("text").over(I.by_start()).alias("before")).filter("before IS NOT NULL")
+    by_length, by_characters = similar.similarity_bounds(F.col("before"), F.col("text"))
+    return c.select("media_id", "seq", F.round(by_length, 6).alias("by_length"), F.round(by_characters, 6).alias("by_characters"))
+
+
+@query()
+def similarity_ways(spark, sf_dir):
+    """How the pairs of neighbouring texts are decided, and how many of each way are similar."""
+    c = X.cues(spark, sf_dir).select("text", F.lag("text").over(I.by_start()).alias("before")).filter("before IS NOT NULL")
+    c = c.select(similar.is_similar(F.col("before"), F.col("text")).alias("s"))
+    return c.groupBy(F.col("s.way").alias("way")).agg(F.count("*").alias("pairs"), F.count_if("s.similar").alias("similar"))
+
+
 @query()
 def merge_similar_segments(spark, sf_dir):
     return similar.merge_similar_segments(_heard(spark, sf_dir))
