@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 
 def origin(base: Column) -> Column:
     """Scheme and host of an address, without user and default port."""
@@ -46,5 +48,5 @@ def tag_list_url(tag: Column, site: str) -> Column:
 
 
 def page_number(text: Column) -> Column:
-    """Leading integer of a text; 1 if there is none."""
-    return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("long"), F.lit(1).cast("long"))
+    """Leading integer of a text, after white space of any kind; 1 if there is none or it is no long."""
+    return F.coalesce(F.regexp_extract(strip(text), r"^([+-]?[0-9]+)", 1).try_cast("long"), F.lit(1).cast("long"))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesheaf.functions import text as T
 from cuesheaf.functions import urls
 from cuesheaf.sources.storage import discard, stored
 
+EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -60,67 +59,85 @@ class Tree(HTMLParser):
         return "".join(self.nodes[i][3]).strip()
 
 
-def item_rows(html: str, name: str) -> list[tuple[int, str, str]]:
-    """(index, href, name) of the elements of class item-link; one without href is skipped but counted."""
-    t = Tree(html)
+def item_rows(t: Tree) -> list[tuple[int, str, str]]:
+    """(index, href, name) of the elements of class item-link, the name empty if it has none; one without href is skipped but counted."""
     out = []
     for n, i in enumerate(t.of_class("item-link"), 1):
         if href := t.nodes[i][1].get("href"):
-            label = "".join(t.text(j) for j in t.of_class("item-link-text") if t.inside(j, i)).strip()
-            out.append((n, href, label or f"{name}_{n}"))
+            out.append((n, href, "".join(t.text(j) for j in t.of_class("item-link-text") if t.inside(j, i)).strip()))
     return out
 
 
-def image_rows(html: str, name: str) -> list[tuple[int, str, str]]:
-    """(index, url, name) of the elements of both classes post-item-img and lazy."""
-    t = Tree(html)
-    return [(n, a["data-original"], a.get("title") or f"{name}_{n}") for n, i in enumerate(t.of_class("post-item-img", "lazy"), 1) if (a := t.nodes[i][1]).get("data-original")]
+def image_rows(t: Tree) -> list[tuple[int, str, str]]:
+    """(index, url, name) of the elements of both classes post-item-img and lazy, the name empty if it has none."""
+    return [(n, a["data-original"], a.get("title") or "") for n, i in enumerate(t.of_class("post-item-img", "lazy"), 1) if (a := t.nodes[i][1]).get("data-original")]
 
 
-def next_rows(html: str, name: str) -> list[tuple[int, str, str]]:
-    """(1, href, text of the current page): the first link of the li right after the element of class current."""
-    t = Tree(html)
+def next_row(t: Tree) -> tuple[str, str] | None:
+    """(href, text of the current page): the first link of the li right after the element of class current."""
     if not (current := t.of_class("current")):
-        return []
+        return None
     i = current[0]
     after = [j for j in range(i + 1, len(t.nodes)) if t.nodes[j][2] == t.nodes[i][2]]
     if not after or t.nodes[after[0]][0] != "li":
-        return []
+        return None
     links = [j for j in range(after[0] + 1, len(t.nodes)) if t.nodes[j][0] == "a" and t.inside(j, after[0])]
     href = t.nodes[links[0]][1].get("href") if links else None
-    return [(1, href, t.text(i))] if href else []
+    return (href, t.text(i)) if href else None
 
 
-def _parsed(pages: DataFrame, rows, name: str) -> DataFrame:
-    """(page_id, url, index, href, name) by a parser over pages (page_id, url, html)."""
+_LINKS = "array<struct<index: bigint, href: string, name: string>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(p, u, *r) for p, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in rows(h, name)]
-            cols = list(zip(*found, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "url", "index", "href", "name"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, index long, href string, name string")
+@F.udtf(returnType=f"items: {_LINKS}, images: {_LINKS}, following: struct<href: string, current: string>")
+class PageRecord:
+    """Table function: one row with all that the crawl needs of a page (html), from one parse."""
 
+    def eval(self, html: str):
+        t = Tree(html)
+        yield item_rows(t), image_rows(t), next_row(t)
 
-def _with_target(links: DataFrame) -> DataFrame:
-    return links.withColumn("target", urls.resolve_url(F.col("href"), F.col("url"))).drop("href")
+
+def parsed_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """(page_id, url, the columns to keep, items, images, following) of pages (page_id, url, html), each parsed once: a lateral join with PageRecord."""
+    record = pages.select("page_id", "url", *keep, "html").lateralJoin(PageRecord(F.col("html").outer()))
+    return record.drop("html")
+
+
+def _named(link: Column, name: str, url: Column) -> tuple[Column, Column]:
+    """The name of a link, made of `name` and its index if it has none, and its whole address."""
+    own = F.coalesce(F.nullif(link["name"], F.lit("")), F.concat(F.lit(f"{name}_"), link["index"].cast("string")))
+    return own, urls.resolve_url(link["href"], url)
+
+
+def _links(records: DataFrame, column: str, name: str) -> DataFrame:
+    rows = records.select("page_id", "url", F.explode(column).alias("_link"))
+    own, target = _named(F.col("_link"), name, F.col("url"))
+    return rows.select("page_id", "url", F.col("_link.index").alias("index"), own.alias("name"), target.alias("target"))
+
+
+def items_of(records: DataFrame, name: str = "项目") -> DataFrame:
+    """(page_id, url, index, name, target) of the items of parsed pages."""
+    return _links(records, "items", name)
+
+
+def images_of(records: DataFrame, name: str = "image") -> DataFrame:
+    return _links(records, "images", name)
 
 
 def item_links(pages: DataFrame, name: str = "项目") -> DataFrame:
     """(page_id, url, index, name, target) of a page's items."""
-    return _with_target(_parsed(pages, item_rows, name))
+    return items_of(parsed_pages(pages), name)
 
 
 def image_links(pages: DataFrame, name: str = "image") -> DataFrame:
-    return _with_target(_parsed(pages, image_rows, name))
+    return images_of(parsed_pages(pages), name)
 
 
 def next_page_edges(pages: DataFrame) -> DataFrame:
     """(page_id, url, page_number, target): the page after; a missing step gives no row."""
-    e = _with_target(_parsed(pages, next_rows, ""))
-    return e.select("page_id", "url", urls.page_number(F.col("name")).alias("page_number"), "target")
+    e = parsed_pages(pages).filter("following IS NOT NULL")
+    return e.select("page_id", "url", urls.page_number(F.col("following.current")).alias("page_number"), urls.resolve_url(F.col("following.href"), F.col("url")).alias("target"))
 
 
 def simple_links(pages: DataFrame) -> DataFrame:
@@ -131,10 +148,15 @@ def simple_links(pages: DataFrame) -> DataFrame:
     return p.select("page_id", (F.col("i") + 1).cast("long").alias("index"), name.alias("name"), urls.resolve_url(href, F.col("url")).alias("target"))
 
 
+def page_title(html: Column, suffix: str = "") -> Column:
+    """The title element's text, cleaned; `untitled_page` if there is none."""
+    raw = T.strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return T.clean_page_title(F.coalesce(F.nullif(raw, F.lit("")), F.lit("untitled_page")), suffix)
+
+
 def page_titles(pages: DataFrame, suffix: str = "") -> DataFrame:
-    """(page_id, title): the title element's text, cleaned; `untitled_page` if there is none."""
-    raw = T.strip(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return pages.select("page_id", T.clean_page_title(F.coalesce(F.nullif(raw, F.lit("")), F.lit("untitled_page")), suffix).alias("title"))
+    """(page_id, title)."""
+    return pages.select("page_id", page_title(F.col("html"), suffix).alias("title"))
 
 
 def page_store_lookup(requests: DataFrame, pages: DataFrame, today: str) -> DataFrame:
@@ -145,20 +167,45 @@ def page_store_lookup(requests: DataFrame, pages: DataFrame, today: str) -> Data
     return r.join(store, F.col("key") == F.col("_key"), "left").withColumn("missing", F.col("_key").isNull()).drop("_key")
 
 
-def images_to_fetch(links: DataFrame, files: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "gif", "webp")) -> DataFrame:
-    """links (folder, name) for which files (folder, path) have no file of the same clean name with one of the extensions, in lower case."""
+def stems(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(folder, stem) of the files (folder, path) with one of the extensions, in lower case."""
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
-    have = files.filter(F.regexp_extract("path", r"\.([^./]*)$", 1).isin(*extensions)).select("folder", stem.alias("stem")).distinct()
-    return links.withColumn("stem", T.clean_filename(F.col("name"))).join(have, ["folder", "stem"], "left_anti")
+    return files.filter(F.regexp_extract("path", r"\.([^./]*)$", 1).isin(*extensions)).select("folder", stem.alias("stem")).distinct()
+
+
+def images_to_fetch(links: DataFrame, files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """links (folder, name) for which files (folder, path) have no file of the same clean name with one of the extensions."""
+    return links.withColumn("stem", T.clean_filename(F.col("name"))).join(stems(files, extensions), ["folder", "stem"], "left_anti")
 
 
 def crawl_join(pages: DataFrame) -> DataFrame:
-    """List page, its item and the item's images: stored pages joined on their addresses."""
-    items = item_links(pages).select(F.col("page_id").alias("list_page"), F.col("name").alias("item"), F.col("target").alias("item_url"))
-    images = image_links(pages).select(F.col("url").alias("_url"), F.col("page_id").alias("item_page"), F.col("name").alias("image"), F.col("target").alias("image_url"))
+    """List page, its item and the item's images: stored pages joined on their addresses; each page is parsed once, into a stored table that both sides read."""
+    records = stored(parsed_pages(pages))
+    items = items_of(records).select(F.col("page_id").alias("list_page"), F.col("name").alias("item"), F.col("target").alias("item_url"))
+    images = images_of(records).select(F.col("url").alias("_url"), F.col("page_id").alias("item_page"), F.col("name").alias("image"), F.col("target").alias("image_url"))
     return items.join(images, F.col("item_url") == F.col("_url")).drop("_url")
 
 
+def gallery_inventory(pages: DataFrame, stored_pages: DataFrame, files: DataFrame, item_name: str = "项目", image_name: str = "image", extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """Per page its title, items found and those whose page is stored (url), images, and images without a file (folder, path); a page's folder is its page_id.
+
+    One parse and one stream: items and images of a page are rows of one kind or the other, each joined with what it may match, and counted together.
+    """
+    rec = parsed_pages(pages.withColumn("title", page_title(F.col("html"))), "title")
+    both = F.concat(F.transform("items", lambda x: F.struct(F.lit(True).alias("item"), x.alias("link"))), F.transform("images", lambda x: F.struct(F.lit(False).alias("item"), x.alias("link"))))
+    rows = rec.select("page_id", "url", "title", F.explode_outer(both).alias("_x")).select("page_id", "url", "title", "_x.item", F.col("_x.link").alias("_link"))
+    named, target = _named(F.col("_link"), image_name, F.col("url"))
+    rows = rows.select("page_id", "title", "item", F.when(F.col("item"), target).alias("_item_url"), F.when(~F.col("item"), T.clean_filename(named)).alias("_stem"), F.col("page_id").cast("string").alias("_folder"))
+    have = stored_pages.select(F.col("url").alias("_url")).distinct()
+    kept = stems(files, extensions).select(F.col("folder").alias("_f"), F.col("stem").alias("_s"))
+    rows = rows.join(have, F.col("_item_url") == F.col("_url"), "left").join(kept, (F.col("_folder") == F.col("_f")) & (F.col("_stem") == F.col("_s")), "left")
+    found = F.count_if("item")
+    return rows.groupBy("page_id").agg(
+        F.first("title").alias("title"), F.when(found > 0, found).alias("found"), F.when(found > 0, F.count("_url")).alias("stored"),
+        F.count_if(~F.col("item")).alias("images"), F.count_if(~F.col("item") & F.col("_s").isNull()).alias("to_fetch"),
+    )
+
+
 def crawl_report(links: DataFrame, stored_pages: DataFrame) -> DataFrame:
     """Per page: links found, with an address, and with a stored page (url)."""
     have = stored_pages.select(F.col("url").alias("_url")).distinct()
@@ -173,8 +220,7 @@ def pagination_walk(starts: DataFrame, edges: DataFrame) -> DataFrame:
     Doubling: reached pages and jumps of 2^k steps, so a walk of n pages takes log2(n) joins. A page
     met again is not visited again, which ends loops; of several edges of a source the one to the smallest page counts.
     """
-    first = F.coalesce(F.regexp_extract(T.strip(F.col("current")), r"^([+-]?[0-9]{1,18})", 1).try_cast("long"), F.lit(1).cast("long"))
-    numbers = starts.select("start", first.alias("first")).groupBy("start").agg(F.min("first").alias("first"))
+    numbers = starts.select("start", urls.page_number(F.col("current")).alias("first")).groupBy("start").agg(F.min("first").alias("first"))
     reached = stored(numbers.select("start", F.col("start").alias("page"), F.lit(0).cast("long").alias("step")))
     jump = stored(edges.groupBy("src").agg(F.min("dst").alias("dst")).select("src", "dst", F.lit(1).cast("long").alias("hop")))
     count = reached.count()

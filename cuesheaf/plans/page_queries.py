@@ -120,7 +120,8 @@ def images_to_fetch(spark, sf_dir):
 def _linked(spark, sf_dir):
     """Galleries whose address is the first link of the gallery before, so that lists lead to items."""
     g = X.galleries(spark, sf_dir)
-    first = P.item_links(g).filter("index = 1").select((F.col("page_id") + 1).alias("page_id"), F.col("target").alias("to"))
+    href = F.regexp_extract("html", '<a class="item-link" href="([^"]*)"', 1)
+    first = g.filter(href != "").select((F.col("page_id") + 1).alias("page_id"), urls.resolve_url(href, F.col("url")).alias("to"))
     return g.join(first, "page_id", "left").select("page_id", F.coalesce("to", "url").alias("url"), "html")
 
 
@@ -148,13 +149,9 @@ def crawl_report(spark, sf_dir):
     FROM pages LEFT JOIN r USING (page_id)""", "links")
 def gallery_inventory(spark, sf_dir):
     g = _linked(spark, sf_dir)
-    links = P.image_links(g).withColumn("folder", F.col("page_id").cast("string"))
-    files = links.filter("page_id % 2 = 0").select("folder", F.concat(F.lit("/g/"), "folder", F.lit("/"), "name", F.lit(".jpg")).alias("path"))
-    fetch = P.images_to_fetch(links, files).groupBy("page_id").agg(F.count("*").alias("to_fetch"))
-    images = links.groupBy("page_id").agg(F.count("*").alias("images"))
-    report = P.crawl_report(P.item_links(g), g).drop("with_url")
-    out = P.page_titles(g).join(report, "page_id", "left").join(images, "page_id", "left").join(fetch, "page_id", "left")
-    return out.select("page_id", "title", "found", "stored", F.coalesce("images", F.lit(0)).cast("long").alias("images"), F.coalesce("to_fetch", F.lit(0)).cast("long").alias("to_fetch"))
+    names = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.regexp_extract_all("html", F.lit('<img class="lazy post-item-img"'), F.lit(0)))), lambda i: F.concat(F.lit("/image_"), i.cast("string"), F.lit(".jpg"))))
+    files = g.filter((F.col("page_id") % 2 == 0) & F.contains("html", F.lit('<img class="lazy'))).select(F.col("page_id").cast("string").alias("folder"), names.alias("path"))
+    return P.gallery_inventory(g, g, files)
 
 
 @query("SELECT page_id, path, length, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS ext FROM (SELECT * REPLACE (CASE WHEN page_id % 2 = 0 THEN replace(path, '_skip.', '_SKIP.') ELSE path END AS path) FROM file_list) WHERE NOT regexp_matches(path, '_(skip|SKIP)(_[0-9]+)?\\.(png|jpe?g|gif)$') AND regexp_extract(path, '\\.([^./]*)$', 1) <> 'webp'", "file_list")

@@ -239,3 +239,13 @@ def test_empty_tables(spark):
     assert pipelines.clean_transcript(none).count() == 0
     assert similar.merge_similar_chunks(none).count() == 0
     assert intervals.gaps_and_overlaps(none).count() == 0
+
+
+def test_pages_are_parsed_once(spark):
+    page = '<title>T</title><a class="item-link" href="/b"></a><img class="lazy post-item-img" data-original="/p.jpg"><img class="lazy post-item-img" data-original="/q.jpg">'
+    df = spark.createDataFrame([(1, "http://h/a", page), (2, "http://h/b", None)], "page_id long, url string, html string")
+    files = spark.createDataFrame([("1", "/g/1/image_2.png"), ("1", "/g/1/image_1.txt")], "folder string, path string")
+    out = pages.gallery_inventory(df, df, files)
+    assert sorted(map(tuple, out.collect())) == [(1, "T", 1, 1, 2, 1), (2, "untitled_page", None, None, 0, 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("PageRecord(") == 1 and "ArrowEvalPython" not in plan and "MapInArrow" not in plan
