@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuesheaf.operators import reports, translate
-from cuesheaf.sources import transcripts
+from cuesheaf.sources import storage, subtitle_files, transcripts
 
 from . import fixtures as X
 from . import pipelines
@@ -75,13 +75,38 @@ def write_transcript_txt(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT media_id, trim(string_agg(text, ' ' ORDER BY start_ms, seq)) AS t, count(*) AS n FROM cues GROUP BY media_id)
-    SELECT media_id, t AS text, n AS segments FROM g""", "cues")
+    """WITH g AS (SELECT media_id, trim(string_agg(text, ' ' ORDER BY start_ms, seq)) AS t, count(*) AS n, arg_max(end_ms, (start_ms, seq)) AS e FROM cues GROUP BY media_id)
+    SELECT media_id, t AS text, n AS segments, n AS info_segments, e AS info_last_end_ms FROM g""", "cues")
 def write_transcript_json(spark, sf_dir):
     """The written documents, read again."""
     made = transcripts.write_transcript_json(X.cues(spark, sf_dir))
-    parsed = F.from_json("content", "text string, segments array<struct<text:string>>")
-    return made.select("media_id", parsed.alias("d")).select("media_id", "d.text", F.size("d.segments").cast("long").alias("segments"))
+    parsed = F.from_json("content", "text string, segments array<struct<text:string>>, info struct<segments:long,last_end_ms:long>")
+    d = made.select("media_id", parsed.alias("d"))
+    return d.select("media_id", "d.text", F.size("d.segments").cast("long").alias("segments"), F.col("d.info.segments").alias("info_segments"), F.col("d.info.last_end_ms").alias("info_last_end_ms"))
+
+
+def _through_files(rows, kind):
+    """Rows as they come back from the files that they were written to."""
+    path = storage.shared_path(rows.sparkSession)
+    subtitle_files.write_subtitles(rows, path, kind)
+    return subtitle_files.read_subtitles(rows.sparkSession, path, kind).withColumn("media_id", F.col("media_id").cast("long"))
+
+
+@query(f"WITH {_SRT} SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY at_) AS index, \"timestamp\", text FROM srt", "cues", "srt_files")
+def srt_files_again(spark, sf_dir):
+    return _through_files(transcripts.read_srt(X.srt_files(spark, sf_dir)), "srt").drop("at")
+
+
+@query(f"WITH {REASON_CTE}, {MERGED_CTE} SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, seq) AS number, {_clock('abs(start_ms)')} || ',000' AS \"start\", {_clock('abs(end_ms)')} || ',000' AS \"end\", text FROM merged", "cues")
+def txt_files_again(spark, sf_dir):
+    cues = X.cues(spark, sf_dir)
+    kept = pipelines.clean_transcript(cues).withColumn("is_weak", F.col("seq") % 5 == 0)
+    return _through_files(kept.join(reports.filter_report(cues), "media_id"), "txt")
+
+
+@query("SELECT media_id, seq, start_ms, end_ms, text, confidence FROM cues", "cues")
+def json_files_again(spark, sf_dir):
+    return _through_files(X.cues(spark, sf_dir), "json")
 
 
 @query("SELECT src, tgt, text, translation FROM memory", "memory")
