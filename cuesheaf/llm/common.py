@@ -3,6 +3,7 @@ Arrow batches of words, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,18 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+_LIBC = ctypes.CDLL(None)
+if hasattr(_LIBC, "mallopt"):
+    _LIBC.mallopt(-3, 1 << 20)  # arrays of over 1 MB are mapped, so they leave the process when they are freed
+
+
+def give_back() -> None:
+    """Return unused memory to the system: a worker process goes on to other tasks, others wait beside it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `chars` bytes of its text column; one long text may exceed it."""
     for b in batches:
@@ -59,7 +72,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) ->
             total += s
         if start < b.num_rows:
             yield b.slice(start)
-    pa.default_memory_pool().release_unused()  # a worker process goes on to other tasks
+    give_back()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -68,6 +68,9 @@ def units(text: bytes) -> list[tuple[int, int, list[bytes]]]:
 
 
 def content_id(unit: int, words: list[bytes]) -> int:
+    """Id of a unit's words; units of one word alone that have the same one shingle have one id."""
+    if len(words) > SHINGLE and words[0] == words[-1] and words.count(words[0]) == len(words):
+        words = words[:SHINGLE]
     return xxhash.xxh3_64_intdigest(b" ".join(words), seed=unit) - (1 << 63)
 
 

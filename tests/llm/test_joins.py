@@ -184,6 +184,12 @@ def test_short_and_wrapped_paragraphs(spark):
     assert {r[:4] for r in rows(out.filter("unit = 'block'"), "doc_id", "paragraph", "first_doc_id", "copies", "removed")} == {(1, 2, 1, 2), (2, 0, 1, 2), (3, 2, 3, 3), (4, 0, 3, 3), (5, 0, 3, 3)}
 
 
+def test_units_with_one_shingle_link_whatever_their_length(spark):
+    docs = [(1, "a a a a a"), (2, "a a a a a a"), (3, "a " * 40), (4, "a a a a"), (5, "a a a a b"), (6, "a a a a b"), (7, "a a a a a b")]
+    out = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).filter("unit = 'line'")
+    assert rows(out, "doc_id", "first_doc_id", "copies", "removed") == [(1, 1, 3, False), (2, 1, 3, True), (3, 1, 3, True), (5, 5, 2, False), (6, 5, 2, True)]
+
+
 def test_null_ids_keep_their_links(spark):
     p = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(1, p), (None, p), (2, p.replace("word30 ", "x "))], "doc_id long, text string")
