@@ -125,11 +125,40 @@ def chunk_offsets(chunks: DataFrame, segment_ms: int = 60_000, above: int = RANG
     return by_size(chunks, lambda c: _offsets(c, segment_ms, "media_id").drop("_resets"), lambda c: _offsets_cut(c, segment_ms), "chunk_idx", above)
 
 
+def exact_quantile(rows: DataFrame, key: str, value: str, quantile: float, width: int = 2**20) -> DataFrame:
+    """(key, quantile) of the whole numbers `value` of each key, between neighbours by linear interpolation; no aggregate holds a key's rows.
+
+    Rows are counted by ranges of `width` values; running counts say which range has the wanted rank. Only the values of that
+    range are then counted one by one. A key has at most its span over `width` ranges, and a range at most `width` values.
+    """
+    rows = rows.select(key, F.col(value).alias("_v")).filter("_v IS NOT NULL").withColumn("_part", F.floor(F.col("_v") / width))
+    parts = rows.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key)
+    parts = parts.withColumns({"_place": (F.sum("_n").over(w) - 1) * F.lit(quantile), "_before": F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n"))
+
+    low, high = F.floor("_place"), F.ceil("_place")
+    wanted = parts.filter(holds(low) | holds(high)).select(F.col(key).alias("_key"), F.col("_part").alias("_of"), "_place", F.col("_before").alias("_start"))
+    near = rows.join(wanted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    near = near.groupBy(key, "_part", "_place", "_start", "_v").agg(F.count("*").alias("_n"))
+    run = Window.partitionBy(key, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
+    ends = near.groupBy(key).agg(F.max("_place").alias("_place"), F.max(F.when(holds(low), F.col("_v"))).alias("_low"), F.max(F.when(holds(high), F.col("_v"))).alias("_high"))
+    return ends.select(key, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_place") - low)).alias("quantile"))
+
+
+#: Energies are compared as whole numbers of a thousand-millionth of a decibel.
+_DB = 1_000_000_000
+
+
 def energy_intervals(frames: DataFrame, hop_ms: int = 10, least_frames: int = 5, quantile: float = 0.3) -> DataFrame:
     """Runs of at least `least_frames` frames over the media's quantile of energy; a run open at the end stays whatever its length."""
-    f = frames.select("media_id", "frame_idx", F.round(10 * F.log10(F.col("sample") * F.col("sample") + 1e-10), 9).alias("db"))
-    limit = f.groupBy("media_id").agg(F.round(F.percentile("db", quantile), 9).alias("limit"), F.max("frame_idx").alias("last"))
-    f = f.join(limit, "media_id").filter("db > limit")
+    f = frames.select("media_id", "frame_idx", F.round(F.round(10 * F.log10(F.col("sample") * F.col("sample") + 1e-10), 9) * _DB).cast("long").alias("db"))
+    limit = exact_quantile(f, "media_id", "db", quantile).select("media_id", F.round("quantile").cast("long").alias("limit"))
+    last = f.groupBy("media_id").agg(F.max("frame_idx").alias("last"))
+    f = f.join(limit.join(last, "media_id"), "media_id").filter("db > limit")
     w = Window.partitionBy("media_id").orderBy("frame_idx")
     f = f.withColumn("_island", F.col("frame_idx") - F.row_number().over(w))
     runs = f.groupBy("media_id", "_island", "last").agg(F.min("frame_idx").alias("lo"), F.max("frame_idx").alias("hi"))

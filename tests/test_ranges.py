@@ -89,3 +89,49 @@ def test_expected_properties(spark):
     assert clean.count() <= df.count()
     once = intervals.merge_adjacent_duplicates(df.filter("media_id IS NOT NULL AND text IS NOT NULL"))
     assert table(intervals.merge_adjacent_duplicates(once).drop("merged")) == table(once.drop("merged"))
+
+
+@pytest.mark.parametrize("quantile", [0.0, 0.3, 0.5, 0.99, 1.0])
+def test_exact_quantile_equals_percentile(spark, quantile):
+    rng = np.random.default_rng(8)
+    rows = [(int(m), int(v)) for m, n in ((1, 1), (2, 2), (3, 500), (4, 997)) for v in rng.integers(-(10 ** (m + 1)), 10 ** (m + 1), n)]
+    rows += [(5, 7)] * 40 + [(6, v // 9) for v in range(400)] + [(None, 3), (None, 8), (3, None)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    want = {r["k"]: r["p"] for r in df.groupBy("k").agg(F.percentile("v", quantile).alias("p")).collect()}
+    for width in (2**20, 16, 1):
+        out = intervals.exact_quantile(df, "k", "v", quantile, width)
+        assert {r["k"]: r["quantile"] for r in out.collect()} == pytest.approx(want)
+    assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_energy_intervals_equal_a_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(m, i, float(x)) for m in range(3) for i, x in enumerate(rng.choice([0.0, 0.01, 0.2, 0.5, -0.9], 150 + m))]
+    expected = []
+    for m in range(3):
+        x = np.array([r[2] for r in rows if r[0] == m])
+        db = np.round(10 * np.log10(x * x + 1e-10), 9)
+        active = db > np.round(np.quantile(db, 0.3), 9)
+        start = None
+        for i, a in enumerate([*active, None]):
+            if a and start is None:
+                start = i
+            elif not a and start is not None:
+                if i - start >= 5 or a is None:
+                    expected.append((m, start * 10, i * 10))
+                start = None
+    f = spark.createDataFrame(rows, "media_id long, frame_idx long, sample double")
+    assert sorted(tuple(r) for r in intervals.energy_intervals(f).collect()) == expected
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_gaps_and_head_equal_a_loop(spark, seed):
+    rows = [r for r in random_cues(seed, n=200) if r[0] is not None]
+    groups = {m: sorted((r for r in rows if r[0] == m), key=lambda r: (r[2], r[1])) for m in {r[0] for r in rows}}
+    gaps = [(m, y[1], "overlap" if y[2] < x[3] else "gap", abs(y[2] - x[3])) for m, g in groups.items() for x, y in zip(g, g[1:], strict=False) if y[2] < x[3] or y[2] - x[3] > 2000]
+    df = spark.createDataFrame(rows, CUE)
+    assert sorted(tuple(r) for r in intervals.gaps_and_overlaps(df).collect()) == sorted(gaps)
+    for percent in (0, 7, 50, 100, 130):
+        head = [(m, r[1]) for m, g in groups.items() for r in sorted(g, key=lambda r: r[1])[: max(1, min(len(g), len(g) * percent // 100))]]
+        assert sorted((r["media_id"], r["seq"]) for r in intervals.head_fraction(df, percent, order="seq").collect()) == sorted(head)
