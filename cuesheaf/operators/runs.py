@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheaf.functions.media import media_fingerprint
@@ -37,6 +37,64 @@ def read_run_state(files: DataFrame, stored: DataFrame) -> DataFrame:
     return s.select("media_id", "state_mtime", "video_path", processed.alias("processed_segments"), total.alias("total_segments"), current.alias("current_segment"), F.when(lost, F.col("_found")).otherwise(files_n).cast("long").alias("files"))
 
 
+def parsed_states(files: DataFrame) -> DataFrame:
+    """files (media_id, state_mtime, content) with the content as a VARIANT `state` and its `form`: marks, results, or none for a file that is no state."""
+    f = files.select("media_id", "state_mtime", F.try_parse_json("content").alias("state"))
+
+    def has(path: str, kind: str) -> Column:
+        return F.schema_of_variant(F.variant_get("state", path, "variant")).startswith(kind)
+
+    form = F.when(has("$.results", "OBJECT") | has("$.completed_chunks", "ARRAY"), "results").when(has("$.segment_files", "ARRAY") | F.try_variant_get("state", "$.video_path", "string").isNotNull(), "marks")
+    return f.withColumn("form", F.coalesce(form, F.lit("none")))
+
+
+def _of(path: str, kind: str = "long") -> Column:
+    return F.try_variant_get("state", path, kind)
+
+
+def state_chunks(parsed: DataFrame) -> DataFrame:
+    """(media_id, state_mtime, form, chunk_idx, path, segments, filtered) of the chunks that a state of either form counts as done.
+
+    A state with marks has an array of files, of which those before the mark are done; one with results has a map of results
+    by chunk, and done are those also listed as completed. One explode serves both; entries that are no chunk are dropped.
+    """
+    entries = F.when(F.col("form") == "marks", F.variant_get("state", "$.segment_files", "variant")).when(F.col("form") == "results", F.variant_get("state", "$.results", "variant"))
+    p = parsed.select("media_id", "state_mtime", "form", "state", entries.alias("entries")).filter("entries IS NOT NULL")
+    e = p.lateralJoin(p.sparkSession.tvf.variant_explode(F.col("entries").outer()))
+    idx = F.when(F.col("form") == "marks", F.col("pos")).otherwise(F.col("key").try_cast("long")).cast("long")
+    e = e.withColumn("chunk_idx", idx)
+    done = F.when(F.col("form") == "marks", F.col("chunk_idx") < _of("$.processed_segments")).otherwise(F.array_contains(_of("$.completed_chunks", "array<bigint>"), F.col("chunk_idx")))
+    size = F.coalesce(F.size(F.try_variant_get("value", "$.segments", "array<variant>")), F.lit(0))
+    return e.filter(done).select(
+        "media_id", "state_mtime", "form", "chunk_idx", F.when(F.col("form") == "marks", F.try_variant_get("value", "$", "string")).alias("path"),
+        F.when(F.col("form") == "results", size).cast("long").alias("segments"), F.when(F.col("form") == "results", F.coalesce(F.try_variant_get("value", "$.filtered_hallucinations", "long"), F.lit(0))).alias("filtered"),
+    )
+
+
+def any_state(parsed: DataFrame) -> DataFrame:
+    """(media_id, state_mtime, form, path, model, fingerprint, processed, total) of states of either form; a file that is no state is the initial one.
+
+    processed is the mark, or the number of different completed chunks; one beyond the total counts as 0.
+    """
+    results = F.col("form") == "results"
+    completed = F.size(F.filter(F.array_distinct(_of("$.completed_chunks", "array<bigint>")), lambda c: c.isNotNull()))
+    zero = F.lit(0).cast("long")
+    total = F.coalesce(F.when(results, _of("$.total_chunks")).otherwise(_of("$.total_segments")), zero)
+    done = F.coalesce(F.when(results, completed.cast("long")).otherwise(_of("$.processed_segments")), zero)
+    return parsed.select(
+        "media_id", "state_mtime", "form", F.when(results, _of("$.audio_path", "string")).otherwise(_of("$.video_path", "string")).alias("path"),
+        F.when(results, _of("$.model", "string")).otherwise(_of("$.model_size", "string")).alias("model"), F.coalesce(_of("$.fingerprint", "string"), F.lit("")).alias("fingerprint"),
+        F.when((done > total) | (done < 0), zero).otherwise(done).alias("processed"), total.alias("total"),
+    )
+
+
+def pending_of_states(chunks: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Chunks (media_id, chunk_idx) that the newest state file of their media does not count as done; no file, or a newest one that is no state, leaves all."""
+    newest = parsed.groupBy("media_id").agg(F.max("state_mtime").alias("state_mtime"))
+    done = state_chunks(parsed.join(newest, ["media_id", "state_mtime"], "left_semi")).select("media_id", "chunk_idx")
+    return pending_chunks(chunks, done)
+
+
 def pending_chunks(chunks: DataFrame, completed: DataFrame) -> DataFrame:
     """Chunks that are not completed (media_id, chunk_idx)."""
     return chunks.join(completed.select("media_id", "chunk_idx"), ["media_id", "chunk_idx"], "left_anti")

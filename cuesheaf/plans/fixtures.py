@@ -179,6 +179,25 @@ SQL["state_files"] = """
 """
 
 
+def any_state_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State files with marks, with a map of results (every third media), and broken ones (every eleventh)."""
+    r = run_states(spark, sf_dir)
+    files = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.concat(F.lit('"'), F.col("dir"), F.lit("/"), j.cast("string"), F.lit('.wav"'))), ",")
+    marks = F.concat(F.lit('{"video_path":"'), "path", F.lit('","model_size":"base","processed_segments":'), F.col("processed").cast("string"), F.lit(',"total_segments":6,"segment_files":['), files, F.lit("]}"))
+    done = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda j: (F.col("media_id") + F.col("state_mtime") + j) % 2 == 0)
+    ids = F.array_join(F.transform(done, lambda j: j.cast("string")), ",")
+    result = F.transform(F.filter(F.sequence(F.lit(0), F.lit(5)), lambda j: j != 4), lambda j: F.concat(F.lit('"'), j.cast("string"), F.lit('":{"segments":['), F.array_join(F.array_repeat(F.lit('{"text":"t"}'), (j + F.col("media_id") % 2).cast("int")), ","), F.lit('],"filtered_hallucinations":'), j.cast("string"), F.lit("}")))
+    results = F.concat(F.lit('{"audio_path":"'), "path", F.lit('","fingerprint":"'), "fingerprint", F.lit('","model":"base","total_chunks":6,"completed_chunks":['), ids, F.lit('],"results":{'), F.array_join(result, ","), F.lit("}}"))
+    content = F.when(F.col("media_id") % 11 == 0, F.substring(marks, 1, 40)).when(F.col("media_id") % 3 == 0, results).otherwise(marks)
+    return r.select("media_id", "state_mtime", content.alias("content"))
+
+
+SQL["any_states"] = """
+  SELECT media_id, state_mtime, dir, CASE WHEN media_id % 11 = 0 THEN 'none' WHEN media_id % 3 = 0 THEN 'results' ELSE 'marks' END AS form, path, fingerprint, processed, j,
+    CASE WHEN media_id % 3 = 0 THEN (media_id + state_mtime + j) % 2 = 0 ELSE j < processed END AS done FROM run_states, range(0, 6) AS u(j)
+"""
+
+
 def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media(spark, sf_dir).select("media_id", F.concat("name", F.lit("_"), F.substring(F.md5(F.col("path").cast("binary")), 1, 8), F.lit("_base")).alias("dir"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
     return m.filter((F.col("media_id") + F.col("j")) % 9 != 0).select(F.concat("dir", F.lit("/"), F.col("j").cast("string"), F.lit(".wav")).alias("path"))
@@ -249,7 +268,7 @@ def resized(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["resized"] = "SELECT regexp_replace(path, '\\.[^./]*$', '.webp') AS path FROM file_list WHERE page_id % 3 = 0"
 
 #: Tables that a fixture's SQL reads from.
-NEEDS = {"segments_raw": ["cues"], "run_states": ["media"], "memory": ["cues"], "srt_files": ["cues"], "txt_files": ["cues"], "state_files": ["media", "run_states"], "stored_segments": ["media"], "pixels": ["frames"], "resized": ["file_list"]}
+NEEDS = {"segments_raw": ["cues"], "run_states": ["media"], "memory": ["cues"], "srt_files": ["cues"], "txt_files": ["cues"], "state_files": ["media", "run_states"], "any_states": ["media", "run_states"], "stored_segments": ["media"], "pixels": ["frames"], "resized": ["file_list"]}
 
 
 def oracle(body: str, *names: str) -> str:

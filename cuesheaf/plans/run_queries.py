@@ -23,10 +23,13 @@ def safe_media_name(spark, sf_dir):
     return X.media(spark, sf_dir).select("media_id", T.safe_media_name(F.concat("name", F.lit(" (a)_b-"), F.col("media_id").cast("string"))).alias("safe"))
 
 
-@query("SELECT *, dur_ms % 60000 AS last_ms FROM chunks WHERE dur_ms > 100 AND size_bytes > 1000 AND dur_ms % 60000 >= 1000", "chunks")
+@query(
+    """WITH p AS (SELECT media_id, u.i AS chunk_idx, least((u.i + 1) * 60000, duration_ms) - u.i * 60000 AS planned_ms FROM media, unnest(range(0, ceil(duration_ms / 60000)::BIGINT)) AS u(i) WHERE duration_ms > 0)
+    SELECT chunks.*, planned_ms FROM chunks JOIN p USING (media_id, chunk_idx) WHERE dur_ms > 100 AND size_bytes > 1000 AND planned_ms >= 1000""", "chunks", "media")
 def valid_chunks(spark, sf_dir):
-    c = X.chunks(spark, sf_dir).withColumn("last_ms", F.col("dur_ms") % 60000)
-    return c.filter(rules.valid_chunk(F.col("dur_ms"), F.col("size_bytes"), planned_ms=F.col("last_ms")))
+    planned = I.plan_fixed_chunks(X.media(spark, sf_dir)).select("media_id", "chunk_idx", (F.col("end_ms") - F.col("start_ms")).alias("planned_ms"))
+    c = X.chunks(spark, sf_dir).join(planned, ["media_id", "chunk_idx"])
+    return c.filter(rules.valid_chunk(F.col("dur_ms"), F.col("size_bytes"), planned_ms=F.col("planned_ms")))
 
 
 @query(
@@ -72,6 +75,42 @@ def read_run_state(spark, sf_dir):
     return runs.read_run_state(X.state_files(spark, sf_dir), X.stored_segments(spark, sf_dir))
 
 
+@query(
+    """SELECT media_id, state_mtime, form, CASE WHEN form <> 'none' THEN path END AS path, CASE WHEN form <> 'none' THEN 'base' END AS model, CASE WHEN form = 'results' THEN fingerprint ELSE '' END AS fingerprint,
+    (CASE WHEN form = 'none' THEN 0 WHEN form = 'results' THEN count(*) FILTER (WHERE done) ELSE processed END)::BIGINT AS processed, CASE WHEN form = 'none' THEN 0 ELSE 6 END AS total FROM any_states GROUP BY media_id, state_mtime, form, path, fingerprint, processed""", "any_states")
+def read_any_state(spark, sf_dir):
+    return runs.any_state(runs.parsed_states(X.any_state_files(spark, sf_dir)))
+
+
+@query(
+    """SELECT media_id, state_mtime, form, j AS chunk_idx, CASE WHEN form = 'marks' THEN dir || '/' || j || '.wav' END AS path, CASE WHEN form = 'results' THEN j + media_id % 2 END AS segments, CASE WHEN form = 'results' THEN j END AS filtered
+    FROM any_states WHERE done AND form <> 'none' AND NOT (form = 'results' AND j = 4)""", "any_states")
+def state_chunks(spark, sf_dir):
+    return runs.state_chunks(runs.parsed_states(X.any_state_files(spark, sf_dir)))
+
+
+@query("SELECT media_id, chunk_idx FROM chunks ANTI JOIN (SELECT media_id, j AS chunk_idx FROM any_states WHERE state_mtime = 2 AND done AND form <> 'none' AND NOT (form = 'results' AND j = 4)) d USING (media_id, chunk_idx)", "chunks", "any_states")
+def pending_of_states(spark, sf_dir):
+    return runs.pending_of_states(X.chunks(spark, sf_dir), runs.parsed_states(X.any_state_files(spark, sf_dir))).select("media_id", "chunk_idx")
+
+
+@query(
+    """WITH s AS (SELECT media_id, form, fingerprint, CASE WHEN form = 'none' THEN 0 WHEN form = 'results' THEN count(*) FILTER (WHERE done) ELSE processed END AS p FROM any_states WHERE state_mtime = 2 GROUP BY media_id, form, fingerprint, processed),
+    go AS (SELECT media_id FROM s WHERE form <> 'none' AND p < 6 AND (form = 'marks' OR fingerprint <> '')), d AS (SELECT media_id, j AS chunk_idx FROM any_states WHERE state_mtime = 2 AND done AND form <> 'none' AND NOT (form = 'results' AND j = 4)),
+    c AS (SELECT media_id, chunk_idx FROM chunks SEMI JOIN go USING (media_id) ANTI JOIN d USING (media_id, chunk_idx)), r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY chunk_idx) AS r, count(*) OVER (PARTITION BY media_id) AS n FROM c)
+    SELECT media_id, chunk_idx FROM r WHERE r <= greatest(1, least(n, n * 50 // 100))""", "media", "chunks", "any_states")
+def resume_any_state(spark, sf_dir):
+    """The first half of the pending chunks of media whose newest state, of either form, is unfinished; one with a fingerprint has to match the present file."""
+    m, parsed = X.media(spark, sf_dir), runs.parsed_states(X.any_state_files(spark, sf_dir))
+    states = runs.any_state(parsed)
+    last = runs.latest_state(m, states, m.limit(0)).filter("class = 'continue'").select("media_id")
+    newest = states.join(states.groupBy("media_id").agg(F.max("state_mtime").alias("state_mtime")), ["media_id", "state_mtime"], "left_semi")
+    same = runs.resumable_runs(m, newest).select("media_id")
+    go = last.join(same.unionByName(newest.filter("form = 'marks'").select("media_id")), "media_id", "left_semi")
+    rest = runs.pending_of_states(X.chunks(spark, sf_dir).join(go, "media_id", "left_semi"), parsed)
+    return I.head_fraction(rest, 50).select("media_id", "chunk_idx")
+
+
 @query("SELECT media_id, chunk_idx FROM chunks WHERE chunk_idx % 3 = 0", "chunks")
 def pending_chunks(spark, sf_dir):
     c = X.chunks(spark, sf_dir)

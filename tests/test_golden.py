@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cuesheaf.functions import text as T
 from cuesheaf.functions import times, urls
-from cuesheaf.operators import images, intervals, pages, rules, similar, translate
+from cuesheaf.operators import images, intervals, pages, rules, runs, similar, translate
 from cuesheaf.plans import pipelines
 from cuesheaf.sources import transcripts
 
@@ -249,3 +249,13 @@ def test_pages_are_parsed_once(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "T", 1, 1, 2, 1), (2, "untitled_page", None, None, 0, 0)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("PageRecord(") == 1 and "ArrowEvalPython" not in plan and "MapInArrow" not in plan
+
+
+def test_states_of_both_forms_and_broken_files(spark):
+    contents = ['{"video_path":"v","processed_segments":2,"total_segments":3,"segment_files":["a","b","c"]}', '{"audio_path":"x","model":"m","fingerprint":"f","total_chunks":3,"completed_chunks":[0,2,2,7],"results":{"0":{"segments":[{},{}],"filtered_hallucinations":4},"1":{},"2":{},"x":{}}}',
+                '{"video_path":', "[]", "7", None, '{"completed_chunks":"no","results":[]}', '{"audio_path":"y","completed_chunks":[5]}', '{"video_path":"w","processed_segments":9,"total_segments":1,"segment_files":7}']
+    parsed = runs.parsed_states(spark.createDataFrame([(k, 1, c) for k, c in enumerate(contents)], "media_id long, state_mtime long, content string"))
+    assert [r["form"] for r in parsed.orderBy("media_id").collect()] == ["marks", "results", "none", "none", "none", "none", "none", "results", "marks"]
+    assert sorted(map(tuple, runs.state_chunks(parsed).drop("state_mtime", "form").collect())) == [(0, 0, "a", None, None), (0, 1, "b", None, None), (1, 0, None, 2, 4), (1, 2, None, 0, 0)]
+    out = [(r["processed"], r["total"], r["path"]) for r in runs.any_state(parsed).orderBy("media_id").collect()]
+    assert out == [(2, 3, "v"), (3, 3, "x"), *([(0, 0, None)] * 5), (0, 0, "y"), (0, 1, "w")]
