@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,4 +67,47 @@ def near_white_share(pixels: DataFrame, region: Column | None = None, least: int
     p = pixels if region is None else pixels.filter(region)
     white = near_white(F.col("r"), F.col("g"), F.col("b"))
     g = p.groupBy("image_id").agg(F.count_if(white).alias("masked"), F.count("*").alias("pixels"))
-    return g.withColumns({"share": F.round(F.col("masked") / F.col("pixels"), 6), "marked": F.col("masked") >= least})
+    return _share(g, least)
+
+
+def _share(counts: DataFrame, least: int) -> DataFrame:
+    return counts.withColumns({"share": F.round(F.col("masked") / F.col("pixels"), 6), "marked": F.col("masked") >= least})
+
+
+def decoded_images(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, width, height, channels, data) of the images under a path; the bytes are in the order blue, green, red."""
+    images = spark.read.format("image").option("recursiveFileLookup", True).load(path)
+    return images.select(F.col("image.origin").alias("image_id"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
+
+
+def white_pixels(data: bytes, width: int, channels: int, left: int, right: int) -> tuple[int, int]:
+    """Near-white and all pixels between two columns of whole rows of an image; one channel is grey, a fourth one is not looked at."""
+    x = np.frombuffer(data, np.uint8).reshape(-1, width, channels)[:, left:right, :3].astype(np.int32)
+    b, g, r = (x[:, :, min(k, x.shape[2] - 1)] for k in range(3))
+    return int(near_white(r, g, b, np.maximum, np.minimum).sum()), b.size
+
+
+def near_white_of_images(images: DataFrame, region: tuple[Column, Column, Column, Column] | None = None, least: int = 100) -> DataFrame:
+    """near_white_share of images (image_id, width, height, channels, data): (image_id, masked, pixels, share, marked).
+
+    region is (left, top, right, bottom) as expressions of width and height, the last two exclusive, cut to the image. Its rows are cut from the bytes before these
+    go to Python, where an image is one array.
+    """
+    left, top, right, bottom = region or (F.lit(0), F.lit(0), F.col("width"), F.col("height"))
+
+    def within(x: Column, most: str) -> Column:
+        return F.greatest(F.lit(0), F.least(x, F.col(most))).cast("int")
+
+    row = F.col("width") * F.col("channels")
+    rows = images.select("image_id", "width", "channels", "data", within(left, "width").alias("left"), within(right, "width").alias("right"), within(top, "height").alias("top"), within(bottom, "height").alias("bottom"))
+    rows = rows.filter("data IS NOT NULL AND width > 0 AND left < right AND top < bottom")
+    rows = rows.select("image_id", "width", "channels", F.substring("data", F.col("top") * row + 1, (F.col("bottom") - F.col("top")) * row).alias("data"), "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [white_pixels(d, w, c, x, y) for w, c, d, x, y in zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True)]
+            counts = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["image_id", "masked", "pixels"])
+
+    kind = images.schema["image_id"].dataType.simpleString()
+    return _share(rows.mapInArrow(run, f"image_id {kind}, masked long, pixels long"), least)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,9 +154,9 @@ def valid_chunk(duration_ms: Column, size_bytes: Column, least_ms: int = 100, le
     return ok if planned_ms is None else ok & (planned_ms >= least_planned_ms)
 
 
-def near_white(r: Column, g: Column, b: Column) -> Column:
-    """Bright and grey enough; thousandths keep the brightness exact."""
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
+def near_white(r, g, b, greatest: Callable = F.greatest, least: Callable = F.least):
+    """Bright and grey enough; thousandths keep the brightness exact. The channels are columns, or arrays with the functions of arrays."""
+    high, low = greatest(greatest(r, g), b), least(least(r, g), b)
     return (299 * r + 587 * g + 114 * b > 150_000) & (high - low < 30) & (low > 160)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,19 +115,45 @@ def resumable_runs(media: DataFrame, states: DataFrame, model: str = "base") ->
     return states.join(now, same).drop("_path", "_print")
 
 
-def match_run_dirs(media: DataFrame, dirs: DataFrame, model: str = "base", gram: int = 8) -> DataFrame:
+def _contained(names: pa.Table, dirs: pa.Table) -> pa.Table:
+    """(media_id, dir) of the names (media_id, name) that stand in directories (dir), by one automaton over the names."""
+    ids, of = names.column("media_id").to_pylist(), {}
+    for i, name in enumerate(names.column("name").to_pylist()):
+        of.setdefault(name, []).append(i)
+    found, at = [], []
+    if of:
+        automaton = ahocorasick.Automaton()
+        for name, owners in of.items():
+            automaton.add_word(name, owners)
+        automaton.make_automaton()
+        for k, d in enumerate(dirs.column("dir").to_pylist()):
+            hits = {i for _, owners in automaton.iter(d) for i in owners}
+            found += [ids[i] for i in hits]
+            at += [k] * len(hits)
+    return pa.table([pa.array(found, names.schema.field("media_id").type), dirs.column("dir").take(pa.array(at, pa.int64()))], names=["media_id", "dir"])
+
+
+def match_run_dirs(media: DataFrame, dirs: DataFrame, model: str = "base", block_chars: int = 8_000_000, chunk_chars: int = 64_000_000) -> DataFrame:
     """(media_id, dir) where the directory's name contains the media's name and the model.
 
-    A name's last `gram` characters (all of a shorter name) must stand in the directory's name, so
-    the pairs come from an equi-join on these and are then tested; there is no nested loop.
+    An Aho-Corasick automaton over the names reads each directory once, whatever endings the names share. Names are dealt in
+    blocks of about block_chars characters and directories in chunks of about chunk_chars; each block meets each chunk in a group of its own, so no
+    group grows with the tables. An empty name matches nothing.
     """
-    n = F.least(F.length("name"), F.lit(gram))
-    m = media.filter(F.length("name") > 0).select("media_id", "name", n.alias("n"), F.substr(F.col("name"), F.length("name") - n + 1).alias("g"))
-    d = dirs.select("dir").distinct().filter(F.contains("dir", F.lit(model))).select("dir", F.explode(F.sequence(F.lit(1), F.lit(gram))).alias("n"))
-    d = d.filter(F.length("dir") >= F.col("n"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("dir") - F.col("n") + 1), lambda i: F.substr(F.col("dir"), i, F.col("n"))))
-    d = d.select("dir", "n", F.explode(grams).alias("g"))
-    return m.join(d, ["n", "g"]).filter(F.contains("dir", F.col("name"))).select("media_id", "dir")
+    m = media.filter(F.length("name") > 0).select("media_id", "name")
+    d = dirs.select("dir").distinct().filter(F.contains("dir", F.lit(model)))
+
+    def parts(table: DataFrame, column: str, chars: int) -> int:
+        return -(-max(1, table.agg(F.sum(F.length(column))).first()[0] or 0) // chars)
+
+    blocks, chunks = parts(m, "name", block_chars), parts(d, "dir", chunk_chars)
+
+    def dealt(table: DataFrame, column: str, own: str, n: int, other: str, copies: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))) if copies > 1 else F.lit(0)
+        return table.select("*", F.pmod(F.xxhash64(column), F.lit(n)).cast("int").alias(own), every.alias(other)).groupBy("block", "chunk")
+
+    left, right = dealt(m, "name", "block", blocks, "chunk", chunks), dealt(d, "dir", "chunk", chunks, "block", blocks)
+    return left.cogroup(right).applyInArrow(_contained, f"media_id {media.schema['media_id'].dataType.simpleString()}, dir string")
 
 
 def chunk_count_check(media: DataFrame, chunks: DataFrame, segment_ms: int = 60_000, slack: int = 3) -> DataFrame:

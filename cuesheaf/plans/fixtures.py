@@ -246,6 +246,19 @@ SQL["pixels"] = """
     FROM (SELECT *, floor((sample + 0.6) * 212)::INT AS v FROM frames WHERE frame_idx < 63) GROUP BY ALL)
 """
 
+
+def pixel_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels as one image of 7 x 3 each, bytes in the order blue, green, red."""
+
+    def byte(c: str):
+        return F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), c)).cast("long")), 2, "0")
+
+    p = pixels(spark, sf_dir).select("image_id", F.struct("y", "x", F.concat(byte("b"), byte("g"), byte("r")).alias("h")).alias("p"))
+    g = p.groupBy("image_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    data = F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), ""))
+    return g.select("image_id", F.lit(7).alias("width"), F.lit(3).alias("height"), F.lit(3).alias("channels"), data.alias("data"))
+
+
 def galleries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with the classes that the class mode of the parsers looks for."""
     html = F.regexp_replace("html", '<li><a href="([^"]*)">([^<]*)</a></li>', '<li><a class="item-link" href="$1"><span class="item-link-text">$2</span></a></li>')

@@ -232,3 +232,12 @@ def near_white_pixels(spark, sf_dir):
 @query(f"SELECT image_id, count(*) FILTER (WHERE {_WHITE}) AS masked, count(*) AS pixels, round(count(*) FILTER (WHERE {_WHITE}) / count(*), 6) AS share, count(*) FILTER (WHERE {_WHITE}) >= 1 AS marked FROM pixels WHERE x >= 1 GROUP BY image_id", "pixels")
 def near_white_share(spark, sf_dir):
     return G.near_white_share(X.pixels(spark, sf_dir), F.col("x") >= 1, least=1)
+
+
+_CLAMPED = "SELECT image_id, x, y, greatest(0, least(255, r)) AS r, greatest(0, least(255, g)) AS g, greatest(0, least(255, b)) AS b FROM pixels"
+
+
+@query(f"WITH p AS ({_CLAMPED}) SELECT image_id, count(*) FILTER (WHERE {_WHITE}) AS masked, count(*) AS pixels, round(count(*) FILTER (WHERE {_WHITE}) / count(*), 6) AS share, count(*) FILTER (WHERE {_WHITE}) >= 1 AS marked FROM p WHERE x >= 3 AND y >= 1 GROUP BY image_id", "pixels")
+def near_white_of_images(spark, sf_dir):
+    corner = (F.col("width") - 4, F.col("height") - 2, F.col("width"), F.col("height"))
+    return G.near_white_of_images(X.pixel_images(spark, sf_dir), corner, least=1)

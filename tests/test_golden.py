@@ -1,5 +1,9 @@
 """Hand-made cases, one for each branch of a rule."""
 
+import struct
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +263,31 @@ def test_states_of_both_forms_and_broken_files(spark):
     assert sorted(map(tuple, runs.state_chunks(parsed).drop("state_mtime", "form").collect())) == [(0, 0, "a", None, None), (0, 1, "b", None, None), (1, 0, None, 2, 4), (1, 2, None, 0, 0)]
     out = [(r["processed"], r["total"], r["path"]) for r in runs.any_state(parsed).orderBy("media_id").collect()]
     assert out == [(2, 3, "v"), (3, 3, "x"), *([(0, 0, None)] * 5), (0, 0, "y"), (0, 1, "w")]
+
+
+def png(path, width, rows, color=2):
+    """A PNG of rows of bytes, color type 2 (three channels) or 6 (four)."""
+    raw = b"".join(b"\0" + r for r in rows)
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, color, 0, 0, 0)), (b"IDAT", zlib.compress(raw)), (b"IEND", b"")]
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d)) for t, d in parts))
+
+
+def test_image_bytes_are_blue_green_red(spark, tmp_path):
+    png(tmp_path / "a.png", 2, [bytes([255, 0, 7, 200, 200, 201]), bytes([250, 251, 252, 10, 20, 30])])
+    png(tmp_path / "b.png", 2, [bytes([250, 251, 252, 0, 250, 250, 250, 255])], 6)
+    found = images.decoded_images(spark, str(tmp_path))
+    assert [bytes(r["data"])[:6] for r in found.orderBy("image_id").collect()][0] == bytes([7, 0, 255, 201, 200, 200])
+    whole = images.near_white_of_images(found, least=2).orderBy("image_id").collect()
+    assert [(r["masked"], r["pixels"], r["share"], r["marked"]) for r in whole] == [(2, 4, 0.5, True), (2, 2, 1.0, True)]
+    right = images.near_white_of_images(found, (F.col("width") - 1, F.lit(0), F.lit(99), F.lit(1))).orderBy("image_id").collect()
+    assert [(r["masked"], r["pixels"]) for r in right] == [(1, 1), (1, 1)]
+
+
+def test_image_bytes_equal_pixel_rows(spark):
+    rng = np.random.default_rng(6)
+    bytes_of = {k: rng.choice([0, 150, 161, 170, 185, 199, 255], (h, w, 3)).astype(np.uint8) for k, (h, w) in enumerate([(5, 7), (1, 1), (12, 9)])}
+    df = spark.createDataFrame([(k, a.shape[1], a.shape[0], 3, a.tobytes()) for k, a in bytes_of.items()] + [(9, 3, 3, 3, None)], "image_id long, width int, height int, channels int, data binary")
+    pixels = [(k, x, y, *(int(v) for v in a[y, x, ::-1])) for k, a in bytes_of.items() for y in range(a.shape[0]) for x in range(a.shape[1])]
+    by_row = images.near_white_share(spark.createDataFrame(pixels, "image_id long, x int, y int, r int, g int, b int"), (F.col("x") >= 1) & (F.col("y") < 4), least=3)
+    by_bytes = images.near_white_of_images(df, (F.lit(1), F.lit(0), F.col("width"), F.lit(4)), least=3)
+    assert sorted(map(tuple, by_bytes.collect())) == sorted(map(tuple, by_row.collect()))

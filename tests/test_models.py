@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from cuesheaf.operators import intervals, rules
+from cuesheaf.operators import intervals, rules, runs
 
 CUE = "media_id long, seq long, start_ms long, end_ms long, text string, confidence double"
 
@@ -88,3 +88,16 @@ def test_library_code_never_collects():
     for path in Path(__file__).parent.parent.joinpath("cuesheaf").rglob("*.py"):
         if "llm" not in path.parts:
             assert not any(x in path.read_text() for x in (".collect(", ".toPandas(", ".rdd")), path
+
+
+@pytest.mark.parametrize("sizes", [(10**9, 10**9), (40, 300)])
+def test_run_dirs_equal_brute_force(spark, sizes):
+    rng = np.random.default_rng(5)
+    names = [f"{rng.choice(['a', 'film', 'é'])}{k % 40}_part001" for k in range(80)] + ["part001", "1", "", "x", "_part001"]
+    dirs = [f"{n}_{rng.integers(0, 99)}_base" for n in names] + [f"{n}_small" for n in names] + ["base", "film3_part0011_base", None]
+    media = [(k, n) for k, n in enumerate(names)] + [(900, "x"), (901, None)]
+    out = runs.match_run_dirs(spark.createDataFrame(media, "media_id long, name string"), spark.createDataFrame([(d,) for d in dirs], "dir string"), "base", *sizes)
+    want = {(m, d) for m, n in media for d in dirs if n and d and n in d and "base" in d}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    if sizes[0] == 10**9:
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
