@@ -161,10 +161,20 @@ def page_titles(pages: DataFrame, suffix: str = "") -> DataFrame:
 
 def page_store_lookup(requests: DataFrame, pages: DataFrame, today: str) -> DataFrame:
     """requests (url) with page_id and html of the stored page of the same key, and `missing`."""
-    key = urls.page_cache_key(F.col("url"), today)
-    store = pages.select(key.alias("_key"), "page_id", "html").dropDuplicates(["_key"])
-    r = requests.withColumn("key", key)
-    return r.join(store, F.col("key") == F.col("_key"), "left").withColumn("missing", F.col("_key").isNull()).drop("_key")
+    store = keyed_pages(pages, today).dropDuplicates(["key"])
+    return stored_page_lookup(requests, store, today)
+
+
+def keyed_pages(pages: DataFrame, today: str) -> DataFrame:
+    """(key, page_id, html) of pages, as a page store holds them."""
+    return pages.select(urls.page_cache_key(F.col("url"), today).alias("key"), "page_id", "html")
+
+
+def stored_page_lookup(requests: DataFrame, store: DataFrame, today: str) -> DataFrame:
+    """The same from a store (key, page_id, html) of one row a key; a store that is bucketed by key is not moved."""
+    r = requests.withColumn("key", urls.page_cache_key(F.col("url"), today))
+    s = store.select(F.col("key").alias("_key"), "page_id", "html")
+    return r.join(s, F.col("key") == F.col("_key"), "left").withColumn("missing", F.col("_key").isNull()).drop("_key")
 
 
 def stems(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:

@@ -9,6 +9,8 @@ from cuesheaf.functions import text as T
 from cuesheaf.functions import urls
 from cuesheaf.operators import images as G
 from cuesheaf.operators import pages as P
+from cuesheaf.sources.keyed_store import page_store
+from cuesheaf.sources.storage import shared_path
 
 from . import fixtures as X
 from .base import query
@@ -108,6 +110,17 @@ def page_store_lookup(spark, sf_dir):
     return P.page_store_lookup(asked, pages, "2024-01-01").select("request", "page_id", "missing")
 
 
+@query("SELECT page_id * 10 + 0 AS request, page_id, false AS missing FROM pages UNION ALL SELECT page_id * 10 + 1, NULL, true FROM pages")
+def stored_page_lookup(spark, sf_dir):
+    """The same from a lasting store that gets the pages in two upserts."""
+    pages = X.table(spark, sf_dir, "pages")
+    store = page_store(spark, shared_path(spark), 8)
+    for part in (pages.filter("page_id % 2 = 0"), pages):
+        store.upsert(P.keyed_pages(part, "2024-01-01"))
+    asked = pages.select((F.col("page_id") * 10).alias("request"), "url").union(pages.select(F.col("page_id") * 10 + 1, F.concat("url", F.lit("&absent"))))
+    return P.stored_page_lookup(asked, store.current(), "2024-01-01").select("request", "page_id", "missing")
+
+
 @query("SELECT page_id, lang AS folder, 'img ' || page_id AS name FROM (SELECT page_id, regexp_extract(url, '^[^:]+://[^/]+/([^/]+)', 1) AS lang FROM pages) WHERE page_id % 4 <> 0")
 def images_to_fetch(spark, sf_dir):
     pages = X.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[^:]+://[^/]+/([^/]+)", 1).alias("folder"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuesheaf.operators import reports, translate
 from cuesheaf.sources import storage, subtitle_files, transcripts
+from cuesheaf.sources.keyed_store import memory_store
 
 from . import fixtures as X
 from . import pipelines
@@ -112,7 +113,7 @@ def json_files_again(spark, sf_dir):
 @query("SELECT src, tgt, text, translation FROM memory", "memory")
 def read_translation_memory(spark, sf_dir):
     m = X.memory(spark, sf_dir)
-    bucket = F.pmod(F.xxhash64("text"), F.lit(16))
+    bucket = F.pmod(F.xxhash64("text"), F.lit(m.count() // 5000 + 1))  # files of about 5,000 entries
     entries = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("_", "src", "tgt", "text"), F.col("translation"))))
     files = m.groupBy("src", "tgt", bucket.alias("b")).agg(F.to_json(entries).alias("content")).drop("b")
     return transcripts.read_translation_memory(files)
@@ -134,6 +135,20 @@ def missing_translations(spark, sf_dir):
     return translate.missing_translations(X.cues(spark, sf_dir), X.memory(spark, sf_dir), "en", "xx")
 
 
+@query(
+    """WITH m AS (SELECT DISTINCT trim(text) AS text FROM cues WHERE trim(text) <> ''), b AS (SELECT media_id, trim(text) AS clean, (row_number() OVER (PARTITION BY media_id ORDER BY start_ms, seq) - 1) // 10 AS batch_id FROM cues)
+    SELECT media_id, batch_id, bool_or(clean = '') AS needs_network, (SELECT count(*) FROM m WHERE text NOT IN (SELECT text FROM memory)) AS missing_before, 0 AS missing_after FROM b GROUP BY media_id, batch_id""", "cues", "memory")
+def memory_after_upsert(spark, sf_dir):
+    """Batches that need the translator once its answers to all missing texts are in the lasting memory, and the missing texts before and after."""
+    cues, store = X.cues(spark, sf_dir), memory_store(spark, storage.shared_path(spark), "en", "xx", 8)
+    store.upsert(X.memory(spark, sf_dir))
+    missing = storage.stored(translate.missing_translations(cues, store.current(), "en", "xx"))
+    store.upsert(missing.select("text", F.lit("en").alias("src"), F.lit("xx").alias("tgt"), F.reverse("text").alias("translation")))
+    left = translate.missing_translations(cues, store.current(), "en", "xx")
+    out = translate.batch_network_need(cues, store.current(), "en", "xx")
+    return out.withColumns({"missing_before": F.lit(missing.count()), "missing_after": F.lit(left.count())})
+
+
 @query(f"WITH {_translated('cues', 'seq')} SELECT media_id, count(*) AS total, count(*) FILTER (WHERE status IN ('memory', 'lexicon')) AS success, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'bilingual') AS already FROM tr GROUP BY media_id", "cues", "memory", "lexicon")
 def translation_report(spark, sf_dir):
     return translate.translation_report(translate.translate_from_memory(X.cues(spark, sf_dir), X.memory(spark, sf_dir), X.lexicon(spark, sf_dir), "en", "xx"))
