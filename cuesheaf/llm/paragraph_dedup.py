@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, mixed, numbered, shingles, sized_broadcast, small_batches, stored, utf8, word_hashes
 from .decontaminate import windows
-from .set_links import link_components, sketches
+from .set_links import LOCAL_ROWS, link_components, sketches
 
 SHINGLE = 5
 PERCENT = 80
@@ -320,9 +320,9 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
         return stored(out.select(F.col("seg").alias("r_seg"), *by, "k", "n"))
 
     reps = parts.select("seg", F.col("rep.row").alias("row"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.at").alias("at"))
-    others = found.select("seg", "row", "doc_id", "at").join(sized_broadcast(islands()), F.col("seg") == F.col("r_seg"))
-    others = others.join(sized_broadcast(stored(reps.select(F.col("row").alias("f_row"), F.col("at").alias("f_at")))), (F.col("row") == F.col("f_row")) & (F.col("at") == F.col("f_at")), "left_anti")
-    firsts = reps.join(sized_broadcast(islands("removed")), F.col("seg") == F.col("r_seg"))
+    others = found.select("seg", "row", "doc_id", "at").join(sized_broadcast(islands(), LOCAL_ROWS), F.col("seg") == F.col("r_seg"))
+    others = others.join(sized_broadcast(stored(reps.select(F.col("row").alias("f_row"), F.col("at").alias("f_at"))), LOCAL_ROWS), (F.col("row") == F.col("f_row")) & (F.col("at") == F.col("f_at")), "left_anti")
+    firsts = reps.join(sized_broadcast(islands("removed"), LOCAL_ROWS), F.col("seg") == F.col("r_seg"))
     start = (F.col("at") + F.col("k")).alias("start")
     runs = others.select("row", "doc_id", F.lit(True).alias("removed"), start, "n").unionByName(firsts.select("row", "doc_id", "removed", start, "n"))
     order = Window.partitionBy("row", "removed").orderBy("start")
