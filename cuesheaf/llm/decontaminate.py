@@ -8,8 +8,8 @@ marked, again and again, until none of MIN_MATCH words is left: a bisection with
 of growing windows finds the longest length, and one pass marks its matches. The share of the
 item's words that are marked decides: order does not matter, so passages with their parts moved are caught.
 
-Defined cases: null and empty texts match nothing; items of fewer than MIN_MATCH words are never
-matched, as they stand in most texts by chance; of equally long matches the first in the text is marked, then the first in
+Defined cases: null and empty texts match nothing; an item of fewer than MIN_MATCH words is matched only whole, as one
+tile; one without words is never matched; of equally long matches the first in the text is marked, then the first in
 the item; a very long text, or one word repeated, costs its length times a logarithm for each length of a tile; repeated rows
 of documents or items are matched alike; null ids stay null; empty tables give no rows; other columns are ignored.
 """
@@ -144,6 +144,16 @@ class Seeds:
         self.size = np.array([len(h) for h in self.items], np.int64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
+        #: Items of fewer words than a seed, by their number of words: the hash of each and its place.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for at, h in enumerate(self.items):
+            if 0 < len(h) < k:
+                self.short.setdefault(len(h), {}).setdefault(int(windows(h, len(h))[0]), []).append(at)
+
+    def whole(self, h: np.ndarray) -> list[tuple[int, float, int, int]]:
+        """The short items that stand whole in a text of words h."""
+        found = [(n, at) for n, items in self.short.items() for value in np.intersect1d(windows(h, n), np.array(list(items), np.uint64)).tolist() for at in items[value]]
+        return [(self.ids[at], 1.0, 1, n) for n, at in sorted(found, key=lambda f: f[1])]
 
     def matches(self, text: str | None, percent: int) -> list[tuple[int, float, int, int]]:
         """(item id, coverage, tiles, words matched) of the items that a text covers enough."""
@@ -153,12 +163,12 @@ class Seeds:
         values = np.unique(w[near])
         lo, hi = np.searchsorted(self.keys, values), np.searchsorted(self.keys, values, side="right")
         lo, n = lo[hi > lo], (hi - lo)[hi > lo]
+        out = self.whole(h) if self.short else []
         if not len(lo):
-            return []
+            return out
         met = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())  # rows of the table that the text has
         used, at = np.unique(self.item[met], return_inverse=True)
         most = np.minimum(np.bincount(at, self.times[met]) * self.k, self.size[used])
-        out = []
         for item in used[100 * most >= percent * self.size[used]].tolist():
             here = near[np.isin(w[near], self.keys[met[self.item[met] == item]])]
             inside = np.zeros(len(h) + 1, np.int64)

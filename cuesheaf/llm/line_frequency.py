@@ -7,7 +7,8 @@ and a document is rejected when the removed lines hold over half of its words.
 
 Defined cases: null text counts as empty (it fails the base rules); a null host is a host of its
 own; repeated rows of one doc_id count as documents of their own; lines without a letter or digit
-are never counted; an empty table gives no rows; other columns are ignored.
+are never counted; a very long text is split and counted whole, in its row; a line in exactly `max_docs` documents stays, and one half
+of the words lost exactly keeps a document; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

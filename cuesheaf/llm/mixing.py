@@ -4,8 +4,9 @@ Each document gets a hash-random key. Documents are ordered by key inside their
 key ranges, and the running word count of a document is the sum of the earlier ranges (a small
 table) plus its place in its own range. A source is taken up to its budget, in a second epoch too.
 
-Defined cases: null text has size 0; a null source is a source of its own and comes last; rows of
-equal doc_id are ordered by size; an empty table gives no rows; other columns are ignored.
+Defined cases: null and empty text have size 0; a very long text is one document, cut at a budget like others; a null source is a
+source of its own and comes last; a null doc_id is ordered as an empty one; rows of equal doc_id are ordered by size, repeated rows stay rows of their
+own; an empty table gives no rows; other columns are ignored, those of the names epoch and taken give way to the mixture's.
 """
 
 from __future__ import annotations
@@ -93,9 +94,10 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     """The mixture itself: a row of docs (doc_id, text, source, ...) for each epoch that takes it, with epoch (from 1) and taken.
 
     The text at a budget's end is cut to its first `taken` words; n_chars follows the text. Documents
-    of which nothing is taken are left out. Only names that start with two underscores are used beside
-    the columns of docs.
+    of which nothing is taken are left out. Own columns epoch and taken of docs are dropped; only names that start with two
+    underscores are used beside the others.
     """
+    docs = docs.select(*(F.col(c) for c in docs.columns if c.lower() not in ("epoch", "taken")))
     d = numbered(docs, "__row")
     sized = stored(d.select("__row", "doc_id", "source", n_words(F.col("text")).alias("size")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, epochs)

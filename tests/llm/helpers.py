@@ -1,7 +1,7 @@
 """Documents that every operator has to bear."""
 
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, sid long, spans string, label int, path string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, sid long, spans string, label int, path string, taken string, epoch string"
 
 
 def odd_documents(spark, *more):
@@ -10,7 +10,7 @@ def odd_documents(spark, *more):
     texts = [None, "", " \t\n ", "one", "a b", words, "same text here " * 30, "same text here " * 30, "é ß 漢字 😀 token = abcdefgh1"]
     rows = [(i, t, None if i % 2 else "en", None if i % 3 else "s", None, 1, 2, "x", 3, "p") for i, t in enumerate(texts)]
     rows += [rows[6], (3, "other text of the same id", "de", "s", 5, 1, 2, "x", 3, "p"), (None, "no id", None, None, None, 1, 2, "x", 3, "p"), *more]
-    return spark.createDataFrame(rows, DOCS)
+    return spark.createDataFrame([(*r, "t", "e") for r in rows], DOCS)
 
 
 def empty_documents(spark):

@@ -239,3 +239,18 @@ def test_quality_stage_equals_brute_force(spark):
         scores.append(np.exp(z[1]) / np.exp(z).sum() if len(slots) else model.prior)
     expected = {r["doc_id"] for r, s in zip(rows, scores, strict=True) if s >= 0.3}
     assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, SMALL).collect()} == expected
+
+
+@pytest.mark.parametrize("make", [odd_documents, empty_documents])
+def test_pipeline_of_odd_and_empty_documents(spark, tmp_path, make):
+    docs = make(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES:
+        last, now = now, stage(spark, now, str(tmp_path))
+        assert now.columns == (docs.columns if stage is not corpus_pipeline.mixture else [*(c for c in docs.columns if c not in ("taken", "epoch")), "epoch", "taken"])
+        assert now.count() <= max(last.count(), 1) * 2
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) <= docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
