@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from cuesheaf.operators import intervals, rules, runs
+from cuesheaf.operators import intervals, rules, runs, translate
 
 CUE = "media_id long, seq long, start_ms long, end_ms long, text string, confidence double"
 
@@ -101,3 +101,17 @@ def test_run_dirs_equal_brute_force(spark, sizes):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     if sizes[0] == 10**9:
         assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_every_text_is_in_the_memory_or_listed_once(spark, seed):
+    rng = np.random.default_rng(seed)
+    texts = ["a", "<i>a</i>", " b ", "c d", "", " ", "<b></b>", "e", "e", '<font size="16" color="white">x\\ny</font>']
+    rows = [(k % 3, k, k, k + 1, str(rng.choice(texts)), 0.0) for k in range(60)]
+    cues = spark.createDataFrame(rows, CUE)
+    memory = spark.createDataFrame([("en", "xx", "a", "A"), ("en", "yy", "e", "E"), ("xx", "en", "b", "B")], "src string, tgt string, text string, translation string")
+    known = translate.translate_from_memory(cues, memory, spark.createDataFrame([], "word string, gloss string"), "en", "xx").collect()
+    assert len(known) == len(rows)
+    missing = [r["text"] for r in translate.missing_translations(cues, memory, "en", "xx").collect()]
+    open_texts = {r["clean"] for r in known if r["status"] != "bilingual" and r["clean"]}
+    assert len(missing) == len(set(missing)) and set(missing) == {t for t in open_texts if t not in {r["clean"] for r in known if r["status"] == "memory"}}
