@@ -8,7 +8,8 @@ is verified pair by pair on the whole sets.
 Links are wanted as components, so pairs inside a component need no verification:
 1. star rounds: each bucket gives a spanning star of its candidates that are not yet connected and, if it is
    large, a few random candidates of each set; a bucket of over `bucket_rows` rows goes in blocks, dealt anew in
-   each round, so a row is sent once; the pairs are verified and the links make components;
+   each round, so a row is sent once; the pairs are verified and the links make components. Where a bucket is that large, the first round
+   takes one in FIRST_PART buckets only: members of a family share most of theirs, so one part connects most of it and spares the others' pairs;
 2. last round: buckets that hold one component only are done. The others give all their candidate
    pairs of different components that were not tried yet. In a large one, rows of its largest
    component meet the rest only, not each other, so a family of copies costs no square.
@@ -30,6 +31,7 @@ MOST_BITS = 1 << 12
 GROUP_ROWS = 64
 #: Candidates that each set of a bucket of over 48 sets gives in a star round besides the star; fewer do where all sets are in many buckets.
 RANDOM_PAIRS = 6
+FIRST_PART = 4
 #: Rows of a table that a join here broadcasts; several may be held at once.
 LOCAL_ROWS = 100_000
 #: Bytes of sets that a join broadcasts; their hashes do not compress, and the driver holds them several times over.
@@ -245,13 +247,13 @@ def link_components(rows: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame
         return out
 
     for star in [0, *([1] if largest > bucket_rows else []), None]:
-        pairs = bucket_pairs(met, group_members(sets.select("sid", "gid", "sketch"), comps), percent, bucket_rows, star, random_pairs)
+        some = F.col("own") | (F.pmod("h", F.lit(FIRST_PART)) == 0)
+        here = met.filter(some) if star == 0 and largest > bucket_rows else met
+        pairs = bucket_pairs(here, group_members(sets.select("sid", "gid", "sketch"), comps), percent, bucket_rows, star, random_pairs)
         if tried is not None:
             pairs = pairs.join(sized_broadcast(tried, LOCAL_ROWS), ["a", "b"], "left_anti")
         pairs = stored(pairs)
         if not pairs.limit(1).count():
-            if tried is None:
-                break
             continue
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if items is not None:
