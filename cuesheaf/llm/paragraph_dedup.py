@@ -159,7 +159,7 @@ def unit_sets(docs: DataFrame) -> DataFrame:
 
 
 def unit_items(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, items): shingles of the chosen units (doc_id, version, unit, at, pid) of more than SHINGLE words, one row each."""
+    """(id, items): shingles of the chosen units (doc_id, version, unit, at, pid) of more than SHINGLE words; repeated documents repeat them."""
     wanted = chosen.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("version").alias("w_version")).agg(F.collect_list(F.struct("unit", "at", "pid")).alias("parts"))
     d = _located(docs)
     texts = d.join(sized_broadcast(stored(wanted), 200_000), F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("version") == F.col("w_version"))).select("text", "parts")
@@ -180,7 +180,7 @@ def unit_items(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             sets = [items[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sets, pa.binary())], ["id", "items"])
 
-    return texts.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
+    return texts.mapInArrow(run, "id long, items binary")
 
 
 def clusters(docs: DataFrame, table: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -195,7 +195,7 @@ def clusters(docs: DataFrame, table: DataFrame, percent: int = PERCENT) -> DataF
         reps = table.join(sized_broadcast(ids), F.col("pid") == F.col("id")).groupBy("pid").agg(rep)
         return unit_items(docs, reps.select("rep.doc_id", "rep.version", "rep.unit", "rep.at", "pid"))
 
-    out = link_components(alive, sets, fetch, percent, random_pairs=1)  # a unit is in BANDS buckets
+    out = link_components(alive, sets, fetch, percent, random_pairs=1, single=True)  # a unit is in BANDS buckets
     discard(alive, sets)
     return out
 

@@ -20,6 +20,7 @@ repeated rows stay, each with the same answer; an empty table gives no rows; oth
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,14 +78,14 @@ def gram_levels(docs: DataFrame, k: int = NGRAM) -> np.ndarray:
             if found:
                 total += np.bincount(slots(np.concatenate(found)), minlength=1 << SLOT_BITS)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([total[p * size : (p + 1) * size].astype(np.uint32).tobytes() for p in range(PARTS)], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(total[p * size : (p + 1) * size].astype(np.uint32).tobytes(), 1) for p in range(PARTS)], pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k in range(b.num_rows):
                 part = b.column(0)[k].as_py()
-                total[part] = total.get(part, 0) + np.frombuffer(b.column(1)[k].as_py(), np.uint32).astype(np.int64)
+                total[part] = total.get(part, 0) + np.frombuffer(zlib.decompress(b.column(1)[k].as_py()), np.uint32).astype(np.int64)
         for part, counts in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.frexp(counts.astype(np.float64))[1].astype(np.uint8).tobytes()], pa.binary())], ["part", "counts"])
 
@@ -142,7 +143,7 @@ def set_components(docs: DataFrame, sig: DataFrame, levels, k: int = NGRAM, perc
 
         here = docs.select(F.xxhash64(F.col("doc_id").cast("long"), version_of(F.col("text"))).alias("key"), "text")
         texts = here.join(sized_broadcast(stored(wanted)), F.col("key") == F.col("w_key")).select("id", "text")  # run checks the set itself
-        return texts.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
+        return texts.mapInArrow(run, "id long, items binary")
 
     linked = link_components(alive, sets, fetch, percent, bucket_rows)
     whole = sets.select("sid", "rep").join(sized_broadcast(linked), F.col("sid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sid"))

@@ -10,9 +10,13 @@ Links are wanted as components, so pairs inside a component need no verification
    large, a few random candidates of each set; a bucket of over `bucket_rows` rows goes in blocks, dealt anew in
    each round, so a row is sent once; the pairs are verified and the links make components. Where a bucket is that large, the first round
    takes one in FIRST_PART buckets only: members of a family share most of theirs, so one part connects most of it and spares the others' pairs;
-2. last round: buckets that hold one component only are done. The others give all their candidate
+2. last round: buckets that hold one component only are done, and so are those that were met whole and hold no
+   two sets of failed pairs: all that their stars connect is linked. The others give all their candidate
    pairs of different components that were not tried yet. In a large one, rows of its largest
    component meet the rest only, not each other, so a family of copies costs no square.
+
+Sets have one order in all buckets, so buckets of the same sets give the same pairs. Sketches join the rows
+last, when these are dealt to their buckets, and so move once a round.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, runs, sized_broadcast, stored
+from .common import connected_components, discard, mixed, runs, sized_broadcast, stored
 
 BUCKET_ROWS = 3000
 MOST_BITS = 1 << 12
@@ -35,7 +39,7 @@ FIRST_PART = 4
 #: Rows of a table that a join here broadcasts; several may be held at once.
 LOCAL_ROWS = 100_000
 #: Bytes of sets that a join broadcasts; their hashes do not compress, and the driver holds them several times over.
-LOCAL_BYTES = 16_000_000
+LOCAL_BYTES = 4_000_000
 _PAIR = "a long, b long"
 
 
@@ -93,7 +97,7 @@ def candidates(groups: list[tuple], percent: int, own: bool, spanning: bool, ran
     groups: (gid, block, n, place, sids, comps, sketches). Pairs of one group meet in the bucket of the
     group itself only (own). Blocks that are not null say which pairs meet here: those of two blocks.
     """
-    groups = sorted(groups, key=lambda g: g[2])
+    groups = sorted(groups, key=lambda g: (g[2], g[0], g[4]))
     forest, out = Forest(), []
 
     def take(s1, c1, s2, c2):
@@ -125,6 +129,7 @@ def candidates(groups: list[tuple], percent: int, own: bool, spanning: bool, ran
                             take(s1[x], c1[x], s2[y], c2[y])
         return out
     flat = [(*g[:4], s, c, k) for g in groups for s, c, k in zip(*g[4:], strict=True)]
+    sids = np.array([f[4] for f in flat], np.int64).view(np.uint64)
     gid, size, place = (np.array([f[k] for f in flat], np.int64) for k in (0, 2, 3))
     block = np.array([-1 if f[1] is None else f[1] for f in flat])
     width = np.array([len(f[6]) for f in flat])
@@ -142,34 +147,41 @@ def candidates(groups: list[tuple], percent: int, own: bool, spanning: bool, ran
             f, near = flat[rows[at]], rows[at + 1 + near]
             for j in near.tolist():
                 take(f[4], f[5], flat[j][4], flat[j][5])
-            if spanning and len(near) > 1:  # and a few at random: one star would leave a family whose hub links to few in pieces
-                pick = np.random.default_rng(f[4] & 0xFFFFFFFF).integers(0, len(near), random_pairs)
-                out.extend((f[4], flat[near[j]][4]) for j in pick.tolist() if f[5] != flat[near[j]][5])
+            if spanning and random_pairs and len(near) > 1:  # and a few at random, the same in all buckets: one star would leave a family whose hub links to few in pieces
+                pick = near[np.argsort(mixed(sids[near] ^ sids[rows[at]]))[:random_pairs]]
+                out.extend((f[4], flat[j][4]) for j in pick.tolist() if f[5] != flat[j][5])
     return out
 
 
-def group_members(sets: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """(gid, sids, comps, sketches, comp) of each group, in rows of about GROUP_ROWS members; comp is null if they differ."""
-    if comps is None:
-        s = sets.withColumn("comp", F.col("sid"))
-    else:
-        s = sets.join(sized_broadcast(comps, LOCAL_ROWS), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
+def group_members(sets: DataFrame, comps: DataFrame | None, failed: DataFrame | None, single: bool) -> DataFrame:
+    """(m_gid, chunk, sids, comps, sketches, comp, open) of each group, in rows of about GROUP_ROWS members.
+
+    comp is null if they differ; open counts the members in failed (f_sid). single: each set is a group of its own.
+    """
+    s = sets.withColumn("comp", F.col("sid")) if comps is None else sets.join(sized_broadcast(comps, LOCAL_ROWS), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
+    s = s.withColumn("open", F.lit(0)) if failed is None else s.join(sized_broadcast(failed, LOCAL_ROWS), F.col("sid") == F.col("f_sid"), "left").withColumn("open", F.col("f_sid").isNotNull().cast("int"))
+    if single:
+        return s.select(F.col("gid").alias("m_gid"), F.lit(0).cast("long").alias("chunk"), F.array("sid").alias("sids"), F.array("comp").alias("comps"), F.array("sketch").alias("sketches"), "comp", F.col("open").cast("long").alias("open"))
     chunks = s.groupBy(F.col("gid").alias("c_gid")).agg(F.ceil(F.count("*") / GROUP_ROWS).alias("chunks")).filter("chunks > 1")
     s = s.join(sized_broadcast(stored(chunks), LOCAL_ROWS), F.col("gid") == F.col("c_gid"), "left")
     chunk = F.pmod(F.xxhash64("sid"), F.coalesce("chunks", F.lit(1))).alias("chunk")
-    out = s.groupBy("gid", chunk).agg(F.collect_list("sid").alias("sids"), F.collect_list("comp").alias("comps"), F.collect_list("sketch").alias("sketches"))
-    return out.select(F.col("gid").alias("m_gid"), "sids", "comps", "sketches", F.when(F.array_min("comps") == F.array_max("comps"), F.array_min("comps")).alias("comp"))
+    out = s.groupBy("gid", chunk).agg(F.collect_list("sid").alias("sids"), F.collect_list("comp").alias("comps"), F.collect_list("sketch").alias("sketches"), F.sum("open").alias("open"))
+    return out.select(F.col("gid").alias("m_gid"), "chunk", "sids", "comps", "sketches", F.when(F.array_min("comps") == F.array_max("comps"), F.array_min("comps")).alias("comp"), "open")
 
 
 def bucket_pairs(rows: DataFrame, members: DataFrame, percent: int, bucket_rows: int, star: int | None, random_pairs: int = RANDOM_PAIRS) -> DataFrame:
-    """Distinct candidate pairs (a, b) of all buckets, from rows (h, own, gid, n, place); star: number of the star round, None for the last."""
-    met = rows.join(members, F.col("gid") == F.col("m_gid")).drop("m_gid")
-    per = met.groupBy("h", "own", "comp").agg(F.count("*").alias("rows"))
+    """Distinct candidate pairs (a, b) of all buckets, from rows (h, own, gid, n, place) and stored members; star: number of the star round, None for the last."""
+    thin = members.select("m_gid", "chunk", F.element_at("sids", 1).alias("lead"), "comp", "open")
+    met = rows.join(thin, F.col("gid") == F.col("m_gid")).drop("m_gid")
+    per = met.groupBy("h", "own", "comp").agg(F.count("*").alias("rows"), F.sum("open").alias("open"))
     major = F.max_by("comp", F.when(F.col("comp").isNotNull(), F.col("rows")).otherwise(0))
-    shape = per.groupBy("h", "own").agg(F.sum("rows").alias("rows"), F.count("*").alias("kinds"), F.max(F.col("comp").isNull()).alias("mixed"), major.alias("major"), F.max(F.when(F.col("comp").isNotNull(), F.col("rows"))).alias("most"))
-    shape = stored(shape.filter("kinds > 1 OR mixed").select(F.col("h").alias("s_h"), F.col("own").alias("s_own"), "rows", "major", F.coalesce("most", F.lit(0)).alias("most")))
+    shape = per.groupBy("h", "own").agg(F.sum("rows").alias("rows"), F.sum("open").alias("open"), F.count("*").alias("kinds"), F.max(F.col("comp").isNull()).alias("mixed"), major.alias("major"), F.max(F.when(F.col("comp").isNotNull(), F.col("rows"))).alias("most"))
+    shape = shape.filter("kinds > 1 OR mixed")
+    if star is None:
+        shape = shape.filter((F.col("open") > 1) | (F.col("rows") > bucket_rows))
+    shape = stored(shape.select(F.col("h").alias("s_h"), F.col("own").alias("s_own"), "rows", "major", F.coalesce("most", F.lit(0)).alias("most")))
     met = met.join(sized_broadcast(shape, LOCAL_ROWS), (F.col("h") == F.col("s_h")) & (F.col("own") == F.col("s_own"))).drop("s_h", "s_own")
-    deal = F.xxhash64("gid", F.element_at("sids", 1), F.lit(star or 0))
+    deal = F.xxhash64("gid", "lead", F.lit(star or 0))
     if star is not None:
         dealt = met.withColumn("i", F.pmod(deal, F.ceil(F.col("rows") / bucket_rows)).cast("int")).withColumn("j", F.lit(0)).withColumn("block", F.lit(None).cast("int"))
     else:
@@ -182,6 +194,8 @@ def bucket_pairs(rows: DataFrame, members: DataFrame, percent: int, bucket_rows:
         others = F.when(one | (until < 0), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), until))
         dealt = met.withColumn("other", F.explode(others)).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
         dealt = dealt.withColumn("block", F.when(F.col("i") != F.col("j"), F.col("mine")))
+    dealt = dealt.select("h", "own", "i", "j", "gid", F.col("chunk").alias("d_chunk"), "block", "n", "place")
+    dealt = dealt.join(members, (F.col("gid") == F.col("m_gid")) & (F.col("d_chunk") == F.col("chunk")))
     dealt = dealt.select("h", "own", "i", "j", "gid", "block", "n", "place", "sids", "comps", "sketches")
     dealt = dealt.repartition("h", "own", "i", "j").sortWithinPartitions("h", "own", "i", "j")
 
@@ -224,19 +238,34 @@ def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, _PAIR)
 
 
-def link_components(rows: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, bucket_rows: int = BUCKET_ROWS, random_pairs: int = RANDOM_PAIRS) -> DataFrame:
+def one_of_each_id(items: DataFrame) -> DataFrame:
+    """A stored copy of items, of each id one row; only ids move unless some repeat."""
+    out = stored(items)
+    if not out.groupBy("id").count().filter("count > 1").limit(1).count():
+        return out
+    once = stored(out.dropDuplicates(["id"]))
+    discard(out)
+    return once
+
+
+def link_components(rows: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, bucket_rows: int = BUCKET_ROWS, random_pairs: int = RANDOM_PAIRS, single: bool = False) -> DataFrame:
     """(node, component) of every set that links to another one; component is the smallest set id.
 
     rows: stored (h, gid, n, place) of each group in each of its buckets, deleted once copied; place counts the keys of
-    the group before h in an order that all groups share. sets: stored (sid, gid, sketch).
-    fetch gives (id, items) for a table of ids. An empty table gives no rows.
+    the group before h in an order that all groups share. sets: stored (sid, gid, sketch); single: gid is sid in all.
+    fetch gives (id, items) for a table of ids, which may repeat. An empty table gives no rows.
     """
-    twins = sets.groupBy("gid").agg(F.count("*").alias("members"), F.max("n").alias("n")).filter("members > 1")
-    met = rows.select("h", F.lit(False).alias("own"), "gid", "n", "place").unionByName(twins.select(F.col("gid").alias("h"), F.lit(True).alias("own"), "gid", "n", F.lit(0).alias("place")))
+    met = rows.select("h", F.lit(False).alias("own"), "gid", "n", "place")
+    if not single:
+        twins = sets.groupBy("gid").agg(F.count("*").alias("members"), F.max("n").alias("n")).filter("members > 1")
+        met = met.unionByName(twins.select(F.col("gid").alias("h"), F.lit(True).alias("own"), "gid", "n", F.lit(0).alias("place")))
     met = stored(met)
     discard(rows)
+    meeting = stored(met.select(F.col("gid").alias("r_gid")).distinct())
+    sets = stored(sets.select("sid", "gid", "sketch").join(sized_broadcast(meeting, LOCAL_ROWS), F.col("gid") == F.col("r_gid"), "left_semi"))
+    discard(meeting)
     largest = met.groupBy("h", "own").count().agg(F.max("count")).first()[0] or 0
-    comps = tried = items = links = None
+    comps = tried = items = links = failed = None
 
     def grown(table: DataFrame | None, more: DataFrame) -> DataFrame:
         """Both tables as one; the parts are deleted."""
@@ -249,22 +278,25 @@ def link_components(rows: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame
     for star in [0, *([1] if largest > bucket_rows else []), None]:
         some = F.col("own") | (F.pmod("h", F.lit(FIRST_PART)) == 0)
         here = met.filter(some) if star == 0 and largest > bucket_rows else met
-        pairs = bucket_pairs(here, group_members(sets.select("sid", "gid", "sketch"), comps), percent, bucket_rows, star, random_pairs)
+        members = stored(group_members(sets, comps, failed, single))
+        pairs = bucket_pairs(here, members, percent, bucket_rows, star, random_pairs)
         if tried is not None:
             pairs = pairs.join(sized_broadcast(tried, LOCAL_ROWS), ["a", "b"], "left_anti")
         pairs = stored(pairs)
+        discard(members)
         if not pairs.limit(1).count():
             continue
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        if items is not None:
-            ids = ids.join(items.select("id"), "id", "left_anti")
-        ids = stored(ids)
-        items = grown(items, stored(fetch(ids)))
-        discard(ids)
-        links = grown(links, stored(verified(pairs, items, percent)))
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        fresh = ids if items is None else stored(ids.join(items.select("id"), "id", "left_anti"))
+        items = grown(items, one_of_each_id(fetch(fresh)))
+        wanted = items if fresh is ids else items.join(sized_broadcast(ids, LOCAL_ROWS), "id", "left_semi")
+        links = grown(links, stored(verified(pairs, wanted, percent)))
+        discard(ids, fresh)
         tried = grown(tried, pairs)
         comps = stored(connected_components(links))
+        if star is not None:
+            failed = stored(tried.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("f_sid")).distinct())
     if comps is None:
         comps = stored(met.select(F.col("gid").alias("node"), F.col("gid").alias("component")).filter("false"))
-    discard(met, *(t for t in (tried, items, links) if t is not None))
+    discard(met, sets, *(t for t in (tried, items, links) if t is not None))
     return comps

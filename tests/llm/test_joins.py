@@ -100,6 +100,27 @@ def test_candidates_cover_all_links(n, spanning):
     assert not spanning or len(found) <= n * (1 + set_links.RANDOM_PAIRS)
 
 
+@pytest.mark.parametrize("n", [40, 150])
+def test_stars_of_equal_buckets_are_equal(n):
+    """The rows of a bucket come in any order."""
+    sets = {i: prefix_join.ngram_set(t.encode()) for i, t in family(2, n)}
+    groups = [(i, None, len(s), 0, [i], [i], [set_links.sketch(s)]) for i, s in sets.items()]
+    found = [{tuple(sorted(p)) for p in set_links.candidates(random.Random(k).sample(groups, n), 90, False, True)} for k in range(3)]
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_last_round_meets_only_buckets_with_a_failed_pair(spark):
+    """Of two buckets with the same candidate pair, that one goes on where it failed before; a bucket cut in blocks always does."""
+    s = set_links.sketch(np.arange(60, dtype=np.uint64))
+    rows_ = spark.createDataFrame([(h, False, g, 60, 0) for h, g in ((1, 1), (1, 2), (2, 3), (2, 4))], "h long, own boolean, gid long, n long, place int")
+    sets = spark.createDataFrame([(g, g, bytearray(s)) for g in range(1, 5)], "sid long, gid long, sketch binary")
+    failed = spark.createDataFrame([(3,), (4,)], "f_sid long")
+    for single in (True, False):
+        members = set_links.group_members(sets, None, failed, single)
+        assert rows(set_links.bucket_pairs(rows_, members, 90, 3000, None), "a", "b") == [(3, 4)]
+        assert rows(set_links.bucket_pairs(rows_, members, 90, 1, None), "a", "b") == [(1, 2), (3, 4)]
+
+
 def test_many_sketches_and_shingles_equal_single_ones():
     rng = random.Random(1)
     parts = [[b"w%d" % rng.randrange(9) for _ in range(rng.choice([6, 7, 40, 300]))] for _ in range(30)]
