@@ -2,10 +2,10 @@
 
 Units of a text are its lines and its blocks; a block is a run of lines that have words, so a wrapped
 paragraph is one, whatever its line breaks. Lines meet lines and blocks meet blocks, of any length.
-1. units of the same words (A-Z lower-cased, ASCII punctuation dropped) are one from here on (pid);
+1. one pass over the texts gives units and anchors; units of the same words (A-Z lower-cased, ASCII punctuation dropped) are one from here on (pid);
 2. BANDS bands of ROWS MinHash values of a unit's word 5-grams give its keys: at similarity 0.8 a
    pair shares a key with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.9997;
-3. units that share a key meet in its bucket, where sizes and parity sketches filter the pairs; the exact
+3. only units that share a key get sets and sketches; they meet in its bucket, where sizes and parity sketches filter the pairs; the exact
    Jaccard similarity of the 5-gram sets decides each pair (set_links.py). A unit of fewer than five words is one
    shingle and links with its equals only;
 4. components of the links are clusters: the first unit by (doc_id, place) stays, the others are removed.
@@ -44,8 +44,14 @@ UNITS = ("line", "block")
 _BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 #: Words of a repeated passage, and of the windows among which its anchors are chosen.
 PASSAGE, ANCHOR = 50, 25
-#: Windows of a passage that go as one row.
+#: Windows of a passage that go as one row, and as the bits of a long.
 SEGMENT = 64
+#: Number of a row of text_marks that is an anchor, beside those of UNITS.
+ANCHORS = 2
+#: Characters of texts whose shingles are held at once, so that their arrays stay small; ids of units known to have given their keys.
+MARK_CHARS, MOST_SEEN = 400_000, 200_000
+#: Bits of a sketch for each item: near copies that just miss the limit seldom pass.
+SPREAD = 4
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORDS = re.compile(f"[{_UNSPACED}]|[^\\x00-/:-@\\[-`{{-\\x7f{_UNSPACED}]+")
 _ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
@@ -75,55 +81,44 @@ def content_id(unit: int, words: list[bytes]) -> int:
 
 
 def band_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Band keys (units x BANDS) of shingles h, of which `sizes` belong to each unit."""
+    """Band keys (units x BANDS) of shingles h, of which `sizes` belong to each unit; repeated shingles change none."""
     first = np.cumsum(sizes) - sizes
     keys = np.empty((len(sizes), BANDS), np.uint64)
+    product = np.empty_like(h)
     for band in range(BANDS):
         key = np.full(len(sizes), band + 1, np.uint64)
         for r in range(ROWS):
-            key = mixed(key ^ np.minimum.reduceat(h * _SEEDS[band * ROWS + r], first))  # h is mixed already
+            key = mixed(key ^ np.minimum.reduceat(np.multiply(h, _SEEDS[band * ROWS + r], out=product), first))  # h is mixed already
         keys[:, band] = key
     return keys.view(np.int64)
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """doc_id, version and text of docs; version is a hash of the text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
-
-
-def unit_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, unit, at, n_words, pid) of every unit of docs (doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        for b in small_batches(batches):
-            rows = [(d, v, u, at, len(w), content_id(u, w)) for d, v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True) for u, at, w in units(t)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "version", "unit", "at", "n_words", "pid"])
-
-    return _located(docs).mapInArrow(run, "doc_id long, version long, unit int, at int, n_words int, pid long")
-
-
 def _shingled(unit: int, words: list[bytes]) -> np.ndarray:
     return np.unique(shingles(word_hashes(words), SHINGLE) ^ np.uint64(unit))  # lines and blocks share nothing
 
 
-def distinct_shingles(parts: list[np.ndarray], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingles of each of many units of SHINGLE words or more, given as word hashes, one unit after the other, and their numbers."""
+def all_shingles(parts: list[np.ndarray], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each of many units of SHINGLE words or more, given as word hashes, one unit after the other, and their numbers."""
     n = np.array([len(p) for p in parts])
     h = shingles(np.concatenate(parts), SHINGLE)
     inside = np.ones(n.sum(), bool)
     ends = np.cumsum(n)
     for j in range(1, SHINGLE):
         inside[ends - j] = False  # windows that run into the next unit
-    owner = np.repeat(np.arange(len(n)), n - SHINGLE + 1)
-    h = h[inside[: len(h)]] ^ unit[owner]
-    ends = np.cumsum(n - SHINGLE + 1)
-    for start, end in zip((ends - n + SHINGLE - 1).tolist(), ends.tolist(), strict=True):
+    sizes = n - SHINGLE + 1
+    return h[inside[: len(h)]] ^ np.repeat(unit, sizes), sizes
+
+
+def distinct_shingles(parts: list[np.ndarray], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct ones of all_shingles of each unit, and their numbers."""
+    h, sizes = all_shingles(parts, unit)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes)
+    for start, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
         h[start:end].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[new], np.bincount(owner[new], minlength=len(n))
+    return h[new], np.bincount(owner[new], minlength=len(sizes))
 
 
 def shingled(parts: list[list[bytes]], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,84 +126,112 @@ def shingled(parts: list[list[bytes]], unit: np.ndarray) -> tuple[np.ndarray, np
     return distinct_shingles([word_hashes(p) for p in parts], unit)
 
 
-def hashed_units(text: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(pid, unit, word hashes) of the units of a text of more than SHINGLE words; each word is hashed once, for its line and its block."""
-    found = units(text)
-    h = word_hashes([w for u, _, words in found if u == 0 for w in words])
-    at = [0] * len(UNITS)
-    for u, _, words in found:
-        at[u] += len(words)
-        if len(words) > SHINGLE:
-            yield content_id(u, words), u, h[at[u] - len(words) : at[u]]
-
+def text_marks(docs: DataFrame, paragraphs: bool = True, passage: int | None = None) -> DataFrame:
+    """(row, doc_id, unit, at, n_words, id, keys) of docs (row, doc_id, text), by one pass over the texts that hashes each word once.
 
-def unit_sets(docs: DataFrame) -> DataFrame:
-    """(sid, gid, n, keys, sketch) of the different units of more than SHINGLE words; gid is sid."""
+    paragraphs: a row for each unit, id is its pid; keys holds the band keys of units of more than SHINGLE words, at least in one row of
+    each pid, and is empty in the others. passage: a row of unit ANCHORS for each anchor of a text for passages of so many words, its
+    value as id and the windows that have it as n_words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            found = {pid: (u, h) for t in utf8(b.column(0)) for pid, u, h in hashed_units(t)}
-            if not found:
-                continue
-            items, sizes = distinct_shingles([h for _, h in found.values()], np.array([u for u, _ in found.values()], np.uint64))
-            keys = band_keys(items, sizes)
-            ends = pa.array(range(0, keys.size + 1, BANDS), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), pa.array(sketches(items, sizes), pa.binary())], ["sid", "n", "keys", "sketch"])
-
-    return docs.select("text").mapInArrow(run, "sid long, n long, keys array<long>, sketch binary").dropDuplicates(["sid"]).withColumn("gid", F.col("sid"))
-
-
-def unit_items(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, items): shingles of the chosen units (doc_id, version, unit, at, pid) of more than SHINGLE words; repeated documents repeat them."""
-    wanted = chosen.groupBy(F.col("doc_id").alias("w_doc_id"), F.col("version").alias("w_version")).agg(F.collect_list(F.struct("unit", "at", "pid")).alias("parts"))
-    d = _located(docs)
-    texts = d.join(sized_broadcast(stored(wanted), 200_000), F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("version") == F.col("w_version"))).select("text", "parts")
+        seen: set[int] = set()
+        for b in small_batches(batches, MARK_CHARS):
+            owner, unit, at, size, ids, keyed, parts, anchor, times = [], [], [], [], [], [], [], [], []
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            for k, t in enumerate(utf8(b.column(2))):
+                found = units(t)
+                h = word_hashes([w for u, _, words in found if u == 0 for w in words])
+                if paragraphs:
+                    until = [0] * len(UNITS)
+                    for u, place, words in found:
+                        until[u] += len(words)
+                        pid = content_id(u, words)
+                        if len(words) > SHINGLE and pid not in seen:
+                            seen.add(pid)
+                            keyed.append(len(ids))
+                            parts.append(h[until[u] - len(words) : until[u]])
+                        owner.append(k)
+                        unit.append(u)
+                        at.append(place)
+                        size.append(len(words))
+                        ids.append(pid)
+                if passage:
+                    values = anchor_windows(passage_words(t, h), passage)
+                    anchor.append(np.unique(anchors(values, passage)))
+                    ordered = np.sort(values)
+                    times.append(np.searchsorted(ordered, anchor[-1], side="right") - np.searchsorted(ordered, anchor[-1]))
+            keys, ends = np.zeros(0, np.int64), np.zeros(len(ids) + 1, np.int32)
+            if parts:
+                keys = band_keys(*all_shingles(parts, np.array([unit[i] for i in keyed], np.uint64))).ravel()
+                ends[np.array(keyed) + 1] = BANDS
+                ends = np.cumsum(ends, dtype=np.int32)
+            owner, unit, at, size, ids = (np.array(x, np.int64) for x in (owner, unit, at, size, ids))
+            if passage:
+                n = np.array([len(x) for x in anchor])
+                owner = np.concatenate([owner, np.repeat(np.arange(len(n)), n)])
+                unit, at = (np.concatenate([x, np.full(n.sum(), fill)]) for x, fill in ((unit, ANCHORS), (at, 0)))
+                size, ids = np.concatenate([size, *times]), np.concatenate([ids, *(x.view(np.int64) for x in anchor)])
+                ends = np.concatenate([ends, np.full(n.sum(), ends[-1])])
+            rows = pa.array(owner)
+            cols = [b.column(0).take(rows), b.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in (unit, at, size)), pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "unit", "at", "n_words", "id", "keys"])
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, unit int, at int, n_words int, id long, keys array<long>")
+
+
+def unit_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """A stored table (sid, n, sketch, items) of the chosen units (row, unit, at, pid) of more than SHINGLE words; items are the shingles."""
+    wanted = stored(chosen.groupBy(F.col("row").alias("w_row")).agg(F.collect_list(F.struct("unit", "at", "pid")).alias("parts")))
+    texts = docs.join(sized_broadcast(wanted, 200_000), F.col("row") == F.col("w_row")).select("text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
+        for b in small_batches(batches, MARK_CHARS):
             found = {}
             for t, asked in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
                 have = {(u, at): words for u, at, words in units(t)}
                 for p in asked:
-                    words = have.get((p["unit"], p["at"]))
-                    if words and content_id(p["unit"], words) == p["pid"]:
-                        found[p["pid"]] = (p["unit"], words)
+                    found[p["pid"]] = (p["unit"], have[p["unit"], p["at"]])
             if not found:
                 continue
             items, sizes = shingled([w for _, w in found.values()], np.array([u for u, _ in found.values()], np.uint64))
             ends = np.cumsum(sizes)
             sets = [items[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sets, pa.binary())], ["id", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sizes), pa.array(sketches(items, sizes, SPREAD), pa.binary()), pa.array(sets, pa.binary())], ["sid", "n", "sketch", "items"])
 
-    return texts.mapInArrow(run, "id long, items binary")
+    out = stored(texts.mapInArrow(run, "sid long, n long, sketch binary, items binary"))
+    discard(wanted)
+    return out
 
 
-def clusters(docs: DataFrame, table: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component): pid and cluster of the different units of the stored table that link to another one."""
-    sets = stored(unit_sets(docs))
-    rows = sets.select(F.explode("keys").alias("h"), "gid", "n", F.lit(0).alias("place"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1").select(F.col("h").alias("s_h"))
-    alive = stored(rows.join(sized_broadcast(stored(shared)), F.col("h") == F.col("s_h"), "left_semi"))
+def clusters(docs: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component): pid and cluster of the different units of stored docs, which are deleted, and their text_marks that link to another one."""
+    rows = marks.select(F.explode("keys").alias("h"), F.col("id").alias("gid"))
+    shared = stored(rows.groupBy("h").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low < high").select(F.col("h").alias("s_h")))
+    alive = stored(rows.join(sized_broadcast(shared), F.col("h") == F.col("s_h"), "left_semi").distinct())
+    meeting = stored(alive.select(F.col("gid").alias("m_gid")).distinct())
+    discard(shared)
+    rep = F.min(F.struct("row", "unit", "at")).alias("rep")
+    reps = marks.filter(F.col("unit") < ANCHORS).join(sized_broadcast(meeting), F.col("id") == F.col("m_gid")).groupBy(F.col("id").alias("pid")).agg(rep)
+    sets = unit_sets(docs, reps.select("rep.row", "rep.unit", "rep.at", "pid"))
+    sized = sets.select("sid", "n")
+    met = stored(alive.join(sized_broadcast(sized, LOCAL_ROWS), F.col("gid") == F.col("sid")).select("h", "gid", "n", F.lit(0).alias("place")))
+    discard(docs, alive, meeting)
 
     def fetch(ids: DataFrame) -> DataFrame:
-        rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "unit", "at")).alias("rep")
-        reps = table.join(sized_broadcast(ids), F.col("pid") == F.col("id")).groupBy("pid").agg(rep)
-        return unit_items(docs, reps.select("rep.doc_id", "rep.version", "rep.unit", "rep.at", "pid"))
+        return sets.join(sized_broadcast(ids, LOCAL_ROWS), F.col("sid") == F.col("id"), "left_semi").select(F.col("sid").alias("id"), "items")
 
-    out = link_components(alive, sets, fetch, percent, random_pairs=1, single=True)  # a unit is in BANDS buckets
-    discard(alive, sets)
+    out = link_components(met, sets.withColumn("gid", F.col("sid")), fetch, percent, random_pairs=1, single=True)  # a unit is in BANDS buckets
+    discard(sets)
     return out
 
 
-def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, unit, paragraph, n_words, first_doc_id, first_paragraph, copies, removed) of every line and block that repeats.
-
-    paragraph counts the lines of the text from 0; copies is the number of units in the cluster.
-    """
-    table = stored(unit_table(docs))
-    found = clusters(docs, table, percent)
-    rows = table.join(sized_broadcast(found), F.col("pid") == F.col("node"), "left")
-    rows = rows.select("doc_id", "unit", "at", "n_words", F.coalesce("component", "pid").alias("cluster"))
+def paragraph_rows(docs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Rows of repeated_paragraphs, of stored docs (row, doc_id, text), which are deleted, and their stored text_marks."""
+    found = clusters(docs, marks, percent)
+    rows = marks.filter(F.col("unit") < ANCHORS).join(sized_broadcast(found), F.col("id") == F.col("node"), "left")
+    rows = rows.select("doc_id", "unit", "at", "n_words", F.coalesce("component", "id").alias("cluster"))
     here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
     sizes = stored(rows.groupBy("cluster").agg(F.count("*").alias("copies"), F.min(here).alias("first")).filter("copies > 1").withColumnRenamed("cluster", "s_cluster"))
     out = rows.join(sized_broadcast(sizes), F.col("cluster") == F.col("s_cluster"))
@@ -218,11 +241,25 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def passage_words(text: bytes) -> np.ndarray:
-    """Hashes of the words of a text, ASCII letters lower-cased; line breaks are gaps like any other."""
+def located(docs: DataFrame) -> DataFrame:
+    """A stored copy of docs as (row, doc_id, text)."""
+    return numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
+
+
+def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, unit, paragraph, n_words, first_doc_id, first_paragraph, copies, removed) of every line and block that repeats.
+
+    paragraph counts the lines of the text from 0; copies is the number of units in the cluster.
+    """
+    d = located(docs)
+    return paragraph_rows(d, stored(text_marks(d)), percent)
+
+
+def passage_words(text: bytes, lines: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a text, ASCII letters lower-cased; line breaks are gaps like any other. lines: those of the words of its lines."""
     if not text.isascii() and _ANY_UNSPACED.search(whole := text.decode()):
         return word_hashes([w.encode().lower() for w in _WORDS.findall(whole)])
-    return word_hashes(text.lower().translate(_BREAKS).split())
+    return lines
 
 
 def anchor_windows(h: np.ndarray, words: int) -> np.ndarray:
@@ -252,51 +289,65 @@ def segments(anchor: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nda
     return start, np.minimum(start + SEGMENT, np.repeat(end, pieces))
 
 
-def passage_segments(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
-    """(row, doc_id, at, seg, windows) of the segments of an anchor that occurs twice, from docs (row, doc_id, text).
+def passage_segments(docs: DataFrame, marks: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """(row, doc_id, at, seg, windows) of the segments of an anchor that occurs twice, from stored docs (row, doc_id, text) and their text_marks.
 
     windows holds the hashes of the segment's windows of `words` words, at least in one of its rows. Windows that
     occur once only are among them; none that occurs twice is missing.
     """
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            found, times = [], []
-            for t in utf8(b.column(1)):
-                values = anchor_windows(passage_words(t), words)
-                found.append(np.unique(anchors(values, words)))
-                ordered = np.sort(values)
-                times.append(np.searchsorted(ordered, found[-1], side="right") - np.searchsorted(ordered, found[-1]))
-            row = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(times), pa.int64())], ["row", "anchor", "times"])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            owner, places, keys, lists, seen = [], [], [], [], set()
+            owner, places, keys, lists, sizes, seen = [], [], [], [], [], set()
             for k, (t, wanted) in enumerate(zip(utf8(b.column(2)), b.column(3).to_pylist(), strict=True)):
-                h = passage_words(t)
+                h = passage_words(t, word_hashes(t.lower().translate(_BREAKS).split()))
                 start, end = segments(anchors(anchor_windows(h, words), words), np.array(wanted, np.int64).view(np.uint64))
                 whole = windows(h, words).view(np.int64)
                 for x, y in zip(start.tolist(), end.tolist(), strict=True):
-                    keys.append(key := xxhash.xxh3_64_intdigest(whole[x:y].tobytes()) - (1 << 63))
-                    lists.append(None if key in seen else whole[x:y])
-                    seen.add(key)
+                    keys.append(key := xxhash.xxh3_64_intdigest(whole[x:y]) - (1 << 63))
+                    sizes.append(0 if key in seen else y - x)
+                    if key not in seen:
+                        seen.add(key)
+                        lists.append(whole[x:y])
                 places.append(start)
                 owner.extend([k] * len(start))
-            at = pa.array(owner, pa.int64())
-            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(places), pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+            at, sizes = pa.array(owner, pa.int64()), np.array(sizes, np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *lists])), mask=pa.array(sizes == 0))
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(places), pa.int64()), pa.array(keys, pa.int64()), lists]
             yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "at", "seg", "windows"])
 
-    chosen = stored(docs.select("row", "text").mapInArrow(choose, "row long, anchor long, times long"))
+    chosen = marks.filter(F.col("unit") == ANCHORS).select("row", F.col("id").alias("anchor"), F.col("n_words").alias("times"))
     shared = stored(chosen.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select(F.col("anchor").alias("s_anchor")))
     wanted = stored(chosen.join(sized_broadcast(shared), F.col("anchor") == F.col("s_anchor")).groupBy(F.col("row").alias("w_row")).agg(F.collect_list("anchor").alias("wanted")))
-    discard(chosen, shared)
+    discard(shared)
     texts = docs.join(sized_broadcast(wanted), F.col("row") == F.col("w_row")).select("row", "doc_id", "text", "wanted")
     out = stored(texts.mapInArrow(cut, "row long, doc_id long, at long, seg long, windows array<long>"))
     discard(wanted)
     return out
 
 
+def bit_runs(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the mask, first bit, bits) of the runs of set bits of 64-bit masks."""
+    bits = np.unpackbits(np.ascontiguousarray(masks, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8)
+    edge = np.diff(bits, axis=1, prepend=np.int8(0), append=np.int8(0))
+    of, start = np.nonzero(edge == 1)
+    return of, start, np.nonzero(edge == -1)[1] - start
+
+
+def mask_runs(masks: DataFrame) -> DataFrame:
+    """(r_seg, removed, k, n): the runs of the windows of each segment, given as masks (seg, repeated, removed), as a whole (removed is null) and by removed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            repeated, gone = (b.column(c).to_numpy() for c in (1, 2))
+            for kind, mask in ((None, repeated), (True, gone), (False, repeated & ~gone)):
+                of, start, n = bit_runs(mask)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array([kind] * len(of), pa.bool_()), pa.array(start.astype(np.int32)), pa.array(n)], ["r_seg", "removed", "k", "n"])
+
+    return masks.select("seg", "repeated", "removed").mapInArrow(run, "r_seg long, removed boolean, k int, n long")
+
+
 def repeated_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
     """(doc_id, first_word, n_words, removed) of the maximal runs of words whose windows of `words` words all occur twice or more.
 
@@ -304,25 +355,28 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
     count from 0 over the whole text. Equal segments are one before their windows are compared, so rows and shuffles
     grow with the segments of the repeated text, not with its words or pairs.
     """
-    d = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
-    found = passage_segments(d, words)
+    d = located(docs)
+    out = passage_rows(d, stored(text_marks(d, False, words)), words)
     discard(d)
+    return out
+
+
+def passage_rows(docs: DataFrame, marks: DataFrame, words: int) -> DataFrame:
+    """Rows of repeated_passages, of stored docs (row, doc_id, text) and their stored text_marks."""
+    found = passage_segments(docs, marks, words)
     here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "row")
     parts = stored(found.groupBy("seg").agg(F.count("*").alias("times"), F.min(here).alias("rep"), F.first("windows", ignorenulls=True).alias("windows")))
     each = parts.select("seg", "times", "rep", F.posexplode("windows").alias("k", "window"))
     each = each.select("seg", "k", "window", "times", F.struct("rep.none", "rep.doc_id", (F.col("rep.at") + F.col("k")).alias("at"), "rep.row").alias("here"))
     sizes = stored(each.groupBy(F.col("window").alias("s_window")).agg(F.sum("times").alias("copies"), F.min("here").alias("first")).filter("copies > 1"))
-    marked = stored(each.join(sized_broadcast(sizes), F.col("window") == F.col("s_window")).select("seg", "k", (F.col("here") != F.col("first")).alias("removed")))
-
-    def islands(*by: str) -> DataFrame:
-        run = F.col("k") - F.row_number().over(Window.partitionBy("seg", *by).orderBy("k"))
-        out = marked.withColumn("run", run).groupBy("seg", *by, "run").agg(F.min("k").alias("k"), F.count("*").alias("n"))
-        return stored(out.select(F.col("seg").alias("r_seg"), *by, "k", "n"))
-
+    met = each.join(sized_broadcast(sizes), F.col("window") == F.col("s_window")).select("seg", F.expr("shiftleft(1L, k)").alias("bit"), (F.col("here") != F.col("first")).alias("removed"))
+    masks = met.groupBy("seg").agg(F.bit_or("bit").alias("repeated"), F.bit_or(F.when(F.col("removed"), F.col("bit")).otherwise(0)).alias("removed"))
+    islands = stored(mask_runs(masks))
+    any_run, own_runs = islands.filter("removed IS NULL").drop("removed"), islands.filter("removed IS NOT NULL")
     reps = parts.select("seg", F.col("rep.row").alias("row"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.at").alias("at"))
-    others = found.select("seg", "row", "doc_id", "at").join(sized_broadcast(islands(), LOCAL_ROWS), F.col("seg") == F.col("r_seg"))
+    others = found.select("seg", "row", "doc_id", "at").join(sized_broadcast(any_run, LOCAL_ROWS), F.col("seg") == F.col("r_seg"))
     others = others.join(sized_broadcast(stored(reps.select(F.col("row").alias("f_row"), F.col("at").alias("f_at"))), LOCAL_ROWS), (F.col("row") == F.col("f_row")) & (F.col("at") == F.col("f_at")), "left_anti")
-    firsts = reps.join(sized_broadcast(islands("removed"), LOCAL_ROWS), F.col("seg") == F.col("r_seg"))
+    firsts = reps.join(sized_broadcast(own_runs, LOCAL_ROWS), F.col("seg") == F.col("r_seg"))
     start = (F.col("at") + F.col("k")).alias("start")
     runs = others.select("row", "doc_id", F.lit(True).alias("removed"), start, "n").unionByName(firsts.select("row", "doc_id", "removed", start, "n"))
     order = Window.partitionBy("row", "removed").orderBy("start")
@@ -334,10 +388,12 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
 
 def repeats(docs: DataFrame, percent: int = PERCENT, words: int = PASSAGE) -> DataFrame:
     """Rows of repeated_paragraphs and of repeated_passages; for these, unit is passage and paragraph the place of the first word."""
-    inner = repeated_passages(docs, words)
+    d = located(docs)
+    marks = stored(text_marks(d, passage=words))
+    inner = passage_rows(d, marks, words)
     none = F.lit(None).cast("long")
     inner = inner.select("doc_id", F.lit("passage").alias("unit"), F.col("first_word").alias("paragraph"), "n_words", none.alias("first_doc_id"), none.alias("first_paragraph"), none.alias("copies"), "removed")
-    return repeated_paragraphs(docs, percent).unionByName(inner)
+    return paragraph_rows(d, marks, percent).unionByName(inner)
 
 
 SQL = r"""

@@ -43,17 +43,17 @@ LOCAL_BYTES = 4_000_000
 _PAIR = "a long, b long"
 
 
-def sketch(items: np.ndarray) -> bytes:
-    """Parity of the set's items over about one bit an item: two sketches differ in no more bits than the sets differ in items."""
-    bits = min(MOST_BITS, max(64, 1 << (len(items) - 1).bit_length()))
+def sketch(items: np.ndarray, spread: int = 1) -> bytes:
+    """Parity of the set's items over about `spread` bits an item, a power of 2: two sketches differ in no more bits than the sets differ in items."""
+    bits = min(MOST_BITS, max(64, spread << (len(items) - 1).bit_length()))
     parity = (np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity, bitorder="little").tobytes()
 
 
-def sketches(items: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+def sketches(items: np.ndarray, sizes: np.ndarray, spread: int = 1) -> list[bytes]:
     """Sketches of many sets at once: items of all, of which `sizes` belong to each."""
     out: list[bytes] = [b""] * len(sizes)
-    bits = np.array([min(MOST_BITS, max(64, 1 << (n - 1).bit_length())) for n in sizes.tolist()])
+    bits = np.array([min(MOST_BITS, max(64, spread << (n - 1).bit_length())) for n in sizes.tolist()])
     first = np.cumsum(sizes) - sizes
     for w in np.unique(bits).tolist():
         rows = np.flatnonzero(bits == w)

@@ -286,3 +286,38 @@ def test_connected_components(spark, seed):
     expected = smallest_reachable(ids, lambda a, b: (a, b) in edges or (b, a) in edges)
     out = common.connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["component"] for r in out.collect()} == expected
+
+
+def test_near_copies_that_just_fail_are_rarely_candidates():
+    """A family of near copies below the limit: one bit an item lets most of its pairs through, four few; pairs that link all pass."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 147, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([np.delete(base, rng.choice(147, 19, replace=False)), rng.integers(0, 1 << 63, 19, dtype=np.uint64)])) for _ in range(60)]
+    near = [np.sort(np.concatenate([base[i:], rng.integers(0, 1 << 63, i, dtype=np.uint64)])) for i in (3, 6, 9, 12)]
+
+    def passed(spread):
+        sizes = np.array([len(x) for x in sets + near])
+        groups = [(i, None, 147, 0, [i], [i], [x]) for i, x in enumerate(set_links.sketches(np.concatenate(sets + near), sizes, spread))]
+        return set(set_links.candidates(groups, 80, False, False))
+
+    def links(a, b):
+        both = len(np.intersect1d(a, b))
+        return 100 * both >= 80 * (len(a) + len(b) - both)
+
+    every = sets + near
+    true = {(i, j) for i in range(len(every)) for j in range(i + 1, len(every)) if links(every[i], every[j])}
+    assert len(true) > 5 and true <= passed(paragraph_dedup.SPREAD) and true <= passed(1)
+    assert len(passed(paragraph_dedup.SPREAD) - true) * 4 < len(passed(1) - true)
+
+
+def test_runs_of_bits():
+    masks = np.array([-1, 0, 1, -(1 << 63), 0b1101100, (1 << 63) - 1], np.int64)
+    assert [x.tolist() for x in paragraph_dedup.bit_runs(masks)] == [[0, 2, 3, 4, 4, 5], [0, 0, 63, 2, 5, 0], [64, 1, 1, 2, 2, 63]]
+
+
+def test_only_units_that_share_a_band_key_get_sets(spark, monkeypatch):
+    docs = [(i, "\n".join(" ".join(f"{c}{i}{k}{j}" for j in range(9)) for k, c in enumerate("abcd")) + "\n" + " ".join(f"z{j}" for j in range(40)) + f" z{i}") for i in range(8)]
+    seen = []
+    monkeypatch.setattr(paragraph_dedup, "link_components", lambda met, sets, *a, **k: seen.append(sets.count()) or set_links.link_components(met, sets, *a, **k))
+    out = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert out.filter("unit = 'line' AND copies = 8").count() == 8 and 8 <= seen[0] < 20  # of 48 units
