@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, mixed, numbered, shingles, sized_broadcast, small_batches, stored, utf8, word_hashes
+from .common import discard, mixed, numbered, release, shingles, sized_broadcast, small_batches, stored, utf8, word_hashes
 from .decontaminate import windows
 from .set_links import LOCAL_ROWS, link_components, sketches
 
@@ -205,19 +205,23 @@ def unit_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return out
 
 
-def clusters(docs: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component): pid and cluster of the different units of stored docs, which are deleted, and their text_marks that link to another one."""
+def meeting_sets(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored (h, gid, n, place) of the units that share a band key h, and their unit_sets; from stored docs and their text_marks."""
     rows = marks.select(F.explode("keys").alias("h"), F.col("id").alias("gid"))
     shared = stored(rows.groupBy("h").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low < high").select(F.col("h").alias("s_h")))
+    release(docs.sparkSession)
     alive = stored(rows.join(sized_broadcast(shared), F.col("h") == F.col("s_h"), "left_semi").distinct())
     meeting = stored(alive.select(F.col("gid").alias("m_gid")).distinct())
-    discard(shared)
     rep = F.min(F.struct("row", "unit", "at")).alias("rep")
     reps = marks.filter(F.col("unit") < ANCHORS).join(sized_broadcast(meeting), F.col("id") == F.col("m_gid")).groupBy(F.col("id").alias("pid")).agg(rep)
     sets = unit_sets(docs, reps.select("rep.row", "rep.unit", "rep.at", "pid"))
-    sized = sets.select("sid", "n")
-    met = stored(alive.join(sized_broadcast(sized, LOCAL_ROWS), F.col("gid") == F.col("sid")).select("h", "gid", "n", F.lit(0).alias("place")))
-    discard(docs, alive, meeting)
+    met = stored(alive.join(sized_broadcast(sets.select("sid", "n"), LOCAL_ROWS), F.col("gid") == F.col("sid")).select("h", "gid", "n", F.lit(0).alias("place")))
+    discard(shared, alive, meeting)
+    return met, sets
+
+
+def clusters(met: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component): pid and cluster of the units of meeting_sets that link to another one; both tables are deleted."""
 
     def fetch(ids: DataFrame) -> DataFrame:
         return sets.join(sized_broadcast(ids, LOCAL_ROWS), F.col("sid") == F.col("id"), "left_semi").select(F.col("sid").alias("id"), "items")
@@ -227,11 +231,15 @@ def clusters(docs: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataF
     return out
 
 
-def paragraph_rows(docs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Rows of repeated_paragraphs, of stored docs (row, doc_id, text), which are deleted, and their stored text_marks."""
-    found = clusters(docs, marks, percent)
-    rows = marks.filter(F.col("unit") < ANCHORS).join(sized_broadcast(found), F.col("id") == F.col("node"), "left")
-    rows = rows.select("doc_id", "unit", "at", "n_words", F.coalesce("component", "id").alias("cluster"))
+def unit_table(marks: DataFrame) -> DataFrame:
+    """A stored table (doc_id, unit, at, n_words, pid) of the units of text_marks."""
+    return stored(marks.filter(F.col("unit") < ANCHORS).select("doc_id", "unit", "at", "n_words", F.col("id").alias("pid")))
+
+
+def paragraph_rows(table: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of repeated_paragraphs, of the unit_table and its clusters."""
+    rows = table.join(sized_broadcast(found), F.col("pid") == F.col("node"), "left")
+    rows = rows.select("doc_id", "unit", "at", "n_words", F.coalesce("component", "pid").alias("cluster"))
     here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
     sizes = stored(rows.groupBy("cluster").agg(F.count("*").alias("copies"), F.min(here).alias("first")).filter("copies > 1").withColumnRenamed("cluster", "s_cluster"))
     out = rows.join(sized_broadcast(sizes), F.col("cluster") == F.col("s_cluster"))
@@ -252,7 +260,11 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     paragraph counts the lines of the text from 0; copies is the number of units in the cluster.
     """
     d = located(docs)
-    return paragraph_rows(d, stored(text_marks(d)), percent)
+    marks = stored(text_marks(d))
+    met, sets = meeting_sets(d, marks)
+    table = unit_table(marks)
+    discard(d, marks)
+    return paragraph_rows(table, clusters(met, sets, percent))
 
 
 def passage_words(text: bytes, lines: np.ndarray) -> np.ndarray:
@@ -356,22 +368,26 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
     grow with the segments of the repeated text, not with its words or pairs.
     """
     d = located(docs)
-    out = passage_rows(d, stored(text_marks(d, False, words)), words)
-    discard(d)
-    return out
+    marks = stored(text_marks(d, False, words))
+    found = passage_segments(d, marks, words)
+    discard(d, marks)
+    return passage_rows(found, words)
 
 
-def passage_rows(docs: DataFrame, marks: DataFrame, words: int) -> DataFrame:
-    """Rows of repeated_passages, of stored docs (row, doc_id, text) and their stored text_marks."""
-    found = passage_segments(docs, marks, words)
+def passage_rows(found: DataFrame, words: int) -> DataFrame:
+    """Rows of repeated_passages, of its stored passage_segments."""
     here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "row")
     parts = stored(found.groupBy("seg").agg(F.count("*").alias("times"), F.min(here).alias("rep"), F.first("windows", ignorenulls=True).alias("windows")))
+    release(found.sparkSession)
     each = parts.select("seg", "times", "rep", F.posexplode("windows").alias("k", "window"))
     each = each.select("seg", "k", "window", "times", F.struct("rep.none", "rep.doc_id", (F.col("rep.at") + F.col("k")).alias("at"), "rep.row").alias("here"))
     sizes = stored(each.groupBy(F.col("window").alias("s_window")).agg(F.sum("times").alias("copies"), F.min("here").alias("first")).filter("copies > 1"))
+    release(found.sparkSession)
     met = each.join(sized_broadcast(sizes), F.col("window") == F.col("s_window")).select("seg", F.expr("shiftleft(1L, k)").alias("bit"), (F.col("here") != F.col("first")).alias("removed"))
     masks = met.groupBy("seg").agg(F.bit_or("bit").alias("repeated"), F.bit_or(F.when(F.col("removed"), F.col("bit")).otherwise(0)).alias("removed"))
     islands = stored(mask_runs(masks))
+    discard(sizes)
+    release(found.sparkSession)
     any_run, own_runs = islands.filter("removed IS NULL").drop("removed"), islands.filter("removed IS NOT NULL")
     reps = parts.select("seg", F.col("rep.row").alias("row"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.at").alias("at"))
     others = found.select("seg", "row", "doc_id", "at").join(sized_broadcast(any_run, LOCAL_ROWS), F.col("seg") == F.col("r_seg"))
@@ -390,10 +406,17 @@ def repeats(docs: DataFrame, percent: int = PERCENT, words: int = PASSAGE) -> Da
     """Rows of repeated_paragraphs and of repeated_passages; for these, unit is passage and paragraph the place of the first word."""
     d = located(docs)
     marks = stored(text_marks(d, passage=words))
-    inner = passage_rows(d, marks, words)
+    segs = passage_segments(d, marks, words)
+    met, sets = meeting_sets(d, marks)
+    table = unit_table(marks)
+    discard(d, marks)
+    release(docs.sparkSession)
+    found = clusters(met, sets, percent)
+    release(docs.sparkSession)
+    inner = passage_rows(segs, words)
     none = F.lit(None).cast("long")
     inner = inner.select("doc_id", F.lit("passage").alias("unit"), F.col("first_word").alias("paragraph"), "n_words", none.alias("first_doc_id"), none.alias("first_paragraph"), none.alias("copies"), "removed")
-    return paragraph_rows(d, marks, percent).unionByName(inner)
+    return paragraph_rows(table, found).unionByName(inner)
 
 
 SQL = r"""

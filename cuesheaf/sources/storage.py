@@ -34,3 +34,8 @@ def discard(*tables: DataFrame) -> None:
         if path := df.__dict__.pop("stored_at", None):
             place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's memory is collected."""
+    spark._jvm.System.gc()
