@@ -15,10 +15,14 @@ BUCKETS = 64
 
 
 class KeyedStore:
-    """One row a key in a folder that all executors share; `schema` is DDL with the column `key`, rows with a null key are not held."""
+    """One row a key in a folder that all executors share; `schema` is DDL with the column `key`, rows with a null key are not held.
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, key: str, buckets: int = BUCKETS):
+    With `within`, a further column, a key has one row for each of its values; lookups still go by the key alone.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str, buckets: int = BUCKETS, within: str | None = None):
         self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
+        self.ids = [key, within] if within else [key]
         self.name = f"store_{hashlib.md5(self.root.encode()).hexdigest()[:12]}"
 
     def _files(self, path: str):
@@ -37,20 +41,19 @@ class KeyedStore:
             return self.spark.createDataFrame([], self.schema)
         table = f"{self.name}_v{n}"
         if not self.spark.catalog.tableExists(table):
-            self.spark.sql(f"CREATE TABLE {table} ({self.schema}) USING parquet CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/v{n}'")
+            self.spark.sql(f"CREATE TABLE {table} ({self.schema}) USING parquet CLUSTERED BY ({self.key}) SORTED BY ({', '.join(self.ids)}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/v{n}'")
         return self.spark.table(table)
 
     def upsert(self, rows: DataFrame) -> None:
-        """Rows take the place of those of their key; of several of one key the greatest stays. Two snapshots are kept, so readers of the last one may finish."""
-        names = [c for c in self.spark.createDataFrame([], self.schema).columns if c != self.key]
-        new = rows.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.max(F.struct(*names)).alias("_row")).select(self.key, "_row.*")
+        """Rows take the place of those of their key (and `within`); of several of one the greatest stays. Two snapshots are kept, so readers of the last one may finish."""
+        columns = self.spark.createDataFrame([], self.schema).columns
+        new = rows.filter(F.col(self.key).isNotNull()).select(*columns, F.lit(True).alias("_new"))
         n = self.version()
-        old = self.current().join(new.select(self.key), self.key, "left_anti")
-        all_rows = old.unionByName(new).repartition(self.buckets, self.key)
+        both = self.current().withColumn("_new", F.lit(False)).unionByName(new).repartition(self.buckets, self.key)
+        all_rows = both.groupBy(*self.ids).agg(F.max(F.struct("_new", *(c for c in columns if c not in self.ids))).alias("_row")).select(*self.ids, "_row.*")
         table = f"{self.name}_v{n + 1}"
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        columns = self.spark.createDataFrame([], self.schema).columns
-        all_rows.select(*columns).write.mode("overwrite").option("path", f"{self.root}/v{n + 1}").bucketBy(self.buckets, self.key).sortBy(self.key).saveAsTable(table)
+        all_rows.select(*columns).write.mode("overwrite").option("path", f"{self.root}/v{n + 1}").bucketBy(self.buckets, self.key).sortBy(*self.ids).saveAsTable(table)
         system, place = self._files(f"pointers/{n + 1}")
         system.mkdirs(place.getParent())
         if not system.createNewFile(place):
@@ -63,8 +66,8 @@ class KeyedStore:
 
 
 def page_store(spark: SparkSession, root: str, buckets: int = BUCKETS) -> KeyedStore:
-    """Stored pages by the key of their address."""
-    return KeyedStore(spark, root, "key STRING, page_id BIGINT, html STRING", "key", buckets)
+    """Stored pages by the key of their address; pages that share an address all stay."""
+    return KeyedStore(spark, root, "key STRING, page_id BIGINT, html STRING", "key", buckets, within="page_id")
 
 
 def memory_store(spark: SparkSession, root: str, src: str, tgt: str, buckets: int = BUCKETS) -> KeyedStore:

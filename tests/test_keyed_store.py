@@ -72,3 +72,38 @@ def test_lookups_do_not_move_the_store(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+SHARED = [(0, "http://h/a", "old"), (1, "http://h/b", "b"), (2, "http://h/a", "new"), (3, "http://h/a", None)]
+
+
+@pytest.mark.parametrize("lasting", [True])
+def test_pages_of_one_address_are_all_found(spark, tmp_path, lasting):
+    kept = spark.createDataFrame(SHARED, "page_id long, url string, html string")
+
+    def look(asked):
+        if not lasting:
+            return pages.page_store_lookup(asked, kept.union(kept), "d")
+        store = page_store(spark, f"file://{tmp_path}/s", 4)
+        for part in (kept.filter("page_id = 2").withColumn("html", pages.F.lit("first")), kept, kept.filter("page_id < 2")):
+            store.upsert(pages.keyed_pages(part, "d"))
+        return pages.stored_page_lookup(asked, store.current(), "d")
+
+    asked = kept.select((kept.page_id * 10).alias("request"), "url", "page_id").union(kept.selectExpr("page_id * 10 + 1", "url || '&absent'", "page_id"))
+    found = look(asked.union(spark.createDataFrame([(100, "http://h/a", 1), (101, "http://h/a", None)], asked.schema)))
+    assert rows(found.select("request", "page_id", "html", "missing")) == rows(spark.createDataFrame(
+        [(p * 10, p, h, False) for p, _, h in SHARED] + [(p * 10 + 1, None, None, True) for p, _, _ in SHARED] + [(100, None, None, True), (101, 3, None, False)],
+        "request long, page_id long, html string, missing boolean"))
+    assert rows(look(kept.select("url").distinct()).select("url", "page_id")) == [("http://h/a", 3), ("http://h/b", 1)]
+
+
+@pytest.mark.parametrize("name", ["stored_page_lookup"])
+def test_lookup_queries_on_shared_addresses(spark, tmp_path, name):
+    import duckdb
+
+    from cuesheaf.plans import registry
+
+    spark.createDataFrame(SHARED, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert rows(registry.QUERIES[name](spark, str(tmp_path))) == sorted(con.execute(registry.ORACLES[name]).fetchall(), key=repr)
