@@ -5,6 +5,10 @@ The readers take (media_id, content); `whole_files` makes such rows of a folder.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from cuesheaf.functions.text import strip
 # The beginnings of header lines; where no line has a time, only the first six count.
 HEADERS = ("视频:", "模型:", "语言:", "音频预处理:", "转录时间:", "音频时长:", "原始片段数:", "过滤后片段数:", "去重后片段数:", "=")
 WEAK_MARK = "[弱]"
+MEMORY_ROW = "src string, tgt string, text string, translation string"
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -86,11 +91,32 @@ def write_transcript_json(cues: DataFrame) -> DataFrame:
 
 
 def read_translation_memory(files: DataFrame) -> DataFrame:
-    """(src, tgt, text, translation) of JSON maps (src, tgt, content) with keys `src_tgt_text`; an unreadable file is an empty memory."""
-    entries = F.from_json("content", "map<string,string>", {"mode": "PERMISSIVE"})
-    rows = files.select("src", "tgt", F.explode(entries).alias("key", "translation"))
-    prefix = F.concat("src", F.lit("_"), "tgt", F.lit("_"))
-    return rows.filter(F.startswith("key", prefix)).select("src", "tgt", F.expr("substring(key, length(src) + length(tgt) + 3)").alias("text"), "translation")
+    """(src, tgt, text, translation) of JSON maps (src, tgt, content) with keys `src_tgt_text`; an unreadable file is an empty memory.
+
+    Python parses the files: Spark's parser gives up a file with a key of over 50,000 characters.
+    """
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield memory_rows(*(b.column(name)[k].as_py() for name in ("src", "tgt", "content")))
+
+    return files.select("src", "tgt", "content").mapInArrow(parsed, MEMORY_ROW)
+
+
+def memory_rows(src: str | None, tgt: str | None, content: str | None) -> pa.RecordBatch:
+    """The entries of one file of a memory; a value that is no text is given as JSON."""
+    try:
+        entries = json.loads(content or "")
+    except (ValueError, RecursionError):
+        entries = None
+    start = f"{src}_{tgt}_"
+    known = isinstance(entries, dict) and src is not None and tgt is not None
+    rows = [(k[len(start) :], v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))) for k, v in entries.items() if k.startswith(start)] if known else []
+    if "\\u" in (content or ""):  # half of a pair alone is no character
+        rows = [tuple(x and x.encode("utf-8", "replace").decode() for x in r) for r in rows]
+    columns = [[src] * len(rows), [tgt] * len(rows), [t for t, _ in rows], [v for _, v in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["src", "tgt", "text", "translation"])
 
 
 def write_files(contents: DataFrame, path: str) -> None:

@@ -291,3 +291,15 @@ def test_image_bytes_equal_pixel_rows(spark):
     by_row = images.near_white_share(spark.createDataFrame(pixels, "image_id long, x int, y int, r int, g int, b int"), (F.col("x") >= 1) & (F.col("y") < 4), least=3)
     by_bytes = images.near_white_of_images(df, (F.lit(1), F.lit(0), F.col("width"), F.lit(4)), least=3)
     assert sorted(map(tuple, by_bytes.collect())) == sorted(map(tuple, by_row.collect()))
+
+
+def test_memory_files_with_long_keys_and_odd_values(spark):
+    import json
+
+    long = "é漢x " * 20_000
+    entries = {"en_xx_hi": "ih", f"en_xx_{long}": long[::-1], "en_xx_": "", "en_xx_n": None, "en_xx_o": {"a": [1, True]}, "en_xx_q\"\n": "\U0001f600", "de_xx_a": "b", "en_xx": "c"}
+    files = [("en", "xx", json.dumps(entries, ensure_ascii=ascii)) for ascii in (True, False)]
+    files += [("de", "xx", json.dumps(entries)), ("en", "xx", "[1]"), ("en", "xx", ""), ("en", "xx", None), (None, "xx", '{"None_xx_a":"b"}'), ("en", "xx", "[" * 100_000), ("en", "xx", '{"en_xx_half":"\\ud800"}')]
+    out = [tuple(r) for r in transcripts.read_translation_memory(spark.createDataFrame(files, "src string, tgt string, content string")).collect()]
+    good = [("en", "xx", "hi", "ih"), ("en", "xx", long, long[::-1]), ("en", "xx", "", ""), ("en", "xx", "n", None), ("en", "xx", "o", '{"a":[1,true]}'), ("en", "xx", 'q"\n', "\U0001f600")]
+    assert sorted(out, key=repr) == sorted([*good, *good, ("de", "xx", "a", "b"), ("en", "xx", "half", "?")], key=repr)
