@@ -8,13 +8,19 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 _MARKS = "、。,!?"
 _DROP = re.compile(f"[{_MARKS}]")
+_MARK_CODES = np.array([ord(c) for c in _MARKS], np.uint32)
+#: Bytes of texts whose characters are counted at once, and cells of a table of counts.
+PART_BYTES, TABLE_CELLS = 1 << 20, 1 << 20
 #: How a pair was decided: by equal texts, by the lengths, by the characters of both, or by the full comparison.
 WAYS = ("equal", "length", "characters", "full")
 
@@ -70,15 +76,57 @@ def is_similar(a, b, threshold: float = 0.7):
 
 
 def similarity_bounds(a: Column, b: Column) -> tuple[Column, Column]:
-    """Both upper bounds of the similarity as expressions, by the lengths and by the shared characters; 1 for two texts without characters."""
-    x, y = (F.translate(c, _MARKS, "") for c in (a, b))
-    both = F.length(x) + F.length(y)
+    """Both upper bounds of the similarity as columns, by the lengths and by the shared characters; 1 for two texts without characters."""
 
-    def times(text: Column, c: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    @F.arrow_udf("struct<x: bigint, y: bigint, shared: bigint>")
+    def counted(p: pa.Array, q: pa.Array) -> pa.Array:
+        out = [shared_characters(*part) for part in _parts(p, q)] or [np.zeros((3, 0), np.int64)]
+        empty = pc.or_(p.is_null(), q.is_null()).to_numpy(zero_copy_only=False)
+        return pa.StructArray.from_arrays([pa.array(c, mask=empty) for c in np.concatenate(out, axis=1)], ["x", "y", "shared"])
 
-    shared = F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(x, c), times(y, c))))
-    return tuple(F.when(both == 0, F.lit(1.0)).otherwise(2.0 * n / both) for n in (F.least(F.length(x), F.length(y)), shared))
+    n = counted(a, b)
+    both = n["x"] + n["y"]
+    return tuple(F.when(both == 0, F.lit(1.0)).otherwise(2.0 * k / both) for k in (F.least(n["x"], n["y"]), n["shared"]))
+
+
+def _parts(p: pa.Array, q: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Pairs of texts in parts of about PART_BYTES; one long pair may exceed it."""
+    ends = np.cumsum([np.asarray(pc.fill_null(pc.binary_length(c), 0), np.int64) for c in (p, q)], axis=1).sum(axis=0)
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + PART_BYTES, "right")))
+        yield p.slice(start, end - start), q.slice(start, end - start)
+        start = end
+
+
+def shared_characters(p: pa.Array, q: pa.Array) -> np.ndarray:
+    """Per pair of texts without punctuation: the characters of each, and those that both share, each as often as in the text that has fewer of it.
+
+    Counts are a table of pairs by characters, made for so many pairs at once that it has about TABLE_CELLS.
+    """
+    sides = []
+    for texts in (p, q):
+        texts = pc.fill_null(texts, "")
+        codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+        row = np.repeat(np.arange(len(texts)), np.asarray(pc.utf8_length(texts)))
+        keep = ~np.isin(codes, _MARK_CODES)
+        sides.append((codes[keep], row[keep]))
+    met = np.zeros(0x110000, bool)
+    for codes, _ in sides:
+        met[codes] = True
+    rank = np.cumsum(met) - 1
+    width = max(1, int(rank[-1]) + 1)
+    sizes = [np.bincount(row, minlength=len(p)) for _, row in sides]
+    shared, step = [], max(1, TABLE_CELLS // width)
+    for k in range(0, len(p), step):
+        n = min(step, len(p) - k)
+        tables = []
+        for codes, row in sides:
+            i, j = np.searchsorted(row, (k, k + n))
+            tables.append(np.bincount((row[i:j] - k) * width + rank[codes[i:j]], minlength=n * width).reshape(n, width))
+        shared.append(np.minimum(*tables).sum(axis=1))
+    return np.stack([*sizes, np.concatenate(shared)])
 
 
 def _folded(rows: DataFrame, key: list[str], joins) -> DataFrame:

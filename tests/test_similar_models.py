@@ -121,3 +121,36 @@ def test_merged_chunked_transcript(spark, seed):
     for r in sorted(chunks_by_loop(segments_by_loop(rows)), key=lambda r: (r[3], r[2])):
         expected.setdefault(r[0], []).append(r[5])
     assert {r["media_id"]: r["text"] for r in reports.transcript_text(merged).collect()} == {m: " ".join(t).strip() for m, t in expected.items()}
+
+
+def test_shared_characters_against_a_plain_count(spark, monkeypatch):
+    from collections import Counter
+
+    rng = np.random.default_rng(6)
+    pairs = [(random_text(rng), random_text(rng)) for _ in range(200)] + [("", ""), ("、。", "a"), ("a\U0001f600a\U0001f600", "\U0001f600a\U0001f600,"), ("".join(map(chr, range(40, 4000))), "x" * 9000 + "".join(map(chr, range(3000, 5000))))]
+    marks = str.maketrans("", "", "、。,!?")
+    expected = []
+    for a, b in pairs:
+        x, y = a.translate(marks), b.translate(marks)
+        expected.append([len(x), len(y), sum((Counter(x) & Counter(y)).values())])
+    p, q = (similar.pa.array(c) for c in zip(*pairs, strict=True))
+    for cells in (1, 4000, similar.TABLE_CELLS):
+        monkeypatch.setattr(similar, "TABLE_CELLS", cells)
+        assert similar.shared_characters(p, q).T.tolist() == expected
+    monkeypatch.setattr(similar, "PART_BYTES", 100)
+    parts = list(similar._parts(p, q))
+    assert len(parts) > 50 and [r for a, b in parts for r in similar.shared_characters(a, b).T.tolist()] == expected
+    bounds = similar.similarity_bounds(F.col("a"), F.col("b"))
+    rows = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string").coalesce(1).select(*bounds).collect()
+    both = [x + y for x, y, _ in expected]
+    assert [tuple(r) for r in rows[:-2]] == [(2.0 * min(x, y) / n, 2.0 * s / n) if n else (1.0, 1.0) for n, (x, y, s) in zip(both, expected, strict=True)]
+    assert [tuple(r) for r in rows[-2:]] == [(None, None)] * 2
+
+
+def test_bounds_of_long_texts_take_time_by_their_length():
+    import time
+
+    text = "".join(map(chr, range(0x4E00, 0x9E00)))  # 20,480 different characters, of which each took a pass over both texts
+    began = time.process_time()
+    assert similar.shared_characters(*(similar.pa.array([t * 10] * 3) for t in (text, text[::-1]))).tolist() == [[len(text) * 10] * 3] * 3
+    assert time.process_time() - began < 20
