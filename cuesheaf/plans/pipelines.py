@@ -20,7 +20,7 @@ def clean_transcript(cues: DataFrame, above: int = ranges.RANGE_ROWS) -> DataFra
 
 def bilingual_blocks(blocks: DataFrame, memory: DataFrame, lexicon: DataFrame, src: str = "en", tgt: str = "xx") -> DataFrame:
     """Blocks (media_id, at, timestamp, text) with status and the text in both languages; blocks that have both stay as they are."""
-    t = translate.translate_from_memory(blocks.withColumn("seq", F.col("at")), memory, lexicon, src, tgt)
+    t = translate.translate_media(blocks, memory, lexicon, src, tgt)
     text = F.when(F.col("status") == "bilingual", F.col("text")).otherwise(T.format_bilingual(F.col("clean"), F.col("translation")))
     return t.select("media_id", "at", "timestamp", "status", text.alias("text"))
 

@@ -62,15 +62,18 @@ def read_srt(files: DataFrame) -> DataFrame:
 
 def _joined(rows: DataFrame, text: Column, between: str) -> DataFrame:
     """One text a media, of the rows in the order of `at`."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"])
+    parts = F.transform(_in_order(text.alias("t")), lambda x: x["t"])
     return rows.groupBy("media_id").agg(F.array_join(parts, between).alias("content"))
 
 
+def _in_order(*columns: Column | str) -> Column:
+    return F.array_sort(F.collect_list(F.struct("at", *columns)))
+
+
 def write_srt(blocks: DataFrame) -> DataFrame:
     """(media_id, content) of blocks (media_id, at, timestamp, text), numbered anew from 1."""
-    number = F.row_number().over(Window.partitionBy("media_id").orderBy("at"))
-    rows = blocks.withColumn("_n", number.cast("string"))
-    return _joined(rows, F.concat_ws("\n", "_n", "timestamp", "text", F.lit("")), "\n")
+    parts = F.transform(_in_order("timestamp", "text"), lambda x, i: F.concat_ws("\n", (i + 1).cast("string"), x["timestamp"], x["text"], F.lit("")))
+    return blocks.groupBy("media_id").agg(F.array_join(parts, "\n").alias("content"))
 
 
 def write_transcript_txt(cues: DataFrame, counts: DataFrame) -> DataFrame:

@@ -303,3 +303,45 @@ def test_memory_files_with_long_keys_and_odd_values(spark):
     out = [tuple(r) for r in transcripts.read_translation_memory(spark.createDataFrame(files, "src string, tgt string, content string")).collect()]
     good = [("en", "xx", "hi", "ih"), ("en", "xx", long, long[::-1]), ("en", "xx", "", ""), ("en", "xx", "n", None), ("en", "xx", "o", '{"a":[1,true]}'), ("en", "xx", 'q"\n', "\U0001f600")]
     assert sorted(out, key=repr) == sorted([*good, *good, ("de", "xx", "a", "b"), ("en", "xx", "half", "?")], key=repr)
+
+
+def _blocks_and_tables(spark):
+    texts = ["<font>a\\nb</font>", "<i>hi</i>", "good　dog! 。。good", "none", "<b></b>", "twice", "hi", "x good、 dog。", "odd word"]
+    blocks = spark.createDataFrame([(m, k * 2 - m, f"t{k}", t) for m in (1, 2) for k, t in enumerate(texts)] + [(3, 0, "t", None)], "media_id long, at long, timestamp string, text string")
+    memory = spark.createDataFrame([("en", "xx", "hi", "ih"), ("en", "xx", "twice", "b"), ("en", "xx", "twice", "c"), ("en", "yy", "none", "no"), ("en", "xx", "word", None)], "src string, tgt string, text string, translation string")
+    lexicon = spark.createDataFrame([("good", "GUT"), ("dog", "HUND"), ("odd", None), (None, "x"), ("good", "BON")], "word string, gloss string")
+    return blocks, memory, lexicon
+
+
+@pytest.mark.parametrize("rows", [100_000, 2])
+def test_media_are_translated_like_cues(spark, monkeypatch, rows):
+    """Lexicons that go to all tasks and larger ones; a text that the memory has twice stays one block."""
+    from cuesheaf.plans import pipelines
+
+    monkeypatch.setattr(translate, "LEXICON_ROWS", rows)
+    blocks, memory, lexicon = _blocks_and_tables(spark)
+    single = memory.filter("coalesce(translation, '') <> 'b'")
+    wanted = [("bilingual", None), ("memory", "ih"), ("lexicon", "BON GUT dog! BON GUT"), ("failed", None), ("failed", None), ("memory", "c"), ("memory", "ih"), ("lexicon", "x BON GUT HUND"), ("failed", None)]
+    plain = translate.translate_from_memory(blocks.withColumn("seq", F.col("at")), single, lexicon, "en", "xx")
+    for df in (plain, translate.translate_media(blocks, memory, lexicon, "en", "xx")):
+        out = [tuple(r) for r in df.orderBy("media_id", "at").select("media_id", "at", "timestamp", "status", "translation").collect()]
+        assert out == [(m, k * 2 - m, f"t{k}", *w) for m in (1, 2) for k, w in enumerate(wanted)] + [(3, 0, "t", "failed", None)]
+    written = transcripts.write_srt(pipelines.bilingual_blocks(blocks, memory, lexicon)).orderBy("media_id").collect()
+    assert [[b.split("\n")[:2] for b in r["content"].split("\n\n")] for r in written] == [[[str(k + 1), f"t{k}"] for k in range(len(wanted))]] * 2 + [[["1", "t"]]]
+
+
+@pytest.mark.parametrize("name", ["bilingual_subtitles"])
+def test_subtitle_jobs_move_texts_five_times_at_most(spark, name):
+    """Cues by media (for the blocks, and for what asks the memory, which adaptive execution makes one), the memory's texts, the asked texts and the answers."""
+    from cuesheaf.plans import registry
+
+    from .conftest import SMALL
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count(" Exchange hashpartitioning") == 5
