@@ -330,7 +330,7 @@ def test_media_are_translated_like_cues(spark, monkeypatch, rows):
     assert [[b.split("\n")[:2] for b in r["content"].split("\n\n")] for r in written] == [[[str(k + 1), f"t{k}"] for k in range(len(wanted))]] * 2 + [[["1", "t"]]]
 
 
-@pytest.mark.parametrize("name", ["bilingual_subtitles"])
+@pytest.mark.parametrize("name", ["bilingual_subtitles", "transcript_to_subtitles"])
 def test_subtitle_jobs_move_texts_five_times_at_most(spark, name):
     """Cues by media (for the blocks, and for what asks the memory, which adaptive execution makes one), the memory's texts, the asked texts and the answers."""
     from cuesheaf.plans import registry
