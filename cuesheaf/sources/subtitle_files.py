@@ -4,18 +4,26 @@ A folder holds one file a media, named by its percent-encoded media_id. Option `
 their bytes and parses a file as a stream of lines. Writing streams the rows of a media, in order, into one file below a staging
 folder; only the commit moves the files of successful tasks to their place, and an abort deletes the staging folder. Paths may be of any
 file system that Arrow opens by its address, or plain paths.
+
+The driver reads folders as streams and keeps a packed name of each file to read and a key of 16 bytes of each file written. Arrow lists a folder
+that is not local at once, with some 400 bytes a file.
 """
 
 from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import uuid
+import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from hashlib import blake2b
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +44,7 @@ WRITE = {
 #: Columns that put the rows of a media in order.
 ORDER = {"srt": ("at",), "txt": ("start_ms", "seq"), "json": ("start_ms", "seq")}
 PARTITION_BYTES, ROWS_AT_ONCE = 32 * 1024 * 1024, 5000
+_APART = "the rows of a media are in several tasks or out of order: write with write_subtitles"
 _TIMED = re.compile(r"\[([^\]]*?) - ([^\]]*)\](.*)\Z", re.S)
 
 
@@ -44,6 +53,18 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def listed(system: fs.FileSystem, folder: str, kind: str) -> Iterator[tuple[str, int]]:
+    """Name and size of each file of a kind in a folder, in any order; a missing folder has none."""
+    if isinstance(system, fs.LocalFileSystem):
+        if os.path.isdir(folder):
+            with os.scandir(folder) as found:
+                yield from ((f.name, f.stat().st_size) for f in found if f.name.endswith(f".{kind}") and f.is_file())
+        return
+    for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if f.type == fs.FileType.File and f.path.endswith(f".{kind}"):
+            yield f.path.rsplit("/", 1)[1], f.size
+
+
 def clock(ms: int) -> str:
     s = ms // 1000
     return f"{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
@@ -109,13 +130,14 @@ def json_rows(lines: Callable[[], Iterable[str]]) -> Iterator[tuple]:
 ROWS = {"srt": srt_rows, "txt": txt_rows, "json": json_rows}
 
 
-@dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Names of files, packed."""
+
+    def __init__(self, names: list[str]):
+        super().__init__(zlib.compress("/".join(names).encode("utf-8", "surrogateescape")))
 
-    def __init__(self, paths: list[str]):
-        super().__init__(paths)
-        self.paths = paths
+    def names(self) -> list[str]:
+        return [x for x in zlib.decompress(self.value).decode("utf-8", "surrogateescape").split("/") if x]
 
 
 class SubtitleReader(DataSourceReader):
@@ -123,26 +145,23 @@ class SubtitleReader(DataSourceReader):
         self.path, self.kind, self.partition_bytes, self.schema = path, kind, partition_bytes, schema
 
     def partitions(self) -> list[Files]:
-        system, root = opened(self.path)
-        found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        out, size = [], 0
-        for f in sorted(found, key=lambda f: f.path):
-            if f.type != fs.FileType.File or not f.path.endswith(f".{self.kind}"):
-                continue
-            if not out or size + f.size > self.partition_bytes:
-                out, size = [*out, Files([])], 0
-            out[-1].paths.append(f.path)
-            size += f.size
-        return out or [Files([])]
+        out, names, size = [], [], 0
+        for name, n in listed(*opened(self.path), self.kind):
+            if names and size + n > self.partition_bytes:
+                out.append(Files(names))
+                names, size = [], 0
+            names.append(name)
+            size += n
+        return [*out, Files(names)] if names else [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        system, _ = opened(self.path)
+        system, root = opened(self.path)
         rows: list[tuple] = []
-        for path in partition.paths:
-            media = unquote(path.rsplit("/", 1)[1][: -len(self.kind) - 1])
+        for name in partition.names():
+            media = unquote(name[: -len(self.kind) - 1])
 
-            def lines(path: str = path) -> Iterator[str]:
-                with io.TextIOWrapper(system.open_input_stream(path), "utf-8", newline="\n") as f:
+            def lines(name: str = name) -> Iterator[str]:
+                with io.TextIOWrapper(system.open_input_stream(f"{root}/{name}"), "utf-8", newline="\n") as f:
                     for line in f:
                         yield line.removesuffix("\n")
 
@@ -189,9 +208,33 @@ class _Sink:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Staged files and the names they get."""
+    """The staging folder of a task; its files have their last names."""
+
+    folder: str
+
+
+class Keys:
+    """Names as keys of 128 bits."""
+
+    def __init__(self, names: Iterable[str]):
+        keys = array("Q")
+        for name in names:
+            keys.frombytes(self._key(name))
+        k = np.frombuffer(keys, np.uint64).reshape(-1, 2)
+        k = k[np.lexsort((k[:, 1], k[:, 0]))]
+        self.high, self.low = np.ascontiguousarray(k[:, 0]), np.ascontiguousarray(k[:, 1])
+
+    @staticmethod
+    def _key(name: str) -> bytes:
+        return blake2b(name.encode("utf-8", "surrogateescape"), digest_size=16).digest()
+
+    def repeated(self) -> bool:
+        return bool(((self.high[1:] == self.high[:-1]) & (self.low[1:] == self.low[:-1])).any())
 
-    files: list[tuple[str, str]] = field(default_factory=list)
+    def __contains__(self, name: str) -> bool:
+        high, low = np.frombuffer(self._key(name), np.uint64)
+        i, j = np.searchsorted(self.high, high), np.searchsorted(self.high, high, "right")
+        return bool((self.low[i:j] == low).any())
 
 
 class SubtitleWriter(DataSourceArrowWriter):
@@ -203,7 +246,7 @@ class SubtitleWriter(DataSourceArrowWriter):
         system, root = opened(self.path)
         folder = f"{root}/{self.staging}/{uuid.uuid4().hex}"  # one of this try alone
         system.create_dir(folder)
-        out, sink, now = Written(), None, object()
+        sink, now, names = None, object(), set()
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
@@ -212,29 +255,32 @@ class SubtitleWriter(DataSourceArrowWriter):
                             sink.close()
                         now = row["media_id"]
                         name = f"{quote(str(now), safe='')}.{self.kind}"
-                        out.files.append((f"{folder}/{name}", name))
-                        sink = _Sink(system, out.files[-1][0], self.kind)
+                        if name in names:
+                            raise ValueError(_APART)
+                        names.add(name)
+                        sink = _Sink(system, f"{folder}/{name}", self.kind)
                     sink.add(row)
             if sink:
                 sink.close()
         except BaseException:
             system.delete_dir(folder)
             raise
-        return out
+        return Written(folder)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = opened(self.path)
-        files = [f for m in messages if m for f in m.files]
-        names = {name for _, name in files}
-        if len(names) < len(files):
+        folders = [m.folder for m in messages if m]
+        keys = Keys(name for folder in folders for name, _ in listed(system, folder, self.kind))
+        if keys.repeated():
             self.abort(messages)
-            raise ValueError("the rows of a media are in several tasks or out of order: write with write_subtitles")
+            raise ValueError(_APART)
         if self.overwrite:
-            for f in system.get_file_info(fs.FileSelector(root)):
-                if f.type == fs.FileType.File and f.path.endswith(f".{self.kind}") and f.path.rsplit("/", 1)[1] not in names:
-                    system.delete_file(f.path)
-        for staged, name in files:
-            system.move(staged, f"{root}/{name}")
+            for name, _ in listed(system, root, self.kind):
+                if name not in keys:
+                    system.delete_file(f"{root}/{name}")
+        for folder in folders:
+            for name, _ in list(listed(system, folder, self.kind)):  # of one task
+                system.move(f"{folder}/{name}", f"{root}/{name}")
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -89,3 +89,41 @@ def test_no_files_give_no_rows(spark, tmp_path):
     assert S.read_subtitles(spark, str(tmp_path / "none"), "srt").count() == 0
     (tmp_path / "broken.json").write_text("{")
     assert S.read_subtitles(spark, str(tmp_path), "json").count() == 0
+
+
+def test_the_driver_keeps_little_of_a_file(tmp_path):
+    """Messages, partitions and the commit's keys do not hold the paths of all files."""
+    import pickle
+
+    import pyarrow as pa
+
+    n, tasks = 6000, 3
+    schema = pa.schema([("media_id", pa.int64()), ("timestamp", pa.string()), ("text", pa.string())])
+    (tmp_path / "old.srt").write_text("old")
+    (tmp_path / "0.srt").write_text("old")
+    (tmp_path / "other.txt").write_text("stays")
+    writer = S.SubtitleWriter(str(tmp_path), "srt", True)
+    messages = [writer.write(iter([pa.RecordBatch.from_pylist([{"media_id": i, "timestamp": "t", "text": str(i)} for i in range(t, n, tasks)], schema)])) for t in range(tasks)]
+    assert len(pickle.dumps(messages)) < 1000
+    writer.commit(messages)
+    assert {p.name for p in tmp_path.iterdir()} == {f"{i}.srt" for i in range(n)} | {"other.txt"} and (tmp_path / "0.srt").read_text() == "1\nt\n0\n"
+    parts = S.SubtitleReader(f"file://{tmp_path}", "srt", 10_000, None).partitions()
+    assert len(parts) > 3 and sorted(x for p in parts for x in p.names()) == sorted(f"{i}.srt" for i in range(n))
+    assert sum(len(pickle.dumps(p)) for p in parts) < 6 * n
+
+
+def test_a_media_of_two_tasks_is_refused_at_the_commit(tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "1.srt").write_text("old")
+    writer = S.SubtitleWriter(str(tmp_path), "srt", True)
+    messages = [writer.write(iter([pa.RecordBatch.from_pylist([{"media_id": i, "timestamp": "t", "text": "x"} for i in ids])])) for ids in ((1, 2), (3, 1))]
+    with pytest.raises(ValueError, match="several tasks"):
+        writer.commit([*messages, None])
+    assert [p.name for p in tmp_path.iterdir()] == ["1.srt"] and (tmp_path / "1.srt").read_text() == "old"
+
+
+def test_keys_of_names():
+    keys = S.Keys(f"{i}.srt" for i in range(1000))
+    assert not keys.repeated() and "7.srt" in keys and "1000.srt" not in keys
+    assert S.Keys(["a", "b", "a"]).repeated() and not S.Keys([]).repeated() and "a" not in S.Keys([])
